@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam, pii
+from tidemark.llm import bpe, decontam, lzprint, pii, simhash, tokenfiles, toxicity
 from tidemark.llm.common import table
 
 
@@ -18,13 +18,33 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3(table(spark, sf_dir, "documents"), bpe.Tokenizer(spark, path, public_tokenizers.PATTERN))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op6(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op8(table(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.op10(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_lz_fingerprint": op5_lz_fingerprint,
     "op6_pii": op6_pii,
+    "op8_simhash": op8_simhash,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {"op2_decontaminate": decontam.SQL}
