@@ -1,0 +1,328 @@
+"""Each operator against a brute-force version, and on odd inputs."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from conftest import MEDIUM, SMALL
+from tokenizers import Tokenizer
+
+from tidemark.llm import bpe, decontam, lzprint, pii, simhash, tokenfiles, toxicity
+from tidemark.llm.common import table
+
+
+def rows(df, *keys):
+    got = [tuple(r) for r in df.select(*keys).collect()]
+    return sorted(got, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def texts(spark, sf=SMALL):
+    return {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+
+
+# Decontamination
+
+
+def spans_by_hand(text, wins):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    hit = set()
+    for w in wins:
+        for i in range(len(words) - len(w) + 1):
+            if words[i : i + len(w)] == w:
+                hit |= set(range(i, i + len(w)))
+    return len(words), len(hit)
+
+
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_scan_equals_brute_force(spark, odd_docs, block):
+    bench = spark.createDataFrame(
+        [(1, "Three four five six seven eight NINE ten eleven twelve thirteen"), (2, "two three"), (3, None), (None, "gamma"), (5, "!")],
+        "item_id long, text string",
+    )
+    wins = [["two", "three"], ["gamma"]]
+    got = decontam.scan(odd_docs, bench, block_windows=block)
+    by_hand = sorted((*spans_by_hand(r["text"], wins), r["doc_id"] or -1) for r in odd_docs.collect())
+    found = sorted((r["n_words"], sum(h["end"] - h["start"] for h in r["hits"]), r["doc_id"] or -1) for r in got.collect())
+    assert found == by_hand
+    assert {tuple(r["items"]) for r in got.collect()} == {(), ("2",)}
+
+
+def test_decontaminate_cuts_spans_and_keeps_clean_documents(spark, odd_docs):
+    bench = spark.createDataFrame([(1, "four five six seven eight nine ten eleven")], "item_id long, text string")
+    kept = decontam.decontaminate(odd_docs, bench)
+    assert kept.columns == odd_docs.columns
+    assert [r["text"] for r in kept.filter("doc_id = 1").collect()] == ["one two three"] * 2
+    assert kept.count() == odd_docs.count()
+    assert decontam.decontaminate(odd_docs, bench, mode="documents").filter("doc_id = 1").isEmpty()
+    gone = spark.createDataFrame([(9, "Four, five six seven eight nine ten eleven!")], "doc_id long, text string")
+    assert decontam.decontaminate(gone, bench).isEmpty()
+
+
+def test_decontaminate_query_equals_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = decontam.op2(table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark"))
+    want = con.execute(decontam.SQL).df()
+    assert rows(got, *want.columns) == sorted(map(tuple, want.values.tolist()))
+    assert got.filter("contaminated").count() > 0
+
+
+# Byte-level BPE
+
+
+def tokenizer(spark):
+    return bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def whole_encoding():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("chunk, overlap", [(16_384, 512), (100, 40), (37, 12)])
+def test_bpe_equals_the_library_on_whole_texts(spark, odd_docs, chunk, overlap):
+    enc = whole_encoding()
+    tricky = spark.createDataFrame(
+        [(20, "it's   we'll \x1c!!\x1c  x y   z'" * 40), (21, "a" * 333 + " " * 333 + "b"), (22, "12 34\r\n\r\n" * 99)], "doc_id long, text string"
+    )
+    docs = odd_docs.select("doc_id", "text").unionByName(tricky).unionByName(table(spark, SMALL, "documents").select("doc_id", "text").filter("doc_id >= 100"))
+
+    def row(i, t):
+        ids = enc.encode_ordinary(t or "")
+        return i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
+
+    want = sorted((row(r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: tuple((x is not None, x) for x in r))
+    got = bpe.op3(docs, tokenizer(spark), chunk, overlap)
+    assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_bpe_round_trip(spark, odd_docs, no_docs):
+    t = tokenizer(spark)
+    back = bpe.decode(bpe.encode(odd_docs, t, 1000, 50), t)
+    want = sorted(((r["doc_id"] or -1), (r["text"] or "").encode()) for r in odd_docs.collect())
+    assert sorted(((r["doc_id"] or -1), bytes(r["bytes"])) for r in back.collect()) == want
+    assert bpe.encode(no_docs, t).isEmpty() and bpe.op3(no_docs, t).isEmpty()
+
+
+# Toxicity
+
+
+def test_toxicity_held_out_accuracy(spark):
+    docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+    got = toxicity.op4(docs, labels)
+    assert got.count() == docs.count()
+    scored = got.join(labels, "doc_id").filter("held_out").toPandas()
+    assert ((scored.predicted == 1) == (scored.toxic == 1)).mean() >= 0.97
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got.collect())
+
+
+def test_toxicity_odd_inputs(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (4, None), (99, 0)], "doc_id long, toxic int")
+    got = toxicity.op4(odd_docs, labels).collect()
+    assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.op4(no_docs, labels).isEmpty()
+    none = labels.filter("false")
+    assert {r["score"] for r in toxicity.op4(odd_docs, none).collect()} == {0.0}
+    assert toxicity.reject_toxic(odd_docs, none).count() == 10
+
+
+# Phrase fingerprints
+
+
+def test_lz_fingerprints_equal_brute_force(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text").unionByName(table(spark, SMALL, "documents").select("doc_id", "text").filter("doc_id >= 150"))
+    got = rows(lzprint.op5(docs, rows=9), "doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = (lzprint.signature(x) for x in (t, edited, after))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), lzprint.likeness(a, b), lzprint.likeness(a, c)))
+    assert got == sorted(want, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def test_lz_likeness_estimates_phrase_overlap(spark, no_docs):
+    assert lzprint.phrases("aababcabcd") == {"a", "ab", "abc", "abcd"}
+    own = list(texts(spark).values())[:60]
+    for a, b in zip(own, own[1:], strict=False):
+        mixed = a[: len(a) // 2] + b
+        p, q = lzprint.phrases(a), lzprint.phrases(mixed)
+        if len(p | q) > 100:
+            assert abs(lzprint.likeness(lzprint.signature(a), lzprint.signature(mixed)) - len(p & q) / len(p | q)) < 0.25
+    assert lzprint.likeness(lzprint.signature(""), lzprint.signature("")) == 1.0
+    assert lzprint.op5(no_docs).isEmpty()
+    one = spark.createDataFrame([(3, "only")], "doc_id long, text string")
+    assert rows(lzprint.op5(one), "near_edited", "near_next") == [(lzprint.likeness(lzprint.signature("only"), lzprint.signature("onon")), 1.0)]
+    same = lzprint.fingerprints(one).join(lzprint.fingerprints(one).toDF("doc_id", "other"), "doc_id")
+    assert lzprint.compare(same, "fingerprint", "other").first()["likeness"] == 1.0
+
+
+# Personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base_by_hand(text):
+    def digits(m):
+        return re.sub("[^0-9]", "", m.group())
+
+    def luhn(n):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(n[::-1])) % 10 == 0
+
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+
+
+ODD = [
+    "a@b.c@d.e x@@y.z @a.b a@b a.b-c@d-e.f.g. 1@2.3",
+    "1.2.3.4.5.6.7.8.9 256.1.1.1 1.2.3 001.02.3.255 1.2.3.999.4.5.6.7",
+    "4111 1111 1111 1111 4111-1111-1111-1112 378282246310005 41111111111111111111 4 1-1",
+    "+1 (212) 555-0100 ++12345678 +1.2.3.4.5.6.7.8 +49--- +123",
+    "card 3782 822463 10005, IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432X",
+]
+
+
+def test_pii_base_spans_equal_the_patterns(spark):
+    rng = np.random.default_rng(5)
+    noise = ["".join(rng.choice(list("a1@.+- ()2.,4é"), 60)) for _ in range(400)]
+    for text in [*ODD, *noise, *texts(spark).values()]:
+        assert [s[:3] for s in pii.find(text) if s[0] in pii.BASE] == base_by_hand(text), text
+
+
+def test_pii_added_spans_and_context():
+    found = {s[0]: s for s in pii.find(ODD[4])}
+    assert found["iban"][1:3] == (31, 58) and found["card_short"][3] >= pii.KEEP
+    assert not pii.find("number 3782 822463 10005") and not pii.find("DE88 3704 0044 0532 0130 00")
+    assert pii.find("a" * 200_000) == [] and pii.find("1" * 200_000) == [] and pii.find("1." * 100_000)
+
+
+def test_pii_redaction_and_query(spark, odd_docs, no_docs):
+    red = {r["doc_id"]: r["text"] for r in pii.redact(odd_docs).collect()}
+    assert "[EMAIL] [PHONE]" in red[8] and red[3] is None and red[2] == ""
+    assert all(not pii.find(t or "") for t in red.values())
+    got = pii.op6(odd_docs).filter("doc_id = 8").first()
+    assert (got["n_email"], got["n_phone"], got["n_card"]) == (1, 1, 0) and got["spans"].startswith("email:")
+    assert pii.op6(no_docs).isEmpty() and pii.detect(no_docs).isEmpty()
+
+
+# SimHash
+
+
+def by_hand(docs):
+    def fp(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sh = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in sh]
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    fps = [(i, fp(t)) for i, t in docs]
+    near = defaultdict(list)
+    distinct = sorted({f for _, f in fps})
+    for a in distinct:
+        near[a] = [b for b in distinct if (a ^ b).bit_count() <= 3]
+    root = {}
+    for f in distinct:
+        if f not in root:
+            stack = [f]
+            while stack:
+                x = stack.pop()
+                if x not in root:
+                    root[x] = f
+                    stack += near[x]
+    low = {}
+    for i, f in fps:
+        if i is not None:
+            low[root[f]] = min(low.get(root[f], i), i)
+    return [(i, f"{f:016x}", low.get(root[f])) for i, f in fps]
+
+
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_simhash_equals_brute_force(spark, odd_docs, monkeypatch, tile):
+    monkeypatch.setattr(simhash.links, "__defaults__", (tile,))
+    docs = odd_docs.select("doc_id", "text").unionByName(table(spark, SMALL, "documents").selectExpr("doc_id + 100", "text"))
+    want = sorted(by_hand([tuple(r) for r in docs.collect()]), key=lambda r: tuple((x is not None, x) for x in r))
+    assert rows(simhash.op8(docs), "doc_id", "fingerprint", "component_id") == want
+
+
+def test_simhash_links_within_three_bits_whatever_the_bits(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    fps = set(base.tolist())
+    for b in base[:30].tolist():
+        for _ in range(60):
+            bits = rng.choice(64, int(rng.integers(1, 5)), replace=False)
+            fps.add(b ^ int(sum(1 << int(k) for k in bits)))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    for tile in (8, 1024):
+        found = {tuple(r) for r in simhash.components(simhash.links(df, tile)).collect()}
+        root = {simhash.signed(f): simhash.signed(f) for f in fps} | dict(found)
+        parent = {simhash.signed(f): simhash.signed(f) for f in fps}
+
+        def top(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, a in enumerate(fps):
+            for b in fps[i + 1 :]:
+                if (a ^ b).bit_count() <= 3:
+                    x, y = sorted((top(simhash.signed(a)), top(simhash.signed(b))))
+                    parent[y] = x
+        assert all(root[x] == top(x) for x in root)
+
+
+def test_deduplicate_keeps_one_of_each_group(spark, odd_docs, no_docs):
+    kept = simhash.deduplicate(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted({c if c is not None else -1 for _, _, c in by_hand([(r["doc_id"], r["text"]) for r in odd_docs.collect()])})
+    assert simhash.deduplicate(no_docs).isEmpty() and simhash.op8(no_docs).isEmpty()
+
+
+# Token files
+
+
+def test_codes_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 4, 5, 1000):
+        ranks = (rng.integers(0, 1 << 32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
+        control, data = tokenfiles.pack(ranks)
+        assert len(control) == -(-n // 4) and (tokenfiles.unpack(control, data, n) == ranks).all()
+
+
+def test_token_files_equal_the_library(spark, odd_docs, no_docs, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    odd = spark.createDataFrame(
+        [(30, "ΣΣ ΟΣ <|endoftext|> a\x1cb c d\u0085e <|start oftext|>"), (31, "é ́x Å don't WE'LL 12345\n\n\t x")], "doc_id long, text string"
+    )
+    docs = odd_docs.select("doc_id", "text").unionByName(odd).unionByName(table(spark, SMALL, "documents").selectExpr("doc_id + 100", "text"))
+    order = [(r["doc_id"], [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in docs.collect()]
+    order.sort(key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
+    want, start = [], 0
+    for i, ids in order:
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert rows(tokenfiles.op10(docs, path), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=key)
+    words = tokenfiles.Words(spark, path)
+    tokenfiles.write(docs, f"{tmp_path}/x", words, rows=20, block=500)
+    back = sorted((r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenfiles.read(spark, f"{tmp_path}/x").collect())
+    assert [x for _, x in back] == [x for _, x in order] and [s for s, _ in back] == [w[1] for w in want]
+    assert tokenfiles.op10(no_docs, path).isEmpty()

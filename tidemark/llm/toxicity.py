@@ -5,16 +5,18 @@ in pieces of ``WINDOW`` bytes).  It is compressed with a dictionary trained on o
 with one made from toxic text; the gain is how many bytes fewer the toxic dictionary needs.  A
 fixed tail that both dictionaries hold follows every window, so that frame and block costs cancel
 and short windows still compress.  Equal windows have equal gains, so each task keeps a bounded
-memo of gains.  A document's evidence is its largest gain and the number of windows
+memo of gains.  A document's evidence is its largest gain and the number and share of windows
 at or above the threshold gain; a logistic calibration fitted on training rows turns it into a
 score.
 
 Training uses a bounded sample of labelled rows: ``SAMPLE`` documents for each class at most, the
 first by a hash of the id, of rows with crc32(id as text) mod 3 other than 1.  Near copies count
-once (smallest 5-word hash), since a text copied many times says little about its words.  The toxic dictionary holds
-the words that at least ``LEAST_SHARE`` of toxic documents share and that are ``ODDS`` times as
-likely in toxic as in ordinary documents, the likeliest last, where matching is cheapest.  The
-words' document counts are aggregated in Spark; at most ``LEXICON`` words reach the driver.
+once (they share one of three smallest 5-word hashes), since a text copied many times says little
+about its words.  Dictionaries are raw content, made from words by document counts: the toxic one
+of words that at least ``LEAST_SHARE`` of toxic documents share and that are ``ODDS`` times as
+likely in toxic as in ordinary documents, the ordinary one of the words that most ordinary documents
+share.  Commoner words stand last, where matching is cheapest.  The counts are aggregated in
+Spark; at most ``LEXICON`` and ``ORDINARY`` words reach the driver.
 
 Defined cases: a null or empty text has no windows, hence no evidence, and gets the score of no evidence;
 a null id is held out; rows without a label only get scored; without labelled toxic and ordinary rows every score is 0.
@@ -40,8 +42,8 @@ LEXICON = 2_000
 LEAST_SHARE = 0.005
 ODDS = 20.0
 WINDOW = 48
-WINDOWS_SAMPLE = 20_000
-DICTIONARY = 112_640
+ORDINARY = 40_000
+DICTIONARY = 400_000
 LEVEL = 3
 THRESHOLD = 0.7
 MEMO = 400_000
@@ -95,15 +97,24 @@ class Gains:
         for w in words:
             g = memo.get(w)
             if g is None:
-                padded = b" " + w + b" "
+                padded = _padded(w)
                 g = memo[w] = self.ordinary(padded) - self.toxic(padded)
             out.append(g)
         return out
 
 
-def evidence(gains: list[int], threshold: int) -> tuple[float, float, float]:
-    """Largest gain (0 to 12), windows at the threshold (log), 1."""
-    return (float(min(12, max(0, max(gains, default=0)))), math.log1p(sum(g >= threshold for g in gains)), 1.0)
+def evidence(counts: np.ndarray, threshold: int) -> np.ndarray:
+    """For rows of counts by gain: the largest gain, and the logs of the number and of the share (per
+    thousand) of windows at or above the threshold, and 1."""
+    most = np.where(counts > 0, np.arange(counts.shape[1]), 0).max(axis=1)
+    at = counts[:, threshold:].sum(axis=1)
+    share = np.log1p(1000 * at / np.maximum(1, counts.sum(axis=1)))
+    return np.stack([np.minimum(most, 12), np.log1p(at), share, np.ones(len(counts))], axis=1)
+
+
+def by_gain(gains: list[int]) -> np.ndarray:
+    """How many windows have each gain, negative gains counted as 0 and those over 15 as 15."""
+    return np.bincount(np.clip(np.asarray(gains, dtype=np.int64), 0, 15), minlength=16)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -128,77 +139,64 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def _first_copies(rows: DataFrame) -> DataFrame:
-    """One row of each set of near copies, judged by the smallest hash of five words."""
+    """The rows that come first by id under each of their three copy keys."""
 
     def make() -> Callable:
         import xxhash
 
-        def key(text: str) -> int:
+        def keys(text: str) -> list[int]:
             words = text.encode().translate(LOWER).split()
-            five = map(b" ".join, zip(*(words[i:] for i in range(5)), strict=False))
-            return min(map(xxhash.xxh64_intdigest, five), default=xxhash.xxh64_intdigest(text)) >> 1
+            five = list(map(b" ".join, zip(*(words[i:] for i in range(5)), strict=False))) or [text.encode()]
+            return [min(xxhash.xxh64_intdigest(w, seed) for w in five) >> 1 for seed in (1, 2, 3)]
 
-        return lambda texts: [pa.array([key(t) for t in texts], pa.int64())]
+        return lambda texts: [pa.array([keys(t) for t in texts], pa.list_(pa.int64()))]
 
-    keyed = map_texts(rows, make, "copy bigint", drop=())
-    first = keyed.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    return keyed.join(first, ["copy", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    keyed = map_texts(rows, make, "copies array<bigint>").select("doc_id", F.posexplode("copies").alias("seed", "copy"))
+    least = keyed.groupBy("seed", "copy").agg(F.min("doc_id").alias("doc_id"))
+    first = least.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 3")
+    return rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """Both dictionaries and the calibration from a bounded sample of labelled rows; None without both classes."""
-    rows = _first_copies(sample(docs, labels, most)).persist()
+    sampled = sample(docs, labels, most).persist()
+    rows = _first_copies(sampled).persist()
     try:
         per_class = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not per_class.get(0) or not per_class.get(1):
             return None
-        lexicon = _lexicon(rows, per_class)
-        ordinary = _ordinary(rows)
-        toxic = b"".join(b" " + w + b" " for w in reversed(lexicon))[-DICTIONARY:]
-        return _calibrate(rows, ordinary, toxic)
+        return _calibrate(rows, *_dictionaries(rows, per_class))
     finally:
         rows.unpersist()
+        sampled.unpersist()
 
 
-def _lexicon(rows: DataFrame, per_class: dict[int, int]) -> list[bytes]:
-    """Words typical of toxic documents, the best first."""
+def _dictionaries(rows: DataFrame, per_class: dict[int, int]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
 
     def make() -> Callable:
         return lambda texts: [pa.array([sorted(set(windows(t))) for t in texts], pa.list_(pa.binary()))]
 
     words = map_texts(rows, make, "words array<binary>").select("toxic", F.explode("words").alias("word"))
-    least = max(3, math.ceil(per_class[1] * LEAST_SHARE))
     toxic, clean = F.sum("toxic"), F.sum(1 - F.col("toxic"))
+    counts = words.groupBy("word").agg(toxic.alias("t"), clean.alias("c")).filter("t + c > 1").persist()
+    least = max(3, math.ceil(per_class[1] * LEAST_SHARE))
     odds = ((F.col("t") + 0.5) / (per_class[1] + 1)) / ((F.col("c") + 0.5) / (per_class[0] + 1))
-    best = (
-        words.groupBy("word")
-        .agg(toxic.alias("t"), clean.alias("c"))
-        .filter((F.col("t") >= least) & (F.length("word") >= 3))
-        .filter(odds >= ODDS)
-        .orderBy(F.desc("t"), "word")
-        .limit(LEXICON)
-    )
-    return [bytes(r["word"]) for r in best.collect()]
-
+    typical = (F.col("t") >= least) & (F.length("word") >= 3) & (odds >= ODDS)
+    bad = counts.filter(typical).orderBy(F.desc("t"), "word").limit(LEXICON)
+    usual = counts.filter(~typical & (F.col("c") > 1)).orderBy(F.desc("c"), "word").limit(ORDINARY)
 
-def _ordinary(rows: DataFrame) -> bytes:
-    """A dictionary trained on a bounded sample of stretches of ordinary text."""
-    import zstandard as z
+    def content(best: DataFrame) -> bytes:
+        return b"".join(_padded(bytes(r["word"])) for r in reversed(best.select("word").collect()))[-DICTIONARY:]
 
-    def make() -> Callable:
-        def stretches(text: str) -> list[bytes]:
-            raw = text.encode().translate(LOWER)
-            return [raw[i : i + 64] for i in range(0, len(raw), 64)]
+    try:
+        return content(usual), content(bad)
+    finally:
+        counts.unpersist()
 
-        return lambda texts: [pa.array([stretches(t) for t in texts], pa.list_(pa.binary()))]
 
-    cut = map_texts(rows.filter("toxic = 0"), make, "parts array<binary>").select("doc_id", F.posexplode("parts").alias("at", "part"))
-    got = cut.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(WINDOWS_SAMPLE).select("part").collect()
-    parts = [bytes(r["part"]) for r in got]
-    try:
-        return z.train_dictionary(DICTIONARY, parts, k=64, d=6).as_bytes()
-    except z.ZstdError:  # too few samples to train on: they are the dictionary
-        return b"".join(parts)[-DICTIONARY:]
+def _padded(word: bytes) -> bytes:
+    return b" " + word + b" "
 
 
 def _calibrate(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
@@ -207,23 +205,18 @@ def _calibrate(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
     def make() -> Callable:
         gains = Gains(ordinary, toxic)
 
-        def counts(text: str) -> list[int]:
-            g = np.clip(gains.of(windows(text)), 0, 15) if text else []
-            return np.bincount(np.asarray(g, dtype=np.int64), minlength=16).tolist()
-
-        return lambda texts: [pa.array([counts(t) for t in texts], pa.list_(pa.int64()))]
+        return lambda texts: [pa.array([by_gain(gains.of(windows(t))).tolist() for t in texts], pa.list_(pa.int64()))]
 
     got = map_texts(rows, make, "counts array<bigint>").select("toxic", "counts").collect()
     y = np.array([r["toxic"] for r in got], dtype=float)
     counts = np.array([r["counts"] for r in got])
-    most = (counts > 0).cumsum(axis=1).argmax(axis=1)
+    most = evidence(counts, 1)[:, 0]
 
     def split(g: int) -> float:
         return float((most[y == 1] >= g).mean() - (most[y == 0] >= g).mean())
 
     gain = max(range(1, 13), key=lambda g: (split(g), g))
-    x = np.stack([np.minimum(most, 12), np.log1p(counts[:, gain:].sum(axis=1)), np.ones(len(y))], axis=1)
-    return Model(ordinary, toxic, gain, tuple(_logistic(x, y).tolist()))
+    return Model(ordinary, toxic, gain, tuple(_logistic(evidence(counts, gain), y).tolist()))
 
 
 def scorer(model: Model | None) -> Callable[[str], float]:
@@ -233,7 +226,7 @@ def scorer(model: Model | None) -> Callable[[str], float]:
     gains = Gains(model.ordinary, model.toxic)
 
     def one(text: str) -> float:
-        z = float(np.dot(evidence(gains.of(windows(text)), model.gain), model.weights))
+        z = float(evidence(by_gain(gains.of(windows(text)))[None, :], model.gain)[0] @ model.weights)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     return one
