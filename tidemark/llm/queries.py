@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam, lzprint, pii, simhash, tokenfiles, toxicity
+from tidemark.llm import bpe, decontam, htmltext, lzprint, ngramlm, pii, simhash, tokenfiles, toxicity
 from tidemark.llm.common import table
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,17 +38,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.op9(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.op10(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_stupid_backoff": op1_stupid_backoff,
     "op2_decontaminate": op2_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_lz_fingerprint": op5_lz_fingerprint,
     "op6_pii": op6_pii,
     "op8_simhash": op8_simhash,
+    "op9_main_text": op9_main_text,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL = {"op2_decontaminate": decontam.SQL}
+ORACLE_SQL = {"op1_stupid_backoff": ngramlm.SQL, "op2_decontaminate": decontam.SQL}
