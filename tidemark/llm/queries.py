@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontam, htmltext, lzprint, ngramlm, pii, simhash, tokenfiles, toxicity
+from tidemark.llm import bpe, cotrain, decontam, htmltext, lzprint, ngramlm, pii, simhash, tokenfiles, toxicity
 from tidemark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_lz_fingerprint": op5_lz_fingerprint,
     "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_token_files": op10_token_files,
