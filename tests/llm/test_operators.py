@@ -207,7 +207,7 @@ def test_pii_base_spans_equal_the_patterns(spark):
 
 def test_pii_added_spans_and_context():
     found = {s[0]: s for s in pii.find(ODD[4])}
-    assert found["iban"][1:3] == (31, 58) and found["card_short"][3] >= pii.KEEP
+    assert ODD[4][slice(*found["iban"][1:3])] == "DE89 3704 0044 0532 0130 00" and found["card_short"][3] >= pii.KEEP
     assert not pii.find("number 3782 822463 10005") and not pii.find("DE88 3704 0044 0532 0130 00")
     assert pii.find("a" * 200_000) == [] and pii.find("1" * 200_000) == [] and pii.find("1." * 100_000)
 
@@ -254,8 +254,8 @@ def by_hand(docs):
 
 @pytest.mark.parametrize("tile", [2, 1024])
 def test_simhash_equals_brute_force(spark, odd_docs, monkeypatch, tile):
-    monkeypatch.setattr(simhash.links, "__defaults__", (tile,))
-    docs = odd_docs.select("doc_id", "text").unionByName(table(spark, SMALL, "documents").selectExpr("doc_id + 100", "text"))
+    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.STRICT, tile))
+    docs = odd_docs.select("doc_id", "text").unionByName(table(spark, SMALL, "documents").selectExpr("doc_id + 100 AS doc_id", "text"))
     want = sorted(by_hand([tuple(r) for r in docs.collect()]), key=lambda r: tuple((x is not None, x) for x in r))
     assert rows(simhash.op8(docs), "doc_id", "fingerprint", "component_id") == want
 
@@ -269,9 +269,9 @@ def test_simhash_links_within_three_bits_whatever_the_bits(spark):
             bits = rng.choice(64, int(rng.integers(1, 5)), replace=False)
             fps.add(b ^ int(sum(1 << int(k) for k in bits)))
     fps = sorted(fps)
-    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    df = spark.createDataFrame([(simhash.signed(f), bytearray(np.uint64(f).tobytes())) for f in fps], "fp long, bits binary")
     for tile in (8, 1024):
-        found = {tuple(r) for r in simhash.components(simhash.links(df, tile)).collect()}
+        found = {tuple(r) for r in simhash.components(simhash.links(df, simhash.STRICT, tile)).collect()}
         root = {simhash.signed(f): simhash.signed(f) for f in fps} | dict(found)
         parent = {simhash.signed(f): simhash.signed(f) for f in fps}
 
@@ -289,9 +289,10 @@ def test_simhash_links_within_three_bits_whatever_the_bits(spark):
 
 
 def test_deduplicate_keeps_one_of_each_group(spark, odd_docs, no_docs):
-    kept = simhash.deduplicate(odd_docs)
+    kept = simhash.deduplicate(odd_docs, simhash.STRICT)
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted({c if c is not None else -1 for _, _, c in by_hand([(r["doc_id"], r["text"]) for r in odd_docs.collect()])})
+    assert sorted(r["doc_id"] or -1 for r in simhash.deduplicate(odd_docs).collect()) == [-1, 1, 2, 4, 5, 6, 8]
     assert simhash.deduplicate(no_docs).isEmpty() and simhash.op8(no_docs).isEmpty()
 
 
@@ -312,7 +313,7 @@ def test_token_files_equal_the_library(spark, odd_docs, no_docs, tmp_path):
     odd = spark.createDataFrame(
         [(30, "ΣΣ ΟΣ <|endoftext|> a\x1cb c d\u0085e <|start oftext|>"), (31, "é ́x Å don't WE'LL 12345\n\n\t x")], "doc_id long, text string"
     )
-    docs = odd_docs.select("doc_id", "text").unionByName(odd).unionByName(table(spark, SMALL, "documents").selectExpr("doc_id + 100", "text"))
+    docs = odd_docs.select("doc_id", "text").unionByName(odd).unionByName(table(spark, SMALL, "documents").selectExpr("doc_id + 100 AS doc_id", "text"))
     order = [(r["doc_id"], [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in docs.collect()]
     order.sort(key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
     want, start = [], 0
@@ -326,3 +327,21 @@ def test_token_files_equal_the_library(spark, odd_docs, no_docs, tmp_path):
     back = sorted((r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenfiles.read(spark, f"{tmp_path}/x").collect())
     assert [x for _, x in back] == [x for _, x in order] and [s for s, _ in back] == [w[1] for w in want]
     assert tokenfiles.op10(no_docs, path).isEmpty()
+
+
+def test_similar_rule_finds_near_copies_and_spares_others(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    base = [rng.choice(words, 200).tolist() for _ in range(40)]
+    rows, n = [], 0
+    for k, b in enumerate(base):
+        for copy in range(3):
+            w = list(b)
+            for at in rng.choice(200, copy, replace=False):
+                w[at] = "changed"
+            rows.append((n, " ".join(w), k))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, simhash.SIMILAR).collect()}
+    assert all(got[i] // 3 == i // 3 for i in got)
+    assert sum(got[i] == i for i in got) <= 42

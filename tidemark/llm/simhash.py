@@ -1,14 +1,20 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Each text becomes a 64-bit fingerprint.  Equal fingerprints are one class from then on, so copies
-cost one row.  For each distinct fingerprint a table row holds its Hamming distances to
-``PIVOTS`` reference fingerprints.  Distance tables cannot bucket by themselves, so candidates
-meet first by exact equality of two of five bit blocks: any two fingerprints within three bits
-agree on at least two whole blocks.  Among the candidates, pairs whose table rows differ by more than
-three in any coordinate are discarded (triangle inequality), survivors are verified bit by bit,
-and each group of candidates passes on only a spanning forest of its links.  A key with more
-than ``TILE`` fingerprints is dealt out as all pairs of its random parts, so no task holds a whole
-hot group and no pair of it is left out.  Components come from alternating star contraction.
+Each text becomes a fingerprint of 64 bits, or of several lanes of 64.  Equal fingerprints are one
+class from then on, so copies cost one row.  For each distinct fingerprint a table row holds its
+Hamming distances to ``PIVOTS`` reference fingerprints.  Distance tables cannot bucket by
+themselves, so candidates meet first on equal keys; ``Rule`` says which.  Among the candidates,
+pairs whose table rows differ by more than the limit in any coordinate are discarded (triangle
+inequality), survivors are verified bit by bit, and each group of over 32 candidates passes on only
+a spanning forest of its links.  A key with more than ``TILE`` fingerprints is dealt out as all pairs
+of its random parts, so no task holds a whole hot group and no pair of it is left out.  Components
+come from alternating star contraction.
+
+``STRICT`` (64 bits, three-word shingles, three bits) takes as keys the ten pairs of five bit blocks:
+two fingerprints within three bits agree on two whole blocks at least, so no link is missed.
+``SIMILAR`` (256 bits, five-word shingles) links texts whose shingle sets overlap by about 0.8 or
+more: at that overlap the expected distance is 15 %, 38 bits.  Its keys are samples of 24 bits; of
+texts that differ in 10 % of the bits 98 % meet on a key, at 15 % 62 %.
 
 Defined cases: a text that is null or has no words has fingerprint zero and is linked like any
 other; repeated rows give repeated rows; a null id takes part in linking but names no component
@@ -18,23 +24,38 @@ unless all ids of its component are null, whose component is then null.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, map_texts, texts_of, written
 
-SHINGLE = 3
-MAX_BITS = 3
 TILE = 1024
 PIVOTS = 8
 SEED = 42
 #: Bit blocks as (lowest bit, width); with at most three differing bits two of five stay whole.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
+
+@dataclass(frozen=True)
+class Rule:
+    """What links two texts: words in a shingle, lanes of 64 bits, differing bits allowed, and the keys
+    that candidates share (0 tables: pairs of ``BLOCKS``, else so many samples of ``sampled`` bits)."""
+
+    size: int = 3
+    lanes: int = 1
+    max_bits: int = 3
+    tables: int = 0
+    sampled: int = 24
+
+
+STRICT = Rule()
+SIMILAR = Rule(size=5, lanes=4, max_bits=38, tables=48)
+
 _SIGN = 1 << 63
 
 
@@ -42,144 +63,188 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= _SIGN else x
 
 
-def _pivots(n: int) -> list[int]:
+def _pivots(lanes: int) -> np.ndarray:
     """Reference fingerprints: pseudo-random, the same in every run."""
     import xxhash
 
-    return [xxhash.xxh64_intdigest(f"pivot {i}", seed=SEED) for i in range(n)]
+    return np.array([[xxhash.xxh64_intdigest(f"pivot {i} {k}", seed=SEED) for k in range(lanes)] for i in range(PIVOTS)], dtype=np.uint64)
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """Unsigned fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
+def _lane(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of the same shingles for each lane but the first."""
+    if k == 0:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str, rule: Rule = STRICT) -> np.ndarray:
+    """One unsigned 64-bit number a lane: a bit is 1 if set in over half of the shingles' hashes."""
     import xxhash
 
+    out = np.zeros(rule.lanes, dtype=np.uint64)
     words = text.encode().translate(LOWER).split()
     if not words:
-        return 0
+        return out
+    size = rule.size
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else iter([b" ".join(words)])
     n = max(1, len(words) - size + 1)
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed=SEED) for s in shingles), dtype=np.uint64, count=n)
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):
-        part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp bigint): the fingerprint's 64 bits as a signed long."""
-    return map_texts(
-        texts_of(docs, id_col, text_col),
-        lambda: lambda texts: [pa.array([signed(fingerprint(t, size)) for t in texts], pa.int64())],
-        "fp bigint",
-    )
+    for k in range(rule.lanes):
+        counts = np.zeros(64, dtype=np.int64)
+        for i in range(0, n, 1 << 16):
+            part = _lane(hashes[i : i + (1 << 16)], k).view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def _keys() -> Column:
-    """The ten pairs of blocks of ``fp``, each with its number in the high bits."""
+def node_of(bits: np.ndarray) -> int:
+    """A fingerprint's node: itself if it has one lane, else its hash."""
+    import xxhash
 
-    def block(low: int, width: int) -> Column:
-        return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
+    return signed(int(bits[0]) if len(bits) == 1 else xxhash.xxh64_intdigest(bits.tobytes()))
 
-    out = []
-    for n, (a, b) in enumerate(combinations(BLOCKS, 2)):
-        out.append(F.shiftleft(F.lit(n).cast("bigint"), 26).bitwiseOR(F.shiftleft(block(*a), 13)).bitwiseOR(block(*b)))
-    return F.array(*out)
 
+def fingerprints(docs: DataFrame, rule: Rule = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp bigint, bits binary): the fingerprint's node and its lanes, little-endian."""
 
-def _distance_table(pivots: int) -> Column:
-    """Hamming distances to the pivots, one byte each, in one long."""
-    out = F.lit(0).cast("bigint")
-    for i, p in enumerate(_pivots(pivots)):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p)))).cast("bigint")
-        out = out.bitwiseOR(F.shiftleft(d, 8 * i))
-    return out
+    def make() -> Callable:
+        def helper(texts: list[str]) -> list:
+            all_bits = [fingerprint(t, rule) for t in texts]
+            return [pa.array([node_of(b) for b in all_bits], pa.int64()), pa.array([b.tobytes() for b in all_bits], pa.binary())]
+
+        return helper
+
+    return map_texts(texts_of(docs, id_col, text_col), make, "fp bigint, bits binary")
+
+
+def _keys(bits: np.ndarray, rule: Rule) -> np.ndarray:
+    """A column of candidate keys for each table, the table's number in the high bits."""
+    if not rule.tables:
+        block = [(bits[:, 0] >> np.uint64(low)) & np.uint64((1 << width) - 1) for low, width in BLOCKS]
+        pairs = [(block[a] << np.uint64(13)) | block[b] for a, b in combinations(range(5), 2)]
+        return np.stack([k | np.uint64(n << 40) for n, k in enumerate(pairs)], axis=1)
+    flat = np.unpackbits(bits.view(np.uint8).reshape(len(bits), -1), axis=1, bitorder="little").astype(np.uint64)
+    rng = np.random.default_rng(SEED)
+    powers = np.uint64(1) << np.arange(rule.sampled, dtype=np.uint64)
+    out = [flat[:, rng.choice(flat.shape[1], rule.sampled, replace=False)] @ powers | np.uint64(n << 40) for n in range(rule.tables)]
+    return np.stack(out, axis=1)
+
+
+def pivot_tables(distinct: DataFrame, rule: Rule) -> DataFrame:
+    """(fp, bits, piv binary, keys array<bigint>) of distinct fingerprints: their distances to the pivots
+    as 16-bit numbers, and their candidate keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = _pivots(rule.lanes)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, rule.lanes)
+            away = np.stack([np.bitwise_count(bits ^ p).sum(axis=1) for p in pivots], axis=1).astype("<i2")
+            keys = _keys(bits, rule).view(np.int64)
+            offsets = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * keys.shape[1])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fp"), batch.column("bits"), pa.array([x.tobytes() for x in away], pa.binary()), lists], ["fp", "bits", "piv", "keys"]
+            )
+
+    return distinct.select("fp", "bits").mapInArrow(run, "fp bigint, bits binary, piv binary, keys array<bigint>")
 
 
-def _near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _near(bits: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
     """Which pairs pass the pivot filter and then the exact distance."""
     keep = np.arange(len(i))
     for c in range(table.shape[1]):
-        keep = keep[np.abs(table[i[keep], c] - table[j[keep], c]) <= MAX_BITS]
-    return keep[np.bitwise_count(fp[i[keep]] ^ fp[j[keep]]) <= MAX_BITS]
+        keep = keep[np.abs(table[i[keep], c] - table[j[keep], c]) <= most]
+    return keep[np.bitwise_count(bits[i[keep]] ^ bits[j[keep]]).sum(axis=1) <= most]
 
 
-def _forest_large(fp: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
+def _forest_large(bits: np.ndarray, table: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Spanning forest of one group: breadth first, each member compared with those not yet reached."""
-    left, edges = np.arange(len(fp)), []
+    left, edges = np.arange(len(bits)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = _near(fp, table, np.full(len(left), x), left)
+            near = _near(bits, table, np.full(len(left), x), left, most)
             edges += [(x, y) for y in left[near].tolist()]
             queue += left[near].tolist()
             left = np.delete(left, near)
     return edges
 
 
-def _forest(group: np.ndarray, fp: np.ndarray, packed: np.ndarray) -> np.ndarray:
+def _forest(group: np.ndarray, bits: np.ndarray, table: np.ndarray, most: int) -> np.ndarray:
     """Index pairs that span the links inside each run of equal ``group`` (sorted)."""
-    table = packed.view(np.uint8).reshape(len(packed), 8)[:, :PIVOTS].astype(np.int16)
     begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((begin, [len(group)])))
     edges: list[tuple[int, int]] = []
     large = sizes > 32
     for b, n in zip(begin[large].tolist(), sizes[large].tolist(), strict=True):
-        edges += [(b + x, b + y) for x, y in _forest_large(fp[b : b + n], table[b : b + n])]
-    small = np.flatnonzero(np.repeat(~large, sizes))
-    i, d = small, 1
+        edges += [(b + x, b + y) for x, y in _forest_large(bits[b : b + n], table[b : b + n], most)]
+    i, d = np.flatnonzero(np.repeat(~large, sizes)), 1
     while len(i):
         i = i[i + d < len(group)]
         i = i[group[i] == group[i + d]]
-        near = _near(fp, table, i, i + d)
+        near = _near(bits, table, i, i + d, most)
         edges += list(zip(i[near].tolist(), (i[near] + d).tolist(), strict=True))
         d += 1
     return np.array(edges, dtype=np.int64).reshape(-1, 2)
 
 
-def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, a, b) in; links (a, b) between fingerprints out.  Groups may span batches."""
-    held: pa.Table | None = None
+def _group_links(rule: Rule) -> Callable:
+    """Rows sorted by (key, a, b) to links (x, y) between fingerprints; groups may span batches."""
+    group = ("key", "a", "b")
 
-    def links(t: pa.Table) -> pa.RecordBatch:
-        cols = [t.column(c).to_numpy() for c in ("key", "a", "b", "fp", "piv")]
-        change = np.zeros(len(cols[0]), dtype=bool)
-        for c in cols[:3]:
-            change[1:] |= c[1:] != c[:-1]
-        fp = cols[3].astype(np.int64)
-        e = _forest(np.cumsum(change), fp.view(np.uint64), np.ascontiguousarray(cols[4]))
+    def links_of(t: pa.Table) -> pa.RecordBatch:
+        change = np.zeros(t.num_rows, dtype=bool)
+        for c in group:
+            v = t.column(c).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, rule.lanes)
+        table = np.frombuffer(b"".join(t.column("piv").to_pylist()), dtype="<i2").reshape(-1, PIVOTS)
+        fp = t.column("fp").to_numpy()
+        e = _forest(np.cumsum(change), bits, table, rule.max_bits)
         return pa.RecordBatch.from_arrays([pa.array(fp[e[:, 0]]), pa.array(fp[e[:, 1]])], ["x", "y"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        last = [held.column(c)[-1].as_py() for c in ("key", "a", "b")]
-        same = np.ones(held.num_rows, dtype=bool)
-        for c, v in zip(("key", "a", "b"), last, strict=True):
-            same &= held.column(c).to_numpy() == v
-        ready = int(np.argmax(same))
-        if ready:
-            yield links(held.slice(0, ready).combine_chunks())
-            held = held.slice(ready).combine_chunks()
-    if held is not None:
-        yield links(held)
-
-
-def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
-    """(x, y): links between the distinct fingerprints of column ``fp``, enough to span every component."""
-    rows = distinct.select("fp", _distance_table(PIVOTS).alias("piv"), F.explode(_keys()).alias("key"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            same = np.ones(held.num_rows, dtype=bool)
+            for c in group:
+                v = held.column(c).to_numpy()
+                same &= v == v[-1]
+            ready = int(np.argmax(same))
+            if ready:
+                yield links_of(held.slice(0, ready))
+                held = held.slice(ready)
+        if held is not None:
+            yield links_of(held)
+
+    return run
+
+
+def links(distinct: DataFrame, rule: Rule = STRICT, tile: int = TILE) -> DataFrame:
+    """(x, y): links between the distinct fingerprints (fp, bits), enough to span every component."""
+    tables = pivot_tables(distinct, rule)
+    rows = tables.select("fp", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("fp", "key"), parts).cast("int")
     dealt = (
         rows.join(counts, "key")
-        .select("key", "fp", "piv", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "piv")
+        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+        .join(tables.select("fp", "bits", "piv"), "fp")
     )
-    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_group_links, "x bigint, y bigint")
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_group_links(rule), "x bigint, y bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,37 +276,37 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each document; component_id is the smallest id it is linked to."""
-    fps = written(fingerprints(docs, size, id_col, text_col))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(distinct.select("fp")))
+    fps = written(fingerprints(docs, rule, id_col, text_col))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits"))
+    roots = components(links(distinct.select("fp", "bits"), rule))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(classes.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.select("doc_id", "fp").join(classes.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     """One document of each component, all columns kept: the one with the smallest id.
 
-    Rows without an id whose whole component has none are kept once for each text; rows that
-    repeat an id count as copies of it.
+    Rows without an id whose whole component has none are kept once for each fingerprint; rows
+    that repeat an id count as copies of it.
     """
-    classes = near_duplicates(docs, size)
+    classes = near_duplicates(docs, rule)
     keep = classes.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     nameless = docs.filter(F.col("doc_id").isNull())
     if nameless.isEmpty():
         return kept
-    lone = classes.filter("component_id is null").select("fp").distinct()
+    lone = classes.filter("component_id is null").select(F.col("fp").alias("__fp")).distinct()
     prints = map_texts(
         nameless.withColumn("__text", F.col("text").cast("string")),
-        lambda: lambda texts: [pa.array([signed(fingerprint(t, size)) for t in texts], pa.int64())],
+        lambda: lambda texts: [pa.array([node_of(fingerprint(t, rule)) for t in texts], pa.int64())],
         "__fp bigint",
         drop=("__text",),
         text="__text",
     )
-    once = prints.join(lone.withColumnRenamed("fp", "__fp"), "__fp", "left_semi").dropDuplicates(["__fp"])
+    once = prints.join(lone, "__fp", "left_semi").dropDuplicates(["__fp"])
     return kept.unionByName(once.select(*docs.columns))
 
 
