@@ -17,7 +17,9 @@ each other in the order of their ids' bytes; null ids come first; an empty table
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -31,7 +33,7 @@ from tidemark.llm.common import map_texts, remove, shard_bounds, shard_of, share
 END_ID = 2
 SHARD_ROWS = 4096
 BLOCK_TOKENS = 1 << 20
-MEMO = 300_000
+MEMO = 600_000
 
 #: For each control byte: the lengths of its four codes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -63,6 +65,17 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out[:n]
 
 
+def _byte_letters() -> str:
+    """The character that byte-level vocabularies write for each byte: printable bytes stand for
+    themselves, the others take the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Words:
     """Ids of the words of a text, by a tokenizer shipped as its file's bytes."""
 
@@ -71,22 +84,49 @@ class Words:
             self.shared = spark.sparkContext.broadcast(f.read())
         self.key = hash(path)
 
-    def encoder(self) -> Callable[[list[str]], list[list[int]]]:
+    def encoder(self) -> Callable[[list[str]], list[bytes]]:
+        """A function from texts to their ids as little-endian 16-bit integers.
+
+        A word of letters below U+0250, with at most a stop or comma after it, is one pre-token, or
+        two, whatever stands around it, and such letters are normalised one by one: its lower
+        case goes straight to the BPE model.  Every other word goes through the whole tokenizer.
+        """
         if self.key not in _tokenizers:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is all it has
             from tokenizers import Tokenizer
 
             _tokenizers.clear()
             _tokenizers[self.key] = (Tokenizer.from_str(self.shared.value.decode()), {})
         tokenizer, memo = _tokenizers[self.key]
-
-        def encode(texts: list[str]) -> list[list[int]]:
+        tokenize = tokenizer.model.tokenize
+        marks = {m: [t.id for t in tokenize(m)] for m in ".,"}
+
+        def simple(word: str) -> list[int] | None:
+            mark = word[-1] if word[-1] in ".," else ""
+            stem = word[:-1] if mark else word
+            if not stem.isalpha() or max(stem) > "\u024f" or "\u0130" in stem:
+                return None
+            stem = stem.lower()
+            if not stem.isascii():
+                stem = stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in tokenize(stem)]
+            return ids + marks[mark] if mark else ids
+
+        def encode(texts: list[str]) -> list[bytes]:
             split = [t.encode().split() for t in texts]
             if len(memo) > MEMO:
                 memo.clear()
-            new = [w for w in set(chain.from_iterable(split)) if w not in memo]
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                memo[w] = e.ids
-            return [list(chain.from_iterable(map(memo.__getitem__, ws))) for ws in split]
+            other = []
+            for w in set(chain.from_iterable(split)):
+                if w not in memo:
+                    ids = simple(w.decode())
+                    if ids is None:
+                        other.append(w)
+                    else:
+                        memo[w] = array("H", ids).tobytes()
+            for w, e in zip(other, tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+                memo[w] = array("H", e.ids).tobytes()
+            return [b"".join(map(memo.__getitem__, ws)) for ws in split]
 
         return encode
 
@@ -95,8 +135,8 @@ def encoded(docs: DataFrame, words: Words, end_id: int = END_ID, id_col: str = "
     """(doc_id, ids binary): 16-bit ids of each whole text and the end id."""
 
     def make() -> Callable:
-        encode = words.encoder()
-        return lambda texts: [pa.array([np.array([*e, end_id], dtype="<u2").tobytes() for e in encode(texts)], pa.binary())]
+        encode, end = words.encoder(), array("H", [end_id]).tobytes()
+        return lambda texts: [pa.array([e + end for e in encode(texts)], pa.binary())]
 
     return map_texts(texts_of(docs, id_col, text_col), make, "ids binary")
 
