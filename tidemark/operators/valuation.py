@@ -176,7 +176,7 @@ def recommendations(valuations: DataFrame, ratios: DataFrame, sentiment: DataFra
         "valuation_not_computable": F.col("valuation_position").isNull(),
         "fundamental_quality_not_computable": F.col("fundamental_quality").isNull(),
         "high_leverage": F.col("debt_to_equity") > 2.0,
-        "recent_negative_sentiment": F.col("sentiment_label").isin("negative", "very_negative"),
+        "recent_negative_sentiment": F.col("sentiment_label").isin("negatif", "sangat_negatif"),
     }
     low = F.col("fair_value_conservative")
     buy = F.col("label").isin("LAYAK_DIBELI", "AKUMULASI_BERTAHAP") & low.isNotNull() & F.col("fair_value_base").isNotNull()
