@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.operators.asof import latest_by
 
@@ -41,7 +42,7 @@ NEGATION = r"\b(?:tidak|bukan|tanpa)\s+(?:pernah\s+)?"
 VERY = 0.75
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark has no function for."""
     return text.str.normalize("NFKC").str.casefold()

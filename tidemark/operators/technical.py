@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import ewm, full
@@ -31,14 +31,17 @@ OWN = (
 MARKET = (*(f"beta_{n}" for n in BETA), *(f"alpha_{n}" for n in BETA), *(f"relative_strength_{n}" for n in MOMENTUM))
 FEATURES = OWN + MARKET
 
-W = Window.partitionBy("company_id").orderBy("trade_date")
+
+def W() -> WindowSpec:  # noqa: N802
+    """One company in date order."""
+    return Window.partitionBy("company_id").orderBy("trade_date")
 
 
 def clean_prices(bars: DataFrame, policy: str = "raw") -> DataFrame:
     """One row for each bar: policy price and its source, adjustment factor, outlier flag (moves beyond
     35 % of the previous known raw close; flagged, never removed)."""
     price, source = resolved_price(policy)
-    before = F.last("close", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("close", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, -1))
     move = F.abs(safe_div(F.col("close") - before, before))
     return bars.withColumns(
         {
@@ -57,7 +60,7 @@ def scaled(bars: DataFrame) -> DataFrame:
 
 
 def _lag(x: str, n: int = 1) -> Column:
-    return F.lag(x, n).over(W)
+    return F.lag(x, n).over(W())
 
 
 def _momentum(x: str, n: int) -> Column:
@@ -92,7 +95,7 @@ def own_features(bars: DataFrame) -> DataFrame:
     df = df.withColumn("__fall2", F.when(F.col("__log").isNotNull(), F.col("__fall2")))
     low14, high14 = full(F.min, o["low"], 14), full(F.max, o["high"], 14)
     mean20, dev20 = full(F.avg, o["close"], 20), full(F.stddev_samp, o["close"], 20)
-    sums = W.rowsBetween(Window.unboundedPreceding, 0)
+    sums = W().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns(
         {
             **{f"sma_{n}": full(F.avg, o["close"], n) for n in SMA},
@@ -158,7 +161,7 @@ def market_features(bars: DataFrame, index: DataFrame) -> DataFrame:
     df = df.withColumns({"__x": F.when(both, F.col("__m")), "__y": F.when(both, F.col("__r"))})
 
     def beta(n: int) -> Column:
-        w = W.rowsBetween(-(n - 1), 0)
+        w = W().rowsBetween(-(n - 1), 0)
         slope = safe_div(F.covar_samp("__x", "__y").over(w), F.var_samp("__x").over(w))
         return F.when(F.count("__x").over(w) == n, slope)
 
@@ -203,7 +206,7 @@ def internally_adjusted(bars: DataFrame, splits: DataFrame) -> DataFrame:
 
 def forward_labels(bars: DataFrame, horizons: tuple[int, ...] = (5, 20, 60, 120, 252), price: str = "close") -> DataFrame:
     """fwd_return_{h}d and direction_{h}d: the return h rows ahead, and whether it is positive; null at the end."""
-    out = bars.withColumns({f"fwd_return_{h}d": safe_div(F.lead(price, h).over(W), price) - 1 for h in horizons})
+    out = bars.withColumns({f"fwd_return_{h}d": safe_div(F.lead(price, h).over(W()), price) - 1 for h in horizons})
     return out.withColumns(
         {f"direction_{h}d": F.when(F.col(f"fwd_return_{h}d").isNotNull(), (F.col(f"fwd_return_{h}d") > 0).cast("int")) for h in horizons}
     )
