@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import re
 import zlib
 from collections import defaultdict
@@ -12,10 +13,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from conftest import MEDIUM, SMALL
+from pyspark.sql import functions as F
+from small import MEDIUM, SMALL
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, decontam, lzprint, pii, simhash, tokenfiles, toxicity
+from tidemark.llm import bpe, cotrain, decontam, htmltext, lzprint, ngramlm, pii, simhash, tokenfiles, toxicity
 from tidemark.llm.common import table
 
 
@@ -345,3 +347,86 @@ def test_similar_rule_finds_near_copies_and_spares_others(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, simhash.SIMILAR).collect()}
     assert all(got[i] // 3 == i // 3 for i in got)
     assert sum(got[i] == i for i in got) <= 42
+
+
+# Main text
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+<ul class="main-menu"><li><a href="/">Home</a></ul><div class="cookie-notice"><p>We use cookies on this site and you must accept them.</p></div>
+<div id="w{n}"><div class="post-{n} content"><h2>Title {n}</h2><p>First&nbsp;words &amp; <b>bo</b>ld<br>here. {text}<ul><li>one<li>two</ul>
+<div class="ad-box">Buy now</div><p>{text}</p><script>var x = "<p>no</p>";</script><!-- <p>hidden</p> --></div>
+<aside><p>{text} {text}</p></aside><section class="comments"><p>{text} {text} {text}</p></section></div><form><p>Name</p></form><footer>(c)</footer>"""
+
+
+def test_main_text(spark):
+    text = "some words that make a paragraph " * 6
+    pages = [(n, f"http://H.example.com:80/{n}", PAGE.format(n=n, text=text)) for n in range(5)]
+    short = "<html><body><div id='w9'><div class='post-9 content'><p>Tiny</p></div><div class='other'><p>A bit more of text</p></div></div>"
+    pages += [(5, "http://h.example.com/5", short), (6, None, None), (7, "nonsense", ""), (8, "http://b.example.com/", "plain &lt; text"), (8, "http://b.example.com/", "plain &lt; text")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("path", F.lit("clash"))
+    got = {r["page_id"]: r for r in htmltext.op9(df).collect()}
+    want = "\n".join(["Title 3", f"First words & bold here. {text}".strip(), "one", "two", text.strip()])
+    assert got[3]["text"] == want and got[3]["n_chars"] == len(want)
+    assert got[5]["text"] == "Tiny" and got[6]["text"] == "" and got[7]["n_chars"] == 0 and got[8]["text"] == "plain < text"
+    assert htmltext.op9(df).count() == 10
+    winner = htmltext.host_paths(df).filter("host = 'h.example.com'").first()
+    assert winner["path"].endswith("div#w#>div.content.post-#") and winner["votes"] >= 5
+    assert htmltext.op9(df.filter("false")).isEmpty()
+
+
+def test_main_text_of_the_tables(spark):
+    pages = table(spark, SMALL, "pages")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in htmltext.op9(pages).collect():
+        article = re.search(r"<article>(.*?)(</article>|<footer|\Z)", source[r["page_id"]], re.S)[1]
+        parts = re.split(r"</?(?:p|h\d)>", article)
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in parts)
+        assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+# Language-model scores
+
+
+def test_scores_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(ngramlm.SQL).fetchall()}
+    got = {r["doc_id"]: (r["n_words"], r["score"], r["score_per_word"]) for r in ngramlm.op1(table(spark, SMALL, "documents")).collect()}
+    assert got.keys() == want.keys()
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-3) for a, b in zip(got.values(), (want[k] for k in got), strict=True))
+
+
+@pytest.mark.parametrize("sparse", [0, 1, 8])
+def test_packed_scores_equal_joined_scores(spark, odd_docs, no_docs, monkeypatch, sparse):
+    monkeypatch.setattr(ngramlm, "SPARSE", sparse)
+    docs = odd_docs.select("doc_id", "text").unionByName(table(spark, SMALL, "documents").select("doc_id", "text").filter("doc_id > 150"))
+    a, b = (rows(x.withColumn("score", F.round("score", 5)), "doc_id", "n_words", "score") for x in (ngramlm.score_corpus(docs), ngramlm.score(docs, docs)))
+    assert len(a) == len(b) == docs.count()
+    assert all(x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-4) for x, y in zip(a, b, strict=True))
+    assert ngramlm.op1(no_docs).isEmpty() and ngramlm.score(no_docs, no_docs).isEmpty()
+    c = rows(ngramlm.score_corpus(docs, broadcast_words=0).withColumn("score", F.round("score", 5)), "doc_id", "n_words", "score")
+    assert len(c) == len(a)
+
+
+def test_backoff(spark):
+    train = spark.createDataFrame([(1, "a b a b c")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b"), (2, "c a"), (3, "zz"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngramlm.score(docs, train).collect()}
+    assert got[1] == pytest.approx(np.log(2 / 5) + np.log(2 / 2)) and got[2] == pytest.approx(np.log(1 / 5) + np.log(0.4 * 2 / 5))
+    assert got[3] == pytest.approx(np.log(1 / 5)) and got[4] == 0.0
+
+
+# Quality
+
+
+def test_quality_held_out_accuracy(spark, odd_docs, no_docs):
+    docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+    got = cotrain.op7(docs, labels)
+    assert got.count() == docs.count()
+    scored = got.join(labels, "doc_id").filter("held_out").toPandas()
+    assert (scored.predicted == scored.quality).mean() >= 0.97
+    more = odd_docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(None).cast("long")})
+    assert {r["score"] for r in cotrain.op7(more, labels.filter("false")).collect()} == {0.5}
+    model = cotrain.fit(docs, labels)
+    assert all(0 <= r["score"] <= 1 for r in cotrain.score(more, model).collect())
+    assert cotrain.score(no_docs.withColumns({"lang": F.lit("x"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")}), model).isEmpty()

@@ -3,8 +3,8 @@
 import hashlib
 
 import corpus_pipeline
-from conftest import MEDIUM
-from test_operators import spans_by_hand, whole_encoding
+from small import MEDIUM
+from test_llm_operators import spans_by_hand, whole_encoding
 
 from tidemark.llm import decontam, pii, toxicity
 from tidemark.llm.common import table
