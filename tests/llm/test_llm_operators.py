@@ -361,13 +361,13 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head>
 def test_main_text(spark):
     text = "some words that make a paragraph " * 6
     pages = [(n, f"http://H.example.com:80/{n}", PAGE.format(n=n, text=text)) for n in range(5)]
-    short = "<html><body><div id='w9'><div class='post-9 content'><p>Tiny</p></div><div class='other'><p>A bit more of text</p></div></div>"
+    short = "<html><body><div id='w9'><div class='post-9 content'><p>Tiny words</p></div><div class='other'><p>A bit more of text</p></div></div>"
     pages += [(5, "http://h.example.com/5", short), (6, None, None), (7, "nonsense", ""), (8, "http://b.example.com/", "plain &lt; text"), (8, "http://b.example.com/", "plain &lt; text")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("path", F.lit("clash"))
     got = {r["page_id"]: r for r in htmltext.op9(df).collect()}
     want = "\n".join(["Title 3", f"First words & bold here. {text}".strip(), "one", "two", text.strip()])
     assert got[3]["text"] == want and got[3]["n_chars"] == len(want)
-    assert got[5]["text"] == "Tiny" and got[6]["text"] == "" and got[7]["n_chars"] == 0 and got[8]["text"] == "plain < text"
+    assert got[5]["text"] == "Tiny words" and got[6]["text"] == "" and got[7]["n_chars"] == 0 and got[8]["text"] == "plain < text"
     assert htmltext.op9(df).count() == 10
     winner = htmltext.host_paths(df).filter("host = 'h.example.com'").first()
     assert winner["path"].endswith("div#w#>div.content.post-#") and winner["votes"] >= 5

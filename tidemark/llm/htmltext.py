@@ -101,6 +101,8 @@ def _is_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
     name = tag
+    if tag in ("html", "body"):  # their classes tell pages apart, not containers
+        return name
     if attributes.get("id"):
         name += "#" + re.sub(r"\d+", "#", attributes["id"].strip())
     return name + "".join("." + c for c in sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()}))
