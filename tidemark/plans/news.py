@@ -59,7 +59,7 @@ WITH {_COMPANIES}, v AS (SELECT company_id, {_norm("company_name")} AS v FROM co
 ), d AS (SELECT doc_id AS article_id, ' ' || {_norm("text")} || ' ' AS nt, regexp_split_to_array(text, '[^\pL\pN_]+') AS toks FROM documents
 ), nm AS (SELECT article_id, company_id FROM d JOIN k ON contains(nt, ' ' || v || ' ')
 ), tk AS (SELECT article_id, company_id FROM d JOIN co ON list_contains(toks, ticker))
-SELECT article_id, company_id, CASE WHEN t THEN 0.98 ELSE 0.9 END AS relevance_score, CASE WHEN t THEN 'ticker' ELSE 'company_name' END AS match_method
+SELECT article_id, company_id, CASE WHEN t THEN 0.98::DOUBLE ELSE 0.9 END AS relevance_score, CASE WHEN t THEN 'ticker' ELSE 'company_name' END AS match_method
 FROM (SELECT article_id, company_id, bool_or(t) AS t FROM (SELECT *, true AS t FROM tk UNION ALL SELECT *, false FROM nm) GROUP BY 1, 2)"""
 
 
