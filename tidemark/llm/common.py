@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handed to a helper at once; bounds a Python worker's memory, never cuts a text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: A-Z to a-z and nothing else, on UTF-8 bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -34,15 +34,15 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def byte_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Row slices of a batch whose texts hold about SLICE_BYTES at most (one row at least)."""
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row slices of a batch whose texts hold about ``most`` bytes at most (one row at least)."""
     if not batch.num_rows:
         return
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends, start, total = np.cumsum(sizes), 0, len(sizes)
     while start < total:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
