@@ -46,7 +46,7 @@ ORDINARY = 40_000
 DICTIONARY = 400_000
 LEVEL = 3
 THRESHOLD = 0.7
-MEMO = 400_000
+MEMO = 150_000
 _TAIL = bytes(range(32))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
