@@ -33,7 +33,7 @@ from tidemark.llm.common import map_texts, remove, shard_bounds, shard_of, share
 END_ID = 2
 SHARD_ROWS = 4096
 BLOCK_TOKENS = 1 << 20
-MEMO = 600_000
+MEMO = 250_000
 
 #: For each control byte: the lengths of its four codes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -96,37 +96,43 @@ class Words:
             from tokenizers import Tokenizer
 
             _tokenizers.clear()
-            _tokenizers[self.key] = (Tokenizer.from_str(self.shared.value.decode()), {})
-        tokenizer, memo = _tokenizers[self.key]
+            _tokenizers[self.key] = (Tokenizer.from_str(self.shared.value.decode()), [{}, {}], [{}, {}])
+        tokenizer, words, stems = _tokenizers[self.key]
         tokenize = tokenizer.model.tokenize
-        marks = {m: [t.id for t in tokenize(m)] for m in ".,"}
+        marks = {m: array("H", [t.id for t in tokenize(m)]).tobytes() for m in ".,"}
 
-        def simple(word: str) -> list[int] | None:
+        def simple(word: str) -> bytes | None:
             mark = word[-1] if word[-1] in ".," else ""
             stem = word[:-1] if mark else word
             if not stem.isalpha() or max(stem) > "\u024f" or "\u0130" in stem:
                 return None
             stem = stem.lower()
-            if not stem.isascii():
-                stem = stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = [t.id for t in tokenize(stem)]
+            ids = stems[0].get(stem)
+            if ids is None:
+                ids = stems[1].get(stem)
+                if ids is None:
+                    letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                    ids = array("H", [t.id for t in tokenize(letters)]).tobytes()
+                stems[0][stem] = ids
             return ids + marks[mark] if mark else ids
 
         def encode(texts: list[str]) -> list[bytes]:
             split = [t.encode().split() for t in texts]
-            if len(memo) > MEMO:
-                memo.clear()
-            other = []
-            for w in set(chain.from_iterable(split)):
-                if w not in memo:
+            for memo in (words, stems):
+                if len(memo[0]) > MEMO:  # the younger half becomes the older one, which only gives
+                    memo[:] = [{}, memo[0]]
+            (young, old), other = words, []
+            for w in set(chain.from_iterable(split)).difference(young):
+                ids = old.get(w)
+                if ids is None:
                     ids = simple(w.decode())
-                    if ids is None:
-                        other.append(w)
-                    else:
-                        memo[w] = array("H", ids).tobytes()
+                if ids is None:
+                    other.append(w)
+                else:
+                    young[w] = ids
             for w, e in zip(other, tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
-                memo[w] = array("H", e.ids).tobytes()
-            return [b"".join(map(memo.__getitem__, ws)) for ws in split]
+                young[w] = array("H", e.ids).tobytes()
+            return [b"".join(map(young.__getitem__, ws)) for ws in split]
 
         return encode
 
