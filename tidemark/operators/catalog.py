@@ -43,7 +43,7 @@ def spread_sample(companies: DataFrame, n: int) -> DataFrame:
     The order is global but light: row numbers come from counts of ticker ranges, not from one task.
     """
     total = companies.count()
-    wanted = sorted({i * total // n for i in range(min(n, total))})
+    wanted = sorted({i * total // n for i in range(n)} if total else set())
     ranged = companies.repartitionByRange("ticker").sortWithinPartitions("ticker").withColumn("__part", F.spark_partition_id()).persist()
     counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     before, starts = 0, {}
