@@ -349,6 +349,34 @@ def test_similar_rule_finds_near_copies_and_spares_others(spark):
     assert sum(got[i] == i for i in got) <= 42
 
 
+def test_similar_rule_equals_brute_force_overlap(spark):
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    docs, pairs = [], {}
+    for k in range(400):
+        a = rng.choice(words, int(rng.integers(40, 400))).tolist()
+        b = list(a)
+        for at in rng.choice(len(a), max(1, int(len(a) * rng.uniform(0, 0.05))), replace=False):
+            b[at] = "changed"
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        x, y = grams(docs[-2][1]), grams(docs[-1][1])
+        pairs[k] = len(x & y) / len(x | y)
+    # A chain of one frame in many small groups, and one group that is larger than what is compared pair by pair.
+    frame = rng.choice(words, 200).tolist()
+    docs += [(1000 + k, " ".join([*frame[:100], f"x{k}", *frame[100:]])) for k in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), simhash.SIMILAR).collect()}
+    linked = {k: got[2 * k] == got[2 * k + 1] for k in pairs}
+    near = [k for k, j in pairs.items() if j >= 0.8]
+    assert len(near) > 100 and sum(0.8 <= j < 0.9 for j in pairs.values()) > 60 and sum(0.65 < j < 0.8 for j in pairs.values()) > 60
+    assert not [k for k, j in pairs.items() if j < 0.8 and linked[k]]
+    assert sum(not linked[k] for k in near) <= 1
+    assert {got[1000 + k] for k in range(60)} == {1000}
+
+
 # Main text
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
