@@ -78,6 +78,16 @@ def test_decontaminate_query_equals_sql(spark):
     assert got.filter("contaminated").count() > 0
 
 
+def test_blocks_of_two_benchmarks_never_share_an_index(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    benches = [spark.createDataFrame([(1, t)], "item_id long, text string") for t in ("one two", "three four")]
+    # As if both frames of windows had the same address.
+    monkeypatch.setattr(decontam, "id", lambda _: 1, raising=False)
+    keys = [b.value[0] for x in benches for b in decontam._blocks(docs, x, 10, 1)]
+    assert len(set(keys)) == len(keys) == 2
+    assert [decontam.decontaminate(docs, x).first()["text"] for x in benches] == ["three four", "one two"]
+
+
 # Byte-level BPE
 
 

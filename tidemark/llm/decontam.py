@@ -14,6 +14,7 @@ rows; an item with a null id marks words as hit but names no item; an empty benc
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
 from itertools import repeat
 
@@ -111,7 +112,7 @@ def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_cache: dict[int, _Index] = {}
+_cache: dict[str, _Index] = {}
 
 
 def _index(shared) -> _Index:
@@ -132,7 +133,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_windows: i
         out = []
         for k in range(blocks):
             rows = [(bytes(r["win"]), list(r["items"])) for r in wins.filter(part == k).collect()]
-            out.append(docs.sparkSession.sparkContext.broadcast((hash((id(wins), k)), rows)))
+            out.append(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows)))
         return out
     finally:
         wins.unpersist()
