@@ -457,6 +457,14 @@ def test_backoff(spark):
 # Quality
 
 
+def test_content_view_covers_all_words():
+    words = [f"w{i}" for i in range(1000)]
+    want = np.zeros(cotrain.BUCKETS)
+    for w in words:
+        want[zlib.crc32(w.encode()) % cotrain.BUCKETS] += 1 / len(words)
+    assert np.allclose(cotrain.content(" ".join(words))[98:], want, atol=1e-5)
+
+
 def test_quality_held_out_accuracy(spark, odd_docs, no_docs):
     docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
     got = cotrain.op7(docs, labels)
