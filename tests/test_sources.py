@@ -117,3 +117,15 @@ def test_streams(spark, tmp_path):
     q = jobs.unique_stream(events, ["event_id"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp3").start()
     q.awaitTermination()
     assert pytest.approx(spark.table("once").count()) == 4
+
+
+def test_stream_query_takes_all_files_in_any_order(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    for k in range(20):
+        day = F.expr(f"timestamp'2024-01-01' + make_dt_interval(cast((id * 7 + 29 - {k}) % 30 as int))")
+        rows = spark.range(k, k + 3).select(F.col("id").alias("event_id"), (F.lit(f"2024-01-{30 - k:02d} 10:00:00").cast("timestamp") if k % 2 else day).alias("ts"), F.lit(1).cast("bigint").alias("user_id"), F.lit("x").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = catalog.stream_daily_bars(spark, str(tmp_path)).collect()
+    want = spark.read.parquet(f"{tmp_path}/events.parquet").groupBy(F.to_date("ts").alias("d")).count().collect()
+    assert sorted((r["trade_date"], r["volume"]) for r in got) == sorted(map(tuple, want))

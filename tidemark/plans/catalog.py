@@ -134,13 +134,13 @@ SELECT 'ihsg_composite' AS series_code, trade_date AS observation_date, round(ma
 
 
 def stream_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2, ST3: unique events to daily bars through a stream, upserted into a table."""
+    """ST3: all events to daily bars through a stream, upserted into a table."""
     # A pattern, since a stream's path is else taken for a folder.
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(f"{path}/lineage")
-    bars = jobs.daily_bars(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet"))
+    bars = jobs.daily_bars(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet", None))
     jobs.upsert_stream(bars, f"{path}/bars", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/bars").select("company_id", "trade_date", "open", "high", "low", "close", "volume")
 

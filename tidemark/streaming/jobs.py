@@ -12,8 +12,10 @@ from tidemark.operators.sinks import replace_partitions, upsert
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 8) -> DataFrame:
+    """Events of a folder's files; None: all files at rest in one trigger, so that none is late for another."""
+    stream = spark.readStream.schema(EVENTS)
+    return (stream.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else stream).parquet(path)
 
 
 def quarantine_stream(bars: DataFrame, valid_path: str, bad_path: str, checkpoint: str) -> StreamingQuery:
