@@ -51,6 +51,23 @@ def test_disclosed_metrics(spark):
     assert got == {"net_interest_margin_pct": 5.0, "npl_gross_pct": 3.0, "loan_to_deposit_ratio_pct": 50.0}
 
 
+def test_reserve_life_needs_one_known_unit(spark):
+    i = items(spark, [("annual", D(2024, 12, 31), k, x) for k, x in (("proven_probable_reserves", 90.0), ("annual_production", 30.0), ("stripping_ratio_reported", 4.0))])
+    companies = spark.createDataFrame([(1, "Coal mining", "Coal")], "company_id long, sector string, industry string")
+    plain = {r["metric_name"]: (r["value"], r["unit"]) for r in f.disclosed_metrics(i, companies).collect()}
+    assert plain == {"stripping_ratio": (4.0, "ratio"), "proven_probable_reserves": (90.0, "unit"), "annual_production": (30.0, "unit")}
+    for pair, life in ((("Mt", "Mt"), (3.0, "years")), (("Mt", "kt"), None), (("Mt", None), None)):
+        units = i.filter("account_code like '%pro%'").withColumn("unit", F.when(F.col("account_code") == "annual_production", F.lit(pair[1])).otherwise(F.lit(pair[0])))
+        got = {r["metric_name"]: (r["value"], r["unit"]) for r in f.disclosed_metrics(i, companies, units).collect()}
+        assert got.get("reserve_life_years") == life and got["proven_probable_reserves"] == (90.0, "Mt")
+
+
+def test_negated_events_are_no_events(spark):
+    said = [("perusahaan tidak pailit", None), ("bukan fraud", None), ("Tanpa pernah gagal bayar; lalu PAILIT", "default_or_insolvency"), ("tidak bagi dividen", "dividend"), ("tidak dividen", None), (None, None), ("", None)]
+    df = spark.createDataFrame(said, "x string, want string")
+    assert all(r["c"] == r["want"] for r in df.withColumn("c", n.financial_event(F.col("x"))["category"]).collect())
+
+
 def test_cash_flow_value(spark):
     cols = [F.lit(x) for x in (100.0, 50.0, 20.0, 10.0)]
     three, grid = v.cash_flow_scenarios(*cols, v.Assumptions(0.12, 0.06, 0.03, 5))

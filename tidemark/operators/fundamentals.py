@@ -11,6 +11,7 @@ from tidemark.operators.asof import asof_join, latest_by
 from tidemark.sources.taxonomy import ACCOUNT_CODES, CORE_CODES
 
 STATEMENT = ["company_id", "statement_type", "fiscal_period", "period_end", "available_at"]
+#: Numerator and denominator of each ratio.
 RATIOS = {
     "gross_margin": ("gross_profit", "revenue"),
     "operating_margin": ("operating_income", "revenue"),
@@ -98,13 +99,16 @@ def bank_metrics(wide: DataFrame) -> DataFrame:
     )
 
 
-def mining_metrics(wide: DataFrame, same_unit: str = "same_unit") -> DataFrame:
-    """Mining columns; reserve life only where both quantities are in one unit and something is produced."""
+def mining_metrics(wide: DataFrame) -> DataFrame:
+    """Mining columns; reserve life only where both quantities are in one known unit and something is produced."""
     reserves, production = F.col("proven_probable_reserves"), F.col("annual_production")
-    life = F.when(F.col(same_unit) & (reserves >= 0) & (production > 0), reserves / production)
+    unit = F.col("unit_proven_probable_reserves")
+    same_unit = (unit != "") & (unit == F.col("unit_annual_production"))
+    life = F.when(same_unit & (reserves >= 0) & (production > 0), reserves / production)
     return wide.withColumns({"reserve_life_years": life, "cash_cost_per_unit": F.col("cash_cost_per_unit_reported"), "stripping_ratio": F.col("stripping_ratio_reported")})
 
 
+#: The disclosed facts that bear on each route.
 RELEVANT = {
     "bank": (
         "gross_loans", "non_performing_loans_gross", "non_performing_loans_net", "earning_assets", "regulatory_capital", "risk_weighted_assets",
@@ -113,13 +117,24 @@ RELEVANT = {
     ),
     "mining": ("proven_probable_reserves", "annual_production", "cash_cost_per_unit_reported", "stripping_ratio_reported"),
 }
+#: The fact whose unit a mining metric carries, and the unit where none is known.
+UNITS = {
+    "cash_cost_per_unit": ("cash_cost_per_unit_reported", "unit"),
+    "stripping_ratio": ("stripping_ratio_reported", "ratio"),
+    "proven_probable_reserves": ("proven_probable_reserves", "unit"),
+    "annual_production": ("annual_production", "unit"),
+}
 _BANK = ("npl_gross_pct", "npl_net_pct", "net_interest_margin_pct", "capital_adequacy_ratio_pct", "loan_to_deposit_ratio_pct", "casa_ratio_pct")
 _MINING = ("reserve_life_years", "cash_cost_per_unit", "stripping_ratio", "proven_probable_reserves", "annual_production")
 
 
 def disclosed_metrics(items: DataFrame, companies: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """(company_id, route, metric_name, value): bank or mining metrics of the newest statement that holds a
-    relevant fact; the newest earlier one of the same type gives previous values."""
+    """(company_id, route, metric_name, value, unit): bank or mining metrics of the newest statement that holds a
+    relevant fact; the newest earlier one of the same type gives previous values.
+
+    ``units`` (statement columns, account_code, unit) names the units of facts; without them no reserve life is
+    known, since that needs both quantities in one unit.
+    """
     routed = companies.select("company_id", formula_route("sector", "industry").alias("route")).filter("route is not null")
     df = items.join(F.broadcast(routed), "company_id")
     holds = (F.col("route") == "bank") & F.col("account_code").isin(*RELEVANT["bank"]) | (F.col("route") == "mining") & F.col("account_code").isin(*RELEVANT["mining"])
@@ -136,12 +151,17 @@ def disclosed_metrics(items: DataFrame, companies: DataFrame, units: DataFrame |
     wide = wide_items(df.select(*STATEMENT, "account_code", "value"))
     before = wide.join(previous, STATEMENT, "left_semi").select("company_id", F.col("earning_assets").alias("previous_earning_assets"))
     now = wide.join(current, STATEMENT, "left_semi").join(before, "company_id", "left").join(F.broadcast(routed), "company_id")
+    facts = [fact for fact, _ in UNITS.values()]
     if units is None:
-        now = now.withColumn("same_unit", F.lit(True))
+        now = now.withColumns({f"unit_{c}": F.lit(None).cast("string") for c in facts})
     else:
-        pair = units.filter(F.col("account_code").isin("proven_probable_reserves", "annual_production")).groupBy(*STATEMENT)
-        now = now.join(pair.agg(((F.count("unit") == 2) & (F.min("unit") == F.max("unit"))).alias("same_unit")), STATEMENT, "left")
+        known = units.groupBy(*STATEMENT).agg(*(F.max(F.when(F.col("account_code") == c, F.col("unit"))).alias(f"unit_{c}") for c in facts))
+        now = now.join(known, STATEMENT, "left")
     full = mining_metrics(bank_metrics(now))
-    long = full.unpivot(["company_id", "route"], [*_BANK, *_MINING], "metric_name", "value").filter("value is not null")
+    named = [f"unit_{c}" for c in facts]
+    long = full.unpivot(["company_id", "route", *named], [*_BANK, *_MINING], "metric_name", "value").filter("value is not null")
     own = (F.col("route") == "bank") & F.col("metric_name").isin(*_BANK) | (F.col("route") == "mining") & F.col("metric_name").isin(*_MINING)
-    return long.filter(own)
+    unit = F.when(F.col("metric_name") == "reserve_life_years", "years")
+    for metric, (fact, default) in UNITS.items():
+        unit = unit.when(F.col("metric_name") == metric, F.coalesce(F.nullif(f"unit_{fact}", F.lit("")), F.lit(default)))
+    return long.filter(own).withColumn("unit", unit.otherwise("percent")).drop(*named)

@@ -38,6 +38,21 @@ EVENTS = (
     ("earnings_growth", "medium", "temporary", POSITIVE[0]),
     ("dividend", "low", "temporary", r"\bdividen\b"),
 )
+#: Words of which a text must hold one for a phrase to match.
+OPENS = {
+    POSITIVE[0]: ("laba",),
+    POSITIVE[1]: ("laba",),
+    POSITIVE[2]: ("dividen",),
+    POSITIVE[3]: ("peringkat",),
+    POSITIVE[4]: ("pendapatan",),
+    NEGATIVE[0]: ("rugi", "gagal bayar", "default", "pailit", "pkpu", "fraud", "korupsi"),
+    NEGATIVE[1]: ("laba", "pendapatan"),
+    NEGATIVE[2]: ("peringkat",),
+    NEGATIVE[3]: ("perdagangan",),
+    EVENTS[0][3]: ("gagal bayar", "default", "pailit", "pkpu"),
+    EVENTS[1][3]: ("fraud", "korupsi", "penggelapan"),
+    EVENTS[5][3]: ("dividen",),
+}
 NEGATION = r"\b(?:tidak|bukan|tanpa)\s+(?:pernah\s+)?"
 VERY = 0.75
 
@@ -116,9 +131,16 @@ def company_context(text: Column, *needles: Column) -> Column:
 
 
 def _unnegated(text: Column, pattern: str) -> Column:
-    """Whether a phrase stands somewhere without a negation right before it."""
+    """Whether a phrase stands somewhere without a negation right before it.
+
+    The costly pattern runs only on texts that hold one of its opening words.
+    """
     found = F.regexp_extract_all(text, F.lit(f"(?iU)((?:{NEGATION})?)(?:{pattern})"), F.lit(1))
-    return F.array_contains(found, "")
+    lowered = F.lower(text)
+    some = lowered.contains("\u017f")  # the one letter beyond ASCII that ignoring case equates with one of the opening words'
+    for word in OPENS[pattern]:
+        some = some | lowered.contains(word)
+    return F.when(some, F.array_contains(found, "")).otherwise(F.when(text.isNotNull(), False))
 
 
 def finance_signal(text: Column) -> Column:
@@ -150,11 +172,11 @@ def sentiment_label(positive: Column, neutral: Column, negative: Column) -> Colu
 
 
 def financial_event(text: Column) -> Column:
-    """struct(category, severity, impact_horizon) of the first rule that matches; null if none."""
+    """struct(category, severity, impact_horizon) of the first rule with a match that is not negated; null if none."""
     out = None
     for category, severity, horizon, pattern in EVENTS:
         value = F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(horizon).alias("impact_horizon"))
-        hit = text.rlike(f"(?iU){pattern}")
+        hit = _unnegated(text, pattern)
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 

@@ -63,10 +63,15 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def reconciled_status(status: Column | str, before: Column | str) -> Column:
+    """A bar's quality status after a check with this result; unchecked bars keep what they had."""
+    c = F.col(status) if isinstance(status, str) else status
+    kept = F.col(before) if isinstance(before, str) else before
+    return F.when(c.isin("matched", "within_tolerance"), "reconciled_matched").when(c == "mismatch", "reconciled_mismatch").otherwise(kept)
+
+
 def reconcile_back(bars: DataFrame, checked: DataFrame) -> DataFrame:
     """Bars with the reconciliation status of their company and date as quality_status; others keep theirs."""
-    good = F.col("__status").isin("matched", "within_tolerance")
     marks = checked.filter("status <> 'verification_unavailable'").groupBy("company_id", "trade_date").agg(F.max("status").alias("__status"))
     df = bars.join(marks, ["company_id", "trade_date"], "left")
-    status = F.when(good, "reconciled_matched").when(F.col("__status").isNotNull(), "reconciled_mismatch").otherwise(F.col("quality_status"))
-    return df.withColumn("quality_status", status).select(*bars.columns)
+    return df.withColumn("quality_status", reconciled_status("__status", "quality_status")).select(*bars.columns)

@@ -214,7 +214,10 @@ def disclosed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
              "cash_and_equivalents": "proven_probable_reserves", "free_cash_flow": "annual_production", "eps_basic": "stripping_ratio_reported"}
     names = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
     items = p.items(spark, sf_dir).withColumn("account_code", names[F.col("account_code")]).filter("account_code is not null")
-    return f.disclosed_metrics(items, companies).withColumn("value", F.round("value", 5))
+    # Every third supplier counts reserves in another unit than production, every fifth names none.
+    unit = F.when(F.col("company_id") % 5 == 0, F.lit(None)).when((F.col("company_id") % 3 == 0) & (F.col("account_code") == "proven_probable_reserves"), "koz").otherwise("kt")
+    units = items.filter(F.col("account_code").isin("proven_probable_reserves", "annual_production")).select(*STATEMENT, "account_code", unit.alias("unit"))
+    return f.disclosed_metrics(items, companies, units).withColumn("value", F.round("value", 5))
 
 
 _METRIC = {
@@ -224,7 +227,7 @@ _METRIC = {
     "casa_ratio_pct": "CASE WHEN total_assets > 0 THEN (gross_profit + operating_cash_flow) / total_assets * 100 END",
 }
 _MINED = {
-    "reserve_life_years": "CASE WHEN cash_and_equivalents >= 0 AND free_cash_flow > 0 THEN cash_and_equivalents / free_cash_flow END",
+    "reserve_life_years": "CASE WHEN company_id % 3 <> 0 AND company_id % 5 <> 0 AND cash_and_equivalents >= 0 AND free_cash_flow > 0 THEN cash_and_equivalents / free_cash_flow END",
     "stripping_ratio": "eps_basic",
     "proven_probable_reserves": "cash_and_equivalents",
     "annual_production": "free_cash_flow",
@@ -241,7 +244,10 @@ WITH {_WIDE}, cur AS (
   SELECT cur.*, (SELECT arg_max(o.operating_income, o.available_at) FROM wide o WHERE o.company_id = cur.company_id AND o.statement_type = cur.statement_type AND o.period_end < cur.period_end) AS prev
   FROM cur
 )
-SELECT company_id, route, metric_name, round(value, 5) AS value FROM ({_LONG}) WHERE value IS NOT NULL"""
+SELECT company_id, route, metric_name, round(value, 5) AS value,
+       CASE WHEN route = 'bank' THEN 'percent' WHEN metric_name = 'reserve_life_years' THEN 'years' WHEN metric_name = 'stripping_ratio' THEN 'ratio'
+            WHEN company_id % 5 = 0 THEN 'unit' WHEN company_id % 3 = 0 AND metric_name = 'proven_probable_reserves' THEN 'koz' ELSE 'kt' END AS unit
+FROM ({_LONG}) WHERE value IS NOT NULL"""
 
 
 def top_market_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,17 +265,17 @@ WHERE asset_type = 'equity' AND status = 'active' ORDER BY shares_outstanding *
 
 
 def provider_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of open against shipped line items; a side that is missing is a status, not a drop."""
-    li = p.table(spark, sf_dir, "lineitem")
-    side = li.groupBy(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("trade_date"), "l_linestatus").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
-    a, b = (side.filter(F.col("l_linestatus") == s).select("company_id", "trade_date", F.col("close").alias(n)) for s, n in (("F", "primary_close"), ("O", "verification_close")))
+    """Bars of open against shipped line items in one aggregation; a side that is missing is a status, not a drop."""
+    li = p.table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus").isin("F", "O"))
+    side = lambda s: F.max(F.when(F.col("l_linestatus") == s, F.col("l_extendedprice") / F.col("l_quantity")))
+    both = li.groupBy(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("trade_date")).agg(side("F").alias("primary_close"), side("O").alias("verification_close"))
     status, gap, percent = reconciliation("primary_close", "verification_close")
-    return a.join(b, ["company_id", "trade_date"], "full").select("company_id", "trade_date", status.alias("status"), F.round(gap, 6).alias("difference"), F.round(percent, 4).alias("difference_pct"))
+    return both.select("company_id", "trade_date", status.alias("status"), F.round(gap, 6).alias("difference"), F.round(percent, 4).alias("difference_pct"))
 
 
 RECONCILIATION = """
-WITH s AS (SELECT l_suppkey AS company_id, CAST(l_shipdate AS DATE) AS trade_date, l_linestatus AS ls, max(l_extendedprice / l_quantity) AS c FROM lineitem GROUP BY 1, 2, 3),
-j AS (SELECT company_id, trade_date, a.c AS p, b.c AS v FROM (FROM s WHERE ls = 'F') a FULL JOIN (FROM s WHERE ls = 'O') b USING (company_id, trade_date))
+WITH j AS (SELECT l_suppkey AS company_id, CAST(l_shipdate AS DATE) AS trade_date, max(l_extendedprice / l_quantity) FILTER (WHERE l_linestatus = 'F') AS p,
+  max(l_extendedprice / l_quantity) FILTER (WHERE l_linestatus = 'O') AS v FROM lineitem WHERE l_linestatus IN ('F', 'O') GROUP BY 1, 2)
 SELECT company_id, trade_date, CASE WHEN p IS NULL OR v IS NULL THEN 'verification_unavailable' WHEN p = v THEN 'matched'
        WHEN abs(p - v) / p * 100 <= 0.5 THEN 'within_tolerance' ELSE 'mismatch' END AS status, round(abs(p - v), 6) AS difference, round(abs(p - v) / p * 100, 4) AS difference_pct
 FROM j"""

@@ -98,18 +98,20 @@ FROM orders WHERE o_orderstatus = 'P' GROUP BY 1"""
 def reconciled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bars marked where a second price exists; every provider's row of that date."""
     li = p.table(spark, sf_dir, "lineitem")
-    side = li.groupBy(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("trade_date"), "l_returnflag").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
-    a, b = (side.filter(F.col("l_returnflag") == f).select("company_id", "trade_date", F.col("close").alias(n)) for f, n in (("A", "x"), ("R", "y")))
-    checked = a.join(b, ["company_id", "trade_date"], "full").withColumn("status", rules.reconciliation("x", "y", 20.0)[0])
-    bars = side.select("company_id", "trade_date", F.col("l_returnflag").alias("source"), F.lit("raw").alias("quality_status"))
-    return s.reconcile_back(bars, checked)
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    side = lambda f: F.max(F.when(F.col("l_returnflag") == f, price))
+    sources = F.array_sort(F.collect_set("l_returnflag")).alias("sources")
+    days = li.groupBy(F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").alias("trade_date")).agg(side("A").alias("x"), side("R").alias("y"), sources)
+    checked = days.select("company_id", "trade_date", F.explode("sources").alias("source"), rules.reconciliation("x", "y", 20.0)[0].alias("status"))
+    return checked.select("company_id", "trade_date", "source", s.reconciled_status("status", F.lit("raw")).alias("quality_status"))
 
 
 RECONCILED = """
-WITH s AS (SELECT l_suppkey AS company_id, CAST(l_shipdate AS DATE) AS trade_date, l_returnflag AS source, max(l_extendedprice / l_quantity) AS c FROM lineitem GROUP BY 1, 2, 3),
-k AS (SELECT company_id, trade_date, abs(a.c - b.c) / a.c * 100 <= 20 AS good FROM (FROM s WHERE source = 'A') a JOIN (FROM s WHERE source = 'R') b USING (company_id, trade_date))
-SELECT company_id, trade_date, source, CASE WHEN good IS NULL THEN 'raw' WHEN good THEN 'reconciled_matched' ELSE 'reconciled_mismatch' END AS quality_status
-FROM s LEFT JOIN k USING (company_id, trade_date)"""
+WITH s AS (SELECT l_suppkey AS company_id, CAST(l_shipdate AS DATE) AS trade_date, l_returnflag AS source,
+  max(max(l_extendedprice / l_quantity) FILTER (WHERE l_returnflag = 'A')) OVER w AS a, max(max(l_extendedprice / l_quantity) FILTER (WHERE l_returnflag = 'R')) OVER w AS r
+  FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE), l_returnflag WINDOW w AS (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)))
+SELECT company_id, trade_date, source, CASE WHEN a IS NULL OR r IS NULL THEN 'raw' WHEN abs(a - r) / a * 100 <= 20 THEN 'reconciled_matched' ELSE 'reconciled_mismatch' END AS quality_status
+FROM s"""
 
 
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def _plain(pattern: str, column: str = "x") -> str:
 
 
 _SIGNAL = f"greatest(-2, least(2, {' + '.join(map(_plain, n.POSITIVE))} - ({' + '.join(map(_plain, n.NEGATIVE))})))"
-_EVENT = " ".join(f"WHEN regexp_matches(x, '(?i){e[3]}') THEN '{e[0]}'" for e in n.EVENTS)
+_EVENT = " ".join(f"WHEN list_contains(regexp_extract_all(x, '(?i)((?:{n.NEGATION})?)(?:{e[3]})', 1), '') THEN '{e[0]}'" for e in n.EVENTS)
 FINANCE_RULES = f"""
 WITH a AS (SELECT doc_id AS article_id, {_spoken_sql("' ' || text")} AS x FROM documents
 ), s AS (SELECT article_id, x, {_SIGNAL} AS signal FROM a
