@@ -8,8 +8,9 @@ and ``ranks`` holds (rank, id).  Reading looks each control byte up in a 256-row
 lengths, and gathers the bytes of a block at once.
 
 Texts are encoded at white space, where the tokenizer separates words anyway; each worker keeps a
-bounded memo of words.  Raw ids are staged once, so that ranks can be counted before
-anything is written; the staged ids are deleted when the file stands.
+bounded memo of words.  Raw ids are staged once, with each task's counts of them, so that ranks are
+known before anything is written; the staged ids are deleted when the file stands.  Every shard of
+consecutive ids is a partition of its own.
 
 Defined cases: a null text counts as empty and gives the end id alone; rows with equal ids follow
 each other in the order of their ids' bytes; null ids come first; an empty table gives an empty file.
@@ -18,22 +19,24 @@ each other in the order of their ids' bytes; null ids come first; an empty table
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, remove, shard_bounds, shard_of, shared_dir, texts_of
+from tidemark.llm.common import byte_slices, remove, shard_bounds, shard_of, shared_dir, texts_of
 
 END_ID = 2
 SHARD_ROWS = 4096
 BLOCK_TOKENS = 1 << 20
-MEMO = 250_000
+MEMO = 300_000
+#: Text bytes whose words are numbered together.
+ENCODED_BYTES = 8 << 20
 
 #: For each control byte: the lengths of its four codes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -76,6 +79,13 @@ def _byte_letters() -> str:
 _BYTE_LETTERS = _byte_letters()
 
 
+#: Words of these characters alone are cut into pre-tokens here: ASCII but "<", which opens special tokens, and the
+#: letters below U+0250 but U+0130, whose normal form and lower case are made one by one.
+_PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Fixed value: the tokenizer's own split of a lower-case word, for those characters.
+_PRETOKEN = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u024f0-9]+")
+
+
 class Words:
     """Ids of the words of a text, by a tokenizer shipped as its file's bytes."""
 
@@ -84,91 +94,122 @@ class Words:
             self.shared = spark.sparkContext.broadcast(f.read())
         self.key = hash(path)
 
-    def encoder(self) -> Callable[[list[str]], list[bytes]]:
-        """A function from texts to their ids as little-endian 16-bit integers.
+    def encoder(self) -> Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]]:
+        """A function from texts and the end id to all ids, and to where each text's ids end.
 
-        A word of letters below U+0250, with at most a stop or comma after it, is one pre-token, or
-        two, whatever stands around it, and such letters are normalised one by one: its lower
-        case goes straight to the BPE model.  Every other word goes through the whole tokenizer.
+        A batch's words are numbered first, so that each distinct word is looked up once and the ids of all
+        words are gathered by number.  A word of plain characters (see ``_PLAIN``) is cut into pre-tokens
+        here and each of those goes straight to the BPE model; every other word goes through the whole tokenizer.
         """
         if self.key not in _tokenizers:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is all it has
             from tokenizers import Tokenizer
 
             _tokenizers.clear()
-            _tokenizers[self.key] = (Tokenizer.from_str(self.shared.value.decode()), [{}, {}], [{}, {}])
-        tokenizer, words, stems = _tokenizers[self.key]
+            _tokenizers[self.key] = (Tokenizer.from_str(self.shared.value.decode()), [{}, {}])
+        tokenizer, memo = _tokenizers[self.key]
         tokenize = tokenizer.model.tokenize
-        marks = {m: array("H", [t.id for t in tokenize(m)]).tobytes() for m in ".,"}
 
-        def simple(word: str) -> bytes | None:
-            mark = word[-1] if word[-1] in ".," else ""
-            stem = word[:-1] if mark else word
-            if not stem.isalpha() or max(stem) > "\u024f" or "\u0130" in stem:
+        def ids_of(word: str) -> bytes | None:
+            """A known word's ids, those of a plain word's pre-tokens, or None."""
+            ids = memo[1].get(word)
+            if ids is not None:
+                memo[0][word] = ids
+                return ids
+            low = word.lower()
+            if low.isalpha() and low.isascii():
+                parts = [low]
+            elif _PLAIN.fullmatch(word) and _PLAIN.fullmatch(low):
+                parts = _PRETOKEN.findall(low)
+            else:
                 return None
-            stem = stem.lower()
-            ids = stems[0].get(stem)
-            if ids is None:
-                ids = stems[1].get(stem)
-                if ids is None:
-                    letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                    ids = array("H", [t.id for t in tokenize(letters)]).tobytes()
-                stems[0][stem] = ids
-            return ids + marks[mark] if mark else ids
-
-        def encode(texts: list[str]) -> list[bytes]:
-            split = [t.encode().split() for t in texts]
-            for memo in (words, stems):
-                if len(memo[0]) > MEMO:  # the younger half becomes the older one, which only gives
-                    memo[:] = [{}, memo[0]]
-            (young, old), other = words, []
-            for w in set(chain.from_iterable(split)).difference(young):
-                ids = old.get(w)
-                if ids is None:
-                    ids = simple(w.decode())
-                if ids is None:
-                    other.append(w)
-                else:
-                    young[w] = ids
-            for w, e in zip(other, tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
-                young[w] = array("H", e.ids).tobytes()
-            return [b"".join(map(young.__getitem__, ws)) for ws in split]
+            if parts == [word]:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = array("H", [t.id for t in tokenize(letters)]).tobytes()
+            else:  # a pre-token alone is its own only pre-token
+                young = memo[0]
+                ids = b"".join([young.get(p) or ids_of(p) for p in parts])
+            memo[0][word] = ids
+            return ids
+
+        def looked_up(found: list[str]) -> list[bytes]:
+            if len(memo[0]) > MEMO:  # the younger half becomes the older one, which only gives
+                memo[:] = [{}, memo[0]]
+            out = list(map(memo[0].get, found))
+            for k in [k for k, ids in enumerate(out) if ids is None]:
+                out[k] = ids_of(found[k])
+            other = [k for k, ids in enumerate(out) if ids is None]
+            for k, e in zip(other, tokenizer.encode_batch_fast([found[k] for k in other], add_special_tokens=False), strict=True):
+                out[k] = memo[0][found[k]] = array("H", e.ids).tobytes()
+            return out
+
+        def encode(texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+            # A stop or comma between a letter and white space is a pre-token of its own.
+            marked = pa.compute.replace_substring_regex(texts.fill_null(""), r"([A-Za-z])([.,])(\s|$)", r"\1 \2\3")
+            split = pa.compute.ascii_split_whitespace(marked)
+            at = split.offsets.to_numpy()
+            numbered = split.flatten().dictionary_encode()
+            each = pa.array([*looked_up(numbered.dictionary.to_pylist()), array("H", [end_id]).tobytes()], pa.binary())
+            # The end id stands after the words of each text.
+            gathered = each.take(pa.array(np.insert(numbered.indices.to_numpy(), at[1:] - at[0], len(each) - 1)))
+            _, offsets, data = gathered.buffers()
+            ends = np.frombuffer(offsets, dtype=np.int32, count=len(gathered) + 1)[1 + at[1:] - at[0] + np.arange(len(at) - 1)] // 2
+            return np.frombuffer(data, dtype="<u2", count=int(ends[-1]) if len(ends) else 0), ends
 
         return encode
 
 
-def encoded(docs: DataFrame, words: Words, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary): 16-bit ids of each whole text and the end id."""
+def _encoded(docs: DataFrame, words: Words, end_id: int, id_col: str, text_col: str, counted: bool, vocabulary: int = 1 << 16) -> DataFrame:
+    """(doc_id, ids, counts): 16-bit ids of each whole text and the end id; ``counted``: at the end of each task one
+    row more, without an id, with how often the task met each id."""
+    df = texts_of(docs, id_col, text_col)
+    kind = dict(df.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, seen, id_type = words.encoder(), np.zeros(vocabulary, dtype=np.int64), None
+        for batch in batches:
+            id_type = batch.column("doc_id").type
+            for part in byte_slices(batch, "text", ENCODED_BYTES):
+                ids, ends = encode(part.column("text"), end_id)
+                if counted:
+                    seen += np.bincount(ids, minlength=vocabulary)
+                offsets = np.concatenate(([0], 2 * ends)).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.nulls(part.num_rows, pa.binary())], ["doc_id", "ids", "counts"])
+        if counted and id_type is not None:
+            last = [pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(last, ["doc_id", "ids", "counts"])
+
+    return df.mapInArrow(run, f"doc_id {kind}, ids binary, counts binary")
 
-    def make() -> Callable:
-        encode, end = words.encoder(), array("H", [end_id]).tobytes()
-        return lambda texts: [pa.array([e + end for e in encode(texts)], pa.binary())]
 
-    return map_texts(texts_of(docs, id_col, text_col), make, "ids binary")
+def encoded(docs: DataFrame, words: Words, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids binary): 16-bit ids of each whole text and the end id."""
+    return _encoded(docs, words, end_id, id_col, text_col, False).select("doc_id", "ids")
 
 
-def frequency_ranks(ids: DataFrame, vocabulary: int = 1 << 16) -> DataFrame:
-    """(id, n) of every id in use; each task sends one row for an id at most."""
+def frequency_ranks(staged: DataFrame) -> DataFrame:
+    """(id, n) of every id in use, from the counts that each task left; one row for a task and an id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(vocabulary, dtype=np.int64)
+        n = 0
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                n += np.bincount(np.frombuffer(x, dtype="<u2"), minlength=vocabulary)
+            for x in batch.column("counts").to_pylist():
+                n = n + np.frombuffer(x, dtype=np.int64)
         used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used] if len(used) else [], pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return staged.filter("counts is not null").select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, words: Words, end_id: int = END_ID, rows: int = SHARD_ROWS, block: int = BLOCK_TOKENS) -> None:
     """Write the documents' ids to ``path`` in ascending id order."""
     spark = docs.sparkSession
     staged_path = shared_dir(spark)
-    encoded(docs, words, end_id).write.option("compression", "zstd").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    _encoded(docs, words, end_id, "doc_id", "text", True).write.option("compression", "zstd").parquet(staged_path)
     # At most 2**16 rows, by the type of an id.
-    order = [r["id"] for r in frequency_ranks(staged).orderBy(F.desc("n"), "id").collect()]
+    order = [r["id"] for r in frequency_ranks(spark.read.parquet(staged_path)).orderBy(F.desc("n"), "id").collect()]
+    staged = spark.read.parquet(staged_path).filter("ids is not null").select("doc_id", "ids")
     rank = np.zeros(1 << 16, dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
@@ -200,7 +241,7 @@ def write(docs: DataFrame, path: str, words: Words, end_id: int = END_ID, rows:
     ddl = "shard int, block int, start bigint, doc_ids array<bigint>, sizes array<bigint>, control binary, data binary"
     (
         staged.withColumn("shard", shard_of(bounds)("doc_id"))
-        .repartition(len(bounds) + 1, "shard")
+        .repartitionById(len(bounds) + 1, "shard")
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
         .mapInArrow(shape, ddl)
         .write.option("compression", "none")
