@@ -105,7 +105,7 @@ def with_next(docs: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
     around = top.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).withColumn("shard", F.lit(last))
     both = main.unionByName(ahead.unionByName(around).withColumn("ahead", F.lit(1)))
     parts = max(last + 1, 1)
-    return both.repartition(parts, "shard").sortWithinPartitions(
+    return both.repartitionById(parts, "shard").sortWithinPartitions(
         "shard", "ahead", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))
     )
 
