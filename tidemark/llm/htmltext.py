@@ -1,13 +1,15 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of the blocks they hold (less below nested
-containers, less where links are), and the best one votes for its generalised path: tags from the root down with
+containers, less where links are).  The best one is widened, to the article element around it or while the
+blocks that a wider container adds are prose, and votes for its generalised path: tags from the root down with
 ids and classes, digits as ``#``.  Votes are counted for each host in Spark, and every page is read
 again for the container at its host's winning path.  A page without that path, or where it
 holds under ``LEAST_SHARE`` of the text of the page's own best container, keeps its own best.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are told by tag, role, class and id.  A block's text has its character references decoded and its
+are told by tag, role, class and id; inside an article or main element, where such words name parts of the text too,
+only by names that say nothing else (see ``_unwanted``).  A block's text has its character references decoded and its
 white space (line breaks included) squeezed; blocks are joined in page order by a newline.
 
 Defined cases: a null or empty html, or one with no main text, gives an empty text; a null or odd
@@ -19,8 +21,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,11 @@ from tidemark.llm.common import map_texts
 
 LEAST_SHARE = 0.3
 DECAY = 0.7
-#: Hosts' winning paths are broadcast up to this many hosts; beyond it they are joined.
+#: Of the text that a wider container would add: the most that may stand in links, and the least in blocks of ``LONG`` characters.
+LINKED = 0.3
+PROSE = 0.6
+LONG = 40
+#: Hosts' winning paths are broadcast up to this many hosts; beyond it they are joined, and Spark splits a large host's pages.
 BROADCAST_HOSTS = 200_000
 
 _TOKEN = re.compile(
@@ -49,7 +55,7 @@ _BLOCKS = frozenset(
 )
 _CONTAINERS = frozenset("article main section div td body center blockquote dd".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OUT_TAGS = frozenset("head nav footer aside form button select option datalist dialog menu object audio video canvas map label".split())
+_OUT_TAGS = frozenset("head nav footer aside form button select option datalist dialog menu object audio video canvas map".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 _OUT_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead topbar footer bottombar sidebar side aside rail notice notices cookie cookies "
@@ -58,24 +64,18 @@ _OUT_WORDS = frozenset(
     "pagination pager login signin signup subscribe subscription newsletter form search popup modal overlay widget toolbar "
     "copyright legal disclaimer alert".split()
 )
+#: Of those, words that name parts of articles as well.
+_WEAK = frozenset("side share sharing social related recommended form search legal".split())
+#: Words that may stand beside an unwanted one in the name of a part of an article without giving it another meaning.
+_FILLER = frozenset(
+    "area bar block body bottom box button buttons container content group holder icons inner item items left link links list main "
+    "outer page panel post posts primary right row secondary section site slot text top unit wrap wrapper".split()
+)
 _IN_WORDS = frozenset("article content main post entry story body text".split())
 _CLOSES_P = _BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 _WEIGHT = {"article": 1.5, "main": 1.3}
 
 
-@dataclass
-class Node:
-    tag: str
-    path: str
-    parent: int
-    out: bool
-    container: int
-    inside: bool
-    own: float = 0.0
-    links: float = 0.0
-    blocks: list[int] = field(default_factory=list)
-
-
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text.strip() else {}
 
@@ -84,19 +84,23 @@ def _words(value: str) -> list[str]:
     return re.sub(r"[^a-z]+", " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()).split()
 
 
-def _is_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is not main text; ``inside``: it stands in an article or main element."""
+def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool]:
+    """Whether an element is not main text, and whether that is only likely; ``inside``: it stands in an article or main
+    element.  There a name counts only if all its words are unwanted or fillers ("related-posts", not "related-work"),
+    and the weak words only make it likely."""
     if tag in _OUT_TAGS or (tag == "header" and not inside):
-        return True
+        return True, False
     if not attributes:
-        return False
+        return False, False
     if attributes.get("role", "").lower() in _OUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    words = set(_words(attributes.get("class", "")) + _words(attributes.get("id", "")))
-    bad = words & _OUT_WORDS
-    if inside:
-        bad -= {"header"}
-    return bool(bad) and tag not in ("body", "html") and not (words & _IN_WORDS and tag in ("article", "main"))
+        return True, False
+    names = [_words(n) for n in (*attributes.get("class", "").split(), attributes.get("id", ""))]
+    if tag in ("body", "html") or (tag in ("article", "main") and _IN_WORDS & set().union(*names)):
+        return False, False
+    if not inside:
+        return any(not _OUT_WORDS.isdisjoint(n) for n in names), False
+    bad = [w for n in names if set(n) <= _OUT_WORDS | _FILLER for w in n if w in _OUT_WORDS and w != "header"]
+    return any(w not in _WEAK for w in bad), bool(bad)
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -109,137 +113,194 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 class Page:
-    """A page's elements and its blocks of main text, from one pass over the markup."""
+    """A page's elements and its blocks of main text, from one pass over the markup.
+
+    Elements are numbered in page order, 0 being the page itself; what is known of them stands in lists by number,
+    and a path is a checksum until it is asked for, so deep pages take memory and time in proportion.
+    """
 
     def __init__(self, source: str):
-        self.nodes = [Node("", "", -1, False, 0, False)]
+        self.tag, self.step, self.up, self.container, self.path_sum = [""], [""], [-1], [0], [0]
+        self._out, self._inside, self._weak, self._linked = [False], [False], [0], [0]
         self.text: list[tuple[int, str]] = []  # (container, text) of each block
+        self._rows: list[tuple[int, str, int, int]] = []  # (container, text, characters in links, weak element) of each block
         self._parts: list[str] = []
-        self._links = 0
-        self._at: int | None = None
-        stack, links, last = [0], 0, 0
-        nodes = self.nodes
+        self._links, self._at = 0, None
+        stack, last, opened = [0], 0, dict.fromkeys(("p", "li"), 0)
         for m in _TOKEN.finditer(source):
             if m.start() > last:
-                self._say(source[last : m.start()], stack[-1], links)
+                self._say(source[last : m.start()], stack[-1])
             last = m.end()
             tag = (m[3] or m[6] or "").lower()
             if not tag:
                 continue
-            closing = bool(m[2] or m[5])
             if tag == "br":
-                self._say(" ", stack[-1], links)
+                self._say(" ", stack[-1])
                 continue
             if tag in _BLOCKS:
                 self._end_block()
-            if closing:
-                where = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
-                if where:
-                    links -= sum(nodes[i].tag == "a" for i in stack[where:])
-                    del stack[where:]
+            if m[2] or m[5]:
+                if opened.get(tag):
+                    where = len(stack) - 1
+                    while self.tag[stack[where]] != tag:
+                        where -= 1
+                    self._close(stack, where, opened)
                 continue
-            if tag in _CLOSES_P or tag == "li":
-                self._close_open(stack, tag)
-                links = sum(nodes[i].tag == "a" for i in stack)
-            if tag in _VOID or (m[4] or m[7] or "").rstrip().endswith("/") and tag not in _BLOCKS:
+            if (tag in _CLOSES_P or tag == "li") and opened["li" if tag == "li" else "p"]:
+                self._close_open(stack, tag, opened)
+            rest = m[4] or m[7] or ""
+            if tag in _VOID or rest.rstrip().endswith("/") and tag not in _BLOCKS:
                 continue
-            up = nodes[stack[-1]]
-            attributes = _attributes(m[4] or m[7] or "")
-            out = up.out or _is_out(tag, attributes, up.inside)
-            inside = up.inside or (tag in ("article", "main") and not out)
-            at = len(nodes)
-            held = tag in _CONTAINERS and not out
-            path = f"{up.path}>{_step(tag, attributes)}" if tag in _BLOCKS else up.path
-            nodes.append(Node(tag, path, up.container, out, at if held else up.container, inside))
-            stack.append(at)
-            links += tag == "a"
+            opened[tag] = opened.get(tag, 0) + 1
+            stack.append(self._element(tag, rest, stack[-1]))
         if last < len(source):
-            self._say(source[last:], stack[-1], links)
+            self._say(source[last:], stack[-1])
         self._end_block()
-
-    def _close_open(self, stack: list[int], tag: str) -> None:
+        self._drop_weak()
+
+    def _element(self, tag: str, rest: str, up: int) -> int:
+        at, attributes = len(self.tag), _attributes(rest)
+        out, weak = (True, False) if self._out[up] else _unwanted(tag, attributes, self._inside[up])
+        step = _step(tag, attributes) if tag in _BLOCKS else ""
+        self.tag.append(tag)
+        self.step.append(step)
+        self.up.append(up)
+        self._out.append(out)
+        self._inside.append(self._inside[up] or (tag in ("article", "main") and not out))
+        self._weak.append(self._weak[up] or (at if weak and not out else 0))
+        self._linked.append(self._linked[up] + (tag == "a"))
+        self.container.append(at if tag in _CONTAINERS and not out else self.container[up])
+        self.path_sum.append(zlib.crc32(f">{step}".encode(), self.path_sum[up]) if step else self.path_sum[up])
+        return at
+
+    def _close(self, stack: list[int], where: int, opened: dict[str, int]) -> None:
+        for i in stack[where:]:
+            opened[self.tag[i]] -= 1
+        del stack[where:]
+
+    def _close_open(self, stack: list[int], tag: str, opened: dict[str, int]) -> None:
         """A block ends an open paragraph; a list item ends an open item of the same list."""
         ends = {"li": ("li", ("ul", "ol", "menu"))}.get(tag, ("p", ("div", "td", "li", "article", "section", "main", "body")))
         for k in range(len(stack) - 1, 0, -1):
-            name = self.nodes[stack[k]].tag
+            name = self.tag[stack[k]]
             if name == ends[0]:
-                del stack[k:]
+                self._close(stack, k, opened)
                 return
             if name in ends[1]:
                 return
 
-    def _say(self, raw: str, node: int, links: int) -> None:
-        n = self.nodes[node]
-        if n.out:
+    def _say(self, raw: str, node: int) -> None:
+        if self._out[node]:
             return
-        if self._at is not None and self._at != n.container:
+        at = (self.container[node], self._weak[node])
+        if self._at is not None and self._at != at:
             self._end_block()
-        self._at = n.container
+        self._at = at
         self._parts.append(raw)
-        if links:
+        if self._linked[node]:
             self._links += len(raw)
 
     def _end_block(self) -> None:
         if self._parts:
             text = " ".join(entities.unescape("".join(self._parts)).split())
             if text:
-                node = self.nodes[self._at]
-                node.own += len(text)
-                node.links += min(self._links, len(text))
-                node.blocks.append(len(self.text))
-                self.text.append((self._at, text))
+                self._rows.append((self._at[0], text, min(self._links, len(text)), self._at[1]))
         self._parts, self._links, self._at = [], 0, None
 
-    def _containers(self) -> list[int]:
-        return [i for i, n in enumerate(self.nodes) if i == n.container]
-
-    def scores(self) -> dict[int, tuple[float, float]]:
-        """(score, characters) of each container that holds text."""
+    def _drop_weak(self) -> None:
+        """Likely unwanted parts go if they are links by half or hold next to nothing."""
+        size: dict[int, list[int]] = {}
+        for _, text, links, weak in self._rows:
+            if weak:
+                sums = size.setdefault(weak, [0, 0])
+                sums[0] += len(text)
+                sums[1] += links
+        gone = {w for w, (n, links) in size.items() if 2 * links >= n or n < LONG}
+        self._rows = [r for r in self._rows if r[3] not in gone]
+        self.text = [(c, t) for c, t, _, _ in self._rows]
+
+    def _sums(self) -> tuple[dict[int, float], dict[int, list[int]]]:
+        """Of each container with text, its own or below: the score, and the characters of text, of links and of long blocks."""
         score: dict[int, float] = {}
-        size: dict[int, float] = {}
-        for i in self._containers():
-            n = self.nodes[i]
-            good, at, fade = max(0.0, n.own - 2 * n.links), i, 1.0
-            while n.own:
-                score[at] = score.get(at, 0.0) + good * fade
-                size[at] = size.get(at, 0.0) + n.own
-                if at == 0:
-                    break
-                at, fade = self.nodes[at].parent, fade * DECAY
-        return {i: (s * _WEIGHT.get(self.nodes[i].tag, 1.0), size[i]) for i, s in score.items()}
-
-    def best(self, path: str | None = None) -> int | None:
-        """The best container, or the best at ``path`` if the page has one with enough text."""
-        scores = self.scores()
+        size: dict[int, list[int]] = {}
+        for c, text, links, _ in self._rows:
+            sums = size.setdefault(c, [0, 0, 0])
+            for k, n in enumerate((len(text), links, len(text) if len(text) >= LONG else 0)):
+                sums[k] += n
+        score = {c: float(max(0, n - 2 * links)) for c, (n, links, _) in size.items()}
+        # Containers follow those that hold them, so each is complete before it is added to its own.
+        for c in range(len(self.tag) - 1, 0, -1):
+            if c in size:
+                above = self.container[self.up[c]]
+                score[above] = score.get(above, 0.0) + DECAY * score[c]
+                sums = size.setdefault(above, [0, 0, 0])
+                for k in range(3):
+                    sums[k] += size[c][k]
+        return {c: s * _WEIGHT.get(self.tag[c], 1.0) for c, s in score.items()}, size
+
+    def _widened(self, top: int, size: dict[int, list[int]]) -> int:
+        """The whole article element around a container; else the container, or a wider one whose further blocks are prose
+        with few links, so that an article in several parts is kept whole."""
+        article, at = 0, top
+        while at:
+            if self.tag[at] == "article" and self.container[at] == at:
+                article = at
+            at = self.up[at]
+        if article:
+            return article
+        found, at = top, top
+        while at and self.tag[at] != "main":
+            at = self.container[self.up[at]]
+            n, links, long = (x - y for x, y in zip(size[at], size[found], strict=True))
+            if n and not (links <= LINKED * n and long >= PROSE * n):
+                break
+            if n and at:
+                found = at
+        return found
+
+    def best(self, path: str | None = None) -> tuple[int | None, int]:
+        """The best container, widened, or the best at ``path`` if the page has one with enough text; and its characters."""
+        scores, size = self._sums()
         if not scores:
-            return None
-        top = max(scores, key=lambda i: (scores[i][0], -i))
-        there = [i for i in scores if i and self.nodes[i].path == path]
-        if there:
-            agreed = max(there, key=lambda i: (scores[i][0], -i))
-            if scores[agreed][1] >= LEAST_SHARE * scores[top][1]:
-                return agreed
-        return top
+            return None, 0
+        top = self._widened(max(scores, key=lambda i: (scores[i], -i)), size)
+        if path is not None:
+            wanted = zlib.crc32(path.encode())
+            there = [i for i in scores if i and self.path_sum[i] == wanted and self.path(i) == path]
+            if there:
+                agreed = max(there, key=lambda i: (scores[i], -i))
+                if size[agreed][0] >= LEAST_SHARE * size[top][0]:
+                    return agreed, size[agreed][0]
+        return top, size[top][0]
+
+    def path(self, at: int) -> str:
+        """An element's generalised path: the steps of the block elements from the root down to it."""
+        steps = []
+        while at > 0:
+            if self.step[at]:
+                steps.append(self.step[at])
+            at = self.up[at]
+        return "".join(">" + s for s in reversed(steps))
 
     def under(self, top: int) -> str:
         """The blocks of a container and of those in it, joined."""
-        inside = {top}
-        for i in self._containers():
-            if i and self.nodes[i].parent in inside:
-                inside.add(i)
-        return "\n".join(t for c, t in self.text if c in inside)
+        inside = [False] * len(self.tag)
+        inside[top] = True
+        for i in range(top + 1, len(self.tag)):
+            inside[i] = inside[self.up[i]]
+        return "\n".join(t for c, t in self.text if inside[c])
 
 
 def vote(source: str) -> tuple[str | None, int]:
     """The path of a page's best container and its characters."""
     page = Page(source)
-    top = page.best()
-    return (page.nodes[top].path, int(page.scores()[top][1])) if top else (None, 0)
+    top, size = page.best()
+    return (page.path(top), size) if top else (None, 0)
 
 
 def extract(source: str, path: str | None = None) -> str:
     page = Page(source)
-    top = page.best(path)
+    top, _ = page.best(path)
     return "" if top is None else page.under(top)
 
 
