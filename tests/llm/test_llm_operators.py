@@ -3,9 +3,10 @@
 import base64
 import hashlib
 import html
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -118,6 +119,17 @@ def test_bpe_equals_the_library_on_whole_texts(spark, odd_docs, chunk, overlap):
     assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+def test_bpe_of_long_blank_runs(spark):
+    enc = whole_encoding()
+    for run in (" " * 10_000, " " * 30_001, "\n \t" * 4_000, "\u3000" * 12_000, "\x85" * 10_001):
+        for text in (f"a{run}b", f"a{run}", f"{run}b", run, f"a{run}'s {run}!", f"x {run}\x1c{run}y"):
+            assert bpe.encoded(enc, text) == enc.encode_ordinary(text)
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_500_000)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in bpe.op3(docs, tokenizer(spark)).collect()}
+    sizes = {1: 1_000_001, 2: 1_500_000}  # a blank each, but the last one before the letter, which it is part of
+    assert got == {r["doc_id"]: (sizes[r["doc_id"]], hashlib.sha256(r["text"].encode()).hexdigest()) for r in docs.collect()}
+
+
 def test_bpe_round_trip(spark, odd_docs, no_docs):
     t = tokenizer(spark)
     back = bpe.decode(bpe.encode(odd_docs, t, 1000, 50), t)
@@ -224,6 +236,18 @@ def test_pii_added_spans_and_context():
     assert pii.find("a" * 200_000) == [] and pii.find("1" * 200_000) == [] and pii.find("1." * 100_000)
 
 
+def test_pii_context_counts_whole_words_in_both_directions():
+    iban, short = "DE89 3704 0044 0532 0130 00", "3782 822463 10005"
+    kinds = lambda text: [s[0] for s in pii.find(text) if s[0] not in pii.BASE]
+    assert kinds(iban) == ["iban"] and kinds(f"serial {iban}") == [] and kinds(f"bank order {iban}") == ["iban"]
+    assert kinds(f"card {short}") == ["card_short"] and kinds(f"discard {short}") == [] and kinds(f"card invoice {short}") == []
+    assert kinds(f"card {'y' * 60} {short}") == [] and kinds(f"{'y' * 60}card {short}") == []
+    ip = pii.find("the ship 1.2.3.4")[0]
+    assert ip[3] < pii.find("the ip 1.2.3.4")[0][3] and ip[0] == "ip"
+    text = "order 1.2.3.4 and serial a@b.com"
+    assert [s[0] for s in pii.find(text)] == ["email", "ip"]
+
+
 def test_pii_redaction_and_query(spark, odd_docs, no_docs):
     red = {r["doc_id"]: r["text"] for r in pii.redact(odd_docs).collect()}
     assert "[EMAIL] [PHONE]" in red[8] and red[3] is None and red[2] == ""
@@ -412,6 +436,38 @@ def test_main_text(spark):
     assert htmltext.op9(df.filter("false")).isEmpty()
 
 
+LONG_TEXT = "Some plain words that make a sentence of the article. "
+
+
+@pytest.mark.parametrize("outer", ['<div id="post">{}</div>', "<article>{}</article>", "<article><div>{}</div></article>", "<main><div class='x'>{}</div></main>"])
+@pytest.mark.parametrize("shares", [(19, 6), (2, 16, 2), (10, 10), (1, 30, 1)])
+def test_articles_in_parts_are_kept_whole(outer, shares):
+    parts = [(LONG_TEXT * n).strip() for n in shares]
+    body = outer.format("".join(f'<div class="part{k}"><p>{t}</p></div>' for k, t in enumerate(parts)))
+    page = f"<html><body><nav><a href=1>Home</a></nav>{body}<ul class=links><li><a href=2>More of this</a></ul><footer>(c)</footer></body></html>"
+    assert htmltext.extract(page) == "\n".join(parts)
+    path, _ = htmltext.vote(page)
+    assert htmltext.extract(page, path) == "\n".join(parts)
+
+
+def test_names_of_parts_of_articles():
+    t = LONG_TEXT.strip()
+    inside = f"""<h1>Title</h1><div class="legal-analysis"><p>{t}</p></div><section id="related-work"><p>{t}</p></section><p><label>Label</label> {t}</p>
+<div class="related-posts"><a href=1>Another article of this site</a></div><div class="share">Share</div><div class="ad-box">{t}</div>
+<section class="comments"><p>{t}</p></section><header>By me</header>"""
+    assert htmltext.extract(f"<html><body><article>{inside}</article></body></html>").split("\n") == ["Title", t, t, f"Label {t}", "By me"]
+
+
+def test_deep_pages_take_linear_time():
+    text = LONG_TEXT.strip()
+    for n in (1_000, 100_000):
+        page = "<html><body>" + "<div>" * n + f"<p>{text}</p>" + "</div>" * n + "</p></span>" * n
+        assert htmltext.extract(page) == text
+        assert htmltext.vote(page)[0] == ">html>body" + ">div" * n
+    tied = f"<html><body><div class=a><p>{text}</p></div><p>x</p><div class=b><p>{text}</p></div></body></html>"
+    assert htmltext.vote(tied)[0] == htmltext.vote(tied)[0] and text in htmltext.extract(tied)
+
+
 def test_main_text_of_the_tables(spark):
     pages = table(spark, SMALL, "pages")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
@@ -434,16 +490,63 @@ def test_scores_equal_sql(spark):
     assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-3) for a, b in zip(got.values(), (want[k] for k in got), strict=True))
 
 
-@pytest.mark.parametrize("sparse", [0, 1, 8])
-def test_packed_scores_equal_joined_scores(spark, odd_docs, no_docs, monkeypatch, sparse):
-    monkeypatch.setattr(ngramlm, "SPARSE", sparse)
+def scores_by_hand(docs, train, order):
+    """(words, score) of each text under the counts of ``train``, or of all other texts."""
+
+    def words(text):
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+    def count(texts):
+        return Counter(tuple(t[i - k : i]) for t in texts for k in range(1, order + 1) for i in range(k, len(t) + 1))
+
+    own = [words(t) for t in docs]
+    base = own if train is None else [words(t) for t in train]
+    every, n, out = count(base), sum(map(len, base)), []
+    for t in own:
+        less, left = (count([t]), n - len(t)) if train is None else (Counter(), n)
+
+        def c(g, less=less):
+            return every[g] - less[g]
+
+        def s(g, left=left, c=c):
+            if len(g) == 1:
+                return math.log(max(1, c(g)) / max(1, left))
+            return math.log(c(g) / c(g[:-1])) if c(g) else math.log(ngramlm.ALPHA) + s(g[1:])
+
+        out.append((len(t), sum(s(tuple(t[max(0, i - order + 1) : i + 1])) for i in range(len(t)))))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_brute_force(spark, odd_docs, no_docs, monkeypatch, order):
+    """Small blocks and buckets, so that n-grams meet over many of both."""
+    monkeypatch.setattr(ngramlm, "BLOCK_BYTES", 30_000)
+    monkeypatch.setattr(ngramlm, "BUCKET_GRAMS", 2_000)
     docs = odd_docs.select("doc_id", "text").unionByName(table(spark, SMALL, "documents").select("doc_id", "text").filter("doc_id > 150"))
-    a, b = (rows(x.withColumn("score", F.round("score", 5)), "doc_id", "n_words", "score") for x in (ngramlm.score_corpus(docs), ngramlm.score(docs, docs)))
-    assert len(a) == len(b) == docs.count()
-    assert all(x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-4) for x, y in zip(a, b, strict=True))
-    assert ngramlm.op1(no_docs).isEmpty() and ngramlm.score(no_docs, no_docs).isEmpty()
-    c = rows(ngramlm.score_corpus(docs, broadcast_words=0).withColumn("score", F.round("score", 5)), "doc_id", "n_words", "score")
-    assert len(c) == len(a)
+    whole = [tuple(r) for r in docs.collect()]
+    other = [r["text"] for r in table(spark, SMALL, "documents").filter("doc_id < 20").collect()]
+    for train in (None, other) if order == 3 else (None,):
+        frame = None if train is None else spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id long, text string")
+        want = sorted(((i is not None, i or 0, *w) for (i, _), w in zip(whole, scores_by_hand([t for _, t in whole], train, order), strict=True)))
+        got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_words"], r["score"]) for r in ngramlm.score(docs, frame, order).collect())
+        assert len(got) == len(want) and all(a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-6) for a, b in zip(got, want, strict=True))
+    assert ngramlm.op1(no_docs).isEmpty() and ngramlm.score(no_docs, no_docs).isEmpty() and ngramlm.score(no_docs, docs).isEmpty()
+
+
+def test_many_short_documents_in_one_block(spark):
+    """More documents in a batch than 16 bits can number."""
+    n = 70_000
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        docs = spark.range(0, n, 1, 1).selectExpr("id AS doc_id", "concat('w', id % 5, ' x', if(id = 69999, ' z', '')) AS text")
+        got = {r["doc_id"]: r["score"] for r in ngramlm.score(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    m, each = 2 * n + 1, n // 5 - 1
+    want = [math.log(each / (m - 2)) + math.log(each / each)] * (n - 1)
+    want.append(math.log(each / (m - 3)) + math.log(each / each) + 2 * math.log(ngramlm.ALPHA) + math.log(1 / (m - 3)))
+    assert len(got) == n and all(got[i] == pytest.approx(w, abs=1e-9) for i, w in enumerate(want))
 
 
 def test_backoff(spark):

@@ -1,353 +1,321 @@
-"""Stupid-backoff language-model scores, computed with joins.
-
-Words are runs of ASCII digits, letters (A-Z lower-cased) and characters beyond ASCII.  A document's
-score is the sum over its words of log S: S = c(v w) / c(v) after a preceding word v, or
-``ALPHA`` c(w) / N if the pair was never seen; S = c(w) / N for the first word.  Counts cover all words of all
-training documents; N is their number.
-
-``score`` joins documents' exploded n-grams to count tables keyed by the n-gram's 64-bit hash and sums by
-document, row by row.  ``score_corpus`` does the same for documents against their own counts, with
-the rows of a join packed into arrays: each block of documents explodes into its distinct pairs, which
-are dealt over hash buckets; a bucket builds its part of the count table and joins it to every
-block's pairs; what comes back are partial sums by document.  Word counts, far fewer than pair
-counts, are broadcast without words that occur once (their log is 0) up to ``BROADCAST_WORDS``
-rows; a larger vocabulary goes through ``score``.
-
-Defined cases: a null or empty text has no words and score 0; repeated rows each count and each get a row; an
-unseen word counts once.
+"""Stupid-backoff language-model scores from count tables that are partitioned by hash.
+
+Words are runs of ASCII digits, letters (A-Z lower-cased) and characters beyond ASCII.  A document's score is the sum
+over its words of log S.  For a word with its k - 1 predecessors, k at most ``order`` and never reaching over the
+document's begin, S is c(k words) / c(the first k - 1 of them) if the k words occur in the training text, else
+``alpha`` times S of the last k - 1 words; for one word S = c(word) / N, where N counts all words and an unseen word counts
+once.  A document of the training text itself is scored by what is left without it: all counts are those of the
+whole text less the document's own, so an n-gram that no other document holds is backed off from.
+
+The computation is a join of exploded n-grams with count tables, its rows packed into arrays.  Documents are staged in
+blocks of about ``BLOCK_BYTES``.  A block explodes into its distinct n-grams, as sorted 64-bit hashes with counts,
+dealt over buckets of equal ranges of hashes; a bucket adds up its part of the count table, joins it with each block's
+n-grams, and answers which of them occur elsewhere and how often.  Blocks and answers meet by block, where every
+document's own counts are taken off and its logarithms summed.  What one bucket receives for an n-gram is a row's entry for
+each block, however frequent the n-gram is, and every size of corpus takes this one path.
+
+Defined cases: a null or empty text has no words and score 0; repeated rows each count and each get a row (the other
+copies are then training text); with no other text N counts as 1; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, byte_slices, map_texts, texts_of, written
+from tidemark.llm.common import WORDS, byte_slices, remove, shared_dir, texts_of
 
 ALPHA = 0.4
-BROADCAST_WORDS = 4_000_000
-MEMO = 200_000
-BLOCK_BYTES = 16 << 20
-#: Pairs of all documents for one hash bucket, and documents of a block up to which a pair counts as sparse.
-BUCKET_PAIRS = 1 << 22
-SPARSE = 8
+ORDER = 3
+BLOCK_BYTES = 8 << 20
+#: N-grams of one order of all blocks for one hash bucket.
+BUCKET_GRAMS = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes:
-    """64-bit hashes of a text's words, with a memo that is emptied when full."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the texts' words, one text after the other, and where each text begins and ends."""
+    import xxhash
 
-    def __init__(self):
-        import xxhash
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32, count=texts.offset + len(texts) + 1)[texts.offset :] if len(texts) else np.zeros(1, np.int32)
+    raw = (data[int(at[0]) : int(at[-1])].to_pybytes() if data is not None else b"").translate(WORDS)
+    plain = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(raw)])
+    split = pa.compute.ascii_split_whitespace(plain)
+    numbered = split.flatten().dictionary_encode()
+    words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    there = np.fromiter(map(bool, words), dtype=bool, count=len(words))[number]  # blanks at the ends leave empty words
+    ends = np.concatenate(([0], np.cumsum(there)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return each[number[there]], ends
 
-        self.h, self.memo = xxhash.xxh64_intdigest, {}
 
-    def of(self, text: str) -> np.ndarray:
-        words, memo = text.encode().translate(WORDS).split(), self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self.h(w)
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def pairs(words: np.ndarray) -> np.ndarray:
-    """Hashes of adjacent words, in the words' order."""
-    x = (words[:-1] ^ (words[:-1] >> np.uint64(29))) * _MIX + words[1:]
+def mixed(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams one word longer."""
+    x = (before ^ (before >> np.uint64(29))) * _MIX + words
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
-    """A list column from numpy arrays."""
-    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+def grams(texts: pa.Array, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each order the hashes of all n-grams and the numbers of the words that end them; and the texts' ends.
 
+    No n-gram reaches over the begin of its text."""
+    words, ends = word_hashes(texts)
+    place = np.arange(len(words)) - np.repeat(ends[:-1], np.diff(ends))
+    out, last, h = [], np.arange(len(words)), words
+    for k in range(order):
+        if k:
+            keep = place[last] >= k
+            h, last = mixed(h[np.searchsorted(last, last[keep] - 1)], words[last[keep]]), last[keep]
+        out.append((h, last))
+    return out, ends
 
-def _signed(a: np.ndarray) -> np.ndarray:
-    return a.view(np.int64)
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the planes of small numbers compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
-def counts(docs: DataFrame, order: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, c) of all n-grams of one order (1 or 2), from partial sums of each document and each task."""
 
-    def make() -> Callable:
-        hashes = Hashes()
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-        def helper(texts: list[str]) -> list:
-            parts = [hashes.of(t) for t in texts]
-            grams = np.concatenate([pairs(p) if order == 2 else p for p in parts])
-            h, n = np.unique(grams, return_counts=True)
-            # All of the slice's sums hang on its first row.
-            rest = [h[:0]] * (len(texts) - 1)
-            return [_lists([_signed(h), *map(_signed, rest)], pa.int64()), _lists([n, *rest], pa.int64())]
 
-        return helper
+def _edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the part of each bucket begins and ends among sorted hashes."""
+    width = (1 << 64) // buckets + 1
+    return np.concatenate((np.searchsorted(hashes, np.array([k * width for k in range(buckets)], dtype=np.uint64)), [len(hashes)]))
 
-    df = map_texts(texts_of(docs, id_col, text_col), make, "h array<bigint>, n array<bigint>")
-    return df.select(F.explode(F.arrays_zip("h", "n")).alias("g")).groupBy(F.col("g.h").alias("h")).agg(F.sum("g.n").alias("c"))
 
+def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
-def _runs(sorted_values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values begins."""
-    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
 
+@contextmanager
+def _session(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings for the queries inside."""
+    names = {k: f"spark.sql.{k.replace('__', '.')}" for k in settings}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    for k, v in settings.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(names[k]) if v is None else spark.conf.set(names[k], v)
 
-_SHAPE = "key int, block bigint, part int, h binary, df binary, doc binary, n binary, ids {ids}, words binary, base binary"
-_COLUMNS = [c.split()[0] for c in _SHAPE.split(", ")]
 
+class _Tables:
+    """Tables written along the way, removed at the end."""
 
-def _row(ids_type: pa.DataType, **given) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(ids_type), pa.binary(), pa.binary()]
-    values = [given.get(c) for c in _COLUMNS]
-    return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], t) for v, t in zip(values, kinds, strict=True)], _COLUMNS)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
+    def write(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_dir(self.spark))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
-def _blocks(df: DataFrame, words: tuple[np.ndarray, np.ndarray] | None, total: int, buckets: int) -> DataFrame:
-    """Documents in blocks of about ``BLOCK_BYTES``; one row for each block and hash bucket with the block's
-    distinct pairs, and one (part -1) with its documents.
+    def remove(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
 
-    A pair in at most ``SPARSE`` documents of the block takes its postings (document, times) along to the
-    bucket.  A pair in more sends one total, and its postings stay with the block's documents, so
-    what a bucket gets for a pair is bounded by the number of blocks, however frequent the pair is.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(words)
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """(block, ids, texts, words): documents in blocks of about ``BLOCK_BYTES``, and how many words those hold."""
     kind = dict(df.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Hashes(), shared.value
         block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in byte_slices(batch, "text", BLOCK_BYTES):
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("doc_id", "text")]
+                n = int(word_hashes(part.column("text"))[1][-1])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, pa.array([n], pa.int64())], ["block", "ids", "texts", "words"])
+                block += 1
+
+    return df.mapInArrow(run, f"block bigint, ids array<{kind}>, texts array<string>, words bigint")
 
-        def base(w: np.ndarray) -> float:
-            if known is None or not len(w):
-                return 0.0
-            keys, logs = known
-            at = np.minimum(np.searchsorted(keys, w), max(0, len(keys) - 1))
-            each = np.where(keys[at] == w, logs[at], 0.0) if len(keys) else np.zeros(len(w))
-            return float(each[0] - math.log(total) - each[:-1].sum())
 
+def _asked(blocks: DataFrame, orders: tuple[int, ...], buckets: int, asks: bool, gives: bool) -> DataFrame:
+    """(bucket, part, block, asks, h, c): a row for each block, order and bucket with the block's distinct n-grams there,
+    sorted, and how often they occur in the block (if its text is training text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text", BLOCK_BYTES):
-                ws = [hashes.of(t or "") for t in part.column("text").to_pylist()]
-                grams = [pairs(w) for w in ws]
-                h = np.concatenate(grams)
-                d = np.repeat(np.arange(len(grams), dtype=np.uint32), [len(g) for g in grams])
-                order = np.lexsort((d, h))
-                h, d = h[order], d[order]
-                at = _runs_of_two(h, d)
-                n = np.diff(np.concatenate((at, [len(h)]))).astype(np.uint32)
-                h, d = h[at], d[at]
-                first = _runs(h)
-                size = np.diff(np.concatenate((first, [len(h)])))
-                dense = size > SPARSE
-                key, df_of = h[first], np.where(dense, 0, size).astype(np.uint8)
-                sums = np.add.reduceat(n, first) if len(first) else n
-                posted = np.repeat(~dense, size)
-                # For a sparse pair the postings, for a dense one its total alone.
-                ids = part.column("doc_id")
-                yield _row(
-                    ids.type, key=int(block % buckets), block=block, part=-1, h=key[dense], df=size[dense].astype(np.uint32), doc=d[~posted], n=n[~posted],
-                    ids=ids.to_pylist(), words=np.array([len(w) for w in ws], dtype=np.int64), base=np.array([base(w) for w in ws]),
+            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
+                found, _ = grams(texts.values, max(orders))
+                for k in orders:
+                    h, c = np.unique(found[k - 1][0], return_counts=True)
+                    at = _edges(h, buckets)
+                    some = np.flatnonzero(np.diff(at)).tolist()
+                    gaps = [planes(np.diff(h[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some]
+                    counts = [planes(c[at[b] : at[b + 1]].astype(np.uint32) * np.uint32(gives)) for b in some]
+                    n = len(some)
+                    yield _batch(
+                        {
+                            "bucket": ([b + buckets * orders.index(k) for b in some], pa.int32()), "part": (some, pa.int32()), "k": ([k] * n, pa.int32()),
+                            "block": ([block] * n, pa.int64()), "asks": ([asks] * n, pa.bool_()), "h": (gaps, pa.binary()), "c": (counts, pa.binary()),
+                        }
+                    )
+
+    return blocks.select("block", "texts").mapInArrow(run, "bucket int, part int, k int, block bigint, asks boolean, h binary, c binary")
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket: its count table from all blocks' parts, joined to the n-grams of each block that asks.
+
+    (block, k, part, at, x): which n-grams of the block's part occur outside of it, and how often."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    for bucket in sorted({r["bucket"] for r in rows}):
+        mine = [r for r in rows if r["bucket"] == bucket]
+        hashes = [np.cumsum(unplaned(r["h"], np.uint64), dtype=np.uint64) for r in mine]
+        own = [unplaned(r["c"], np.uint32).astype(np.int64) for r in mine]
+        _, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(number, weights=np.concatenate(own)).astype(np.int64)
+        start = 0
+        for r, c in zip(mine, own, strict=True):
+            x = total[number[start : start + len(c)]] - c
+            start += len(c)
+            if r["asks"] and x.any():
+                at = np.flatnonzero(x)
+                gaps = np.diff(at, prepend=0).astype(np.uint32)
+                yield _batch(
+                    {
+                        "block": ([r["block"]], pa.int64()), "k": ([r["k"]], pa.int32()), "part": ([r["part"]], pa.int32()),
+                        "at": ([planes(gaps)], pa.binary()), "x": ([planes(x[at].astype(np.uint64))], pa.binary()),
+                    }
                 )
-                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                start = np.concatenate(([0], np.cumsum(np.where(dense, 1, size))))
-                flat_d, flat_n = _sent(d, n, first, size, dense, sums)
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    mine = by[edges[k] : edges[k + 1]]
-                    take = _spans(start[mine], start[mine + 1])
-                    yield _row(ids.type, key=k, block=block, part=k, h=key[mine], df=df_of[mine], doc=flat_d[take], n=flat_n[take])
-                block += 1
 
-    return df.mapInArrow(run, _SHAPE.format(ids=f"array<{kind}>"))
-
-
-def _runs_of_two(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-    if not len(h):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
-
-
-def _sent(d: np.ndarray, n: np.ndarray, first: np.ndarray, size: np.ndarray, dense: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Postings in the pairs' order, with one entry (document 0, the total) for a dense pair."""
-    keep = np.ones(len(d), dtype=bool)
-    keep[_spans(first[dense] + 1, first[dense] + size[dense])] = False
-    n = n.copy()
-    n[first[dense]] = sums[dense]
-    return d[keep].astype(np.uint16), n[keep]
-
-
-def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges [start, stop), one range after the other."""
-    size = stop - start
-    before = np.cumsum(size) - size
-    return np.repeat(start - before, size) + np.arange(int(size.sum()))
-
-
-def _count_bucket(rows: list[dict]) -> Iterator[dict]:
-    """Join one bucket's count table to its blocks: sums for documents of sparse pairs, logs for dense ones."""
-    hs = [np.frombuffer(r["h"], dtype=np.uint64) for r in rows]
-    dfs = [np.frombuffer(r["df"], dtype=np.uint8).astype(np.int64) for r in rows]
-    ns = [np.frombuffer(r["n"], dtype=np.uint32).astype(np.int64) for r in rows]
-    own = []
-    for df, n in zip(dfs, ns, strict=True):
-        size = np.maximum(df, 1)
-        own.append(np.add.reduceat(n, np.cumsum(size) - size))
-    _, at = np.unique(np.concatenate(hs), return_inverse=True)
-    logs = np.log(np.bincount(at, weights=np.concatenate(own)))[at]
-    begin = 0
-    for r, h, df, n in zip(rows, hs, dfs, ns, strict=True):
-        log = logs[begin : begin + len(h)]
-        begin += len(h)
-        each = np.repeat(log, np.maximum(df, 1)) * n
-        sparse = np.repeat(df > 0, np.maximum(df, 1))
-        doc = np.frombuffer(r["doc"], dtype=np.uint16)[sparse]
-        sums = np.bincount(doc, weights=each[sparse])
-        some = np.flatnonzero(sums)
-        yield {"block": r["block"], "part": r["part"], "h": h[df == 0], "df": log[df == 0], "doc": some.astype(np.uint16), "n": sums[some]}
-
-
-def _grouped(column: str, done: Callable[[list[dict]], Iterator[pa.RecordBatch]]) -> Callable:
-    """Rows sorted by ``column``, one group at a time."""
+
+def block_scores(texts: pa.Array, answers: list[dict], order: int, buckets: int, total: int, alpha: float, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(words, scores) of a block's texts.  ``left_out``: the texts are training text, and each one's own counts come off."""
+    found, ends = grams(texts, order)
+    size = np.diff(ends)
+    doc = np.repeat(np.arange(len(size)), size)
+    n = len(doc)
+    counts = []
+    for k, (h, last) in enumerate(found, 1):
+        distinct, number, c = np.unique(h, return_inverse=True, return_counts=True)
+        outside, edges = np.zeros(len(distinct), dtype=np.int64), _edges(distinct, buckets)
+        for r in answers:
+            if r["k"] == k:
+                at = np.cumsum(unplaned(r["at"], np.uint32), dtype=np.int64)
+                outside[edges[r["part"]] + at] = unplaned(r["x"], np.uint64).astype(np.int64)
+        here = outside[number]
+        if left_out:
+            _, pair, times = np.unique(doc[last] * max(1, len(distinct)) + number, return_inverse=True, return_counts=True)
+            here = here + c[number] - times[pair]
+        full = np.zeros(n, dtype=np.int64)
+        full[last] = here
+        counts.append(full)
+    most = np.minimum(np.arange(n) - np.repeat(ends[:-1], size) + 1, order)
+    all_words = np.maximum(total - size * left_out, 1)
+    with np.errstate(divide="ignore"):
+        s = np.log(np.maximum(counts[0], 1)) - np.log(np.repeat(all_words, size)) + (most - 1) * np.log(alpha)
+        for k in range(2, order + 1):
+            before = np.concatenate(([0], counts[k - 2][:-1]))
+            s = np.where(counts[k - 1] > 0, np.log(counts[k - 1]) - np.log(before) + (most - k) * np.log(alpha), s)
+    sums = np.concatenate(([0.0], np.cumsum(s)))
+    return size, np.where(size > 0, np.add.reduceat(np.append(s, 0.0), np.minimum(ends[:-1], n)), 0.0) if len(size) else sums[:0]
+
+
+def _scored(order: int, buckets: int, total: int, alpha: float, left_out: bool) -> Callable:
+    """Rows sorted by block, the block's documents first, to scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held, answers = None, []
+
+        def done() -> pa.RecordBatch:
+            size, score = block_scores(held[2], answers, order, buckets, total, alpha, left_out)
+            return pa.RecordBatch.from_arrays([held[1], pa.array(size, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_words", "score"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[-1][column] != row[column]:
-                    yield from done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from done(held)
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if held is not None and held[0] != block:
+                    yield done()
+                    held, answers = None, []
+                if batch.column("k")[i].as_py() == 0:
+                    held = (block, batch.column("ids")[i].values, batch.column("texts")[i].values)
+                else:
+                    answers.append({c: batch.column(c)[i].as_py() for c in ("k", "part", "at", "x")})
+        if held is not None:
+            yield done()
 
     return run
 
 
-def _block_scores(rows: list[dict]) -> tuple[list, np.ndarray, np.ndarray]:
-    """(ids, words, scores) of a block's documents from all replies to it."""
-    docs = next(r for r in rows if r["part"] == -1)
-    words = np.frombuffer(docs["words"], dtype=np.int64)
-    score = np.frombuffer(docs["base"], dtype=np.float64).copy()
-    replies = sorted((r for r in rows if r["part"] >= 0), key=lambda r: r["part"])
-    for r in replies:
-        np.add.at(score, np.frombuffer(r["doc"], dtype=np.uint16), np.frombuffer(r["n"], dtype=np.float64))
-    keys = np.frombuffer(docs["h"], dtype=np.uint64)
-    if len(keys):
-        h = np.concatenate([np.frombuffer(r["h"], dtype=np.uint64) for r in replies])
-        log = np.concatenate([np.frombuffer(r["df"], dtype=np.float64) for r in replies])
-        order = np.argsort(h)
-        at = order[np.searchsorted(h[order], keys)]
-        each = np.repeat(log[at], np.frombuffer(docs["df"], dtype=np.uint32))
-        np.add.at(score, np.frombuffer(docs["doc"], dtype=np.uint32), each * np.frombuffer(docs["n"], dtype=np.uint32))
-    return docs["ids"], words, score
-
-
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, n_words, score) of each document under the counts of all of ``docs``."""
-    df = texts_of(docs, id_col, text_col)
-    spark = df.sparkSession
-    uni = written(counts(docs, 1, id_col, text_col))
-    size = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count_if(F.col("c") > 1).alias("frequent")).first()
-    total, frequent = size["total"], uni.filter("c > 1")
-    if size["frequent"] > broadcast_words:
-        return score(docs, docs, id_col, text_col)
-    got = frequent.toArrow()
-    keys = got.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    words = (keys[order], np.log(got.column("c").to_numpy()[order]))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_PAIRS + 1)
-    blocks = _blocks(df, words, total, buckets)
-    ids = dict(blocks.dtypes)["ids"]
-    ids_type = df.select("doc_id").limit(0).toArrow().schema.field(0).type
-
-    def counted(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        kept = [r for r in rows if r["part"] == -1]
-        for r in kept:
-            yield _row(ids_type, **r)
-        sent = [r for r in rows if r["part"] >= 0]
-        if sent:
-            for r in _count_bucket(sent):
-                yield _row(ids_type, **r)
-
-    def scored(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        names, n, score = _block_scores(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(names, ids_type), pa.array(n), pa.array(score)], ["doc_id", "n_words", "score"])
-
-    replies = blocks.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_grouped("key", counted), _SHAPE.format(ids=ids))
-    kind = dict(df.dtypes)["doc_id"]
-    return replies.repartition("block").sortWithinPartitions("block").mapInArrow(_grouped("block", scored), f"doc_id {kind}, n_words bigint, score double")
+def score(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, score) of each document under the counts of ``train``, or of all other documents of ``docs``.
 
-
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """(doc_id, n_words, score) of each document under the counts of other documents, with backoff."""
+    Each pass over the blocks asks for some orders, and its shuffle is given up when its answers are written, so the
+    disk holds one pass at a time.
+    """
     df = texts_of(docs, id_col, text_col)
-    uni, bi = written(counts(train, 1, id_col, text_col)), counts(train, 2, id_col, text_col)
-    total = max(1, uni.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-
-    def make() -> Callable:
-        hashes = Hashes()
-
-        def helper(texts: list[str]) -> list:
-            words = [hashes.of(t) for t in texts]
-            none = np.zeros(1, dtype=np.uint64)
-            return [
-                pa.array([len(w) for w in words], pa.int64()),
-                _lists([_signed(w) for w in words], pa.int64()),
-                _lists([_signed(np.concatenate((none, w[:-1]))[: len(w)]) for w in words], pa.int64()),
-                _lists([_signed(np.concatenate((none, pairs(w)))[: len(w)]) for w in words], pa.int64()),
-            ]
-
-        return helper
-
-    shape = "n_words bigint, w array<bigint>, v array<bigint>, h array<bigint>"
-    grams = map_texts(df.withColumn("rid", F.monotonically_increasing_id()), make, shape)
-    rows = grams.select("rid", "doc_id", "n_words", F.posexplode_outer(F.arrays_zip("w", "v", "h")).alias("at", "g"))
-    flat = rows.groupBy("rid", "doc_id", "n_words", (F.col("at") == 0).alias("first"), "g.w", "g.v", "g.h").agg(F.count("at").alias("n"))
-    joined = (
-        flat.join(uni.select(F.col("h").alias("w"), F.col("c").alias("cw")), "w", "left")
-        .join(uni.select(F.col("h").alias("v"), F.col("c").alias("cv")), "v", "left")
-        .join(bi.withColumnRenamed("c", "ch"), "h", "left")
-    )
-    single = F.coalesce("cw", F.lit(1)) / total
-    s = F.when(F.col("first"), single).when(F.col("ch").isNotNull(), F.col("ch") / F.col("cv")).otherwise(alpha * single)
-    return joined.groupBy("rid", "doc_id", "n_words").agg(F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(s))).alias("s")).select(
-        "doc_id", "n_words", F.coalesce("s", F.lit(0.0)).alias("score")
-    )
+    spark, kind = df.sparkSession, dict(df.dtypes)["doc_id"]
+    tables = _Tables(spark)
+    cleanup = {"classic__shuffleDependency__fileCleanup__enabled": "true"}
+    try:
+        with _session(spark, **cleanup):
+            blocks = tables.write(_blocks(df))
+            known = blocks if train is None else tables.write(_blocks(texts_of(train, id_col, text_col)))
+        total = known.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+        every = total if train is None else total + blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // BUCKET_GRAMS + 1)
+        answers = None
+        # A block is a row of several megabytes.
+        with _session(spark, **cleanup, execution__arrow__maxRecordsPerBatch="4"):
+            for orders in [(1, 2)[:order], *((k,) for k in range(3, order + 1))]:
+                asked = _asked(blocks, orders, buckets, True, train is None)
+                if train is not None:
+                    asked = asked.unionByName(_asked(known, orders, buckets, False, True))
+                dealt = asked.repartitionById(buckets * len(orders), "bucket")
+                got = tables.write(dealt.mapInArrow(_answered, "block bigint, k int, part int, at binary, x binary"))
+                answers = got if answers is None else answers.unionByName(got)
+            both = blocks.drop("words").withColumn("k", F.lit(0)).unionByName(answers, allowMissingColumns=True)
+            sorted_rows = both.repartition("block").sortWithinPartitions("block", "k", "part")
+            result = sorted_rows.mapInArrow(_scored(order, buckets, total, alpha, train is None), f"doc_id {kind}, n_words bigint, score double")
+            path = shared_dir(spark)
+            result.write.parquet(path)
+        return spark.read.schema(result.schema).parquet(path)
+    finally:
+        tables.remove()
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """Each document's score and its score for a word, rounded to six digits."""
+    """Each document's score under all other documents and its score for a word, rounded to four and six digits."""
     each = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
-    return score_corpus(docs).select(
-        "doc_id", "n_words", F.round("score", 4).alias("score"), F.round(each, 6).alias("score_per_word")
-    )
+    return score(docs).select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(each, 6).alias("score_per_word"))
 
 
 _SPLIT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SQL = rf"""
-WITH w AS (
+WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPLIT}'), []) AS w FROM documents
-), one AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w
-), words AS (SELECT r, p, w[p] AS w, CASE WHEN p > 1 THEN w[p - 1] END AS v FROM one
-), uni AS (SELECT w, count(*) AS c FROM words GROUP BY w
-), bi AS (SELECT v, w, count(*) AS c FROM words WHERE v IS NOT NULL GROUP BY v, w
+), t AS (SELECT sum(len(w)) AS n FROM d
+), p AS (SELECT r, len(w) AS l, w, unnest(range(1, len(w) + 1)) AS p FROM d
+), g AS (SELECT r, l, p, w[p] AS w, CASE WHEN p > 1 THEN w[p - 1] END AS v, CASE WHEN p > 2 THEN w[p - 2] END AS u FROM p
+), c AS (
+  SELECT r, l, p, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS c1,
+         CASE WHEN p > 1 THEN count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY r, v, w) END AS c2,
+         CASE WHEN p > 2 THEN count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY r, u, v, w) END AS c3
+  FROM g
+), b AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY p) AS b1, lag(c2) OVER (PARTITION BY r ORDER BY p) AS b2 FROM c
 ), s AS (
-  SELECT words.r, sum(CASE WHEN words.v IS NULL THEN ln(u.c / (SELECT count(*) FROM words)) ELSE ln(bi.c / uv.c) END) AS score
-  FROM words JOIN uni u ON u.w = words.w LEFT JOIN uni uv ON uv.w = words.v LEFT JOIN bi ON bi.v = words.v AND bi.w = words.w
-  GROUP BY words.r
+  SELECT r, sum(CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN ln(c2 / b1) + CASE WHEN p > 2 THEN ln({ALPHA}) ELSE 0 END
+                     ELSE ln(greatest(c1, 1) / greatest(t.n - l, 1)) + least(p - 1, 2) * ln({ALPHA}) END) AS score
+  FROM b, t GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score,
        CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS score_per_word
-FROM w LEFT JOIN s USING (r)
+FROM d LEFT JOIN s USING (r)
 """
