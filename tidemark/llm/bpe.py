@@ -12,13 +12,17 @@ Encoding a piece gives the same ids as encoding it inside its text: pieces begin
 boundaries, matches depend on what follows only through the look-ahead after white space, and no
 piece ends in white space unless the text does.
 
-Defined cases: a null text counts as empty and has no ids; repeated rows give repeated rows.
+A run of ``RUN`` white-space characters or more, on which the library's regular expressions fail, is cut out by the
+pattern's own rule: such a run is one match, less its last character if text follows, which begins the next match.
+
+Defined cases: a null text counts as empty and has no ids; repeated rows give repeated rows; blank runs may be of any length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +39,10 @@ OVERLAP = 512
 #: White space in every library's reading of the pattern.
 _BLANKS = frozenset(" \n\r\t")
 
+RUN = 10_000
+#: Runs of what Unicode calls white space, which is what the library takes for it.
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
+
 _encodings: dict[int, object] = {}
 
 
@@ -58,6 +66,16 @@ class Tokenizer:
         return _encodings[self.key]
 
 
+def encoded(enc, text: str) -> list[int]:
+    """The ids of a text, whatever blank runs it holds."""
+    ids, at = [], 0
+    for m in _RUN.finditer(text) if len(text) >= RUN else ():
+        ids += enc.encode_ordinary(text[at : m.start()])
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        ids += enc._encode_single_piece(text[m.start() : at].encode())
+    return ids + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def packed(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
@@ -130,8 +148,8 @@ def _encoded(df: DataFrame, tokenizer: Tokenizer, text: str) -> DataFrame:
     """``df`` with ids binary (little-endian unsigned 32-bit) in place of its text."""
 
     def make() -> Callable:
-        encode = tokenizer.encoding().encode_ordinary
-        return lambda texts: [pa.array([packed(encode(t)) for t in texts], pa.binary())]
+        enc = tokenizer.encoding()
+        return lambda texts: [pa.array([packed(encoded(enc, t)) for t in texts], pa.binary())]
 
     return map_texts(df, make, "ids binary", drop=(text,), text=text)
 
@@ -194,7 +212,7 @@ def op3(docs: DataFrame, tokenizer: Tokenizer, chunk: int = CHUNK, overlap: int
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                yield made(part.column("doc_id"), [row([packed(enc.encode_ordinary(t or ""))], enc.decode_bytes) for t in texts])
+                yield made(part.column("doc_id"), [row([packed(encoded(enc, t or ""))], enc.decode_bytes) for t in texts])
 
     def of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer.encoding()
