@@ -3,8 +3,9 @@
 A word is a run of ASCII digits, ASCII letters (A-Z lower-cased) and characters beyond ASCII.
 A window is ``window`` consecutive words of one benchmark item; an item of fewer words is one
 window.  Windows are a fixed query set: they are broadcast in blocks of at most ``block_windows``
-distinct windows, and every document is scanned against every block, so nothing depends on how
-large the benchmark is.  Inside a task words become vocabulary numbers, windows become rolling
+distinct windows, one block at a time, and every document is scanned against every block: with more than
+one, each pass reads the staged documents and leaves its hits as a table, so neither the driver nor a worker
+ever holds two blocks.  Inside a task words become vocabulary numbers, windows become rolling
 hashes over them, and each hash hit is verified against the window itself.
 
 Defined cases: null or empty texts have no words and no hits; repeated documents give repeated
@@ -15,15 +16,16 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, map_texts, texts_of
+from tidemark.llm.common import WORDS, map_texts, texts_of, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -116,25 +118,22 @@ _cache: dict[str, _Index] = {}
 
 
 def _index(shared) -> _Index:
-    """The block's index, built once for each Python worker; at most four are kept."""
+    """The block's index, built once for each Python worker; only the last is kept."""
     if shared.value[0] not in _cache:
-        if len(_cache) >= 4:
-            _cache.clear()
+        _cache.clear()
         _cache[shared.value[0]] = _Index(shared.value[1])
     return _cache[shared.value[0]]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int) -> list:
-    """Broadcasts of all windows, ``block_windows`` at most in each."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int) -> Iterator[Broadcast]:
+    """Broadcasts (key, windows with items, whether there are several) of all windows, about ``block_windows`` in each, made one by one."""
     wins = benchmark_windows(benchmark, window).persist()
     try:
         blocks = max(1, -(-wins.count() // block_windows))
         part = F.pmod(F.xxhash64("win"), F.lit(blocks))
-        out = []
         for k in range(blocks):
             rows = [(bytes(r["win"]), list(r["items"])) for r in wins.filter(part == k).collect()]
-            out.append(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows)))
-        return out
+            yield docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows, blocks > 1))
     finally:
         wins.unpersist()
 
@@ -150,11 +149,12 @@ def scan(
     """One row per document: doc_id, n_words, hits array<struct<start,end>> (word positions, end
     exclusive, disjoint, ascending), items array<string> (sorted item ids).
 
-    No shuffle of documents: each block of windows is one more pass over the rows in place.
+    One pass over the rows in place and no shuffle, if one block holds all windows.
     """
     df = texts_of(docs, id_col, text_col)
     shape = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
-    for k, shared in enumerate(_blocks(docs, benchmark, window, block_windows)):
+    staged, passes = None, []
+    for shared in _blocks(docs, benchmark, window, block_windows):
 
         def make(shared=shared) -> Callable:
             index = _index(shared)
@@ -175,23 +175,35 @@ def scan(
 
             return helper
 
-        if k == 0:
-            df = map_texts(df, make, shape, drop=())
-            continue
-        named = df.withColumnsRenamed({"n_words": "w0", "hits": "h0", "items": "i0"})
-        both = map_texts(named, make, shape, drop=("w0",))
-        df = both.select("doc_id", "text", "n_words", _union("h0", "hits"), F.array_sort(F.array_union("i0", "items")).alias("items"))
-    return df.drop("text")
-
-
-def _union(a: str, b: str):
-    """Merge two columns of ranges into disjoint ones."""
-
-    @F.udf("array<struct<start:int,end:int>>")
-    def union(x, y):
-        return [{"start": s, "end": e} for s, e in merged([(r["start"], r["end"]) for r in [*x, *y]])]
-
-    return F.when(F.size(a) == 0, F.col(b)).when(F.size(b) == 0, F.col(a)).otherwise(union(a, b)).alias("hits")
+        if not shared.value[2]:
+            return map_texts(df, make, shape)
+        staged = written(df.withColumn("rid", F.monotonically_increasing_id())) if staged is None else staged
+        found = map_texts(staged, make, shape)
+        passes.append(written(found if not passes else found.filter(F.size("hits") > 0)))
+        shared.unpersist()
+    # The first pass has a row for each document, the others have those that they hit.
+    hits = passes[0]
+    for more in passes[1:]:
+        hits = hits.unionByName(more)
+    one = hits.groupBy("rid").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return one.select("doc_id", "n_words", _disjoint("hits"), "items")
+
+
+def _disjoint(ranges: str) -> Column:
+    """Ranges that may meet or overlap, merged into sorted disjoint ones."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        meets = (F.size(done) > 0) & (r["start"] <= F.try_element_at(done, F.lit(-1))["end"])
+        longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))
+        return F.when(meets, longer).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(kind), add).alias("hits")
 
 
 def decontaminate(
@@ -241,6 +253,9 @@ def decontaminate(
         df = df.withColumn("__text", F.col(text_col).cast("string"))
         df = map_texts(df, make, "__gone boolean, __new string", drop=("__text",), text="__text")
         df = df.filter(~F.col("__gone")).withColumn(text_col, F.coalesce("__new", text_col)).select(*columns)
+        if shared.value[2]:
+            df = written(df)
+            shared.unpersist()
     return df
 
 
