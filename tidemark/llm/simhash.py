@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER, map_texts, texts_of, written
 
 TILE = 1024
-PIVOTS = 8
+PIVOTS = 16
 SEED = 42
 #: Bit blocks as (lowest bit, width); with at most three differing bits two of five stay whole.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -390,9 +390,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = state(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # Checkpointed, the smaller side has no partitioning of its own, so Spark can split the rows of a node with many links.
+        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")).checkpoint()
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = small.select("e.u", "e.v").filter("u <> v").distinct().checkpoint()
         before, now = now, state(e)
@@ -412,7 +413,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = STRICT, id_col: str = "doc_id"
         distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits"))
         roots = components(links(distinct.select("fp", "bits"), rule))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Written, so that neither side of the join by root is bound to a partitioning and Spark can split a large component.
+    lows = written(classes.groupBy("root").agg(F.min("low").alias("component_id")))
     return fps.select("doc_id", "fp").join(classes.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
