@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -222,6 +222,18 @@ def latest_sentiment(scored: DataFrame, articles: DataFrame) -> DataFrame:
     return latest_by(df, ["company_id"], ["published_at", "article_id"]).select("company_id", "sentiment_label", "sentiment_score")
 
 
+def company_news(links: DataFrame, articles: DataFrame, scored: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page of each company's linked articles, newest first and undated ones before, with their sentiment where ``scored``
+    (article_id, ..., or with company_id) has one; place counts from 1.
+
+    The window's partial limit keeps ``offset + limit`` rows of a company in each task before the shuffle.
+    """
+    by = ["article_id", *(["company_id"] if "company_id" in scored.columns else [])]
+    df = links.join(articles.select("article_id", "title", "canonical_url", "media_name", "published_at"), "article_id").join(scored, by, "left")
+    w = Window.partitionBy("company_id").orderBy(F.col("published_at").desc_nulls_first(), F.desc("article_id"))
+    return df.withColumn("place", F.row_number().over(w)).filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
+
+
 def feed_window(items: DataFrame, since: Column, until: Column) -> DataFrame:
     """Feed items with url, title and a date inside the window."""
     return items.filter(F.col("canonical_url").isNotNull() & (F.col("title") != "") & (F.col("published_at") >= since) & (F.col("published_at") <= until))

@@ -51,14 +51,34 @@ def multiple_history(ratios: DataFrame, ratio: str, as_of: Column) -> DataFrame:
 def peer_multiples(latest: DataFrame, companies: DataFrame, ratio: str) -> DataFrame:
     """(company_id, q, n): quartiles of the latest positive multiples of the other equities of a sector.
 
-    A sector's multiples are gathered once, by a window of one value for each company, and each
-    company leaves itself out.
+    A sector's multiples (one number for each company) are sorted once.  Of the sorted values only those at the places of the
+    quartiles go on, a row for each sector, and each company leaves itself out by its own value: without it, what stands at
+    a place is the next value if the company's own is not above the one there.  No company meets every other.
     """
     equities = companies.filter("asset_type = 'equity' and status = 'active' and sector is not null").select("company_id", "sector")
     values = latest.filter((F.col("ratio") == ratio) & (F.col("value") > 0)).select("company_id", "value")
-    peers = F.broadcast(equities).join(values, "company_id")
-    pairs = equities.join(peers.select("sector", F.col("company_id").alias("peer"), "value"), "sector").filter("peer <> company_id")
-    return pairs.groupBy("company_id").agg(quartiles(F.col("value")).alias("q"), F.count("value").alias("n"))
+    own = equities.join(values, "company_id", "left")
+    sectors = own.groupBy("sector").agg(F.sort_array(F.collect_list("value")).alias("v")).withColumn("k", F.size("v"))
+    at = lambda i: F.get("v", i)
+    parts = {}
+    for name, rest in (("all", F.col("k")), ("less", F.col("k") - 1)):
+        for p in (0.25, 0.5, 0.75):
+            place = p * (rest - 1)
+            low = F.floor(place).cast("int")
+            parts[f"{name}_{p}"] = F.struct(at(low).alias("a"), at(low + 1).alias("b"), at(low + 2).alias("c"), (place - low).alias("part"))
+    places = sectors.select("sector", "k", *(c.alias(n) for n, c in parts.items()))
+
+    def quartile(p: float) -> Column:
+        whole, less = F.col(f"`all_{p}`"), F.col(f"`less_{p}`")
+        low = F.when(F.col("value") > less["a"], less["a"]).otherwise(less["b"])
+        high = F.when(F.col("value") > less["b"], less["b"]).otherwise(less["c"])
+        left, right = (F.when(F.col("value").isNull(), whole[x]).otherwise(y) for x, y in (("a", low), ("b", high)))
+        part = F.when(F.col("value").isNull(), whole["part"]).otherwise(less["part"])
+        return F.when(part == 0, left).otherwise(left + (right - left) * part)
+
+    n = (F.col("k") - F.col("value").isNotNull().cast("int")).cast("bigint")
+    out = own.join(F.broadcast(places), "sector").withColumn("n", n).filter("n > 0")  # a row for each sector
+    return out.select("company_id", F.array(*(quartile(p) for p in (0.25, 0.5, 0.75))).alias("q"), "n")
 
 
 def value_per_share(fcf: Column, cash: Column, debt: Column, shares: Column, r: float, g: float, terminal: float, years: int) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from tidemark.operators import catalog as c
 from tidemark.operators import sinks as s
 from tidemark.sources import landed
 from tidemark.sources import projections as p
+from tidemark.sources.stored import shared_path
 from tidemark.streaming import jobs
 
 
@@ -86,16 +84,20 @@ GROUP BY company_id, trade_date"""
 
 
 def article_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK4: articles of even ids known, of ids up to 700 arriving again; the media name stays, the title changes."""
+    """SNK4: all articles known but those of the last source by name, those of the first and the last arriving: of known
+    ones the media name stays and the title changes."""
     a = p.articles(spark, sf_dir).select("canonical_url", "title", "media_name", "article_id")
-    new = a.filter("article_id <= 700").withColumns({"title": F.concat(F.lit("* "), "title"), "media_name": F.lit("again")})
-    return s.upsert_columns(a.filter("article_id % 2 = 0"), new, ["canonical_url"], ["title"])
+    ends = F.broadcast(a.agg(F.min("media_name").alias("first"), F.max("media_name").alias("last")))
+    both = a.crossJoin(ends)  # with one row
+    known = both.filter(~F.col("media_name").eqNullSafe(F.col("last"))).select(*a.columns)
+    new = both.filter(F.col("media_name").isin(F.col("first"), F.col("last"))).select(*a.columns)
+    return s.upsert_columns(known, new.withColumns({"title": F.concat(F.lit("* "), "title"), "media_name": F.lit("again")}), ["canonical_url"], ["title"])
 
 
 ARTICLES = """
-SELECT canonical_url, CASE WHEN article_id <= 700 THEN '* ' || title ELSE title END AS title,
-       CASE WHEN article_id % 2 = 0 THEN media_name ELSE 'again' END AS media_name, article_id
-FROM articles WHERE article_id % 2 = 0 OR article_id <= 700"""
+WITH e AS (SELECT min(media_name) AS a, max(media_name) AS z FROM articles)
+SELECT canonical_url, CASE WHEN media_name IN (a, z) THEN '* ' || title ELSE title END AS title,
+       CASE WHEN media_name = z THEN 'again' ELSE media_name END AS media_name, article_id FROM articles, e"""
 
 
 def backfill_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,16 +112,20 @@ SELECT company_id, greatest(DATE '1998-02-28', min(trade_date)) AS backfill_from
 
 
 def company_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """suppliers known except every seventh, listed again with a new name for every fifth."""
-    known = p.companies(spark, sf_dir).filter("company_id % 7 <> 0").select("ticker", "company_name", "asset_type")
-    listed = p.companies(spark, sf_dir).filter("company_id % 3 <> 0").select("ticker", F.when(F.col("company_id") % 5 == 0, F.concat("company_name", F.lit(" Tbk"))).otherwise(F.col("company_name")).alias("company_name"), "asset_type")
-    return c.sync_companies(known, listed)
+    """companies known except those of the first industry by name, listed except those of the last, under a new name in
+    one sector."""
+    df = p.companies(spark, sf_dir)
+    df = df.crossJoin(F.broadcast(df.agg(F.min("industry").alias("first"), F.max("industry").alias("last"))))  # with one row
+    known = df.filter("industry <> first").select("ticker", "company_name", "asset_type")
+    name = F.when(F.col("sector") == "ASIA", F.concat("company_name", F.lit(" Tbk"))).otherwise(F.col("company_name")).alias("company_name")
+    return c.sync_companies(known, df.filter("industry <> last").select("ticker", name, "asset_type"))
 
 
 SYNC = """
-SELECT ticker, CASE WHEN company_id % 5 = 0 AND company_id % 3 <> 0 THEN company_name || ' Tbk' ELSE company_name END AS company_name, asset_type,
-       CASE WHEN company_id % 7 = 0 THEN 'created' WHEN company_id % 5 = 0 AND company_id % 3 <> 0 THEN 'updated' ELSE 'unchanged' END AS change
-FROM companies WHERE company_id % 7 <> 0 OR company_id % 3 <> 0"""
+WITH e AS (SELECT min(industry) AS a, max(industry) AS z FROM companies)
+SELECT ticker, CASE WHEN sector = 'ASIA' AND industry <> z THEN company_name || ' Tbk' ELSE company_name END AS company_name, asset_type,
+       CASE WHEN industry = a THEN 'created' WHEN sector = 'ASIA' AND industry <> z THEN 'updated' ELSE 'unchanged' END AS change
+FROM companies, e WHERE industry <> a OR industry <> z"""
 
 
 def close_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +141,10 @@ SELECT 'ihsg_composite' AS series_code, trade_date AS observation_date, round(ma
 
 def stream_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST3: all events to daily bars through a stream, upserted into a table."""
-    # A pattern, since a stream's path is else taken for a folder.
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(f"{path}/lineage")
+    # A pattern, since a stream's path is else taken for a folder.
     bars = jobs.daily_bars(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet", None))
     jobs.upsert_stream(bars, f"{path}/bars", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/bars").select("company_id", "trade_date", "open", "high", "low", "close", "volume")

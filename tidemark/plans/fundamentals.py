@@ -10,6 +10,7 @@ from tidemark.operators import fundamentals as f
 from tidemark.operators import valuation as v
 from tidemark.operators.asof import asof_join, latest_by, value_at
 from tidemark.sources import projections as p
+from tidemark.sources.stored import stored
 
 AS_OF = "1999-06-30"
 ASSUMED = v.Assumptions(0.12, 0.06, 0.03, 5)
@@ -93,18 +94,28 @@ SELECT company_id, ratio || '_percentile_in_sector' AS metric_name,
 FROM k QUALIFY count(*) OVER (PARTITION BY sector, ratio) >= 3"""
 
 
-def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, bars = p.items(spark, sf_dir), p.bars(spark, sf_dir)
-    return v.valuations(p.companies(spark, sf_dir), items, f.ratios(items, bars), bars, _as_of(), ASSUMED)
+def _valued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(valuations, ratios).  Items, bars and ratios are stored once: a dozen branches read them, and the base table is read
+    for them three times, not once for each branch."""
+    items, bars = stored(p.items(spark, sf_dir), "items"), stored(p.bars(spark, sf_dir).select("company_id", "trade_date", "close"), "bars")
+    ratios = stored(f.ratios(items, bars), "ratios")
+    return v.valuations(p.companies(spark, sf_dir), items, ratios, bars, _as_of(), ASSUMED), ratios
+
+
+_STEPS = (-v.STEP, 0.0, v.STEP)
+#: Column and key of each grid cell, by steps of the discount and the growth rate.
+_CELLS = {
+    f"grid_{i}{j}": f"discount_{ASSUMED.discount_rate + a:.4f}__growth_{ASSUMED.growth_rate + b:.4f}" for i, a in enumerate(_STEPS) for j, b in enumerate(_STEPS)
+}
 
 
 def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base grid cell and the weights as text."""
+    """All nine grid cells, and the methods as text."""
     weights = F.array_join(F.transform(F.array_sort(F.map_keys("methods_used")), lambda k: k), ",")
     shown = [F.round(f"fair_value_{s}", 4).alias(f"fair_value_{s}") for s in (*v.SCENARIOS, "conservative")]
-    cell = F.round(F.col("grid")["discount_0.1300__growth_0.0500"], 4).alias("grid_cell")
+    cells = [F.round(F.col("grid")[k], 4).alias(n) for n, k in _CELLS.items()]
     price = F.col("current_price").alias("current_price")
-    return _valued(spark, sf_dir).select("company_id", *shown, weights.alias("methods"), F.round("data_quality_score", 6).alias("data_quality_score"), price, "price_date", cell)
+    return _valued(spark, sf_dir)[0].select("company_id", *shown, weights.alias("methods"), F.round("data_quality_score", 6).alias("data_quality_score"), price, "price_date", *cells)
 
 
 def _dcf(r: float, g: float, t: float) -> str:
@@ -141,7 +152,7 @@ _VALUED = f"""{_RATIOS}, {_THEN}
 ), m AS (
   SELECT *, {_quart("eps", "pe")} AS m1, {_quart("bvps", "pb")} AS m2, {_quart("eps", "peer_pe")} AS m3, {_quart("bvps", "peer_pb")} AS m4,
          CASE WHEN fcf > 0 AND shares > 0 AND cash IS NOT NULL AND debt IS NOT NULL THEN [{_dcf(_R + _S, _G - _S, _T - _S)}, {_dcf(_R, _G, _T)}, {_dcf(_R - _S, _G + _S, _T + _S)}] END AS m5,
-         CASE WHEN fcf > 0 AND shares > 0 THEN {_dcf(_R + _S, _G - _S, _T)} END AS cell
+         {", ".join(f"CASE WHEN fcf > 0 AND shares > 0 THEN {_dcf(_R + a, _G + b, _T)} END AS grid_{i}{j}" for i, a in enumerate(_STEPS) for j, b in enumerate(_STEPS))}
   FROM j
 ), u AS (SELECT *, list_filter([m1, m2, m3, m4, m5], lambda x: x IS NOT NULL) AS used FROM m
 ), valued AS (
@@ -156,13 +167,13 @@ WITH {_VALUED}
 SELECT company_id, round(bear, 4) AS fair_value_bear, round(base, 4) AS fair_value_base, round(bull, 4) AS fair_value_bull,
        round(conservative, 4) AS fair_value_conservative,
        array_to_string(list_sort(list_filter([{_NAMES}], lambda x: x IS NOT NULL)), ',') AS methods,
-       round(quality, 6) AS data_quality_score, current_price, price_date, round(cell, 4) AS grid_cell
+       round(quality, 6) AS data_quality_score, current_price, price_date, {", ".join(f"round({c}, 4) AS {c}" for c in _CELLS)}
 FROM valued"""
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F17 to F22."""
-    df = v.recommendations(_valued(spark, sf_dir), _ratios(spark, sf_dir))
+    df = v.recommendations(*_valued(spark, sf_dir))
     zone = [F.round(f"entry_zone.{k}", 4).alias(f"entry_{k}") for k in ("low", "high")]
     return df.select("company_id", "label", "valuation_position", "fundamental_quality", F.round("confidence", 3).alias("confidence"), F.array_join("guardrails", ",").alias("guardrails"), *zone)
 
@@ -196,7 +207,7 @@ FROM recommended"""
 
 def screener(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 by confidence."""
-    df = v.screener(v.recommendations(_valued(spark, sf_dir), _ratios(spark, sf_dir)), p.companies(spark, sf_dir), limit=20)
+    df = v.screener(v.recommendations(*_valued(spark, sf_dir)), p.companies(spark, sf_dir), limit=20)
     return df.select("ticker", "label", F.round("confidence", 3).alias("confidence"), "total")
 
 
@@ -283,9 +294,8 @@ FROM j"""
 
 def company_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest ratios as a map, valuation and label in one row for each company."""
-    ratios = _ratios(spark, sf_dir)
+    valued, ratios = _valued(spark, sf_dir)
     pairs = f.latest_ratios(ratios).groupBy("company_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ratio", "value")))).alias("ratios"))
-    valued = _valued(spark, sf_dir)
     rec = v.recommendations(valued, ratios).select("company_id", "label", "fair_value_base")
     df = p.companies(spark, sf_dir).join(pairs, "company_id", "left").join(rec, "company_id", "left")
     return df.select("company_id", "ticker", "sector", F.size(F.coalesce("ratios", F.create_map().cast("map<string,double>"))).cast("bigint").alias("n_ratios"),

@@ -104,16 +104,35 @@ def sentiment_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T3, J7, SRC13, SRC14: each source's newest article in a window that names a frequent word."""
-    start, end = (F.lit(x).cast("timestamp_ntz") for x in ("2020-01-01 01:00:00", "2020-01-01 13:00:00"))
-    df = n.feed_window(p.articles(spark, sf_dir), start, end).filter(n.mentions(F.concat_ws(" ", "title", "summary"), "The"))
+    """SRC13, SRC14: each source's newest article that names a frequent word, from an hour after the first article of all."""
+    a = p.articles(spark, sf_dir)
+    a = a.crossJoin(F.broadcast(a.agg(F.min("published_at").alias("since"), F.max("published_at").alias("until"))))  # with one row
+    df = n.feed_window(a, F.col("since") + F.expr("interval 1 hour"), F.col("until")).filter(n.mentions(F.concat_ws(" ", "title", "summary"), "The"))
     return latest_by(df.select("media_name", "article_id", "published_at"), ["media_name"], ["published_at", "article_id"])
 
 
 NEWEST = r"""
 SELECT media_name, article_id, published_at FROM articles
-WHERE published_at BETWEEN TIMESTAMP '2020-01-01 01:00:00' AND TIMESTAMP '2020-01-01 13:00:00' AND title <> '' AND regexp_matches(title || ' ' || summary, '(^|[^\pL\pN_])The([^\pL\pN_]|$)')
+WHERE published_at >= (SELECT min(published_at) + INTERVAL 1 HOUR FROM articles) AND title <> '' AND regexp_matches(title || ' ' || summary, '(^|[^\pL\pN_])The([^\pL\pN_]|$)')
 QUALIFY row_number() OVER (PARTITION BY media_name ORDER BY published_at DESC, article_id DESC) = 1"""
 
-QUERIES = {"entity_links": entity_links, "finance_rules": finance_rules, "sentiment_by_company": sentiment_by_company, "newest_articles": newest_articles}
-ORACLE_SQL = {"entity_links": ENTITY_LINKS, "finance_rules": FINANCE_RULES, "newest_articles": p.oracle(NEWEST, "articles")}
+def company_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each company's first page of news, newest first and undated ones before, with its sentiment if it was scored."""
+    companies = _companies(spark, sf_dir)
+    articles = p.articles(spark, sf_dir).withColumn("published_at", F.when(F.length("summary") % 7 != 0, F.col("published_at")))
+    links = n.entity_links(articles.withColumn("text", F.col("summary")), n.dictionary(companies))
+    scored = finance_rules(spark, sf_dir).filter("signal <> 0").select("article_id", "sentiment_label")
+    page = n.company_news(links, articles, scored, limit=5)
+    return page.select("company_id", "place", "article_id", "published_at", "relevance_score", "sentiment_label")
+
+
+COMPANY_NEWS = rf"""
+WITH links AS ({ENTITY_LINKS}), scored AS ({FINANCE_RULES}), n AS (
+  SELECT company_id, l.article_id, CASE WHEN length(summary) % 7 <> 0 THEN published_at END AS published_at, relevance_score, CASE WHEN signal <> 0 THEN sentiment_label END AS sentiment_label
+  FROM links l JOIN articles a USING (article_id) JOIN scored USING (article_id)
+), k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY published_at DESC NULLS FIRST, article_id DESC) AS place FROM n)
+SELECT company_id, place, article_id, published_at, relevance_score, sentiment_label FROM k WHERE place <= 5"""
+
+
+QUERIES = {"entity_links": entity_links, "finance_rules": finance_rules, "sentiment_by_company": sentiment_by_company, "newest_articles": newest_articles, "company_news": company_news}
+ORACLE_SQL = {"entity_links": ENTITY_LINKS, "finance_rules": FINANCE_RULES, "newest_articles": p.oracle(NEWEST, "articles"), "company_news": p.oracle(COMPANY_NEWS, "articles")}
