@@ -15,8 +15,9 @@ def _c(x: Column | str) -> Column:
 # Bars
 
 
-def bar_errors(today: Column | None = None) -> Column:
-    """Array of every error of a bar, in a fixed order; a null never fails a check."""
+def bar_errors(today: Column | None = None, say_today: bool = False) -> Column:
+    """Array of every error of a bar, in a fixed order; a null never fails a check.  ``say_today``: the error of a future
+    date names the day it was checked on."""
 
     def say(*parts: str) -> Column:
         return F.concat(*(F.col(p[1:]).cast("string") if p[0] == "$" else F.lit(p) for p in parts))
@@ -29,7 +30,7 @@ def bar_errors(today: Column | None = None) -> Column:
     checks += [(F.col("low") > F.col(p), beyond("low", ">", p)) for p in ("open", "close")]
     checks += [(F.col("volume") < 0, say("volume must be >= 0, got ", "$volume"))]
     if today is not None:
-        checks += [(F.col("trade_date") > today, say("trade_date ", "$trade_date", " is in the future"))]
+        checks += [(F.col("trade_date") > today, F.concat(say("trade_date ", "$trade_date", " is in the future"), *([F.lit(" (today="), today.cast("string"), F.lit(")")] if say_today else [])))]
     return F.array_compact(F.array(*(F.when(bad, text) for bad, text in checks)))
 
 
@@ -150,6 +151,16 @@ def expected_latest_day(moment: Column | str, close_hour: int = 19) -> Column:
     return F.when((F.hour(_c(moment)) >= close_hour) & ~is_weekend(day), day).otherwise(previous_trading_day(day))
 
 
+#: When the exchange opens and closes, Jakarta time.
+SESSION = ("09:00:00", "16:00:00")
+
+
+def session_open(moment: Column | str) -> Column:
+    """Whether a local moment lies in a weekday's session, both ends included."""
+    at = F.date_format(_c(moment), "HH:mm:ss.SSSSSS")
+    return ~is_weekend(F.to_date(_c(moment))) & (at >= f"{SESSION[0]}.000000") & (at <= f"{SESSION[1]}.000000")
+
+
 def freshness(latest: Column | str, moment: Column | str) -> Column:
     """fresh, awaiting_eod (one day behind), provider_delayed (up to three) or stale."""
     expected = expected_latest_day(moment)

@@ -98,21 +98,16 @@ def entity_links(articles: DataFrame, needles: DataFrame, text: str = "text", me
     An article's distinct words (tickers are case-sensitive) and its distinct n-grams, of the sizes that
     names have, are joined to the dictionary by equality: no text is held against every name.
     """
+    # Distinct numbers of words in names: a handful.
     sizes = [r["size"] for r in needles.filter("size > 0").select("size").distinct().collect()]
-    words = F.array_distinct(F.split(F.col(text), r"(?U)[^\w]+"))
-    raw = articles.select("article_id", F.explode(words).alias("needle")).withColumn("size", F.lit(0))
-    parts = articles.select("article_id", F.split(normalized(text), " ").alias("w"))
-    grams = [
-        parts.filter(F.size("w") >= n).select(
-            "article_id",
-            F.explode(F.array_distinct(_grams(F.col("w"), n))).alias("needle"),
-            F.lit(n).alias("size"),
-        )
-        for n in sizes
-    ]
-    found = raw
-    for g in grams:
-        found = found.unionByName(g)
+    words = articles.select("article_id", F.split(F.col(text), r"(?U)[^\w]+").alias("t"), F.split(normalized(text), " ").alias("w"))
+
+    def sized(found: Column, n: int) -> Column:
+        return F.transform(F.array_distinct(found), lambda x: F.struct(x.alias("needle"), F.lit(n).alias("size")))
+
+    none = F.array().cast("array<string>")
+    kinds = [sized(F.coalesce("t", none), 0), *(sized(F.when(F.size("w") >= n, _grams(F.col("w"), n)).otherwise(none), n) for n in sizes)]
+    found = words.select("article_id", F.explode(F.concat(*kinds)).alias("g")).select("article_id", "g.needle", "g.size")
     hits = found.join(needles, ["needle", "size"]).select("article_id", "company_id", "method", "needle")
     if mentioned:
         said = articles.select("article_id", F.explode(F.transform(mentioned, lambda t: F.upper(t))).alias("needle"))

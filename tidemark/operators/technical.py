@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import ewm, full
-from tidemark.functions.rules import finite, resolved_price, safe_div
+from tidemark.functions.rules import bar_errors, finite, resolved_price, safe_div
 
 SMA = (5, 10, 20, 50, 100, 200)
 MOMENTUM = (5, 20, 60, 120, 252)
@@ -53,6 +53,13 @@ def clean_prices(bars: DataFrame, policy: str = "raw") -> DataFrame:
     )
 
 
+def split_valid(bars: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
+    """(valid bars, bars kept out as (raw_row, errors)): each bar is in one of them, whatever is null in it."""
+    checked = bars.withColumn("errors", bar_errors(today, say_today=True))
+    bad = checked.filter(F.size("errors") > 0).select(F.struct(*(F.col(c) for c in bars.columns)).alias("raw_row"), "errors")
+    return checked.filter(F.size("errors") == 0).drop("errors"), bad
+
+
 def scaled(bars: DataFrame) -> DataFrame:
     """Open, high, low and close times the adjustment factor (1 where unknown); volume as it is."""
     factor = F.coalesce("adjustment_factor", F.lit(1.0))

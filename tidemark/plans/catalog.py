@@ -150,6 +150,17 @@ def stream_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/bars").select("company_id", "trade_date", "open", "high", "low", "close", "volume")
 
 
+def stream_unique_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: the days on which each user was seen, from a stream that lets the first event of a user and day through."""
+    path = shared_path(spark, "stream")
+    events = jobs.event_stream(spark, f"{sf_dir}/event[s].parquet", None).withColumns({"company_id": F.col("user_id"), "trade_date": F.to_date("ts")})
+    unique = jobs.unique_stream(events, ["company_id", "trade_date"]).select("company_id", "trade_date")
+    sink = unique.writeStream.format("parquet").option("path", f"{path}/days").option("checkpointLocation", f"{path}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(unique.schema).parquet(f"{path}/days")
+
+
+DAYS = "SELECT DISTINCT user_id AS company_id, CAST(ts AS DATE) AS trade_date FROM events"
 STREAM = """
 SELECT user_id AS company_id, CAST(ts AS DATE) AS trade_date, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
        last(value ORDER BY ts, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2"""
@@ -165,6 +176,7 @@ QUERIES = {
     "company_sync": company_sync,
     "close_series": close_series,
     "stream_daily_bars": stream_daily_bars,
+    "stream_unique_days": stream_unique_days,
 }
 ORACLE_SQL = {
     "spread_sample": p.oracle(SPREAD, "companies"),
@@ -177,4 +189,5 @@ ORACLE_SQL = {
     "company_sync": p.oracle(SYNC, "companies"),
     "close_series": p.oracle(SERIES, "index_series"),
     "stream_daily_bars": STREAM,
+    "stream_unique_days": DAYS,
 }

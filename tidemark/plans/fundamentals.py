@@ -320,17 +320,19 @@ FROM companies"""
 
 def latest_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each company's last bar and how fresh it is at a moment."""
-    from tidemark.functions.rules import freshness, trading_days_between
+    from tidemark.functions.rules import freshness, session_open, trading_days_between
 
     last = latest_by(p.bars(spark, sf_dir).select("company_id", "trade_date", "close"), ["company_id"], ["trade_date"])
     moment = F.lit("2001-11-05 20:00:00").cast("timestamp_ntz")
-    return last.select("company_id", "trade_date", "close", freshness("trade_date", moment).alias("freshness"), trading_days_between("trade_date", F.lit("2001-11-05").cast("date")).alias("gap"))
+    # The session's moments: each company's last day at an hour and minute of its own.
+    at = F.col("trade_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("company_id") % 24).cast("int"), ((F.col("company_id") * 30) % 60).cast("int"))
+    return last.select("company_id", "trade_date", "close", session_open(at).alias("session_open"), freshness("trade_date", moment).alias("freshness"), trading_days_between("trade_date", F.lit("2001-11-05").cast("date")).alias("gap"))
 
 
 LATEST_BAR = """
 WITH l AS (SELECT company_id, max(trade_date) AS trade_date, arg_max(close, trade_date) AS close FROM bars GROUP BY 1),
 g AS (SELECT *, CAST((SELECT count(*) FROM range(trade_date + 1, DATE '2001-11-06', INTERVAL 1 DAY) d(x) WHERE isodow(x) < 6) AS INTEGER) AS gap FROM l)
-SELECT company_id, trade_date, close, CASE WHEN trade_date >= DATE '2001-11-05' THEN 'fresh' WHEN gap <= 1 THEN 'awaiting_eod' WHEN gap <= 3 THEN 'provider_delayed' ELSE 'stale' END AS freshness, gap FROM g"""
+SELECT company_id, trade_date, close, isodow(trade_date) < 6 AND (company_id % 24) * 60 + company_id * 30 % 60 BETWEEN 540 AND 960 AS session_open, CASE WHEN trade_date >= DATE '2001-11-05' THEN 'fresh' WHEN gap <= 1 THEN 'awaiting_eod' WHEN gap <= 3 THEN 'provider_delayed' ELSE 'stale' END AS freshness, gap FROM g"""
 
 QUERIES = {
     "statement_ratios": statement_ratios,

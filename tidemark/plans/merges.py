@@ -28,23 +28,28 @@ SELECT CAST(p_partkey AS VARCHAR) AS ticker, p_partkey || '.JK' AS symbol,
 
 
 def split_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC4, SNK10: a dividend and a split for each supplier in its first year, upserted over earlier ones."""
+    """SRC4, SNK10: a dividend and a split for each supplier in its first year, upserted over earlier ones of the same provider."""
     b = p.bars(spark, sf_dir).groupBy(F.col("company_id").alias("ticker")).agg(F.min("trade_date").alias("ex_date"))
     ratio = F.when(F.col("ticker") % 3 == 0, 0.25).otherwise((F.col("ticker") % 4 + 2).cast("double"))
     day = lambda x: F.lit(x).cast("date")
     new = landed.corporate_actions(b.withColumn("amount", F.lit(1.5)), b.withColumn("ratio", ratio), day("1995-01-01"), day("2001-12-31")).withColumn("retrieved_at", day("2024-01-02"))
-    old = new.filter("ticker % 2 = 0").withColumns({"cash_amount": F.lit(1.0), "retrieved_at": day("2024-01-01")})
-    return s.upsert(old, new, ["ticker", "action_type", "ex_date"]).select("ticker", "action_type", "ex_date", "cash_amount", "split_from", "split_to")
+    new = new.withColumn("provider", F.lit("first"))
+    old = new.withColumns({"cash_amount": F.lit(1.0), "retrieved_at": day("2024-01-01"), "provider": F.when(F.col("ticker") % 2 == 0, "first").otherwise("second")})
+    return s.upsert(old, new, ["ticker", "action_type", "ex_date", "provider"]).select("ticker", "action_type", "ex_date", "provider", "cash_amount", "split_from", "split_to")
 
 
 ACTIONS = """
-WITH b AS (SELECT company_id AS ticker, min(trade_date) AS ex_date FROM bars GROUP BY 1)
-SELECT ticker, 'cash_dividend' AS action_type, ex_date, 1.5::DOUBLE AS cash_amount, NULL::DOUBLE AS split_from, NULL::DOUBLE AS split_to FROM b UNION ALL
-SELECT ticker, CASE WHEN ticker % 3 = 0 THEN 'reverse_split' ELSE 'stock_split' END, ex_date, NULL, CASE WHEN ticker % 3 = 0 THEN 4 ELSE 1 END, CASE WHEN ticker % 3 = 0 THEN 1 ELSE ticker % 4 + 2 END FROM b"""
+WITH b AS (SELECT company_id AS ticker, min(trade_date) AS ex_date FROM bars GROUP BY 1
+), a AS (
+  SELECT ticker, 'cash_dividend' AS action_type, ex_date, 1.5::DOUBLE AS cash_amount, NULL::DOUBLE AS split_from, NULL::DOUBLE AS split_to FROM b UNION ALL
+  SELECT ticker, CASE WHEN ticker % 3 = 0 THEN 'reverse_split' ELSE 'stock_split' END, ex_date, NULL, CASE WHEN ticker % 3 = 0 THEN 4 ELSE 1 END, CASE WHEN ticker % 3 = 0 THEN 1 ELSE ticker % 4 + 2 END FROM b
+)
+SELECT ticker, action_type, ex_date, 'first' AS provider, cash_amount, split_from, split_to FROM a UNION ALL
+SELECT ticker, action_type, ex_date, 'second', 1.0::DOUBLE, split_from, split_to FROM a WHERE ticker % 2 = 1"""
 
 
 def statement_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK8, T7: official documents of odd suppliers stay, whatever arrives later; else the newest counts."""
+    """SNK8: official documents of odd suppliers stay, whatever arrives later; else the newest counts."""
     a = p.statements(spark, sf_dir).filter("statement_type = 'annual'").select("company_id", "fiscal_period", "revenue")
     day = lambda x: F.lit(x).cast("date")
     first = a.withColumns({"source_format": F.when(F.col("company_id") % 2 == 1, "xbrl").otherwise("pdf"), "retrieved_at": day("2024-01-01")})
@@ -58,6 +63,19 @@ SELECT company_id, fiscal_period, CASE WHEN company_id % 2 = 1 THEN 'xbrl' ELSE
        round(CASE WHEN company_id % 2 = 1 THEN revenue ELSE revenue * 2 END, 2) AS revenue FROM statements WHERE statement_type = 'annual'"""
 
 
+def merged_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual periods of two providers; the first lacks the years that end in 5, and where both have one its own stays."""
+    a = p.statements(spark, sf_dir).filter("statement_type = 'annual'").select("company_id", "fiscal_period", "revenue")
+    first = a.filter("fiscal_period not like '%5FY'").withColumn("provider", F.lit("first"))
+    out = c.merged_periods(first, a.withColumns({"revenue": F.col("revenue") * 2, "provider": F.lit("second")}), ["company_id", "fiscal_period"])
+    return out.select("company_id", "fiscal_period", "provider", F.round("revenue", 2).alias("revenue"))
+
+
+MERGED = """
+SELECT company_id, fiscal_period, CASE WHEN fiscal_period LIKE '%5FY' THEN 'second' ELSE 'first' END AS provider,
+       round(CASE WHEN fiscal_period LIKE '%5FY' THEN revenue * 2 ELSE revenue END, 2) AS revenue FROM statements WHERE statement_type = 'annual'"""
+
+
 def snapshot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK5, SNK6: today's rows of every third supplier replaced, other days and suppliers untouched."""
     sup = p.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_acctbal").alias("value"))
@@ -131,6 +149,7 @@ QUERIES = {
     "listing_types": listing_types,
     "split_actions": split_actions,
     "statement_priority": statement_priority,
+    "merged_statements": merged_statements,
     "snapshot_replace": snapshot_replace,
     "absent_only": absent_only,
     "failure_summary": failure_summary,
@@ -141,6 +160,7 @@ ORACLE_SQL = {
     "listing_types": LISTING,
     "split_actions": p.oracle(ACTIONS, "bars"),
     "statement_priority": p.oracle(PRIORITY, "statements"),
+    "merged_statements": p.oracle(MERGED, "statements"),
     "snapshot_replace": REPLACE,
     "absent_only": p.oracle(ABSENT, "articles"),
     "failure_summary": FAILURES,

@@ -34,6 +34,13 @@ def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("company_id"), F.element_at(F.split("text", r"(?U)[^\w]+"), 1).alias("ticker"), F.array_join(words, " ").alias("company_name"))
 
 
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifth word of an item as a former ticker, its fourth to sixth as a former name."""
+    words = F.split("text", r"\s+")
+    ticker = F.try_element_at(F.split("text", r"(?U)[^\w]+"), F.lit(5))
+    return p.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("company_id"), ticker.alias("previous_ticker"), F.array_join(F.slice(words, 4, 3), " ").alias("previous_name"))
+
+
 _COMPANIES = r"""co AS (SELECT item_id AS company_id, upper(regexp_split_to_array(text, '[^\pL\pN_]+')[1]) AS ticker,
   array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ') AS company_name FROM benchmark)"""
 
@@ -47,13 +54,14 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J15, N1 to N3, N13."""
-    articles = p.articles(spark, sf_dir).withColumn("text", F.col("summary"))
-    links = n.entity_links(articles, n.dictionary(_companies(spark, sf_dir)))
+    """Tickers, names, former tickers and names, and tickers that the provider names (an article's first word)."""
+    said = F.array(F.element_at(F.split("summary", r"(?U)[^\w]+"), 1))
+    articles = p.articles(spark, sf_dir).withColumn("text", F.col("summary")).filter("summary is not null").withColumn("said", said)
+    links = n.entity_links(articles, n.dictionary(_companies(spark, sf_dir), _aliases(spark, sf_dir)), mentioned="said")
     return links.select("article_id", "company_id", "relevance_score", "match_method")
 
 
-ENTITY_LINKS = rf"""
+_LINKS = rf"""
 WITH {_COMPANIES}, v AS (SELECT company_id, {_norm("company_name")} AS v FROM co
 ), k AS (SELECT * FROM v WHERE length(v) >= 8 AND (contains(v, ' ') OR length(v) >= 12)
 ), d AS (SELECT doc_id AS article_id, ' ' || {_norm("text")} || ' ' AS nt, regexp_split_to_array(text, '[^\pL\pN_]+') AS toks FROM documents
@@ -63,6 +71,23 @@ SELECT article_id, company_id, CASE WHEN t THEN 0.98::DOUBLE ELSE 0.9 END AS rel
 FROM (SELECT article_id, company_id, bool_or(t) AS t FROM (SELECT *, true AS t FROM tk UNION ALL SELECT *, false FROM nm) GROUP BY 1, 2)"""
 
 
+ENTITY_LINKS = rf"""
+WITH {_COMPANIES}, al AS (
+  SELECT item_id AS company_id, upper(regexp_split_to_array(text, '[^\pL\pN_]+')[5]) AS ticker, array_to_string(regexp_split_to_array(text, '\s+')[4:6], ' ') AS name FROM benchmark
+), v AS (
+  SELECT company_id, 0.90 AS s, {_norm("company_name")} AS v FROM co UNION ALL SELECT company_id, 0.85, {_norm("name")} FROM al
+), k AS (SELECT * FROM v WHERE length(v) >= 8 AND (contains(v, ' ') OR length(v) >= 12)
+), t AS (SELECT company_id, 0.98 AS s, 1.0 AS p, ticker FROM co WHERE ticker <> '' UNION ALL SELECT company_id, 0.95, 0.95, ticker FROM al WHERE ticker <> ''
+), d AS (SELECT doc_id AS article_id, ' ' || {_norm("text")} || ' ' AS nt, regexp_split_to_array(text, '[^\pL\pN_]+') AS toks FROM documents
+), h AS (
+  SELECT article_id, company_id, s FROM d JOIN k ON contains(nt, ' ' || v || ' ') UNION ALL
+  SELECT article_id, company_id, s FROM d JOIN t ON list_contains(toks, ticker) UNION ALL
+  SELECT article_id, company_id, p FROM d JOIN t ON upper(toks[1]) = ticker
+), b AS (SELECT article_id, company_id, max(s) AS s FROM h GROUP BY 1, 2)
+SELECT article_id, company_id, s::DOUBLE AS relevance_score,
+       CASE s WHEN 1.0 THEN 'provider_ticker' WHEN 0.98 THEN 'ticker' WHEN 0.95 THEN 'previous_ticker' WHEN 0.90 THEN 'company_name' ELSE 'previous_name' END AS match_method FROM b"""
+
+
 def finance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N6 to N9."""
     df = _articles(spark, sf_dir)
@@ -127,7 +152,7 @@ def company_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPANY_NEWS = rf"""
-WITH links AS ({ENTITY_LINKS}), scored AS ({FINANCE_RULES}), n AS (
+WITH links AS ({_LINKS}), scored AS ({FINANCE_RULES}), n AS (
   SELECT company_id, l.article_id, CASE WHEN length(summary) % 7 <> 0 THEN published_at END AS published_at, relevance_score, CASE WHEN signal <> 0 THEN sentiment_label END AS sentiment_label
   FROM links l JOIN articles a USING (article_id) JOIN scored USING (article_id)
 ), k AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY published_at DESC NULLS FIRST, article_id DESC) AS place FROM n)
