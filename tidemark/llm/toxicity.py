@@ -12,14 +12,17 @@ score.
 Training uses a bounded sample of labelled rows: ``SAMPLE`` documents for each class at most, the
 first by a hash of the id, of rows with crc32(id as text) mod 3 other than 1.  Near copies count
 once (they share one of three smallest 5-word hashes), since a text copied many times says little
-about its words.  Dictionaries are raw content, made from words by document counts: the toxic one
+about its words.  The threshold gain and the calibration are fitted on gains under dictionaries that a row had no
+part in: the rows fall into ``FOLDS`` parts by another hash, and each part is measured with dictionaries made from the
+others.  Dictionaries are raw content, made from words by document counts: the toxic one
 of words that at least ``LEAST_SHARE`` of toxic documents share and that are ``ODDS`` times as
 likely in toxic as in ordinary documents, the ordinary one of the words that most ordinary documents
 share.  Commoner words stand last, where matching is cheapest.  The counts are aggregated in
 Spark; at most ``LEXICON`` and ``ORDINARY`` words reach the driver.
 
 Defined cases: a null or empty text has no windows, hence no evidence, and gets the score of no evidence;
-a null id is held out; rows without a label only get scored; without labelled toxic and ordinary rows every score is 0.
+a null id is held out; rows without a label only get scored; without labelled toxic and ordinary rows every score is 0;
+a part whose others hold one class only is measured with the dictionaries of all rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +49,11 @@ ORDINARY = 40_000
 DICTIONARY = 400_000
 LEVEL = 3
 THRESHOLD = 0.7
+#: Parts of the sample, each measured with dictionaries made from the others.
+FOLDS = 6
 MEMO = 150_000
+#: Gains from here on are alike: no window of ``WINDOW`` bytes with a tail both dictionaries hold says more.
+MOST = 12
 _TAIL = bytes(range(32))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -109,18 +116,19 @@ def evidence(counts: np.ndarray, threshold: int) -> np.ndarray:
     most = np.where(counts > 0, np.arange(counts.shape[1]), 0).max(axis=1)
     at = counts[:, threshold:].sum(axis=1)
     share = np.log1p(1000 * at / np.maximum(1, counts.sum(axis=1)))
-    return np.stack([np.minimum(most, 12), np.log1p(at), share, np.ones(len(counts))], axis=1)
+    return np.stack([most, np.log1p(at), share, np.ones(len(counts))], axis=1)
 
 
 def by_gain(gains: list[int]) -> np.ndarray:
-    """How many windows have each gain, negative gains counted as 0 and those over 15 as 15."""
-    return np.bincount(np.clip(np.asarray(gains, dtype=np.int64), 0, 15), minlength=16)
+    """How many windows have each gain, negative gains counted as 0 and those over ``MOST`` as ``MOST``."""
+    return np.bincount(np.clip(np.asarray(gains, dtype=np.int64), 0, MOST), minlength=MOST + 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a class-balanced logistic regression by Newton's method."""
+    """Weights of a logistic regression by Newton's method; a class's rows weigh by the root of how rare it is, between
+    counting rows alike and counting classes alike, since toxic rows are few and missing one is as bad as a false alarm."""
     w = np.zeros(x.shape[1])
-    balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    balance = np.sqrt(np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (balance * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
@@ -160,54 +168,71 @@ def _first_copies(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """Both dictionaries and the calibration from a bounded sample of labelled rows; None without both classes."""
     sampled = sample(docs, labels, most).persist()
-    rows = _first_copies(sampled).persist()
+    rows = _first_copies(sampled).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")).persist()
+    counts = _word_counts(rows).persist()
     try:
-        per_class = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        if not per_class.get(0) or not per_class.get(1):
+        n = {(r["toxic"], r["fold"]): r["n"] for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+        per_class = {y: sum(k for (c, _), k in n.items() if c == y) for y in (0, 1)}
+        if not per_class[0] or not per_class[1]:
             return None
-        return _calibrate(rows, *_dictionaries(rows, per_class))
+        made = [_dictionaries(counts, per_class, None)]
+        for fold in range(FOLDS):
+            others = {y: per_class[y] - n.get((y, fold), 0) for y in (0, 1)}
+            made.append(_dictionaries(counts, others, fold) if others[0] and others[1] else made[0])
+        return _calibrate(rows, made)
     finally:
+        counts.unpersist()
         rows.unpersist()
         sampled.unpersist()
 
 
-def _dictionaries(rows: DataFrame, per_class: dict[int, int]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary."""
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(word, t0, c0, t1, ...): how many toxic and ordinary rows of each fold hold a word."""
 
     def make() -> Callable:
         return lambda texts: [pa.array([sorted(set(windows(t))) for t in texts], pa.list_(pa.binary()))]
 
-    words = map_texts(rows, make, "words array<binary>").select("toxic", F.explode("words").alias("word"))
-    toxic, clean = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    counts = words.groupBy("word").agg(toxic.alias("t"), clean.alias("c")).filter("t + c > 1").persist()
+    words = map_texts(rows, make, "words array<binary>").select("toxic", "fold", F.explode("words").alias("word"))
+    each = [F.count_if((F.col("fold") == k) & (F.col("toxic") == y)).alias(f"{n}{k}") for k in range(FOLDS) for y, n in ((1, "t"), (0, "c"))]
+    return words.groupBy("word").agg(F.count("*").alias("n"), *each).filter("n > 1").drop("n")
+
+
+def _dictionaries(counts: DataFrame, per_class: dict[int, int], without: int | None) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary from all rows, or from all but those of one fold."""
+    t, c = (sum((F.col(f"{n}{k}") for k in range(FOLDS) if k != without), F.lit(0)) for n in "tc")
+    known = counts.select("word", t.alias("t"), c.alias("c")).filter("t + c > 1")
     least = max(3, math.ceil(per_class[1] * LEAST_SHARE))
     odds = ((F.col("t") + 0.5) / (per_class[1] + 1)) / ((F.col("c") + 0.5) / (per_class[0] + 1))
     typical = (F.col("t") >= least) & (F.length("word") >= 3) & (odds >= ODDS)
-    bad = counts.filter(typical).orderBy(F.desc("t"), "word").limit(LEXICON)
-    usual = counts.filter(~typical & (F.col("c") > 1)).orderBy(F.desc("c"), "word").limit(ORDINARY)
+    bad = known.filter(typical).orderBy(F.desc("t"), "word").limit(LEXICON)
+    usual = known.filter(~typical & (F.col("c") > 1)).orderBy(F.desc("c"), "word").limit(ORDINARY)
 
     def content(best: DataFrame) -> bytes:
         return b"".join(_padded(bytes(r["word"])) for r in reversed(best.select("word").collect()))[-DICTIONARY:]
 
-    try:
-        return content(usual), content(bad)
-    finally:
-        counts.unpersist()
+    return content(usual), content(bad)
 
 
 def _padded(word: bytes) -> bytes:
     return b" " + word + b" "
 
 
-def _calibrate(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
-    """The threshold gain and the logistic weights, from the gains of the training rows."""
-
-    def make() -> Callable:
-        gains = Gains(ordinary, toxic)
+def _calibrate(rows: DataFrame, made: list[tuple[bytes, bytes]]) -> Model:
+    """The threshold gain and the logistic weights, from the rows' gains under dictionaries of the other folds; ``made``
+    holds the dictionaries of all rows and those without each fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(made)
 
-        return lambda texts: [pa.array([by_gain(gains.of(windows(t))).tolist() for t in texts], pa.list_(pa.int64()))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains: dict[int, Gains] = {}
+        for batch in batches:
+            found = []
+            for fold, text in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if fold not in gains:
+                    gains[fold] = Gains(*shared.value[1 + fold])
+                found.append(by_gain(gains[fold].of(windows(text or ""))).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["toxic", "counts"])
 
-    got = map_texts(rows, make, "counts array<bigint>").select("toxic", "counts").collect()
+    got = rows.select("toxic", "fold", "text").mapInArrow(run, "toxic int, counts array<bigint>").collect()
     y = np.array([r["toxic"] for r in got], dtype=float)
     counts = np.array([r["counts"] for r in got])
     most = evidence(counts, 1)[:, 0]
@@ -215,8 +240,8 @@ def _calibrate(rows: DataFrame, ordinary: bytes, toxic: bytes) -> Model:
     def split(g: int) -> float:
         return float((most[y == 1] >= g).mean() - (most[y == 0] >= g).mean())
 
-    gain = max(range(1, 13), key=lambda g: (split(g), g))
-    return Model(ordinary, toxic, gain, tuple(_logistic(evidence(counts, gain), y).tolist()))
+    gain = max(range(1, MOST + 1), key=lambda g: (split(g), g))
+    return Model(*made[0], gain, tuple(_logistic(evidence(counts, gain), y).tolist()))
 
 
 def scorer(model: Model | None) -> Callable[[str], float]:
