@@ -205,6 +205,33 @@ def recommendations(valuations: DataFrame, ratios: DataFrame, sentiment: DataFra
     return df.withColumns({"guardrails": F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items()))), "entry_zone": zone})
 
 
+def latest_named(long: DataFrame, name: str, order: list[str], as_name: str) -> DataFrame:
+    """(company_id, map): the newest value of each name of a company, by ``order``."""
+    newest = latest_by(long.select("company_id", F.col(name).alias("__name"), "value", *order), ["company_id", "__name"], order)
+    entries = F.array_sort(F.collect_list(F.struct("__name", "value")))  # an entry for each name, whose number is fixed
+    return newest.groupBy("company_id").agg(F.map_from_entries(entries).alias(as_name))
+
+
+def company_snapshot(companies: DataFrame, technical: DataFrame, ratios: DataFrame, sector: DataFrame, recommended: DataFrame) -> DataFrame:
+    """One row for each company with all that is known of it now: newest features, ratios and sector metrics as maps (empty if
+    there are none), valuation and recommendation as structs (null if there are none).
+
+    ``technical`` is long (company_id, feature_date, feature_name, value), ``ratios`` and ``sector`` as their operators give them.
+    """
+    none = F.create_map().cast("map<string,double>")
+    maps = {
+        "technical": latest_named(technical, "feature_name", ["feature_date"], "technical"),
+        "ratios": latest_ratios(ratios).groupBy("company_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ratio", "value")))).alias("ratios")),
+        "sector_metrics": sector.groupBy("company_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_name", "value")))).alias("sector_metrics")),
+    }
+    df = companies
+    for name, part in maps.items():
+        df = df.join(part, "company_id", "left").withColumn(name, F.coalesce(name, none))
+    valued = F.struct("as_of_date", "methods_used", *(f"fair_value_{s}" for s in (*SCENARIOS, "conservative")), "data_quality_score").alias("valuation")
+    said = F.struct("label", "confidence", "valuation_position", "fundamental_quality", "guardrails", "entry_zone").alias("recommendation")
+    return df.join(recommended.select("company_id", valued, said), "company_id", "left")
+
+
 def screener(recommendations: DataFrame, companies: DataFrame, label: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of the latest recommendations by confidence, optionally of one label, with the total."""
     newest = recommendations.groupBy("company_id").agg(F.max("as_of_date").alias("as_of_date"))

@@ -9,6 +9,7 @@ from tidemark.functions.rules import reconciliation, sector_code
 from tidemark.operators import fundamentals as f
 from tidemark.operators import valuation as v
 from tidemark.operators.asof import asof_join, latest_by, value_at
+from tidemark.plans.technical import long_rows, rounded_long
 from tidemark.sources import projections as p
 from tidemark.sources.stored import stored
 
@@ -84,14 +85,15 @@ def sector_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.sector_percentiles(_ratios(spark, sf_dir), p.companies(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
-SECTOR = f"""
-WITH {_RATIOS}, {_NOW}, k AS (
+_SECTOR_ROWS = """
+WITH k AS (
   SELECT l.*, sector FROM latest l JOIN companies c USING (company_id) WHERE asset_type = 'equity' AND ratio IN ('net_margin', 'roe', 'debt_to_equity')
 )
 SELECT company_id, ratio || '_percentile_in_sector' AS metric_name,
        round((rank() OVER (PARTITION BY sector, ratio ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY sector, ratio, value))
          / count(*) OVER (PARTITION BY sector, ratio) * 100, 6) AS value
 FROM k QUALIFY count(*) OVER (PARTITION BY sector, ratio) >= 3"""
+SECTOR = f"WITH {_RATIOS}, {_NOW}, m AS ({_SECTOR_ROWS}) SELECT * FROM m"
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -293,19 +295,26 @@ FROM j"""
 
 
 def company_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest ratios as a map, valuation and label in one row for each company."""
+    """Newest features, ratios and sector metrics, valuation and recommendation in one row for each company."""
     valued, ratios = _valued(spark, sf_dir)
-    pairs = f.latest_ratios(ratios).groupBy("company_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ratio", "value")))).alias("ratios"))
-    rec = v.recommendations(valued, ratios).select("company_id", "label", "fair_value_base")
-    df = p.companies(spark, sf_dir).join(pairs, "company_id", "left").join(rec, "company_id", "left")
-    return df.select("company_id", "ticker", "sector", F.size(F.coalesce("ratios", F.create_map().cast("map<string,double>"))).cast("bigint").alias("n_ratios"),
-                     F.round(F.col("ratios")["net_margin"], 6).alias("net_margin"), "label", F.round("fair_value_base", 4).alias("fair_value_base"))
+    companies = p.companies(spark, sf_dir)
+    df = v.company_snapshot(companies, rounded_long(spark, sf_dir), ratios, f.sector_percentiles(ratios, companies), v.recommendations(valued, ratios))
+    size = lambda c: F.size(c).cast("bigint").alias(f"n_{c}")
+    return df.select(
+        "company_id", "ticker", "sector", size("technical"), size("ratios"), size("sector_metrics"), F.col("technical")["sma_20"].alias("sma_20"), F.col("technical")["ema_12"].alias("ema_12"),
+        F.round(F.col("ratios")["net_margin"], 6).alias("net_margin"), F.round(F.col("sector_metrics")["roe_percentile_in_sector"], 6).alias("roe_percentile"),
+        "recommendation.label", F.round("valuation.fair_value_base", 4).alias("fair_value_base"),
+    )
 
 
 SNAPSHOT = f"""
-WITH {_RECOMMENDED}, n AS (SELECT company_id, count(*) AS k, max(CASE WHEN ratio = 'net_margin' THEN value END) AS nm FROM latest GROUP BY 1)
-SELECT companies.company_id, ticker, sector, coalesce(k, 0) AS n_ratios, round(n.nm, 6) AS net_margin, label, round(base, 4) AS fair_value_base
-FROM companies LEFT JOIN n USING (company_id) LEFT JOIN recommended USING (company_id)"""
+WITH {_RECOMMENDED}, n AS (SELECT company_id, count(*) AS k, max(CASE WHEN ratio = 'net_margin' THEN value END) AS nm FROM latest GROUP BY 1
+), tech AS (SELECT company_id, feature_name, arg_max(value, trade_date) AS value FROM ({long_rows()}) GROUP BY 1, 2
+), tk AS (SELECT company_id, count(*) AS k, max(CASE WHEN feature_name = 'sma_20' THEN value END) AS sma_20, max(CASE WHEN feature_name = 'ema_12' THEN value END) AS ema_12 FROM tech GROUP BY 1
+), sm AS ({_SECTOR_ROWS}), sk AS (SELECT company_id, count(*) AS k, max(CASE WHEN metric_name = 'roe_percentile_in_sector' THEN value END) AS roe FROM sm GROUP BY 1)
+SELECT companies.company_id, ticker, sector, coalesce(tk.k, 0) AS n_technical, coalesce(n.k, 0) AS n_ratios, coalesce(sk.k, 0) AS n_sector_metrics, tk.sma_20, tk.ema_12,
+       round(n.nm, 6) AS net_margin, round(sk.roe, 6) AS roe_percentile, label, round(base, 4) AS fair_value_base
+FROM companies LEFT JOIN n USING (company_id) LEFT JOIN tk USING (company_id) LEFT JOIN sk USING (company_id) LEFT JOIN recommended USING (company_id)"""
 
 
 def sector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +367,7 @@ ORACLE_SQL = {
     "valuations": p.oracle(VALUATIONS, "bars", "items", "companies"),
     "recommendations": p.oracle(RECOMMENDATIONS, "bars", "items", "companies"),
     "screener": p.oracle(SCREENER, "bars", "items", "companies"),
-    "company_snapshot": p.oracle(SNAPSHOT, "bars", "items", "companies"),
+    "company_snapshot": p.oracle(SNAPSHOT, "index_series", "items", "companies"),
     "top_market_cap": p.oracle(MARKET_CAP, "bars", "companies"),
     "provider_reconciliation": RECONCILIATION,
     "sector_codes": p.oracle(SECTOR_CODES, "companies"),
