@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-PLANS = [importlib.import_module(f"tidemark.plans.{n}") for n in ("technical", "fundamentals", "dataset", "news", "catalog", "merges")]
+PLANS = [importlib.import_module(f"tidemark.plans.{n}") for n in ("technical", "fundamentals", "dataset", "news", "catalog", "merges", "landed")]
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PLANS for k, v in p.ORACLE_SQL.items()}
 

@@ -49,9 +49,9 @@ def test_series(spark, tmp_path):
     path = put(tmp_path, "c.json", json.dumps(cube))
     got = rows(landed.cube(spark, path, "s", "145"), "observation_date", "value", "available_at")
     assert got == [(dt.date(2025, 1, 31), 0.5, dt.datetime(2025, 2, 11)), (dt.date(2025, 12, 31), 0.7, dt.datetime(2026, 1, 11))]
-    html = "<table><tr><td>22 Juli 2026</td><td>5.75 %</td></tr><tr><td>bad</td><td>1</td></tr><tr><td>3 Mei 2026</td><td>Rp17.973,00</td></tr></table>"
+    html = "<table><tr><td>14 Agustus 2023</td><td>4.25 %</td></tr><tr><td>bad</td><td>1</td></tr><tr><td>3 Mei 2023</td><td>Rp12.480,50</td></tr></table>"
     got = rows(landed.html_rates(spark, put(tmp_path, "h.html", html), "s"), "observation_date", "value", "available_at")
-    assert got == [(dt.date(2026, 5, 3), 17973.0, dt.datetime(2026, 5, 3, 16)), (dt.date(2026, 7, 22), 5.75, dt.datetime(2026, 7, 22, 16))]
+    assert got == [(dt.date(2023, 5, 3), 12480.5, dt.datetime(2023, 5, 3, 16)), (dt.date(2023, 8, 14), 4.25, dt.datetime(2023, 8, 14, 16))]
 
 
 def test_sheet(spark):
@@ -74,17 +74,31 @@ def test_rss(spark, tmp_path):
 XBRL = """<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:i="urn:i" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">
 <context id="now"><period><instant>2025-12-31</instant></period></context><context id="old"><period><endDate>2024-12-31</endDate></period></context>
 <i:TotalAssets contextRef="now" scale="3">1,000</i:TotalAssets><i:TotalAssets contextRef="now">7</i:TotalAssets><i:NetIncome contextRef="now">(125)</i:NetIncome>
-<i:Revenue contextRef="old">9</i:Revenue><i:RasioKPMM contextRef="now">0.2875</i:RasioKPMM><i:TotalDebt contextRef="now" xsi:nil="true"/><i:Other contextRef="now">1</i:Other></xbrl>"""
+<i:Revenue contextRef="old">9</i:Revenue><i:RasioModalInti contextRef="now">0.3125</i:RasioModalInti><i:TotalDebt contextRef="now" xsi:nil="true"/><i:Other contextRef="now">1</i:Other></xbrl>"""
 
 
 def test_xbrl_and_manifest(spark, tmp_path):
-    aliases = landed.fact_aliases(spark, {"RasioKPMM": "capital_adequacy_ratio_reported"})
+    aliases = landed.fact_aliases(spark, {"RasioModalInti": "capital_adequacy_ratio_reported"})
     got = rows(landed.xbrl_facts(spark, put(tmp_path, "x.xml", XBRL), aliases, "2025-12-31"), "account_code", "value")
-    assert got == [("capital_adequacy_ratio_reported", 0.2875), ("net_income", -125.0), ("total_assets", 1000000.0)]
-    base = {"ticker": "bbca", "statement_type": "annual", "period_end": "2025-12-31", "published_at": "2026-01-23T17:42:00+07:00", "file": "a/x.xml"}
+    assert got == [("capital_adequacy_ratio_reported", 0.3125), ("net_income", -125.0), ("total_assets", 1000000.0)]
+    base = {"ticker": "bbca", "statement_type": "annual", "period_end": "2025-12-31", "published_at": "2026-03-09T08:15:00+07:00", "file": "a/x.xml"}
     filings = [base, base | {"file": "b.xml"}, base | {"file": "../x"}, base | {"published_at": "2026-01-01T00:00:00"}, base | {"statement_type": "weekly"}, base | {"ticker": ""}]
     good, bad = landed.manifest(spark, put(tmp_path, "m.json", json.dumps({"filings": filings})))
-    assert rows(good, "ticker", "file", "available_at") == [("BBCA", "b.xml", dt.datetime(2026, 1, 23, 10, 42))] and bad.count() == 4
+    assert rows(good, "ticker", "file", "available_at") == [("BBCA", "b.xml", dt.datetime(2026, 3, 9, 1, 15))] and bad.count() == 4
+
+
+def test_unreadable_documents_are_rejects(spark, tmp_path):
+    put(tmp_path, "x1.xml", XBRL)
+    put(tmp_path, "x2.xml", XBRL[:200])
+    aliases = landed.fact_aliases(spark)
+    assert landed.xbrl_facts(spark, f"{tmp_path}/x*.xml", aliases, "2025-12-31").select("path").distinct().count() == 1
+    assert [r["path"][-6:] for r in landed.xbrl_rejects(spark, f"{tmp_path}/x*.xml").collect()] == ["x2.xml"]
+
+
+def test_request_windows(spark):
+    day = lambda x: F.lit(x).cast("date")
+    got = spark.range(1).select(landed.request_windows(day("2024-01-01"), day("2024-07-01")).alias("w")).first()["w"]
+    assert [(str(w["since"]), str(w["until"])) for w in got] == [("2024-01-01", "2024-03-30"), ("2024-03-31", "2024-06-28"), ("2024-06-29", "2024-07-01")]
 
 
 def test_wide_statements_and_aliases(spark, tmp_path):

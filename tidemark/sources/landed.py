@@ -41,6 +41,17 @@ def close_only_bars(spark: SparkSession, path: str) -> DataFrame:
     return df.select("symbol", F.to_date("date").alias("trade_date"), unknown.alias("open"), unknown.alias("high"), unknown.alias("low"), "close", "volume")
 
 
+def window_of(day: str, days: int = 90) -> Column:
+    """The number of the request window of at most ``days`` days that a date falls in."""
+    return F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / days).cast("int")
+
+
+def request_windows(start: Column, end: Column, days: int = 90) -> Column:
+    """Array of (since, until) that cover a span of dates in steps of at most ``days`` days, for sources that limit a request."""
+    first = F.sequence(F.lit(0), F.floor(F.datediff(end, start) / days))
+    return F.transform(first, lambda k: F.struct(F.date_add(start, (k * days).cast("int")).alias("since"), F.least(end, F.date_add(start, ((k + 1) * days - 1).cast("int"))).alias("until")))
+
+
 def corporate_actions(dividends: DataFrame, splits: DataFrame, start: Column, end: Column) -> DataFrame:
     """Dividends (ticker, ex_date, amount) and splits (ticker, ex_date, ratio) as one table of actions."""
     down = F.col("ratio") < 1
@@ -105,7 +116,7 @@ MONTHS = ("januari", "februari", "maret", "april", "mei", "juni", "juli", "agust
 
 
 def indonesian_date(text: Column) -> Column:
-    """'22 Juli 2026' as a date, null if it is none."""
+    """'14 Agustus 2023' as a date, null if it is none."""
     parts = F.split(F.lower(F.trim(text)), r"\s+")
     months = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)))
     month = F.try_element_at(months, F.coalesce(F.get(parts, F.lit(1)), F.lit('')))
@@ -114,7 +125,7 @@ def indonesian_date(text: Column) -> Column:
 
 
 def local_number(text: Column) -> Column:
-    """'5.75 %' or 'Rp17.973,00' as a number: a comma is the decimal mark if there is one."""
+    """'4.25 %' or 'Rp12.480,50' as a number: a comma is the decimal mark if there is one."""
     plain = F.regexp_replace(text, r"[^0-9.,-]", "")
     return F.when(plain.contains(","), F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(plain).try_cast("double")
 
@@ -157,11 +168,16 @@ def rss_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _facts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, ord, name, context, period, text, scale, nil) of each fact of each instance document."""
+    """(path, ord, name, context, period, text, scale, nil) of each fact of each instance document; of one that cannot be
+    read, a row without a name whose text says why."""
     for part in parts:
         out = []
         for path, content in zip(part["path"], part["content"], strict=True):
-            root = ElementTree.fromstring(content)
+            try:
+                root = ElementTree.fromstring(content)
+            except ElementTree.ParseError as e:
+                out.append((path, 0, None, None, None, str(e), None, False))
+                continue
             local = lambda tag: tag.rsplit("}", 1)[-1]
             ends = {}
             for c in root.iter():
@@ -181,8 +197,7 @@ def xbrl_facts(spark: SparkSession, path: str, aliases: DataFrame, period_end: s
     Python only lists the facts of each document; names, numbers and choice are expressions.
     ``aliases`` (name, account_code) maps normalised names; unknown facts are left out.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    facts = files.mapInPandas(_facts, "path string, ord bigint, name string, context string, period string, text string, scale string, nil boolean")
+    facts = _all_facts(spark, path)
     here = (F.col("context") == context) if context else (F.to_date("period") == F.lit(period_end).cast("date"))
     text = F.regexp_replace(F.trim("text"), r"[,\s]", "")
     bare = F.regexp_replace(text, r"^\((.*)\)$", "-$1").try_cast("double")
@@ -192,6 +207,16 @@ def xbrl_facts(spark: SparkSession, path: str, aliases: DataFrame, period_end: s
     return good.join(F.broadcast(aliases), "name").groupBy("path", "account_code").agg(F.min_by("value", "ord").alias("value"))
 
 
+def _all_facts(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(_facts, "path string, ord bigint, name string, context string, period string, text string, scale string, nil boolean")
+
+
+def xbrl_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the instance documents that cannot be read."""
+    return _all_facts(spark, path).filter("name is null").select("path", F.col("text").alias("error"))
+
+
 def fact_aliases(spark: SparkSession, extra: dict[str, str] | None = None) -> DataFrame:
     """Each standard code under its own name in words run together, and given names."""
     rows = {re.sub("[^a-z0-9]", "", c): c for c in ACCOUNT_CODES} | {re.sub("[^a-z0-9]", "", k.lower()): v for k, v in (extra or {}).items()}
