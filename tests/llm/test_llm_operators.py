@@ -147,6 +147,7 @@ def test_toxicity_held_out_accuracy(spark):
     assert got.count() == docs.count()
     scored = got.join(labels, "doc_id").filter("held_out").toPandas()
     assert ((scored.predicted == 1) == (scored.toxic == 1)).mean() >= 0.97
+    assert scored.predicted[scored.toxic == 1].mean() >= 0.8 and scored.predicted[scored.toxic == 0].mean() <= 0.02
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got.collect())
 
 
@@ -176,6 +177,39 @@ def test_lz_fingerprints_equal_brute_force(spark, odd_docs):
     assert got == sorted(want, key=lambda r: tuple((x is not None, x) for x in r))
 
 
+def signature_by_hand(text):
+    """The parse and the minimum hashes once more, from their definition alone."""
+    book, i = [], 0
+    while i < len(text):
+        n = 1
+        while text[i : i + n] in book and i + n < len(text):
+            n += 1
+        if text[i : i + n] not in book:
+            book.append(text[i : i + n])
+        i += n
+    out = ["ffffffff"] * lzprint.BINS
+    for phrase in book:
+        h = xxhash.xxh64_intdigest(phrase.encode())
+        low = f"{min(h % 2**32, 2**32 - 2):08x}"
+        out[h // 2**57] = min(out[h // 2**57], low)
+    return "".join(out)
+
+
+def test_lz_fingerprints_follow_their_definition(spark):
+    own = [t[:1500] for t in texts(spark).values()][:40] + ["", "a", "aa", "aaa", "abababab", "\u00e9\U0001f600" * 9]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lzprint.op5(docs).collect()}
+    for i, t in enumerate(own):
+        after = own[(i + 1) % len(own)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want = [signature_by_hand(x) for x in (t, edited, after)]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (want[0], want[1])
+        for name, other in (("near_edited", want[1]), ("near_next", want[2])):
+            bins = [(want[0][k : k + 8], other[k : k + 8]) for k in range(0, len(want[0]), 8)]
+            filled = [a == b for a, b in bins if (a, b) != ("ffffffff", "ffffffff")]
+            assert got[i][name] == pytest.approx(sum(filled) / len(filled) if filled else 1.0)
+
+
 def test_lz_likeness_estimates_phrase_overlap(spark, no_docs):
     assert lzprint.phrases("aababcabcd") == {"a", "ab", "abc", "abcd"}
     own = list(texts(spark).values())[:60]
