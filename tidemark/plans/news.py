@@ -106,20 +106,24 @@ def _plain(pattern: str, column: str = "x") -> str:
 
 _SIGNAL = f"greatest(-2, least(2, {' + '.join(map(_plain, n.POSITIVE))} - ({' + '.join(map(_plain, n.NEGATIVE))})))"
 _EVENT = " ".join(f"WHEN list_contains(regexp_extract_all(x, '(?i)((?:{n.NEGATION})?)(?:{e[3]})', 1), '') THEN '{e[0]}'" for e in n.EVENTS)
-FINANCE_RULES = f"""
-WITH a AS (SELECT doc_id AS article_id, {_spoken_sql("' ' || text")} AS x FROM documents
-), s AS (SELECT article_id, x, {_SIGNAL} AS signal FROM a
+def _ruled(ids: str) -> str:
+    """CTEs and a select that judge the rows (ids, x) of a CTE named a."""
+    return f"""
+s AS (SELECT {ids}, x, {_SIGNAL} AS signal FROM a
 ), b AS (SELECT *, least(0.70, 0.55 * abs(signal)) AS k FROM s
 ), c AS (SELECT *, CASE WHEN signal > 0 THEN 0.1 + k WHEN signal < 0 THEN greatest(0, 0.1 - 0.3 * k) ELSE 0.1 END AS p,
   CASE WHEN signal < 0 THEN 0.1 + k WHEN signal > 0 THEN greatest(0, 0.1 - 0.3 * k) ELSE 0.1 END AS m,
   CASE WHEN signal <> 0 THEN greatest(0, 0.8 - 0.7 * k) ELSE 0.8 END AS z FROM b
 ), q AS (SELECT *, CASE WHEN signal = 0 THEN 1 ELSE p + m + z END AS t FROM c)
-SELECT article_id, CAST(signal AS INTEGER) AS signal, round(p / t - m / t, 6) AS sentiment_score,
+SELECT {ids}, CAST(signal AS INTEGER) AS signal, round(p / t - m / t, 6) AS sentiment_score,
        CASE WHEN p >= greatest(z, m) THEN CASE WHEN p / t >= 0.75 THEN 'sangat_positif' ELSE 'positif' END WHEN z >= m THEN 'netral'
        WHEN m / t >= 0.75 THEN 'sangat_negatif' ELSE 'negatif' END AS sentiment_label, CASE {_EVENT} END AS event
 FROM q"""
 
 
+FINANCE_RULES = f"WITH a AS (SELECT doc_id AS article_id, {_spoken_sql("' ' || text")} AS x FROM documents), {_ruled('article_id')}"
+
+
 def sentiment_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label of each company's last linked article."""
     articles, companies = _articles(spark, sf_dir), _companies(spark, sf_dir)
@@ -128,6 +132,22 @@ def sentiment_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.latest_sentiment(scored, articles).withColumn("sentiment_score", F.round("sentiment_score", 6))
 
 
+SENTIMENT = rf"""
+WITH {_COMPANIES}, v AS (SELECT company_id, {_norm("company_name")} AS v FROM co
+), k AS (SELECT * FROM v WHERE length(v) >= 8 AND (contains(v, ' ') OR length(v) >= 12)
+), d AS (SELECT doc_id AS article_id, ' ' || {_norm("text")} || ' ' AS nt, regexp_split_to_array(text, '[^\pL\pN_]+') AS toks, {_spoken_sql("' ' || text")} AS said FROM documents
+), h AS (SELECT article_id, company_id, 1 AS o, ticker AS needle FROM d JOIN co ON list_contains(toks, ticker) UNION ALL SELECT article_id, company_id, 0, v FROM d JOIN k ON contains(nt, ' ' || v || ' ')
+), l AS (SELECT article_id, company_id, substr(arg_max(needle, o), 1, 256) AS needle FROM h GROUP BY 1, 2
+), w AS (
+  SELECT article_id, company_id, said, list_filter(
+    list_filter(list_transform(string_split(regexp_replace(said, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> ''),
+    lambda y: contains(lower(y), lower(ticker)) OR contains(lower(y), lower(company_name)) OR contains(lower(y), lower(needle))) AS named
+  FROM l JOIN d USING (article_id) JOIN co USING (company_id)
+), a AS (SELECT article_id, company_id, CASE WHEN len(named) > 0 THEN array_to_string(named, ' ') ELSE said END AS x FROM w
+), r AS (WITH {_ruled("article_id, company_id")})
+SELECT company_id, arg_max(sentiment_label, article_id) AS sentiment_label, arg_max(sentiment_score, article_id) AS sentiment_score FROM r GROUP BY 1"""
+
+
 def newest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC13, SRC14: each source's newest article that names a frequent word, from an hour after the first article of all."""
     a = p.articles(spark, sf_dir)
@@ -160,4 +180,4 @@ SELECT company_id, place, article_id, published_at, relevance_score, sentiment_l
 
 
 QUERIES = {"entity_links": entity_links, "finance_rules": finance_rules, "sentiment_by_company": sentiment_by_company, "newest_articles": newest_articles, "company_news": company_news}
-ORACLE_SQL = {"entity_links": ENTITY_LINKS, "finance_rules": FINANCE_RULES, "newest_articles": p.oracle(NEWEST, "articles"), "company_news": p.oracle(COMPANY_NEWS, "articles")}
+ORACLE_SQL = {"entity_links": ENTITY_LINKS, "finance_rules": FINANCE_RULES, "sentiment_by_company": SENTIMENT, "newest_articles": p.oracle(NEWEST, "articles"), "company_news": p.oracle(COMPANY_NEWS, "articles")}
