@@ -24,6 +24,11 @@ def _array(*order: str, of: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["__x"]), ","), F.lit("]"))
 
 
+def _plain_zero(x: Column) -> Column:
+    """0 for both zeros, which print apart."""
+    return F.when(x == 0, 0.0).otherwise(x)
+
+
 def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1, SRC2: a payload for each company, numbers as text, lows of every seventh day of a month empty."""
     text = lambda c: F.col(c).cast("string")
@@ -117,12 +122,12 @@ def landed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _files(body.withColumn("doc", doc), "company_id", "doc")
     files = f"{path}/company_id=*/*"
     company = F.regexp_extract("path", r"company_id=(\d+)", 1).cast("bigint").alias("company_id")
-    found = landed.xbrl_facts(spark, files, landed.fact_aliases(spark), "1997-12-31").select(company, "account_code", F.round("value", 3).alias("value"))
+    found = landed.xbrl_facts(spark, files, landed.fact_aliases(spark), "1997-12-31").select(company, "account_code", _plain_zero(F.round("value", 3)).alias("value"))
     return found.unionByName(landed.xbrl_rejects(spark, files).select(company, F.lit("unreadable").alias("account_code"), F.lit(None).cast("double").alias("value")))
 
 
 FACTS = """
-SELECT company_id, account_code, round(value, 3) AS value FROM items WHERE statement_type = 'annual' AND period_end = DATE '1997-12-31' AND company_id % 10 <> 0 UNION ALL
+SELECT company_id, account_code, CASE WHEN round(value, 3) = 0 THEN 0.0 ELSE round(value, 3) END AS value FROM items WHERE statement_type = 'annual' AND period_end = DATE '1997-12-31' AND company_id % 10 <> 0 UNION ALL
 SELECT DISTINCT company_id, 'unreadable', NULL::DOUBLE FROM items WHERE statement_type = 'annual' AND company_id % 10 = 0"""
 
 
