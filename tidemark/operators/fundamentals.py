@@ -78,7 +78,7 @@ def latest_ratios(ratios: DataFrame, as_of=None) -> DataFrame:
 def sector_percentiles(ratios: DataFrame, companies: DataFrame) -> DataFrame:
     """(company_id, metric_name, value): where a company's ratio stands among its sector's equities; three peers at least."""
     peers = companies.filter("asset_type = 'equity' and sector is not null").select("company_id", "sector")
-    known = latest_ratios(ratios).filter(F.col("ratio").isin(*SECTOR_RATIOS)).join(F.broadcast(peers), "company_id")
+    known = latest_ratios(ratios).filter(F.col("ratio").isin(*SECTOR_RATIOS)).join(peers, "company_id")
     ranked = known.withColumn("percentile", percentile_midpoint("value", "sector", "ratio"))
     return ranked.filter("percentile is not null").select("company_id", F.concat("ratio", F.lit("_percentile_in_sector")).alias("metric_name"), F.col("percentile").alias("value"))
 
@@ -136,7 +136,7 @@ def disclosed_metrics(items: DataFrame, companies: DataFrame, units: DataFrame |
     known, since that needs both quantities in one unit.
     """
     routed = companies.select("company_id", formula_route("sector", "industry").alias("route")).filter("route is not null")
-    df = items.join(F.broadcast(routed), "company_id")
+    df = items.join(routed, "company_id")
     holds = (F.col("route") == "bank") & F.col("account_code").isin(*RELEVANT["bank"]) | (F.col("route") == "mining") & F.col("account_code").isin(*RELEVANT["mining"])
     facts = df.filter(holds).select(*STATEMENT).distinct()
     newest = Window.partitionBy("company_id").orderBy(F.desc("available_at"), F.desc("period_end"), "statement_type")
@@ -150,7 +150,7 @@ def disclosed_metrics(items: DataFrame, companies: DataFrame, units: DataFrame |
     previous = latest_by(earlier, ["company_id"], ["available_at", "period_end"]).select("company_id", "statement_type", "fiscal_period", "period_end", "available_at")
     wide = wide_items(df.select(*STATEMENT, "account_code", "value"))
     before = wide.join(previous, STATEMENT, "left_semi").select("company_id", F.col("earning_assets").alias("previous_earning_assets"))
-    now = wide.join(current, STATEMENT, "left_semi").join(before, "company_id", "left").join(F.broadcast(routed), "company_id")
+    now = wide.join(current, STATEMENT, "left_semi").join(before, "company_id", "left").join(routed, "company_id")
     facts = [fact for fact, _ in UNITS.values()]
     if units is None:
         now = now.withColumns({f"unit_{c}": F.lit(None).cast("string") for c in facts})

@@ -196,7 +196,7 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, companies: DataFrame, ver
     """Sentiment and event of each linked pair (article_id, company_id, matched_text) that ``done`` does not hold."""
     if done is not None:
         pairs = pairs.join(done.filter(F.col("model_version") == version).select("article_id", "company_id"), ["article_id", "company_id"], "left_anti")
-    df = pairs.join(articles.select("article_id", "text"), "article_id").join(F.broadcast(companies.select("company_id", "ticker", "company_name")), "company_id")
+    df = pairs.join(articles.select("article_id", "text"), "article_id").join(companies.select("company_id", "ticker", "company_name"), "company_id")
     df = df.select("article_id", "company_id", company_context(F.col("text"), F.col("ticker"), F.col("company_name"), F.coalesce("matched_text", "ticker")).alias("context"))
     df = base_probabilities(df, "context", scorer or prior_scorer())
     signal = finance_signal(F.col("context"))

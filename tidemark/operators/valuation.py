@@ -235,7 +235,7 @@ def company_snapshot(companies: DataFrame, technical: DataFrame, ratios: DataFra
 def screener(recommendations: DataFrame, companies: DataFrame, label: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of the latest recommendations by confidence, optionally of one label, with the total."""
     newest = recommendations.groupBy("company_id").agg(F.max("as_of_date").alias("as_of_date"))
-    rows = recommendations.join(newest, ["company_id", "as_of_date"]).join(F.broadcast(companies.select("company_id", "ticker", "company_name")), "company_id")
+    rows = recommendations.join(newest, ["company_id", "as_of_date"]).join(companies.select("company_id", "ticker", "company_name"), "company_id")
     if label:
         rows = rows.filter(F.col("label") == label)
     total = rows.agg(F.count("*").alias("total"))
