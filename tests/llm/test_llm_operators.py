@@ -613,3 +613,27 @@ def test_quality_held_out_accuracy(spark, odd_docs, no_docs):
     model = cotrain.fit(docs, labels)
     assert all(0 <= r["score"] <= 1 for r in cotrain.score(more, model).collect())
     assert cotrain.score(no_docs.withColumns({"lang": F.lit("x"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")}), model).isEmpty()
+
+
+def test_sums_over_unlabelled_rows_equal_one_matrix(spark):
+    """What tasks add up equals the same sums over all rows at once, and no row is left out."""
+    rng = np.random.default_rng(2)
+    n, sizes = 3_000, (7, 5)
+    x = [rng.normal(size=(n, k)).astype(np.float32) for k in sizes]
+    rows = spark.createDataFrame([(bytes(p.tobytes()), bytes(q.tobytes())) for p, q in zip(*x, strict=True)], "a binary, b binary").repartition(7)
+    views = [rng.normal(size=k + 1) for k in sizes]
+    history = [[(rng.normal(size=k + 1), -1.5, 2.0), (rng.normal(size=k + 1), -2.0, 1.0)] for k in sizes]
+    free = cotrain.Unlabelled(rows)
+    got = free.sums(views, history)
+    for v in (0, 1):
+        y = cotrain.pseudo_labels(x[1 - v], history[1 - v])
+        some = ~np.isnan(y)
+        assert 100 < some.sum() < n and {0.0, 1.0} == set(y[some].tolist())
+        # A row's label comes from the other view, its features from this one.
+        want = cotrain._sums(x[v][some], y[some], np.full(int(some.sum()), cotrain.PSEUDO), views[v])
+        assert all(np.allclose(g, w) for g, w in zip(got[v], want, strict=True))
+    at = free.thresholds(views, history, 0.1, 0.95)
+    for v in (0, 1):
+        left = np.isnan(cotrain.pseudo_labels(x[v], history[v]))
+        z = np.sort(x[v][left] @ views[v][:-1] + views[v][-1])
+        assert at[v][0] == pytest.approx(z[int(0.1 * len(z))], abs=0.05) and at[v][1] == pytest.approx(z[int(0.95 * len(z))], abs=0.05)
