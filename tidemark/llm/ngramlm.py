@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, byte_slices, remove, shared_dir, texts_of
+from tidemark.llm.common import WORDS, byte_slices, remove, shard_of, shared_dir, texts_of
 
 ALPHA = 0.4
 ORDER = 3
@@ -281,7 +281,10 @@ def score(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, a
                 got = tables.write(dealt.mapInArrow(_answered, "block bigint, k int, part int, at binary, x binary"))
                 answers = got if answers is None else answers.unionByName(got)
             both = blocks.drop("words").withColumn("k", F.lit(0)).unionByName(answers, allowMissingColumns=True)
-            sorted_rows = both.repartition("block").sortWithinPartitions("block", "k", "part")
+            # One task for a block: of each some megabytes of text, one id of 8 bytes reaches the driver.
+            ids = sorted(r["block"] for r in blocks.select("block").collect())
+            own = both.withColumn("task", shard_of(ids[1:])("block")).repartitionById(max(1, len(ids)), "task").drop("task")
+            sorted_rows = own.sortWithinPartitions("block", "k", "part")
             result = sorted_rows.mapInArrow(_scored(order, buckets, total, alpha, train is None), f"doc_id {kind}, n_words bigint, score double")
             path = shared_dir(spark)
             result.write.parquet(path)
