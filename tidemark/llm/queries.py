@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, cotrain, decontam, htmltext, lzprint, ngramlm, pii, simhash, tokenfiles, toxicity
+from tidemark.llm import bpe, cotrain, crosstok, decontam, htmltext, lzprint, ngramlm, pii, repetition, simhash, tokenfiles, toxicity, turnrepair
 from tidemark.llm.common import table
 
 
@@ -50,6 +50,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.op10(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.op11(table(spark, sf_dir, "conversations"))
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return crosstok.op13(table(spark, sf_dir, "documents"), crosstok.Tokenizers(spark, a, b))
+
+
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff,
     "op2_decontaminate": op2_decontaminate,
@@ -61,5 +74,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_token_files": op10_token_files,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_repetition": op12_repetition,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 ORACLE_SQL = {"op1_stupid_backoff": ngramlm.SQL, "op2_decontaminate": decontam.SQL}
