@@ -273,12 +273,15 @@ STRANGE = [
 
 def test_segments_encode_as_whole_texts_do(toks, libraries):
     r = random.Random(8)
-    bits = ["the ", " 's", "ab", "\n", " ", "  ", "é", "▁", "日", "\U0001f600", "12", "<s>", "\xa0", " ", "x\t", "q. ", "͸", "\x00", "﻿", "\x1f "]
+    bits = ["the ", "日 ", "\u2003 ", "\u200d ", "! ", " 's", "ab", "\n", " ", "  ", "é", "▁", "日", "\U0001f600", "12", "<s>", "\xa0", " ", "x\t", "q. ", "͸", "\x00", "﻿", "\x1f "]
     for text in [*STRANGE, *("".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(2_000))]:
         whole = tokens_by_hand(text, libraries)
-        parts = [toks.pair().encoded(s) for s in crosstok.segments(text)] if text else [None]
-        mine = None if None in parts else (sum((p[0] for p in parts), []), sum((p[1] for p in parts), []))
-        assert mine == (whole and (whole[0], whole[2])), repr(text)
+        _, found, numbers, filled = crosstok._numbered(pa.array([text], pa.string()))
+        assert "".join(found[k] for k in numbers) == " " + (text or "") and filled[0] == bool(text)
+        for cut in ([found[k] for k in numbers], crosstok.segments(text or "")):
+            parts = [toks.pair().encoded(s) for s in cut] if text else [None]
+            mine = None if None in parts else (sum((p[0] for p in parts), []), sum((p[1] for p in parts), []))
+            assert mine == (whole and (whole[0], whole[2])), repr(text)
 
 
 def test_perfect_hash_numbers_every_key_once():

@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +47,24 @@ TASK_PAIRS = 4_000_000
 #: Pairs of the table that a worker holds at once, 13 bytes each.
 BLOCK_PAIRS = 4_000_000
 #: Segments in a memo's younger half, and the longest one that it takes.
-MEMO = 150_000
+MEMO = 200_000
 MEMO_CHARS = 64
 #: Text bytes whose segments are numbered together.
 ALIGNED_BYTES = 4 << 20
 #: Bits for each key in a level of the hash.
 SPARSE = 2
 
-_CUT = re.compile(r"(?<=\S)(?= )")
-#: Characters on whose class every library's tables agree.
-_COMMON = re.compile("[\\t\\n\\r -~À-ɏ]*")
+#: What may stand before a cut: characters that no library takes for white space.
+_INK = "!-~\u00c0-\u024f"
+_CUT = re.compile(f"(?<=[{_INK}])(?= )")
+#: What may be white space to some library; after anything else a space is a cut.
+_WHITE = "\\x09-\\x0d \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}"
+#: Segments of characters on whose class every library's tables agree, which begin and end as a cut asks.
+_COMMON = re.compile(f" [\\t\\n\\r -~\u00c0-\u024f]*[{_INK}]")
+#: Stand for a cut while texts are split: code points that are no characters; one that no text of a slice holds is taken.
+_MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+#: Segments that are encoded as one string.
+JOINED = 32
 _SPACE = "▁"
 
 _state: dict = {}
@@ -85,7 +94,7 @@ class Tokenizers:
 
 
 class Pair:
-    """Two tokenizers in a worker: ``align`` gives a segment's links and groups."""
+    """Two tokenizers in a worker: ``align`` gives segments' links and groups."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is all it has
@@ -112,46 +121,53 @@ class Pair:
         for raw, i in entries.items():
             self.a_bytes[i] = raw
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_sizes, self.b_sizes = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         self.width = len(pieces)
+        names = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
+        self.named = [[n + m for n in names] for m in (",", "|", ";", "")]
+        self.digits = np.array([len(x) for x in names])
         self.blank = self.b.piece_to_id(_SPACE)
         self.memos: dict = {}
 
     def encoded(self, segment: str) -> tuple[list[int], list[int]] | None:
         """Ids of a segment, which begins with a space, by A and by B; None where the bytes of either are others."""
-        if self.ranked and len(segment) < 10_000 and _COMMON.fullmatch(segment):
-            a = self.ranked(segment)
-        else:
-            a = self.a.encode(segment, add_special_tokens=False).ids
+        a = self.a.encode(segment, add_special_tokens=False).ids
         b = self.b.encode(segment[1:], num_threads=1) if len(segment) > 1 else [self.blank]
-        raw = segment.encode()
-        same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-        return (a, b) if same else None
-
-    def align(self, segment: str, spelled: bool = True) -> tuple[int, int, int, list[int], str] | None:
-        """(tokens of A, tokens of B, groups, linked pairs as a * width + b, groups as text if ``spelled``) of a segment."""
-        got = self.encoded(segment)
-        if got is None:
-            return None
-        a, b = got
-        width, a_sizes, b_sizes = self.width, self.a_sizes, self.b_sizes
-        links, groups, i, j, i0, j0 = [], [], 0, 0, 0, 0
-        left = a_sizes[a[0]] - b_sizes[b[0]]  # how far the current A token ends behind the current B token
-        while True:
-            links.append(a[i] * width + b[j])
-            if left > 0:
-                j += 1
-                left -= b_sizes[b[j]]
-            elif left < 0:
-                i += 1
-                left += a_sizes[a[i]]
-            else:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}" if spelled else "")
-                if i == len(a):
-                    return len(a), len(b), len(groups), links, ";".join(groups)
-                i0, j0 = i, j
-                left = a_sizes[a[i]] - b_sizes[b[j]]
+        return (a, b) if self._spell(a, b, segment) else None
+
+    def _spell(self, a: list[int], b: list[int], text: str) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == text.encode() == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _joined(self, parts: list[list[str]]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """For each list of common segments: the ids of all of them, encoded as one text; None if they don't spell it."""
+        texts = ["".join(p) for p in parts]
+        a = [self.ranked(t) for t in texts] if self.ranked else [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        for t, x, y in zip(texts, a, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
+            yield (x, y) if self._spell(x, y, t) else None
+
+    def align(self, found: list[str], spelled: bool = True) -> Aligned:
+        """All of some segments at once."""
+        common = [bool(len(s) < 10_000 and _COMMON.fullmatch(s)) for s in found]
+        joined = [k for k, ok in enumerate(common) if ok]
+        parts = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        lone = [k for k, ok in enumerate(common) if not ok]
+        order, a, b, bad = [], [], [], []
+        for ks, got in zip(parts, self._joined([[found[k] for k in p] for p in parts]) if parts else (), strict=True):
+            if got is None:
+                lone += ks
+                continue
+            order += ks
+            a += got[0]
+            b += got[1]
+        for k in lone:
+            got = self.encoded(found[k])
+            if got is None:
+                bad.append(k)
+                continue
+            order.append(k)
+            a += got[0]
+            b += got[1]
+        return Aligned(self, [found[k] for k in order], order + bad, np.array(a, np.int64), np.array(b, np.int64), spelled)
 
     def memo(self, name: object) -> list[dict]:
         """The two halves of a memo; a worker keeps the latest memo only."""
@@ -160,8 +176,49 @@ class Pair:
         return self.memos[name]
 
 
+class Aligned:
+    """Segments' tokens side by side.  ``order`` names the segments by their places in the list that was asked for, those
+    without tokens last; everything else is in that order."""
+
+    def __init__(self, pair: Pair, texts: list[str], order: list[int], a: np.ndarray, b: np.ndarray, spelled: bool):
+        self.order, n, more = order, len(texts), len(order) - len(texts)
+        ends = np.cumsum(pa.compute.binary_length(pa.array(texts, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64))
+        a_ends, b_ends = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
+        a_starts, b_starts = a_ends - pair.a_sizes[a], b_ends - pair.b_sizes[b]
+        # The segment of each token, and where the tokens of each segment end.
+        a_of, b_of = np.searchsorted(ends, a_starts, "right"), np.searchsorted(ends, b_starts, "right")
+        low, high = np.searchsorted(b_ends, a_starts, "right"), np.searchsorted(b_starts, a_ends, "left")
+        each = high - low
+        left = np.repeat(np.arange(len(a)), each)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
+        self.links = (a[left] * pair.width + b[right]).astype(np.uint64)
+        count = lambda of: np.concatenate((np.bincount(of, minlength=n), np.zeros(more, np.int64)))
+        self.n_a, self.n_b, self.n_links = count(a_of), count(b_of), count(a_of[left])
+        # A group ends where both sides do.
+        a_cut, b_cut = np.isin(a_ends, b_ends), np.isin(b_ends, a_ends)
+        self.n_groups = count(a_of[a_cut])
+        self.link_ends = np.cumsum(self.n_links)
+        if spelled:
+            self.texts = self._spelled(pair, a, b, np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut) + [""] * more
+
+    def _spelled(self, pair: Pair, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> list[str]:
+        """Each segment's groups: ids parted by commas, sides by a bar, groups by semicolons."""
+        side = np.concatenate((2 * a_group, 2 * b_group + 1))
+        at = np.argsort(side, kind="stable")
+        ids, side = np.concatenate((a, b))[at], side[at]
+        last = np.append(side[1:] != side[:-1], True)[: len(side)]
+        mark = np.where(~last, 0, 1 + side % 2)
+        n = len(self.n_groups) - np.count_nonzero(self.n_a == 0)
+        tokens = np.cumsum((self.n_a + self.n_b)[:n])
+        mark[tokens - 1] = 3  # a segment's last token
+        named = pair.named
+        text = "".join([named[m][i] for i, m in zip(ids.tolist(), mark.tolist(), strict=True)])
+        ends = np.cumsum(pair.digits[ids] + (mark < 3))[tokens - 1].tolist()
+        return [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 def segments(text: str) -> list[str]:
-    """A space and the text, cut before each space that follows a character which is not white space."""
+    """A space and the text, cut before each space that follows a common character which is not white space."""
     return _CUT.split(" " + text)
 
 
@@ -170,14 +227,13 @@ def _recalled(memo: list[dict], found: list[str], make: Callable[[list[str]], li
     if len(memo[0]) > MEMO:
         memo[:] = [{}, memo[0]]
     young, old = memo
-    out, new = [], []
-    for k, s in enumerate(found):
-        x = young.get(s)
-        if x is None and (x := old.get(s)) is not None:
-            young[s] = x
+    out, new = list(map(young.get, found)), []
+    for k in [k for k, x in enumerate(out) if x is None]:
+        x = old.get(found[k])
         if x is None:
             new.append(k)
-        out.append(x)
+        else:
+            out[k] = young[found[k]] = x
     for k, x in zip(new, make([found[k] for k in new]), strict=True):
         out[k] = x
         if len(found[k]) <= MEMO_CHARS:
@@ -185,12 +241,26 @@ def _recalled(memo: list[dict], found: list[str], make: Callable[[list[str]], li
     return out
 
 
-def _numbered(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Where each text's segments end, the distinct segments, and each segment's number among them."""
-    cut = [segments(t) if t else [] for t in texts]
-    ends = np.cumsum([len(c) for c in cut], dtype=np.int64)
-    every = pa.array([s for c in cut for s in c], pa.string()).dictionary_encode()
-    return ends, every.dictionary.to_pylist(), every.indices.to_numpy().astype(np.int64)
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Where each text's segments end, the distinct segments, each segment's number among them, and which texts are not empty."""
+    texts = texts.fill_null("")
+    filled = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+    spaced = pa.compute.binary_join_element_wise(" ", texts, "")
+    mark = next((m for m in _MARKS if not pa.compute.any(pa.compute.match_substring(texts, m)).as_py()), None)
+    if mark:
+        # Most texts have no white space before a space: there every space but the first is a cut.
+        plain = pa.compute.replace_substring(spaced, " ", f"{mark} ")
+        after = pa.compute.match_substring_regex(spaced, f"[{_WHITE}] ")
+        if pa.compute.any(after).as_py():
+            plain = pa.compute.if_else(after, pa.compute.replace_substring_regex(pa.compute.if_else(after, spaced, ""), f"([{_INK}]) ", f"\\1{mark} "), pa.compute.utf8_slice_codeunits(plain, 1))
+        else:
+            plain = pa.compute.utf8_slice_codeunits(plain, 1)
+        cut = pa.compute.split_pattern(plain, mark)
+    else:
+        cut = pa.array([segments(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    offsets = cut.offsets.to_numpy().astype(np.int64)
+    every = cut.flatten().dictionary_encode()
+    return offsets[1:] - offsets[0], every.dictionary.to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy().astype(np.int64), filled
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -199,9 +269,9 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.concatenate(([0], ends[:-1]))]
 
 
-def _whole(bad: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Texts that have segments, none of which is bad."""
-    return (_sums(bad.astype(np.int64), ends) == 0) & (np.diff(ends, prepend=0) > 0)
+def _whole(bad: np.ndarray, ends: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Texts that are not empty and have no bad segment."""
+    return (_sums(bad.astype(np.int64), ends) == 0) & filled
 
 
 # Minimal perfect hash
@@ -273,7 +343,13 @@ def _stage(docs: DataFrame, toks: Tokenizers) -> DataFrame:
         part = TaskContext.get().partitionId()
 
         def make(new: list[str]) -> list[bytes]:
-            return [b"" if x is None else np.array(x[3], np.uint64).tobytes() for x in (pair.align(s, False) for s in new)]
+            got = pair.align(new, False)
+            raw, out = got.links.tobytes(), [b""] * len(new)
+            start = 0
+            for k, end in zip(got.order, (8 * got.link_ends).tolist(), strict=True):
+                out[k] = raw[start:end]
+                start = end
+            return out
 
         def flushed() -> Iterator[pa.RecordBatch]:
             bucket = (keys % width).astype(np.int64) % BUCKETS
@@ -284,10 +360,10 @@ def _stage(docs: DataFrame, toks: Tokenizers) -> DataFrame:
 
         for batch in batches:
             for rows in byte_slices(batch, "text", ALIGNED_BYTES):
-                ends, found, numbers = _numbered(rows.column("text").to_pylist())
+                ends, found, numbers, filled = _numbered(rows.column("text"))
                 links = _recalled(memo, found, make)
                 sizes = np.array([len(x) for x in links], np.int64) // 8
-                whole = _whole(sizes[numbers] == 0, ends)
+                whole = _whole(sizes[numbers] == 0, ends, filled)
                 times = np.bincount(numbers[np.repeat(whole, np.diff(ends, prepend=0))], minlength=len(found))
                 met, at = np.unique(np.concatenate((keys, np.frombuffer(b"".join(links), np.uint64))), return_inverse=True)
                 counts = np.bincount(at, np.concatenate((counts, np.repeat(times, sizes))), len(met)).astype(np.int64)
@@ -469,19 +545,21 @@ def _looked_up(docs: DataFrame, toks: Tokenizers, name: str, shared, groups: boo
         table = tables[name]
 
         def make(new: list[str]) -> list[tuple]:
-            got = [pair.align(s, groups) for s in new]
-            size = np.array([len(x[3]) if x else 0 for x in got], np.int64)
-            count, best = table.look_up(np.array([k for x in got if x for k in x[3]], np.uint64))
-            ends = np.cumsum(size)
-            sums = zip(_sums(best.astype(np.int64), ends).tolist(), _sums(count, ends).tolist(), strict=True) if len(got) else []
-            return [((x[0], x[1], x[2], len(x[3]), b, c), x[4] if groups else "") if x else ((0,) * 6, None) for x, (b, c) in zip(got, sums, strict=True)]
+            got = pair.align(new, groups)
+            count, best = table.look_up(got.links)
+            sums = [_sums(x, got.link_ends) for x in (best.astype(np.int64), count)]
+            rows = np.column_stack((got.n_a, got.n_b, got.n_groups, got.n_links, *sums)).tolist()
+            out: list = [None] * len(new)
+            for k, row, text in zip(got.order, rows, got.texts if groups else [""] * len(new), strict=True):
+                out[k] = row, text
+            return out
 
         for batch in batches:
             for rows in byte_slices(batch, "text", ALIGNED_BYTES):
-                ends, found, numbers = _numbered(rows.column("text").to_pylist())
+                ends, found, numbers, filled = _numbered(rows.column("text"))
                 known = _recalled(memo, found, make)
                 each = np.array([x[0] for x in known], np.int64).reshape(-1, 6)
-                whole = _whole(each[numbers, 0] == 0, ends)
+                whole = _whole(each[numbers, 0] == 0, ends, filled)
                 arrays = [pa.array(_sums(each[numbers, k], ends) * whole) for k in range(6)]
                 if groups:
                     words, n, start, texts = [x[1] for x in known], numbers.tolist(), 0, []
