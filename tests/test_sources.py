@@ -118,15 +118,16 @@ def test_streams(spark, tmp_path):
     day = dt.date(2024, 1, 2)
     spark.createDataFrame([(1, day, 1.0, 2.0, 1.0, 1.5, 5), (1, day, 1.0, 0.5, 1.0, 1.5, 5)], shape).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(shape).parquet(f"{tmp_path}/in")
-    jobs.quarantine_stream(stream, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/good").count() == 1 and spark.read.parquet(f"{tmp_path}/bad").first()["raw_row"]["high"] == 0.5
+    jobs.quarantine_stream(stream, f"{tmp_path}/checked", f"{tmp_path}/cp").awaitTermination()
+    good, bad = jobs.quarantined(spark, f"{tmp_path}/checked", stream.schema)
+    assert good.count() == 1 and bad.first()["raw_row"]["high"] == 0.5
     t = lambda d, h: dt.datetime(2024, 1, d, h)
     for k, batch in enumerate([[(1, t(2, 9), 7, "a", 1.0, ""), (2, t(2, 10), 7, "a", 3.0, "")], [(3, t(2, 11), 7, "a", 2.0, ""), (3, t(2, 11), 7, "a", 2.0, ""), (4, t(4, 9), 7, "a", 9.0, "")]]):
         spark.createDataFrame(batch, jobs.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/ev/{k}")
-    spark.sparkContext.setCheckpointDir(f"{tmp_path}/lineage")
     events = jobs.event_stream(spark, f"{tmp_path}/ev/*", 1)
-    jobs.upsert_stream(jobs.daily_bars(events), f"{tmp_path}/bars", f"{tmp_path}/cp2").awaitTermination()
-    got = rows(spark.read.parquet(f"{tmp_path}/bars"), "trade_date", "open", "high", "close", "volume")
+    bars = jobs.daily_bars(events)
+    jobs.upsert_stream(bars, f"{tmp_path}/bars", f"{tmp_path}/cp2").awaitTermination()
+    got = rows(jobs.upserted_bars(spark, f"{tmp_path}/bars", bars), "trade_date", "open", "high", "close", "volume")
     assert got == [(dt.date(2024, 1, 2), 1.0, 3.0, 2.0, 4), (dt.date(2024, 1, 4), 9.0, 9.0, 9.0, 1)]
     q = jobs.unique_stream(events, ["event_id"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp3").start()
     q.awaitTermination()

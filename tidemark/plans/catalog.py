@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as c
 from tidemark.operators import sinks as s
+from tidemark.plans.technical import VALIDATION, broken
 from tidemark.sources import landed
 from tidemark.sources import projections as p
 from tidemark.sources.stored import shared_path
@@ -140,14 +141,74 @@ SELECT 'ihsg_composite' AS series_code, trade_date AS observation_date, round(ma
 
 
 def stream_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3: all events to daily bars through a stream, upserted into a table."""
+    """ST3: all events to daily bars through a stream, upserted into a committed table."""
     path = shared_path(spark, "stream")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"{path}/lineage")
     # A pattern, since a stream's path is else taken for a folder.
     bars = jobs.daily_bars(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet", None))
     jobs.upsert_stream(bars, f"{path}/bars", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/bars").select("company_id", "trade_date", "open", "high", "low", "close", "volume")
+    return jobs.upserted_bars(spark, f"{path}/bars", bars)
+
+
+#: Days from the first event at which the second and the third delivery begin; the days that corrections may be late.
+DELIVERIES, DELAY_DAYS = (12, 20), 5
+
+
+def stream_late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: three deliveries of events in order of time, the later ones with corrections of earlier days.  The stream is
+    stopped and started again between them.  A correction counts if its day ended after the watermark, the latest
+    time of earlier deliveries less five days; those beyond it are lost, since their state is gone."""
+    path = shared_path(spark, "stream")
+    events = p.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").withColumn("ts", F.col("ts").cast("timestamp"))
+    start = events.agg(F.to_date(F.min("ts"))).first()[0]
+    day = F.date_diff(F.to_date("ts"), F.lit(start))
+    first, second = (day >= d for d in DELIVERIES)
+
+    def corrected(rows: DataFrame, every: int) -> DataFrame:
+        return rows.filter(F.col("event_id") % every == 0).withColumns({"event_id": F.col("event_id") + every * 1_000_000_000_000, "value": F.col("value") * every})
+
+    deliveries = (events.filter(~first), events.filter(first & ~second).unionByName(corrected(events.filter(~first), 7)), events.filter(second).unionByName(corrected(events.filter(~second), 11)))
+    for k, rows in enumerate(deliveries):
+        rows.write.parquet(f"{path}/events/delivery={k}")
+        bars = jobs.daily_bars(jobs.event_stream(spark, f"{path}/events/delivery=*", None), delay=f"{DELAY_DAYS} days")
+        jobs.upsert_stream(bars, f"{path}/bars", f"{path}/checkpoint").awaitTermination()
+    return jobs.upserted_bars(spark, f"{path}/bars", bars)
+
+
+LATE = f"""
+WITH e AS (SELECT *, date_diff('day', CAST(min(ts) OVER () AS DATE), CAST(ts AS DATE)) AS d FROM events
+), w AS (SELECT max(ts) FILTER (d < {DELIVERIES[0]}) - INTERVAL {DELAY_DAYS} DAY AS w1, max(ts) FILTER (d < {DELIVERIES[1]}) - INTERVAL {DELAY_DAYS} DAY AS w2 FROM e
+), a AS (
+  SELECT event_id, ts, user_id, value FROM e
+  UNION ALL SELECT event_id + 7000000000000, ts, user_id, value * 7 FROM e, w WHERE d < {DELIVERIES[0]} AND event_id % 7 = 0 AND CAST(ts AS DATE) + INTERVAL 1 DAY > w1
+  UNION ALL SELECT event_id + 11000000000000, ts, user_id, value * 11 FROM e, w WHERE d < {DELIVERIES[1]} AND event_id % 11 = 0 AND CAST(ts AS DATE) + INTERVAL 1 DAY > w2)
+SELECT user_id AS company_id, CAST(ts AS DATE) AS trade_date, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
+       last(value ORDER BY ts, event_id) AS close, count(*) AS volume FROM a GROUP BY 1, 2"""
+
+
+def _quarantined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path, bars = shared_path(spark, "stream"), broken(p.bars(spark, sf_dir))
+    # Two deliveries, the second to a stream that was stopped.
+    for k in range(2):
+        bars.filter(F.col("company_id") % 2 == k).write.parquet(f"{path}/bars/delivery={k}")
+        stream = spark.readStream.schema(bars.schema).parquet(f"{path}/bars/delivery=*")
+        jobs.quarantine_stream(stream, f"{path}/table", f"{path}/checkpoint", F.lit("2001-06-30").cast("date")).awaitTermination()
+    return jobs.quarantined(spark, f"{path}/table", bars.schema)
+
+
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: arriving bars, broken by rule, to a table of valid bars and one of bad ones with all their errors, under one commit
+    for each batch; both tables as rows."""
+    valid, bad = _quarantined(spark, sf_dir)
+    shown = ["company_id", "trade_date", "close", "volume"]
+    good = valid.select(F.lit("valid").alias("part"), *shown, F.lit(0).cast("bigint").alias("n_errors"))
+    return good.unionByName(bad.select(F.lit("bad").alias("part"), *(f"raw_row.{c}" for c in shown), F.size("errors").cast("bigint").alias("n_errors")))
+
+
+QUARANTINED = f"""
+WITH v AS ({VALIDATION})
+SELECT CASE WHEN n_errors = 0 THEN 'valid' ELSE 'bad' END AS part, company_id, trade_date, CASE WHEN (company_id + day(trade_date)) % 13 = 0 THEN NULL ELSE close END AS close,
+       CASE WHEN (company_id + day(trade_date)) % 11 = 0 THEN -volume ELSE volume END AS volume, n_errors
+FROM bars JOIN v USING (company_id, trade_date)"""
 
 
 def stream_unique_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +237,8 @@ QUERIES = {
     "company_sync": company_sync,
     "close_series": close_series,
     "stream_daily_bars": stream_daily_bars,
+    "stream_late_bars": stream_late_bars,
+    "stream_quarantine": stream_quarantine,
     "stream_unique_days": stream_unique_days,
 }
 ORACLE_SQL = {
@@ -189,5 +252,7 @@ ORACLE_SQL = {
     "company_sync": p.oracle(SYNC, "companies"),
     "close_series": p.oracle(SERIES, "index_series"),
     "stream_daily_bars": STREAM,
+    "stream_late_bars": LATE,
+    "stream_quarantine": p.oracle(QUARANTINED, "bars"),
     "stream_unique_days": DAYS,
 }

@@ -43,6 +43,7 @@ _UNION = " UNION ALL ".join(f"SELECT {_KEYS}, '{n}' AS ratio, {e} AS value FROM
 _RATIOS = f"""
 {_WIDE}, priced AS (SELECT wide.*, b.close FROM wide ASOF LEFT JOIN bars b ON b.company_id = wide.company_id AND wide.available_at >= b.trade_date
 ), ratios AS (SELECT *, ratio || '__' || statement_type AS ratio_name, value IS NOT NULL AS is_applicable FROM ({_UNION}))"""
+RATIOS_SQL, RATIO_NAMES = _RATIOS, tuple(_VALUES)
 STATEMENT_RATIOS = f"WITH {_RATIOS} SELECT {_KEYS}, ratio_name, CASE WHEN abs(value) > 1e4 THEN round(value, 1) ELSE round(value, 6) END AS value, is_applicable FROM ratios"
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from tidemark.functions.rules import bar_errors
-from tidemark.operators.sinks import replace_partitions, upsert
+from tidemark.operators.technical import split_valid
+from tidemark.streaming.committed import Committed, append_batch, appended, upsert_batch, upserted
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -18,22 +19,27 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (stream.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else stream).parquet(path)
 
 
-def quarantine_stream(bars: DataFrame, valid_path: str, bad_path: str, checkpoint: str) -> StreamingQuery:
-    """Arriving bars to two tables: valid ones, and bad ones with every error and the raw row.
+def quarantine_stream(bars: DataFrame, path: str, checkpoint: str, today: Column | None = None) -> StreamingQuery:
+    """Arriving bars to two tables, ``valid`` and ``bad``: the latter with every error and the raw row.
 
-    Each batch writes to a folder of its own number, so a batch that is tried again replaces itself.
+    Both parts of a batch are committed at once; a batch that is tried again replaces what its first try left, and one that
+    was committed is not written again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        checked = batch.withColumn("errors", bar_errors(F.current_date())).persist()
-        checked.filter(F.size("errors") == 0).drop("errors").write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
-        bad = checked.filter(F.size("errors") > 0).select("errors", F.struct(*batch.columns).alias("raw_row"))
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        checked.unpersist()
+        valid, bad = split_valid(batch, F.current_date() if today is None else today)
+        append_batch(Committed(batch.sparkSession, path), number, {"valid": valid, "bad": bad})
 
     return bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def quarantined(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(valid bars, bad bars as (raw_row, errors)) that ``quarantine_stream`` has committed; ``schema`` is the bars'."""
+    bad = StructType().add("raw_row", schema).add("errors", ArrayType(StringType()))
+    table = Committed(spark, path)
+    return appended(table, "valid", schema), appended(table, "bad", bad)
+
+
 def unique_stream(events: DataFrame, keys: list[str], time: str = "ts", delay: str = "5 days") -> DataFrame:
     """The first event of each natural key; state is kept for the delay only."""
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
@@ -53,22 +59,18 @@ def daily_bars(events: DataFrame, time: str = "ts", delay: str = "5 days") -> Da
 
 
 def upsert_stream(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Changed bars into a table partitioned by year, one row for each company and date: each batch
-    reads and rewrites the years it touches."""
+    """Changed bars into a committed table kept by year, one row for each company and date: each batch merges the years it
+    touches and is committed as a whole."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumns({"year": F.year("trade_date"), "batch": F.lit(number)}).persist()
-        years = [r["year"] for r in new.select("year").distinct().collect()]
-        try:
-            old = spark.read.parquet(path).filter(F.col("year").isin(years))
-            # The partitions read are the ones written: the merge is stored before they are replaced.
-            merged = upsert(old, new, ["company_id", "trade_date"], "batch").checkpoint()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            merged = new
-        replace_partitions(merged, path, "year")
-        new.unpersist()
+        rows = batch.withColumns({"year": F.year("trade_date"), "batch": F.lit(number).cast("bigint")}).persist()
+        upsert_batch(Committed(batch.sparkSession, path), number, rows, ["company_id", "trade_date"], "year", "batch")
+        rows.unpersist()
 
     return bars.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted_bars(spark: SparkSession, path: str, bars: DataFrame) -> DataFrame:
+    """The bars that ``upsert_stream`` has committed, with the columns of ``bars``."""
+    schema = StructType(list(bars.schema.fields)).add("year", IntegerType()).add("batch", LongType())
+    return upserted(Committed(spark, path), schema).select(*bars.columns)
