@@ -362,10 +362,18 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd_docs, no_docs):
     kept = simhash.deduplicate(odd_docs, simhash.STRICT)
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted({c if c is not None else -1 for _, _, c in by_hand([(r["doc_id"], r["text"]) for r in odd_docs.collect()])})
-    assert sorted(r["doc_id"] or -1 for r in simhash.deduplicate(odd_docs).collect()) == [-1, 1, 2, 4, 5, 6, 8]
+    assert sorted(r["doc_id"] or -1 for r in simhash.deduplicate(odd_docs).collect()) == [-1, 1, 2, 4, 6, 8]
     assert simhash.deduplicate(no_docs).isEmpty() and simhash.op8(no_docs).isEmpty()
 
 
+def test_deduplicate_links_an_overlap_of_exactly_the_limit(spark):
+    """8 of 10 shingles in common are 0.8 and linked; 7 of 9 are just under it and stay apart."""
+    text = lambda letter, n, last: " ".join([*(f"{letter}{k}" for k in range(n)), last])
+    rows = [(1, text("a", 12, "x")), (2, text("a", 12, "y")), (3, text("b", 11, "x")), (4, text("b", 11, "y"))]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
 # Token files
 
 
