@@ -99,10 +99,11 @@ def test_confidence_rounds_half_to_even(spark):
     assert one(spark, rules.reported_percent(F.lit(0.2875))) == pytest.approx(28.75) and one(spark, rules.reported_percent(F.lit(3.2))) == 3.2
 
 
-@pytest.mark.parametrize("block", [7, 1024])
+@pytest.mark.parametrize(("block", "group"), [(7, 256), (7, 3), (1024, 256)])
 @pytest.mark.parametrize("share", [0.0, 0.3])
-def test_ewm_equals_pandas(spark, monkeypatch, block, share):
+def test_ewm_equals_pandas(spark, monkeypatch, block, group, share):
     monkeypatch.setattr(rolling, "BLOCK", block)
+    monkeypatch.setattr(rolling, "GROUP", group)
     rng = np.random.default_rng(int(share * 10) + block)
     values = [None if rng.random() < share else float(x) for x in rng.normal(100, 5, 120)]
     df = spark.createDataFrame([(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), v) for k in (1, 2) for i, v in enumerate(values)], "company_id long, trade_date date, x double")
@@ -112,6 +113,16 @@ def test_ewm_equals_pandas(spark, monkeypatch, block, share):
     assert np.allclose([x for x in got if x is not None], want.dropna(), rtol=1e-10)
 
 
+def test_ewm_of_a_million_rows_of_one_key(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).alias("company_id"), F.col("id").alias("trade_date"), F.when(F.col("id") % 11 != 0, 100 + F.sin("id")).alias("x"))
+    got = rolling.ewm(df, {"a": ("x", 0.001, 9)}).filter("trade_date % 9973 = 9 or trade_date >= 999990").select("trade_date", "a").toPandas().set_index("trade_date")["a"]
+    k = np.arange(n)
+    want = pd.Series(np.where(k % 11 != 0, 100 + np.sin(k), np.nan)).ewm(alpha=0.001, adjust=False, min_periods=9).mean()
+    known = got.index >= 10
+    assert np.allclose(got[known], want[got.index[known]], rtol=1e-9)
+
+
 def test_ranks_with_ties(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), ("b", 5.0)], "g string, x double")
     got = df.select("g", "x", rolling.percent_rank_mean("x", "g").alias("r"), rolling.percentile_midpoint("x", "g").alias("m")).orderBy("g", F.col("x").asc_nulls_last()).collect()

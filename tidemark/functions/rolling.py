@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Rows of one series after which an exponential average starts a new block, so its weights stay finite.
 BLOCK = 1024
+#: Blocks that are carried on together.
+GROUP = 256
 
 
 def full(fn: Callable[[Column], Column], x: Column, n: int, by: str = "company_id", order: str = "trade_date") -> Column:
@@ -23,8 +25,10 @@ def ewm(df: DataFrame, averages: dict[str, tuple[str, float, int]], by: str = "c
     y starts at the first value and follows y = (1 - a) y + a x.  A gap lets the old weight decay
     further before it meets the next value.  With a per-row coefficient this is a closed form of
     running sums, y = exp(s) * sum(a x exp(-s)) with s the running sum of log(1 - a).  The sums start anew
-    every ``BLOCK`` rows, so exp(-s) stays finite on histories of any length; each row carries on
-    the few block ends before it.  All windows share one partitioning and order: one shuffle, one sort.
+    every ``BLOCK`` rows, so exp(-s) stays finite on histories of any length.  What a stretch of rows does to an average is an
+    affine map, y to d y + own; a row composes the maps of the blocks before it in its group of ``GROUP`` blocks, then those of
+    the groups before, at most 255 and one for each 262,144 rows, not one for each block of all history.  All windows are
+    partitioned by the series or finer: one shuffle.
     """
     w = Window.partitionBy(by).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -50,16 +54,27 @@ def ewm(df: DataFrame, averages: dict[str, tuple[str, float, int]], by: str = "c
             for n, (x, _, _) in averages.items()
         }
     )
-    end = F.col("__row") % BLOCK == BLOCK - 1
+    # What the rows of the block so far do to the average that the block began with.
+    out = out.withColumns({f"__d_{n}": F.exp(f"__s_{n}") for n in names}).withColumns({f"__y_{n}": F.col(f"__d_{n}") * F.col(f"__p_{n}") for n in names})
+    out = out.withColumn("__group", F.floor(F.col("__row") / (BLOCK * GROUP)))
+    in_group = Window.partitionBy(by, "__group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # The same of the rows of the group so far: its blocks' maps, then the block's own.
+    out = out.withColumns({f"__e_{n}": _composed(n, BLOCK, in_group) for n in names})
+    out = out.withColumns({f"__y_{n}": F.col(f"__y_{n}") + F.col(f"__d_{n}") * F.col(f"__e_{n}.y") for n in names})
+    out = out.withColumns({f"__d_{n}": F.col(f"__d_{n}") * F.col(f"__e_{n}.d") for n in names})
+    out = out.withColumns({f"__e_{n}": _composed(n, BLOCK * GROUP, before) for n in names})
+    seen = {n: F.count(x).over(w) for n, (x, _, _) in averages.items()}
+    value = {n: F.col(f"__y_{n}") + F.col(f"__d_{n}") * F.col(f"__e_{n}.y") for n in names}
+    out = out.withColumns({n: F.when(seen[n] >= least, value[n]) for n, (_, _, least) in averages.items()})
+    return out.drop("__row", "__block", "__group", *(f"__{k}_{n}" for k in "vaspdye" for n in names))
 
-    def value(n: str) -> Column:
-        decay, own = F.exp(F.col(f"__s_{n}")), F.exp(F.col(f"__s_{n}")) * F.col(f"__p_{n}")
-        ends = F.collect_list(F.when(end, F.struct(decay.alias("d"), own.alias("y")))).over(before)
-        return own + decay * F.aggregate(ends, F.lit(0.0), lambda y, e: y * e["d"] + e["y"])
 
-    seen = {n: F.count(x).over(w) for n, (x, _, _) in averages.items()}
-    out = out.withColumns({n: F.when(seen[n] >= least, value(n)) for n, (_, _, least) in averages.items()})
-    return out.drop("__row", "__block", *(f"__{k}_{n}" for k in "vasp" for n in names))
+def _composed(n: str, rows: int, frame: WindowSpec) -> Column:
+    """The maps at the end of each ``rows`` rows of a frame as one, which starts from nothing."""
+    end = F.col("__row") % rows == rows - 1
+    maps = F.collect_list(F.when(end, F.struct(F.col(f"__d_{n}").alias("d"), F.col(f"__y_{n}").alias("y")))).over(frame)
+    start = F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("y"))
+    return F.aggregate(maps, start, lambda m, e: F.struct((m["d"] * e["d"]).alias("d"), (m["y"] * e["d"] + e["y"]).alias("y")))
 
 
 def average_rank(x: Column, *by: Column | str) -> Column:
