@@ -79,7 +79,7 @@ XBRL = """<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:i="urn:i" xmlns:
 
 def test_xbrl_and_manifest(spark, tmp_path):
     aliases = landed.fact_aliases(spark, {"RasioModalInti": "capital_adequacy_ratio_reported"})
-    got = rows(landed.xbrl_facts(spark, put(tmp_path, "x.xml", XBRL), aliases, "2025-12-31"), "account_code", "value")
+    got = rows(landed.xbrl_facts(landed.xbrl_listed(spark, put(tmp_path, "x.xml", XBRL)), aliases, "2025-12-31"), "account_code", "value")
     assert got == [("capital_adequacy_ratio_reported", 0.3125), ("net_income", -125.0), ("total_assets", 1000000.0)]
     base = {"ticker": "bbca", "statement_type": "annual", "period_end": "2025-12-31", "published_at": "2026-03-09T08:15:00+07:00", "file": "a/x.xml"}
     filings = [base, base | {"file": "b.xml"}, base | {"file": "../x"}, base | {"published_at": "2026-01-01T00:00:00"}, base | {"statement_type": "weekly"}, base | {"ticker": ""}]
@@ -91,8 +91,17 @@ def test_unreadable_documents_are_rejects(spark, tmp_path):
     put(tmp_path, "x1.xml", XBRL)
     put(tmp_path, "x2.xml", XBRL[:200])
     aliases = landed.fact_aliases(spark)
-    assert landed.xbrl_facts(spark, f"{tmp_path}/x*.xml", aliases, "2025-12-31").select("path").distinct().count() == 1
-    assert [r["path"][-6:] for r in landed.xbrl_rejects(spark, f"{tmp_path}/x*.xml").collect()] == ["x2.xml"]
+    listed = landed.xbrl_listed(spark, f"{tmp_path}/x*.xml")
+    assert landed.xbrl_facts(listed, aliases, "2025-12-31").select("path").distinct().count() == 1
+    assert [r["path"][-6:] for r in landed.xbrl_rejects(listed).collect()] == ["x2.xml"]
+    both = landed.xbrl_facts(listed, aliases, "2025-12-31").select("path").unionByName(landed.xbrl_rejects(listed).select("path"))
+    assert "binaryFile" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_by_context_skip_what_is_nil(spark, tmp_path):
+    listed = landed.xbrl_listed(spark, put(tmp_path, "x.xml", XBRL))
+    assert rows(landed.xbrl_facts(listed, landed.fact_aliases(spark), context="old"), "account_code", "value") == [("revenue", 9.0)]
+    assert rows(landed.xbrl_facts(listed, landed.fact_aliases(spark), context="now", multiplier=2.0), "account_code", "value") == [("net_income", -250.0), ("total_assets", 2000000.0)]
 
 
 def test_request_windows(spark):

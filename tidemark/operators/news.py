@@ -92,22 +92,68 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def entity_links(articles: DataFrame, needles: DataFrame, text: str = "text", mentioned: str | None = None) -> DataFrame:
-    """(article_id, company_id, relevance_score, match_method, matched_text): the best match of each pair.
+#: Bits of the needles' bitmap for each needle, and its greatest size in words of 64 bits.
+BITS, MOST_WORDS = 32, 1 << 20
 
-    An article's distinct words (tickers are case-sensitive) and its distinct n-grams, of the sizes that
-    names have, are joined to the dictionary by equality: no text is held against every name.
+
+def _place(needle: Column, size: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(needle, size), F.lit(64 * words))
+
+
+def needle_bitmap(needles: DataFrame) -> list[int]:
+    """Bits at the hashes of all needles, as 64-bit words; about one other text in ``BITS`` falls on a bit too.
+
+    Sized by the dictionary, 8 MB at most: beyond that more other texts pass, none of the needles is missed.
+    """
+    n = needles.count()
+    words = min(MOST_WORDS, max(1, -(-n * BITS // 64)))
+    at = _place(F.col("needle"), F.col("size"), words)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
+    rows = needles.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    out = [0] * words
+    for r in rows:
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _may_be(needle: Column, size: Column, bits: Column, words: int) -> Column:
+    at = _place(needle, size, words)
+    word = F.get(bits, F.floor(at / 64).cast("int"))
+    return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def candidate_grams(articles: DataFrame, needles: DataFrame, text: str = "text", pruned: bool = True) -> DataFrame:
+    """(article_id, needle, size): an article's distinct words (size 0) and n-grams of the sizes that names have.
+
+    ``pruned``: only those on a bit of the needles' bitmap, which is tried before a row is made of them, so what is shuffled
+    are hits and few others.
     """
     # Distinct numbers of words in names: a handful.
     sizes = [r["size"] for r in needles.filter("size > 0").select("size").distinct().collect()]
-    words = articles.select("article_id", F.split(F.col(text), r"(?U)[^\w]+").alias("t"), F.split(normalized(text), " ").alias("w"))
+    own = articles.select("article_id", F.split(F.col(text), r"(?U)[^\w]+").alias("t"), F.split(normalized(text), " ").alias("w"))
+    if pruned:
+        bitmap = needle_bitmap(needles)
+        one = articles.sparkSession.createDataFrame([(bitmap,)], "bits array<bigint>")
+        own = own.crossJoin(F.broadcast(one))  # with one row
 
     def sized(found: Column, n: int) -> Column:
-        return F.transform(F.array_distinct(found), lambda x: F.struct(x.alias("needle"), F.lit(n).alias("size")))
+        found = F.array_distinct(found)
+        if pruned:
+            found = F.filter(found, lambda x: _may_be(x, F.lit(n), F.col("bits"), len(bitmap)))
+        return F.transform(found, lambda x: F.struct(x.alias("needle"), F.lit(n).alias("size")))
 
     none = F.array().cast("array<string>")
     kinds = [sized(F.coalesce("t", none), 0), *(sized(F.when(F.size("w") >= n, _grams(F.col("w"), n)).otherwise(none), n) for n in sizes)]
-    found = words.select("article_id", F.explode(F.concat(*kinds)).alias("g")).select("article_id", "g.needle", "g.size")
+    return own.select("article_id", F.explode(F.concat(*kinds)).alias("g")).select("article_id", "g.needle", "g.size")
+
+
+def entity_links(articles: DataFrame, needles: DataFrame, text: str = "text", mentioned: str | None = None) -> DataFrame:
+    """(article_id, company_id, relevance_score, match_method, matched_text): the best match of each pair.
+
+    An article's distinct words (tickers are case-sensitive) and its distinct n-grams, of the sizes that
+    names have, are joined to the dictionary by equality: no text is held against every name.
+    """
+    found = candidate_grams(articles, needles, text)
     hits = found.join(needles, ["needle", "size"]).select("article_id", "company_id", "method", "needle")
     if mentioned:
         said = articles.select("article_id", F.explode(F.transform(mentioned, lambda t: F.upper(t))).alias("needle"))
@@ -118,6 +164,36 @@ def entity_links(articles: DataFrame, needles: DataFrame, text: str = "text", me
     return best.select("article_id", "company_id", F.col("m.score").alias("relevance_score"), F.col("m.method").alias("match_method"), F.substring("m.needle", 1, 256).alias("matched_text"))
 
 
+def active_equities(companies: DataFrame) -> DataFrame:
+    """The companies that articles may be linked to."""
+    return companies.filter("asset_type = 'equity' and status = 'active'")
+
+
+def upkeep(articles: DataFrame, needles: DataFrame, links: DataFrame, seen: DataFrame, known: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, seen) after new and changed articles or a changed dictionary.
+
+    ``links`` are those so far, ``seen`` (article_id, content_hash) the articles they come from, ``known`` the needles they were
+    made with.  Linked again are only: articles that are new or whose text has another hash, articles linked to a company
+    that lost a needle, and articles that hold a needle which is new.  Their old links go, whether or not new ones come.
+    ``articles`` holds one row for each article that is to be linked; others keep what they have.  Nothing changed: the same
+    links again.
+    """
+    hashed = articles.withColumn("content_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    changed = hashed.join(seen, ["article_id", "content_hash"], "left_anti").select("article_id")
+    lost = known.exceptAll(needles).select("company_id").distinct()
+    touched = links.join(lost, "company_id", "left_semi").select("article_id").distinct()
+    fresh = needles.exceptAll(known)
+    still = articles.join(changed, "article_id", "left_anti")
+    said = candidate_grams(still, fresh, text).join(fresh, ["needle", "size"], "left_semi").select("article_id")
+    todo = changed.unionByName(touched).unionByName(said).distinct()
+    new = entity_links(articles.join(todo, "article_id", "left_semi"), needles, text)
+    # An article that is no longer given keeps its links: there is nothing to link it by.
+    cleared = todo.join(articles.select("article_id"), "article_id", "left_semi")
+    kept = links.join(cleared, "article_id", "left_anti").unionByName(new.select(*links.columns))
+    rest = seen.join(hashed.select("article_id"), "article_id", "left_anti")
+    return kept, rest.unionByName(hashed.select("article_id", "content_hash"))
+
+
 def company_context(text: Column, *needles: Column) -> Column:
     """The sentences that name the company, joined; the whole text if none does."""
     sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
@@ -192,10 +268,13 @@ def base_probabilities(df: DataFrame, text: str, scorer: Callable[[pd.Series], p
     return df.mapInPandas(run, f"{shape}, positive double, neutral double, negative double")
 
 
-def score_pairs(pairs: DataFrame, articles: DataFrame, companies: DataFrame, version: str, done: DataFrame | None = None, scorer: Callable | None = None) -> DataFrame:
-    """Sentiment and event of each linked pair (article_id, company_id, matched_text) that ``done`` does not hold."""
+def score_pairs(pairs: DataFrame, articles: DataFrame, companies: DataFrame, version: str, done: DataFrame | None = None, scorer: Callable | None = None, limit: int | None = None) -> DataFrame:
+    """Sentiment and event of each linked pair (article_id, company_id, matched_text) that ``done`` does not hold under this
+    version; with a limit, of the first pairs by article and company."""
     if done is not None:
         pairs = pairs.join(done.filter(F.col("model_version") == version).select("article_id", "company_id"), ["article_id", "company_id"], "left_anti")
+    if limit is not None:
+        pairs = pairs.orderBy("article_id", "company_id").limit(limit)
     df = pairs.join(articles.select("article_id", "text"), "article_id").join(companies.select("company_id", "ticker", "company_name"), "company_id")
     df = df.select("article_id", "company_id", company_context(F.col("text"), F.col("ticker"), F.col("company_name"), F.coalesce("matched_text", "ticker")).alias("context"))
     df = base_probabilities(df, "context", scorer or prior_scorer())

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.sinks import upsert_aliases
 from tidemark.sources import landed
 from tidemark.sources import projections as p
 from tidemark.sources.stored import shared_path
@@ -30,7 +31,7 @@ def _plain_zero(x: Column) -> Column:
 
 
 def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1, SRC2: a payload for each company, numbers as text, lows of every seventh day of a month empty."""
+    """SRC2: a payload for each company, numbers as text, lows of every seventh day of a month empty."""
     text = lambda c: F.col(c).cast("string")
     low = F.when(F.dayofmonth("trade_date") % 7 == 0, "").otherwise(text("low")).alias("low")
     value = F.to_json(F.struct(text("trade_date").alias("datetime"), text("open").alias("open"), text("high").alias("high"), low, text("close").alias("close"), text("volume").alias("volume")))
@@ -95,7 +96,7 @@ SELECT 'bars', make_date(y, 12, 31), n::DOUBLE, (make_date(y, 12, 31) + 300) ||
 
 
 def landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC15: articles as pages of a feed with 200 items each; titles of every ninth article empty, dates of every fifth unreadable."""
+    """SRC13: articles as pages of a feed with 200 items each; titles of every ninth article empty, dates of every fifth unreadable."""
     key = F.col("article_id")
     date = F.when(key % 5 == 0, "soon").otherwise(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss '+0000'"))
     title = F.when(key % 9 == 0, "").otherwise(F.concat(F.lit("Article "), key.cast("string")))
@@ -110,29 +111,158 @@ SELECT canonical_url, 'Article ' || article_id AS title, CASE WHEN article_id %
 
 
 def landed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC16: each company's annual items as facts of an instance document, with losses in brackets; every tenth document is cut off."""
+    """SRC15: each company's annual items as facts of an instance document: losses in brackets, every third company's in
+    thousands, every fourth one's debt nil; every tenth document is cut off.  One year by its context, one by its period."""
     items = p.items(spark, sf_dir).filter("statement_type = 'annual'")
     name = F.replace(F.initcap(F.replace("account_code", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
-    number = F.when(F.col("value") < 0, F.concat(F.lit("("), (-F.col("value")).cast("string"), F.lit(")"))).otherwise(F.col("value").cast("string"))
-    fact = F.format_string('<i:%s contextRef="c%s">%s</i:%s>', name, F.year("period_end"), number, name)
+    thousands = F.col("company_id") % 3 == 0
+    value = F.when(thousands, F.col("value") / 1000).otherwise(F.col("value"))
+    number = F.when(value < 0, F.concat(F.lit("("), (-value).cast("string"), F.lit(")"))).otherwise(value.cast("string"))
+    nil = (F.col("company_id") % 4 == 0) & (F.col("account_code") == "total_debt")
+    marks = F.concat(F.when(thousands, ' scale="3"').otherwise(""), F.when(nil, ' xsi:nil="true"').otherwise(""))
+    fact = F.format_string('<i:%s contextRef="c%s"%s>%s</i:%s>', name, F.year("period_end"), marks, F.when(nil, "").otherwise(number), name)
     head = F.format_string('<context id="c%s"><period><instant>%s</instant></period></context>', F.year("period_end"), F.col("period_end").cast("string"))
     body = items.groupBy("company_id").agg(F.array_join(F.array_sort(F.collect_set(head)), "").alias("h"), F.array_join(F.array_sort(F.collect_list(fact)), "").alias("f"))
     end = F.when(F.col("company_id") % 10 != 0, "</xbrl>").otherwise("")
-    doc = F.concat(F.lit('<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:i="urn:i">'), "h", "f", end)
+    doc = F.concat(F.lit('<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns:i="urn:i">'), "h", "f", end)
     path = _files(body.withColumn("doc", doc), "company_id", "doc")
-    files = f"{path}/company_id=*/*"
     company = F.regexp_extract("path", r"company_id=(\d+)", 1).cast("bigint").alias("company_id")
-    found = landed.xbrl_facts(spark, files, landed.fact_aliases(spark), "1997-12-31").select(company, "account_code", _plain_zero(F.round("value", 3)).alias("value"))
-    return found.unionByName(landed.xbrl_rejects(spark, files).select(company, F.lit("unreadable").alias("account_code"), F.lit(None).cast("double").alias("value")))
+    listed, aliases = landed.xbrl_listed(spark, f"{path}/company_id=*/*"), landed.fact_aliases(spark)
+    year = lambda y, df: df.select(company, F.lit(y).alias("year"), "account_code", _plain_zero(F.round(F.col("value") + 3e-7, 3)).alias("value"))
+    found = year(1997, landed.xbrl_facts(listed, aliases, "1997-12-31")).unionByName(year(1996, landed.xbrl_facts(listed, aliases, context="c1996")))
+    unread = landed.xbrl_rejects(listed).select(company, F.lit(0).alias("year"), F.lit("unreadable").alias("account_code"), F.lit(None).cast("double").alias("value"))
+    return found.unionByName(unread)
 
 
 FACTS = """
-SELECT company_id, account_code, CASE WHEN round(value, 3) = 0 THEN 0.0 ELSE round(value, 3) END AS value FROM items WHERE statement_type = 'annual' AND period_end = DATE '1997-12-31' AND company_id % 10 <> 0 UNION ALL
-SELECT DISTINCT company_id, 'unreadable', NULL::DOUBLE FROM items WHERE statement_type = 'annual' AND company_id % 10 = 0"""
+WITH f AS (SELECT company_id, year(period_end) AS y, account_code, CASE WHEN company_id % 3 = 0 THEN value / 1000 * 1000 ELSE value END AS value FROM items
+  WHERE statement_type = 'annual' AND company_id % 10 <> 0 AND NOT (company_id % 4 = 0 AND account_code = 'total_debt'))
+SELECT company_id, CAST(y AS INTEGER) AS year, account_code, CASE WHEN round(value + 3e-7, 3) = 0 THEN 0.0 ELSE round(value + 3e-7, 3) END AS value FROM f WHERE y IN (1996, 1997) UNION ALL
+SELECT DISTINCT company_id, 0, 'unreadable', NULL::DOUBLE FROM items WHERE statement_type = 'annual' AND company_id % 10 = 0"""
+
+
+def landed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: bars as a provider's columnar table, unknown numbers NaN, volumes with decimals."""
+    path, nan, day = shared_path(spark, "landed"), F.lit(float("nan")), F.dayofmonth("trade_date")
+    raw = p.bars(spark, sf_dir).withColumns({"low": F.when(day % 7 == 0, nan).otherwise(F.col("low")), "volume": F.when(day % 11 == 0, nan).otherwise(F.col("volume").cast("double"))})
+    raw.write.parquet(path)
+    df = landed.columnar_bars(spark.read.schema(landed.BAR).parquet(path))
+    return df.select("company_id", "trade_date", "open", "high", "low", "close", "adjusted_close", "volume")
+
+
+COLUMNS = """
+SELECT company_id, trade_date, open, high, CASE WHEN day(trade_date) % 7 <> 0 THEN low END AS low, close, adjusted_close, CASE WHEN day(trade_date) % 11 <> 0 THEN volume END AS volume FROM bars"""
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of each month: one row a month."""
+    return p.bars(spark, sf_dir).groupBy(F.year("trade_date").alias("y"), F.month("trade_date").alias("m")).agg(F.count("*").alias("n"))
+
+
+def landed_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC9: bars of each month as a cube of composite keys, with the year's total as month 13 and another variable's cells beside."""
+    months = _monthly(spark, sf_dir)
+    cells = months.unionByName(months.groupBy("y").agg(F.sum("n").alias("n")).withColumn("m", F.lit(13)))
+    key = lambda var: F.concat(F.lit(f"9999{var}0"), F.lpad((F.col("y") - 1900).cast("string"), 3, "0"), F.col("m").cast("string"))
+    pairs = cells.select(F.explode(F.array(*(F.struct(key(v).alias("key"), (F.col("n") * k).cast("double").alias("value")) for v, k in (("145", 1), ("777", 2))))).alias("e"), "y")
+    doc = pairs.groupBy(F.lit(1).alias("k")).agg(  # one value a month
+        F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("datacontent"), F.array_sort(F.collect_set(F.struct((F.col("y") - 1900).cast("string").alias("val"), F.col("y").cast("string").alias("label")))).alias("tahun"))).alias("doc")
+    )
+    df = landed.cube(spark, _files(doc, "k", "doc"), "bars", "145")
+    return df.select("series_code", "observation_date", "value", F.to_date("available_at").alias("available_on"))
+
+
+CUBE = """
+SELECT 'bars' AS series_code, last_day(trade_date) AS observation_date, count(*)::DOUBLE AS value, last_day(trade_date) + 11 AS available_on FROM bars GROUP BY last_day(trade_date)"""
+
+
+def landed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10: the index as tables in HTML, a page a year: even days in local notation, odd days as percentages, firsts of a month unreadable."""
+    months = F.array(*map(F.lit, landed.MONTHS))
+    day = F.concat_ws(" ", F.dayofmonth("trade_date").cast("string"), F.initcap(F.element_at(months, F.month("trade_date"))), F.year("trade_date").cast("string"))
+    r = F.round("market", 2)
+    cents = F.lpad(F.round((r - F.floor(r)) * 100).cast("int").cast("string"), 2, "0")
+    local = F.concat(F.lit("Rp"), F.translate(F.format_number(F.floor(r), 0), ",", "."), F.lit(","), cents)
+    shown = F.when(F.dayofmonth("trade_date") == 1, "n/a").when(F.dayofmonth("trade_date") % 2 == 0, local).otherwise(F.concat(r.cast("decimal(20,2)").cast("string"), F.lit(" %")))
+    row = F.concat(F.lit("<tr><td>1</td><td> "), day, F.lit("</td>\n<td class='n'><b>"), shown, F.lit("</b></td></tr>"))
+    pages = p.index_series(p.bars(spark, sf_dir)).groupBy(F.year("trade_date").alias("y")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("trade_date", row.alias("r")))).getField("r"), "").alias("rows"))
+    doc = F.concat(F.lit("<html><table><tr><th>No</th><th>Date</th><th>Rate</th></tr>"), "rows", F.lit("</table></html>"))
+    df = landed.html_rates(spark, _files(pages.withColumn("doc", doc), "y", "doc"), "index")
+    return df.select("series_code", "observation_date", F.round("value", 2).alias("value"), F.date_format("available_at", "yyyy-MM-dd HH:mm").alias("available_at"))
+
+
+RATES = """
+SELECT 'index' AS series_code, trade_date AS observation_date, round(market, 2) AS value, trade_date || ' 16:00' AS available_at FROM index_series WHERE day(trade_date) <> 1"""
+
+
+def landed_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC11: bars of each month as one row of a wide sheet: years over blocks of uneven distance, "-" where the count ends in 5 or 0."""
+    n = _monthly(spark, sf_dir)
+    months = n.select("y").distinct().select("y", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m")).join(n, ["y", "m"], "left")
+    col = ((F.col("y") - 1900) * 14 + F.col("m") + F.col("y") % 2).cast("int")
+    short = F.element_at(F.array(*(F.lit(x) for x in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"))), F.col("m"))
+    # Excel's readers give numbers with a decimal point.
+    year = F.when(F.col("m") == 3, F.concat(F.col("y").cast("string"), F.lit(".0")))
+    value = F.when(F.col("n") % 5 == 0, "-").otherwise(F.col("n").cast("string"))
+    cells = months.select(F.explode(F.array(*(F.struct(F.lit(k).alias("row_no"), col.alias("col_no"), v.alias("value")) for k, v in enumerate((year, short, value))))).alias("c")).select("c.*")
+    path = shared_path(spark, "landed")
+    cells.filter("value is not null").write.csv(path, header=True)
+    read = spark.read.schema("row_no int, col_no int, value string").csv(path, header=True)
+    return landed.sheet_series(read, 0, 1, 2)
+
+
+SHEET = """
+SELECT CAST(year(trade_date) AS INTEGER) AS year, CAST(month(trade_date) AS INTEGER) AS month, count(*)::DOUBLE AS value FROM bars GROUP BY 1, 2 HAVING count(*) % 5 <> 0"""
+
+
+def _alias_file(suppliers: DataFrame, reason: str, **columns: Column) -> DataFrame:
+    names = ("ticker", "previous_ticker", "previous_name", "effective_from", "effective_to")
+    path = shared_path(suppliers.sparkSession, "landed")
+    suppliers.select(*(columns[c].alias(c) for c in names), F.lit(reason).alias("reason")).write.csv(path, header=True)
+    return path
+
+
+def landed_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC20, SNK9: two alias files, the second upserted over the first: ends and reasons of known aliases change, whatever the
+    case of their tickers, others are added.  Rows that a rule keeps out stand with their errors."""
+    k, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    sup = p.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    companies = sup.select(F.upper("s_name").alias("ticker"), k.alias("company_id"), F.col("s_name").alias("company_name"))
+    old = F.concat(F.lit("OLD"), k.cast("string"))
+    first = _alias_file(
+        sup, "first",
+        ticker=F.when(k % 10 == 0, "UNKNOWN").otherwise(F.col("s_name")),
+        previous_ticker=F.when(k % 10 == 1, none).when(k % 10 == 2, F.col("s_name")).when(k % 2 == 1, old),
+        previous_name=F.when((k % 2 == 0), F.concat(F.lit("Former name "), k.cast("string"))),
+        effective_from=F.when(k % 10 == 3, "soon").otherwise("2020-01-01"),
+        effective_to=F.when(k % 10 == 4, "2019-01-01").when(k % 3 == 0, "2021-06-30"),
+    )
+    second = _alias_file(
+        sup.filter((k % 10 >= 5) & ((k % 4 <= 1) | (k % 6 == 5))), "second",
+        ticker=F.col("s_name"),
+        previous_ticker=F.when(k % 6 == 5, F.concat(F.lit("NEW"), k.cast("string"))).when(k % 2 == 1, F.lower(old)),
+        previous_name=F.when((k % 2 == 0), F.concat(F.lit("FORMER name "), k.cast("string"))),
+        effective_from=F.when(k % 6 == 5, "2021-01-01").otherwise("2020-01-01"), effective_to=F.lit("2022-12-31"),
+    )
+    (a, bad), (b, _) = (landed.alias_rows(spark, path, companies) for path in (first, second))
+    aliases = upsert_aliases(a, b)
+    shown = aliases.select("company_id", "previous_ticker", "previous_name", F.col("effective_from").cast("string").alias("effective_from"), F.col("effective_to").cast("string").alias("effective_to"), "reason")
+    lost = bad.select(none.cast("bigint").alias("company_id"), "previous_ticker", "previous_name", "effective_from", "effective_to", F.array_join("errors", ",").alias("reason"))
+    return shown.unionByName(lost)
+
+
+ALIASES = """
+WITH s AS (SELECT s_suppkey AS k, s_name, CASE WHEN s_suppkey % 10 = 1 THEN NULL WHEN s_suppkey % 10 = 2 THEN s_name WHEN s_suppkey % 2 = 1 THEN 'OLD' || s_suppkey END AS pt,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'Former name ' || s_suppkey END AS pn, CASE WHEN s_suppkey % 10 = 3 THEN 'soon' ELSE '2020-01-01' END AS ef,
+  CASE WHEN s_suppkey % 10 = 4 THEN '2019-01-01' WHEN s_suppkey % 3 = 0 THEN '2021-06-30' END AS et,
+  s_suppkey % 10 >= 5 AND s_suppkey % 6 = 5 AS fresh, s_suppkey % 10 >= 5 AND s_suppkey % 6 <> 5 AND s_suppkey % 4 <= 1 AS again FROM supplier)
+SELECT k AS company_id, pt AS previous_ticker, pn AS previous_name, ef AS effective_from, CASE WHEN again THEN '2022-12-31' ELSE et END AS effective_to, CASE WHEN again THEN 'second' ELSE 'first' END AS reason FROM s WHERE k % 10 >= 5
+UNION ALL SELECT k, 'NEW' || k, CASE WHEN k % 2 = 0 THEN 'FORMER name ' || k END, '2021-01-01', '2022-12-31', 'second' FROM s WHERE fresh
+UNION ALL SELECT NULL, pt, pn, ef, et, CASE k % 10 WHEN 0 THEN 'unknown ticker' WHEN 1 THEN 'no previous ticker or name' WHEN 2 THEN 'previous equals current' WHEN 3 THEN 'effective_from is no date' ELSE 'effective_to before effective_from' END FROM s WHERE k % 10 < 5"""
 
 
 def landed_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC17: orders as filings of their customers, a manifest for each thousand customers; pending ones have no time zone."""
+    """SRC16: orders as filings of their customers, a manifest for each thousand customers; pending ones have no time zone."""
     key = F.col("o_custkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     at = F.concat(F.date_format(F.col("o_orderdate") + F.expr("interval 30 days"), "yyyy-MM-dd'T'10:00:00"), F.when(F.col("o_orderstatus") == "P", "").otherwise("+07:00"))
@@ -154,7 +284,7 @@ SELECT customer, period_end, statement_type, file, n_errors FROM f WHERE n_error
 
 
 def landed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC20: annual revenue as a sheet with a column for each year; even companies have it under the second field alone."""
+    """SRC17: annual revenue as a sheet with a column for each year; even companies have it under the second field alone."""
     a = p.statements(spark, sf_dir).filter("statement_type = 'annual'").withColumn("day", F.col("period_end").cast("string"))
     years = [f"{y}-12-31" for y in range(1992, 1999)]
     wide = lambda name, scale: a.groupBy("company_id").pivot("day", years).agg(F.first(F.col("revenue") * scale)).withColumn("field", F.lit(name))
@@ -175,6 +305,11 @@ QUERIES = {
     "landed_observations": landed_observations,
     "landed_feed": landed_feed,
     "landed_facts": landed_facts,
+    "landed_columns": landed_columns,
+    "landed_cube": landed_cube,
+    "landed_rates": landed_rates,
+    "landed_sheet": landed_sheet,
+    "landed_aliases": landed_aliases,
     "landed_filings": landed_filings,
     "landed_statements": landed_statements,
 }
@@ -185,6 +320,11 @@ ORACLE_SQL = {
     "landed_observations": p.oracle(OBSERVATIONS, "index_series"),
     "landed_feed": p.oracle(FEED, "articles"),
     "landed_facts": p.oracle(FACTS, "items"),
+    "landed_columns": p.oracle(COLUMNS, "bars"),
+    "landed_cube": p.oracle(CUBE, "bars"),
+    "landed_rates": p.oracle(RATES, "index_series"),
+    "landed_sheet": p.oracle(SHEET, "bars"),
+    "landed_aliases": ALIASES,
     "landed_filings": FILINGS,
     "landed_statements": p.oracle(STATEMENTS, "statements"),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import news as n
 from tidemark.operators.asof import latest_by
 from tidemark.sources import projections as p
+from tidemark.sources.stored import stored
 
 #: Words of the invented prose read as finance terms, so that the rules have work on every table.
 TERMS = (
@@ -88,6 +89,58 @@ SELECT article_id, company_id, s::DOUBLE AS relevance_score,
        CASE s WHEN 1.0 THEN 'provider_ticker' WHEN 0.98 THEN 'ticker' WHEN 0.95 THEN 'previous_ticker' WHEN 0.90 THEN 'company_name' ELSE 'previous_name' END AS match_method FROM b"""
 
 
+#: Words that stand before the text of every fifth article in the second round: another company's name.
+_AGAIN = "company_id = 3"
+
+
+def news_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after two rounds.  In the first, two of three articles are linked with the names and tickers of companies
+    alone; in the second come the others, every fifth article has another text, suspended companies lose their
+    links, and former names and tickers are known."""
+    listed = _companies(spark, sf_dir).withColumns({"asset_type": F.lit("equity"), "status": F.when(F.col("company_id") % 7 == 0, "suspended").otherwise("active")})
+    before = n.dictionary(listed)
+    after = n.dictionary(n.active_equities(listed), _aliases(spark, sf_dir).filter("company_id % 7 <> 0"))
+    key = F.col("article_id")
+    articles = p.articles(spark, sf_dir).filter("summary is not null").select("article_id", F.col("summary").alias("text"))
+    start = listed.filter(_AGAIN).agg(F.max("company_name")).first()[0] or ""
+    later = articles.withColumn("text", F.when(key % 5 == 0, F.concat(F.lit(f"{start} "), F.substring("text", 1, 200))).otherwise(F.col("text")))
+    none = (spark.createDataFrame([], "article_id bigint, company_id bigint, relevance_score double, match_method string, matched_text string"), spark.createDataFrame([], "article_id bigint, content_hash string"))
+    first, seen = (stored(x, "links") for x in n.upkeep(articles.filter(key % 3 != 0), before, *none, before.limit(0)))
+    links, seen = (stored(x, "links") for x in n.upkeep(later, after, first, seen, before))
+    return links.select("article_id", "company_id", "relevance_score", "match_method")
+
+
+UPKEEP = rf"""
+WITH {_COMPANIES}, act AS (SELECT * FROM co WHERE company_id % 7 <> 0), al AS (
+  SELECT item_id AS company_id, upper(regexp_split_to_array(text, '[^\pL\pN_]+')[5]) AS ticker, array_to_string(regexp_split_to_array(text, '\s+')[4:6], ' ') AS name FROM benchmark WHERE item_id % 7 <> 0
+), x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce((SELECT max(company_name) FROM co WHERE {_AGAIN}), '') || ' ' || substr(text, 1, 200) ELSE text END AS text FROM documents WHERE text IS NOT NULL
+), v AS (
+  SELECT company_id, 0.90 AS s, {_norm("company_name")} AS v FROM act UNION ALL SELECT company_id, 0.85, {_norm("name")} FROM al
+), k AS (SELECT * FROM v WHERE length(v) >= 8 AND (contains(v, ' ') OR length(v) >= 12)
+), t AS (SELECT company_id, 0.98 AS s, ticker FROM act WHERE ticker <> '' UNION ALL SELECT company_id, 0.95, ticker FROM al WHERE ticker <> ''
+), d AS (SELECT doc_id AS article_id, ' ' || {_norm("text")} || ' ' AS nt, regexp_split_to_array(text, '[^\pL\pN_]+') AS toks FROM x
+), h AS (
+  SELECT article_id, company_id, s FROM d JOIN k ON contains(nt, ' ' || v || ' ') UNION ALL
+  SELECT article_id, company_id, s FROM d JOIN t ON list_contains(toks, ticker)
+), b AS (SELECT article_id, company_id, max(s) AS s FROM h GROUP BY 1, 2)
+SELECT article_id, company_id, s::DOUBLE AS relevance_score,
+       CASE s WHEN 0.98 THEN 'ticker' WHEN 0.95 THEN 'previous_ticker' WHEN 0.90 THEN 'company_name' ELSE 'previous_name' END AS match_method FROM b"""
+
+
+def sentiment_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that a second run scores: the first fifty by article and company of those the first run, over the first
+    hundred, left."""
+    articles, companies = _articles(spark, sf_dir), _companies(spark, sf_dir)
+    links = stored(n.entity_links(articles.withColumn("text", F.col("summary")), n.dictionary(companies)), "links")
+    first = stored(n.score_pairs(links, articles, companies, "rules-v1", limit=100).select("article_id", "company_id", "model_version"), "scored")
+    # Scores of another version count for nothing.
+    done = first.unionByName(links.select("article_id", "company_id", F.lit("rules-v0").alias("model_version")))
+    return n.score_pairs(links, articles, companies, "rules-v1", done, limit=50).select("article_id", "company_id", "model_version")
+
+
+BACKLOG = f"SELECT article_id, company_id, 'rules-v1' AS model_version FROM ({_LINKS}) ORDER BY article_id, company_id LIMIT 50 OFFSET 100"
+
+
 def finance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N6 to N9."""
     df = _articles(spark, sf_dir)
@@ -179,5 +232,5 @@ WITH links AS ({_LINKS}), scored AS ({FINANCE_RULES}), n AS (
 SELECT company_id, place, article_id, published_at, relevance_score, sentiment_label FROM k WHERE place <= 5"""
 
 
-QUERIES = {"entity_links": entity_links, "finance_rules": finance_rules, "sentiment_by_company": sentiment_by_company, "newest_articles": newest_articles, "company_news": company_news}
-ORACLE_SQL = {"entity_links": ENTITY_LINKS, "finance_rules": FINANCE_RULES, "sentiment_by_company": SENTIMENT, "newest_articles": p.oracle(NEWEST, "articles"), "company_news": p.oracle(COMPANY_NEWS, "articles")}
+QUERIES = {"entity_links": entity_links, "news_upkeep": news_upkeep, "sentiment_backlog": sentiment_backlog, "finance_rules": finance_rules, "sentiment_by_company": sentiment_by_company, "newest_articles": newest_articles, "company_news": company_news}
+ORACLE_SQL = {"entity_links": ENTITY_LINKS, "news_upkeep": UPKEEP, "sentiment_backlog": BACKLOG, "finance_rules": FINANCE_RULES, "sentiment_by_company": SENTIMENT, "newest_articles": p.oracle(NEWEST, "articles"), "company_news": p.oracle(COMPANY_NEWS, "articles")}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import available_date, fiscal_period
+from tidemark.sources.stored import stored
 from tidemark.sources.taxonomy import ACCOUNT_CODES, SERIES
 
 BAR = "company_id bigint, trade_date date, open double, high double, low double, close double, adjusted_close double, volume double"
@@ -191,13 +192,20 @@ def _facts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "ord", "name", "context", "period", "text", "scale", "nil"])
 
 
-def xbrl_facts(spark: SparkSession, path: str, aliases: DataFrame, period_end: str | None = None, context: str | None = None, multiplier: float = 1.0) -> DataFrame:
-    """(path, account_code, value): facts of one context or period under standard codes; the first occurrence wins.
+def xbrl_listed(spark: SparkSession, path: str) -> DataFrame:
+    """Every fact of the instance documents under a path, and a row without a name for each that cannot be read: one pass over
+    the files, stored, from which ``xbrl_facts`` and ``xbrl_rejects`` take theirs."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    shape = "path string, ord bigint, name string, context string, period string, text string, scale string, nil boolean"
+    return stored(files.mapInPandas(_facts, shape), "facts")
+
+
+def xbrl_facts(facts: DataFrame, aliases: DataFrame, period_end: str | None = None, context: str | None = None, multiplier: float = 1.0) -> DataFrame:
+    """(path, account_code, value): listed facts of one context or period under standard codes; the first occurrence wins.
 
     Python only lists the facts of each document; names, numbers and choice are expressions.
     ``aliases`` (name, account_code) maps normalised names; unknown facts are left out.
     """
-    facts = _all_facts(spark, path)
     here = (F.col("context") == context) if context else (F.to_date("period") == F.lit(period_end).cast("date"))
     text = F.regexp_replace(F.trim("text"), r"[,\s]", "")
     bare = F.regexp_replace(text, r"^\((.*)\)$", "-$1").try_cast("double")
@@ -207,14 +215,9 @@ def xbrl_facts(spark: SparkSession, path: str, aliases: DataFrame, period_end: s
     return good.join(F.broadcast(aliases), "name").groupBy("path", "account_code").agg(F.min_by("value", "ord").alias("value"))
 
 
-def _all_facts(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_facts, "path string, ord bigint, name string, context string, period string, text string, scale string, nil boolean")
-
-
-def xbrl_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """(path, error) of the instance documents that cannot be read."""
-    return _all_facts(spark, path).filter("name is null").select("path", F.col("text").alias("error"))
+def xbrl_rejects(facts: DataFrame) -> DataFrame:
+    """(path, error) of the listed documents that cannot be read."""
+    return facts.filter("name is null").select("path", F.col("text").alias("error"))
 
 
 def fact_aliases(spark: SparkSession, extra: dict[str, str] | None = None) -> DataFrame:
