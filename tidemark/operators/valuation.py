@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.operators.asof import latest_by, value_at
 from tidemark.operators.fundamentals import STATEMENT, latest_ratios, wide_items
+from tidemark.sources.stored import stored
 
 LEAST_POINTS = 3
 METHODS = ("relative_pe_historical", "relative_pb_historical", "relative_pe_sector", "relative_pb_sector", "discounted_cash_flow")
@@ -212,15 +213,24 @@ def latest_named(long: DataFrame, name: str, order: list[str], as_name: str) ->
     return newest.groupBy("company_id").agg(F.map_from_entries(entries).alias(as_name))
 
 
+def latest_columns(wide: DataFrame, names: tuple[str, ...], day: str, as_name: str) -> DataFrame:
+    """(company_id, map): the newest finite value of each of ``names``, which are columns.  One aggregation of the wide rows: they
+    are not turned into a row for each value first."""
+    newest = wide.groupBy("company_id").agg(*(F.max_by(c, F.when(rules.finite(c), F.col(day))).alias(c) for c in names))
+    entries = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("k"), F.col(c).alias("v"))) for c in sorted(names))))
+    return newest.select("company_id", F.map_from_entries(entries).alias(as_name))
+
+
 def company_snapshot(companies: DataFrame, technical: DataFrame, ratios: DataFrame, sector: DataFrame, recommended: DataFrame) -> DataFrame:
     """One row for each company with all that is known of it now: newest features, ratios and sector metrics as maps (empty if
     there are none), valuation and recommendation as structs (null if there are none).
 
-    ``technical`` is long (company_id, feature_date, feature_name, value), ``ratios`` and ``sector`` as their operators give them.
+    ``technical`` is (company_id, technical) as ``latest_columns`` or ``latest_named`` give it, ``ratios`` and ``sector`` as
+    their operators do.
     """
     none = F.create_map().cast("map<string,double>")
     maps = {
-        "technical": latest_named(technical, "feature_name", ["feature_date"], "technical"),
+        "technical": technical,
         "ratios": latest_ratios(ratios).groupBy("company_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ratio", "value")))).alias("ratios")),
         "sector_metrics": sector.groupBy("company_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_name", "value")))).alias("sector_metrics")),
     }
@@ -233,11 +243,15 @@ def company_snapshot(companies: DataFrame, technical: DataFrame, ratios: DataFra
 
 
 def screener(recommendations: DataFrame, companies: DataFrame, label: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page of the latest recommendations by confidence, optionally of one label, with the total."""
-    newest = recommendations.groupBy("company_id").agg(F.max("as_of_date").alias("as_of_date"))
-    rows = recommendations.join(newest, ["company_id", "as_of_date"]).join(companies.select("company_id", "ticker", "company_name"), "company_id")
+    """A page of the latest recommendations by confidence, optionally of one label, with the total.
+
+    The latest rows, one for each company, are stored: the page and the total read them, and the recommendations are made once.
+    """
+    newest = latest_by(recommendations, ["company_id"], ["as_of_date"])
+    rows = newest.join(companies.select("company_id", "ticker", "company_name"), "company_id")
     if label:
         rows = rows.filter(F.col("label") == label)
+    rows = stored(rows, "screened")
     total = rows.agg(F.count("*").alias("total"))
     page = rows.orderBy(F.desc("confidence"), "ticker").offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total))
+    return page.crossJoin(F.broadcast(total))  # with one row

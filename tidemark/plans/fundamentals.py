@@ -9,7 +9,9 @@ from tidemark.functions.rules import reconciliation, sector_code
 from tidemark.operators import fundamentals as f
 from tidemark.operators import valuation as v
 from tidemark.operators.asof import asof_join, latest_by, value_at
-from tidemark.plans.technical import long_rows, rounded_long
+from tidemark.operators.technical import FEATURES
+from tidemark.plans.news import SENTIMENT, sentiment_by_company
+from tidemark.plans.technical import long_rows, rounded_features
 from tidemark.sources import projections as p
 from tidemark.sources.stored import stored
 
@@ -220,6 +222,63 @@ SELECT ticker, label, round(round_even(conf, 4), 3) AS confidence, (SELECT count
 FROM recommended JOIN companies USING (company_id) ORDER BY round_even(conf, 4) DESC, ticker LIMIT 20"""
 
 
+def screener_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second five of one label, with how many there are."""
+    df = v.screener(v.recommendations(*_valued(spark, sf_dir)), p.companies(spark, sf_dir), "HINDARI", offset=5, limit=5)
+    return df.select("ticker", "label", F.round("confidence", 3).alias("confidence"), "total")
+
+
+SCREENER_PAGE = f"""
+WITH {_RECOMMENDED}
+SELECT ticker, label, round(round_even(conf, 4), 3) AS confidence, (SELECT count(*) FROM recommended WHERE label = 'HINDARI') AS total
+FROM recommended JOIN companies USING (company_id) WHERE label = 'HINDARI' ORDER BY round_even(conf, 4) DESC, ticker LIMIT 5 OFFSET 5"""
+
+
+def recommendations_with_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each company's latest sentiment beside its recommendation: a flag where it is negative, and nothing else changes."""
+    df = v.recommendations(*_valued(spark, sf_dir), sentiment=sentiment_by_company(spark, sf_dir))
+    return df.select("company_id", "label", F.round("confidence", 3).alias("confidence"), "sentiment_label", F.array_contains("guardrails", "recent_negative_sentiment").alias("flagged"))
+
+
+WITH_SENTIMENT = f"""
+WITH {_RECOMMENDED}, said AS ({SENTIMENT})
+SELECT company_id, label, round(round_even(conf, 4), 3) AS confidence, sentiment_label, coalesce(sentiment_label IN ('negatif', 'sangat_negatif'), false) AS flagged
+FROM recommended LEFT JOIN said USING (company_id)"""
+
+
+def disclosed_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banks that report ratios: as a fraction or in percent they come first; others' are derived from amounts, net bad
+    loans and capital included."""
+    companies = p.companies(spark, sf_dir).withColumn("sector", F.when(F.col("sector") == "ASIA", "Bank")).filter("sector is not null")
+    codes = {"revenue": "gross_loans", "total_debt": "non_performing_loans_gross", "current_assets": "non_performing_loans_net", "operating_income": "regulatory_capital",
+             "current_liabilities": "risk_weighted_assets", "net_income": "net_interest_income", "gross_profit": "earning_assets"}
+    names = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
+    items = p.items(spark, sf_dir).withColumn("account_code", names[F.col("account_code")]).filter("account_code is not null")
+    key = F.col("company_id")
+    said = {"npl_gross_ratio_reported": F.when(key % 2 == 1, (key % 7 + 1) / 100), "npl_net_ratio_reported": F.when(key % 3 == 0, (key % 5 + 1.5).cast("double")),
+            "net_interest_margin_reported": F.when(key % 4 == 1, F.lit(0.05)), "capital_adequacy_ratio_reported": F.when(key % 5 == 0, F.lit(17.5))}
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("account_code"), x.alias("value")) for c, x in said.items()))).alias("r")
+    reported = items.filter("account_code = 'gross_loans'").select(*STATEMENT, each).select(*STATEMENT, "r.*").filter("value is not null")
+    return f.disclosed_metrics(items.unionByName(reported), companies).select("company_id", "metric_name", F.round("value", 5).alias("value"), "unit")
+
+
+_REPORTED = {
+    "npl_gross_pct": "CASE WHEN company_id % 2 = 1 THEN (company_id % 7 + 1) / 100 * 100 WHEN revenue > 0 THEN total_debt / revenue * 100 END",
+    "npl_net_pct": "CASE WHEN company_id % 3 = 0 THEN company_id % 5 + 1.5 WHEN revenue > 0 THEN current_assets / revenue * 100 END",
+    "net_interest_margin_pct": "CASE WHEN company_id % 4 = 1 THEN 5.0 WHEN statement_type = 'annual' AND (gross_profit + prev) / 2 > 0 THEN net_income / ((gross_profit + prev) / 2) * 100 END",
+    "capital_adequacy_ratio_pct": "CASE WHEN company_id % 5 = 0 THEN 17.5 WHEN current_liabilities > 0 THEN operating_income / current_liabilities * 100 END",
+}
+REPORTED = f"""
+WITH {_WIDE}, cur AS (
+  SELECT w.* FROM wide w JOIN companies USING (company_id) WHERE sector = 'ASIA'
+  QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY available_at DESC, period_end DESC, statement_type) = 1
+), n AS (
+  SELECT cur.*, (SELECT arg_max(o.gross_profit, o.available_at) FROM wide o WHERE o.company_id = cur.company_id AND o.statement_type = cur.statement_type AND o.period_end < cur.period_end) AS prev FROM cur
+)
+SELECT company_id, metric_name, round(value, 5) AS value, 'percent' AS unit
+FROM ({" UNION ALL ".join(f"SELECT company_id, '{k}' AS metric_name, CAST({e} AS DOUBLE) AS value FROM n" for k, e in _REPORTED.items())}) WHERE value IS NOT NULL"""
+
+
 def disclosed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier sums as bank and mining disclosures of two regions."""
     companies = p.companies(spark, sf_dir).withColumn("sector", F.when(F.col("sector") == "ASIA", "Bank").when(F.col("sector") == "AMERICA", "Gold mining"))
@@ -299,7 +358,8 @@ def company_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest features, ratios and sector metrics, valuation and recommendation in one row for each company."""
     valued, ratios = _valued(spark, sf_dir)
     companies = p.companies(spark, sf_dir)
-    df = v.company_snapshot(companies, rounded_long(spark, sf_dir), ratios, f.sector_percentiles(ratios, companies), v.recommendations(valued, ratios))
+    technical = v.latest_columns(rounded_features(spark, sf_dir), FEATURES, "trade_date", "technical")
+    df = v.company_snapshot(companies, technical, ratios, f.sector_percentiles(ratios, companies), v.recommendations(valued, ratios))
     size = lambda c: F.size(c).cast("bigint").alias(f"n_{c}")
     return df.select(
         "company_id", "ticker", "sector", size("technical"), size("ratios"), size("sector_metrics"), F.col("technical")["sma_20"].alias("sma_20"), F.col("technical")["ema_12"].alias("ema_12"),
@@ -353,6 +413,9 @@ QUERIES = {
     "valuations": valuations,
     "recommendations": recommendations,
     "screener": screener,
+    "screener_page": screener_page,
+    "recommendations_with_sentiment": recommendations_with_sentiment,
+    "disclosed_reported": disclosed_reported,
     "company_snapshot": company_snapshot,
     "top_market_cap": top_market_cap,
     "provider_reconciliation": provider_reconciliation,
@@ -368,6 +431,9 @@ ORACLE_SQL = {
     "valuations": p.oracle(VALUATIONS, "bars", "items", "companies"),
     "recommendations": p.oracle(RECOMMENDATIONS, "bars", "items", "companies"),
     "screener": p.oracle(SCREENER, "bars", "items", "companies"),
+    "screener_page": p.oracle(SCREENER_PAGE, "bars", "items", "companies"),
+    "recommendations_with_sentiment": p.oracle(WITH_SENTIMENT, "bars", "items", "companies"),
+    "disclosed_reported": p.oracle(REPORTED, "items", "companies"),
     "company_snapshot": p.oracle(SNAPSHOT, "index_series", "items", "companies"),
     "top_market_cap": p.oracle(MARKET_CAP, "bars", "companies"),
     "provider_reconciliation": RECONCILIATION,
