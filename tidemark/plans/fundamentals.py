@@ -99,12 +99,13 @@ FROM k QUALIFY count(*) OVER (PARTITION BY sector, ratio) >= 3"""
 SECTOR = f"WITH {_RATIOS}, {_NOW}, m AS ({_SECTOR_ROWS}) SELECT * FROM m"
 
 
-def _valued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(valuations, ratios).  Items, bars and ratios are stored once: a dozen branches read them, and the base table is read
-    for them three times, not once for each branch."""
+def _valued(spark: SparkSession, sf_dir: str, companies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valuations, ratios).  Items, bars, ratios and companies are stored once: a dozen branches read them, and the base table is
+    read for them three times, not once for each branch."""
+    companies = stored(p.companies(spark, sf_dir), "companies") if companies is None else companies
     items, bars = stored(p.items(spark, sf_dir), "items"), stored(p.bars(spark, sf_dir).select("company_id", "trade_date", "close"), "bars")
     ratios = stored(f.ratios(items, bars), "ratios")
-    return v.valuations(p.companies(spark, sf_dir), items, ratios, bars, _as_of(), ASSUMED), ratios
+    return v.valuations(companies, items, ratios, bars, _as_of(), ASSUMED), ratios
 
 
 _STEPS = (-v.STEP, 0.0, v.STEP)
@@ -356,8 +357,8 @@ FROM j"""
 
 def company_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest features, ratios and sector metrics, valuation and recommendation in one row for each company."""
-    valued, ratios = _valued(spark, sf_dir)
-    companies = p.companies(spark, sf_dir)
+    companies = stored(p.companies(spark, sf_dir), "companies")
+    valued, ratios = _valued(spark, sf_dir, companies)
     technical = v.latest_columns(rounded_features(spark, sf_dir), FEATURES, "trade_date", "technical")
     df = v.company_snapshot(companies, technical, ratios, f.sector_percentiles(ratios, companies), v.recommendations(valued, ratios))
     size = lambda c: F.size(c).cast("bigint").alias(f"n_{c}")
