@@ -15,12 +15,23 @@ import sentencepiece
 from small import MEDIUM, SMALL
 from tokenizers import Tokenizer
 
-from tidemark.llm import crosstok, repetition, turnrepair
-from tidemark.llm.common import table
+from tidemark.llm import crosstok, lzprint, repetition, turnrepair
+from tidemark.llm.common import shard_bounds, table
 
 WHITE = "\x20\x09-\x0d"
 
 
+# Shards
+
+
+def test_shards_grow_in_size_where_their_number_is_bounded(spark):
+    df = spark.range(1_000).toDF("doc_id")
+    bounds, counts = shard_bounds(df, "doc_id", 10, most=7)
+    assert len(bounds) == 6 and counts["rows"] == 1_000 and len(shard_bounds(df, "doc_id", 10)[0]) == 99
+    docs = spark.createDataFrame([(k, f"text {k} " * 9) for k in range(50)], "doc_id long, text string")
+    assert sorted(map(tuple, lzprint.op5(docs, 7).collect())) == sorted(map(tuple, lzprint.op5(docs, 1_000).collect()))
+
+
 # Structure repair
 
 

@@ -110,14 +110,19 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shard_bounds(df: DataFrame, col: str, rows: int) -> tuple[list[int], dict]:
+#: Most shards of a table: 800 kB of bounds on the driver and in a task.
+MOST_SHARDS = 100_000
+
+
+def shard_bounds(df: DataFrame, col: str, rows: int, most: int | None = None) -> tuple[list[int], dict]:
     """Ascending ids at which a new shard of about ``rows`` rows begins, and counts.
 
-    The bounds are ids that occur, so the first row of each shard is known by its id.  Shards keep their
-    size whatever the table's: one id of 8 bytes for ``rows`` rows reaches the driver.
+    The bounds are ids that occur, so the first row of each shard is known by its id.  A table of more than ``rows`` times
+    ``most`` rows (``MOST_SHARDS``) has larger shards, not more of them: they are sorted and streamed, so what the driver and
+    each task hold is bounded by the number of shards.
     """
     n = df.count()
-    k = max(1, -(-n // rows))
+    k = min(most or MOST_SHARDS, max(1, -(-n // rows)))
     at = [i / k for i in range(1, k)]
     pick = F.percentile_approx(col, at, max(10_000, 4 * k)) if at else F.array().cast("array<bigint>")
     got = df.agg(pick.alias("at"), F.min(col).alias("low"), F.max(F.col(col).isNull()).alias("nulls")).first()

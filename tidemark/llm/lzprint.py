@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,9 @@ def with_next(docs: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
     bounds, stats = shard_bounds(df, "doc_id", rows)
     last = len(bounds)
     main = df.withColumn("shard", shard_of(bounds)("doc_id")).withColumn("ahead", F.lit(0))
-    opens = df.filter(F.col("doc_id").isin(bounds)).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    # At most MOST_SHARDS ids, 8 bytes each.
+    firsts = df.sparkSession.createDataFrame(pd.DataFrame({"doc_id": pd.Series(bounds, dtype="int64")}), "doc_id bigint")
+    opens = df.join(F.broadcast(firsts), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     ahead = opens.withColumn("shard", shard_of(bounds)("doc_id") - 1)
     top = df.filter(F.col("doc_id").isNull() if stats["nulls"] else F.col("doc_id") == stats["low"])
     around = top.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).withColumn("shard", F.lit(last))
