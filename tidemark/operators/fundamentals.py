@@ -45,14 +45,22 @@ def completeness(items: DataFrame) -> DataFrame:
     )
 
 
+def usable_items(items: DataFrame) -> DataFrame:
+    """The items of statements that are complete enough to count."""
+    thin = completeness(items).filter(F.col("completeness") < LEAST_COMPLETE).select(*STATEMENT)
+    return items.join(thin, STATEMENT, "left_anti").select(*items.columns)
+
+
 def ratios(items: DataFrame, prices: DataFrame) -> DataFrame:
-    """One row for each statement and ratio: (statement columns, ratio_name, value, is_applicable).
+    """One row for each usable statement and ratio: (statement columns, ratio_name, value, is_applicable).
 
     The price is the last known close at or before the statement became available.  A ratio that
-    cannot be computed keeps its row, not applicable.
+    cannot be computed keeps its row, not applicable; a statement with too few core items has none.
     """
     closes = prices.filter("close is not null").select("company_id", "trade_date", "close")
-    wide = asof_join(wide_items(items), closes, "company_id", "available_at", "trade_date")
+    core = sum((F.col(c).isNotNull().cast("int") for c in CORE_CODES), F.lit(0))
+    wide = wide_items(items).filter(core / len(CORE_CODES) >= LEAST_COMPLETE)
+    wide = asof_join(wide, closes, "company_id", "available_at", "trade_date")
     eps = F.coalesce("eps_diluted", "eps_basic")
     made = {n: safe_div(a, b) for n, (a, b) in RATIOS.items()}
     made["price_to_earnings"] = F.when(eps > 0, safe_div("close", eps))

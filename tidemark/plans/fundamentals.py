@@ -61,6 +61,32 @@ SELECT {_KEYS}, round(count(DISTINCT account_code) FILTER (account_code IN ({_CO
 FROM items GROUP BY {_KEYS}"""
 
 
+def thin_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """even companies tell a diluted EPS, which comes before the basic one; quarterly statements of every fifth
+    company hold two items and count neither for ratios nor for the latest EPS."""
+    items = p.items(spark, sf_dir)
+    diluted = items.filter("account_code = 'eps_basic' and company_id % 2 = 0").withColumns({"account_code": F.lit("eps_diluted"), "value": F.col("value") * 0.9})
+    few = (F.col("company_id") % 5 != 0) | (F.col("statement_type") == "annual") | F.col("account_code").isin("revenue", "net_income", "eps_diluted")
+    items = stored(items.unionByName(diluted).filter(few), "items")
+    ratios = f.ratios(items, p.bars(spark, sf_dir)).filter("ratio_name like 'price_to_earnings%' or ratio_name like 'net_margin%'")
+    eps = v.latest_eps(f.usable_items(items), _as_of())
+    shown = ratios.select("company_id", "statement_type", "fiscal_period", "ratio_name", F.round("value", 6).alias("value"))
+    none = F.lit(None).cast("string")
+    return shown.unionByName(eps.select("company_id", none.alias("statement_type"), none.alias("fiscal_period"), F.lit("eps").alias("ratio_name"), F.round("eps", 6).alias("value")))
+
+
+_THIN = _RATIOS.replace(_WIDE, f"""fewer AS (
+  SELECT * FROM items WHERE company_id % 5 <> 0 OR statement_type = 'annual' OR account_code IN ('revenue', 'net_income')
+), eps AS (SELECT {_KEYS}, value * 0.9 AS diluted FROM items WHERE account_code = 'eps_basic' AND company_id % 2 = 0
+), wide AS (SELECT {_KEYS}, {_CODES.replace(" AS eps_basic", " AS eps_plain")}, coalesce(max(diluted), max(CASE WHEN account_code = 'eps_basic' THEN value END)) AS eps_basic
+  FROM fewer LEFT JOIN eps USING ({_KEYS}) WHERE company_id % 5 <> 0 OR statement_type = 'annual' GROUP BY {_KEYS})""")
+THIN = f"""
+WITH {_THIN}
+SELECT company_id, statement_type, fiscal_period, ratio_name, round(value, 6) AS value FROM ratios WHERE ratio IN ('price_to_earnings', 'net_margin')
+UNION ALL SELECT company_id, NULL, NULL, 'eps', round(arg_max(eps_basic, (available_at, CAST(company_id % 2 = 0 AS INTEGER), period_end, statement_type)), 6)
+FROM wide WHERE eps_basic IS NOT NULL AND available_at <= DATE '{AS_OF}' GROUP BY company_id"""
+
+
 def asof_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bar with the whole newest quarterly net margin and current ratio known on its day."""
     known = _ratios(spark, sf_dir).filter("statement_type = 'quarterly'")
@@ -408,6 +434,7 @@ SELECT company_id, trade_date, close, isodow(trade_date) < 6 AND (company_id % 2
 QUERIES = {
     "statement_ratios": statement_ratios,
     "statement_completeness": statement_completeness,
+    "thin_statements": thin_statements,
     "asof_ratios": asof_ratios,
     "sector_percentiles": sector_percentiles,
     "disclosed_metrics": disclosed_metrics,
@@ -426,6 +453,7 @@ QUERIES = {
 ORACLE_SQL = {
     "statement_ratios": p.oracle(STATEMENT_RATIOS, "bars", "items"),
     "statement_completeness": p.oracle(COMPLETENESS, "items"),
+    "thin_statements": p.oracle(THIN, "bars", "items"),
     "asof_ratios": p.oracle(ASOF_RATIOS, "bars", "items"),
     "sector_percentiles": p.oracle(SECTOR, "bars", "items", "companies"),
     "disclosed_metrics": p.oracle(DISCLOSED, "items", "companies"),
