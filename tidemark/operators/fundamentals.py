@@ -52,18 +52,14 @@ def usable_items(items: DataFrame) -> DataFrame:
 
 
 def ratios(items: DataFrame, prices: DataFrame) -> DataFrame:
-    """One row for each usable statement and ratio: (statement columns, ratio_name, value, is_applicable).
+    """One row for each statement and ratio: (statement columns, ratio_name, value, is_applicable).
 
     The price is the last known close at or before the statement became available.  A ratio that
-    cannot be computed keeps its row, not applicable; a statement with too few core items has none.
+    cannot be computed keeps its row, not applicable.  Statements with too few core items are left out
+    by ``usable_items`` before.
     """
     closes = prices.filter("close is not null").select("company_id", "trade_date", "close")
-    # Counted in the aggregation that makes the columns: a filter over thirty of them would be copied into every step.
-    value = {c: F.max(F.when(F.col("account_code") == c, F.col("value"))) for c in ACCOUNT_CODES}
-    core = sum((value[c].isNotNull().cast("int") for c in CORE_CODES), F.lit(0))
-    wide = items.groupBy(*STATEMENT).agg(*(v.alias(c) for c, v in value.items()), core.alias("__core"))
-    wide = wide.filter(F.col("__core") / len(CORE_CODES) >= LEAST_COMPLETE).drop("__core")
-    wide = asof_join(wide, closes, "company_id", "available_at", "trade_date")
+    wide = asof_join(wide_items(items), closes, "company_id", "available_at", "trade_date")
     eps = F.coalesce("eps_diluted", "eps_basic")
     made = {n: safe_div(a, b) for n, (a, b) in RATIOS.items()}
     made["price_to_earnings"] = F.when(eps > 0, safe_div("close", eps))

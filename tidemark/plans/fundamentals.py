@@ -68,8 +68,9 @@ def thin_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     diluted = items.filter("account_code = 'eps_basic' and company_id % 2 = 0").withColumns({"account_code": F.lit("eps_diluted"), "value": F.col("value") * 0.9})
     few = (F.col("company_id") % 5 != 0) | (F.col("statement_type") == "annual") | F.col("account_code").isin("revenue", "net_income", "eps_diluted")
     items = stored(items.unionByName(diluted).filter(few), "items")
-    ratios = f.ratios(items, p.bars(spark, sf_dir)).filter("ratio_name like 'price_to_earnings%' or ratio_name like 'net_margin%'")
-    eps = v.latest_eps(f.usable_items(items), _as_of())
+    usable = stored(f.usable_items(items), "items")
+    ratios = f.ratios(usable, p.bars(spark, sf_dir)).filter("ratio_name like 'price_to_earnings%' or ratio_name like 'net_margin%'")
+    eps = v.latest_eps(usable, _as_of())
     shown = ratios.select("company_id", "statement_type", "fiscal_period", "ratio_name", F.round("value", 6).alias("value"))
     none = F.lit(None).cast("string")
     return shown.unionByName(eps.select("company_id", none.alias("statement_type"), none.alias("fiscal_period"), F.lit("eps").alias("ratio_name"), F.round("eps", 6).alias("value")))
