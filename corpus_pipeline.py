@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
 
 A stage is a function of (spark, docs, sf_dir); all but the last return the columns of documents.  Every stage takes
-any rows: nulls in any column, empty and very long texts, repeated rows and ids, and no rows at all (then it returns none).
+any rows: nulls in any column, empty and very long texts, repeated rows and ids, extra columns of any name without a dot (kept as they are), and no rows at all (then it returns none).
 What each makes of them its docstring says.
 """
 

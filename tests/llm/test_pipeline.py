@@ -58,3 +58,23 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path):
             docs = spark.createDataFrame([tuple(r) for r in out.collect()], out.schema)
         assert docs.count() == (3 if rows else 0)
     assert toxicity.fit(spark.createDataFrame([], shape), spark.read.parquet(f"{tmp_path}/labels.parquet")) is None
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(1, "mail me@example.org, a b c d e f", 32, *"abcdefg", 7), (1, None, None, *"hijklmn", 8), (None, "some words", 10, *"opqrstu", 9), (2, "nine ten eleven twelve", 22, *"vwxyzab", 10)]
+    extra = ["as_text", "_As_Text", "new", "made", "gone", "toxic", "print"]
+    shape = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in extra) + ", key int"
+    docs = spark.createDataFrame(rows, shape)
+    spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = {r[-1]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        kept = out.collect()
+        assert kept and all(tuple(r)[3:] == tuple(given[r[-1]])[3:] for r in kept)
+        if name == "decontamination":
+            assert [r["text"] for r in kept if r["doc_id"] == 2] == ["eleven twelve"]
+        if name == "personal_data":
+            assert [r["text"] for r in kept if r["text"] and "[EMAIL]" in r["text"]]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()

@@ -259,12 +259,16 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
-    """The model from a bounded sample of labelled rows, whose features reach the driver, and all unlabelled rows."""
+    """The model from a bounded sample of labelled rows, whose features reach the driver, and all unlabelled rows.
+
+    A document whose labels disagree teaches nothing and is not unlabelled either; one whose rows differ counts with the least features."""
     spark = docs.sparkSession
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (crc % 3 != 1)).dropDuplicates(["doc_id"])
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (crc % 3 != 1))
+    marked = marked.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
     known = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(labelled))
-    got = _features(docs.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    found = _features(docs.join(known.select("doc_id"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("f"))
+    got = found.select("doc_id", "f.a", "f.b").join(known, "doc_id").orderBy("doc_id").toArrow()
     y = got.column("y").to_numpy()
     if not (y == 0).any() or not (y == 1).any():
         return None

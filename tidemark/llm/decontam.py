@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, map_texts, texts_of, written
+from tidemark.llm.common import WORDS, free_name, map_texts, texts_of, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -224,6 +224,7 @@ def decontaminate(
     if mode not in ("spans", "documents"):
         raise ValueError(f"mode {mode!r} is neither spans nor documents")
     columns, df = docs.columns, docs
+    as_text, is_gone, made = (free_name(docs, n) for n in ("as_text", "gone", "made"))
     for shared in _blocks(docs, benchmark, window, block_windows):
 
         def make(shared=shared) -> Callable:
@@ -250,9 +251,9 @@ def decontaminate(
 
             return helper
 
-        df = df.withColumn("__text", F.col(text_col).cast("string"))
-        df = map_texts(df, make, "__gone boolean, __new string", drop=("__text",), text="__text")
-        df = df.filter(~F.col("__gone")).withColumn(text_col, F.coalesce("__new", text_col)).select(*columns)
+        df = df.withColumn(as_text, F.col(text_col).cast("string"))
+        df = map_texts(df, make, f"{is_gone} boolean, {made} string", drop=(as_text,), text=as_text)
+        df = df.filter(~F.col(is_gone)).withColumn(text_col, F.coalesce(made, text_col)).select(*columns)
         if shared.value[2]:
             df = written(df)
             shared.unpersist()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, texts_of
+from tidemark.llm.common import free_name, map_texts, texts_of
 
 KEEP = 0.5
 NEAR = 48
@@ -186,9 +186,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             spans = find(text)
         return new
 
-    df = docs.withColumn("__text", F.col(text_col).cast("string"))
-    df = map_texts(df, lambda: lambda texts: [pa.array([clean(t) for t in texts], pa.string())], "__new string", drop=("__text",), text="__text")
-    return df.withColumn(text_col, F.coalesce("__new", text_col)).select(*columns)
+    text, new = free_name(docs, "as_text"), free_name(docs, "new")
+    df = docs.withColumn(text, F.col(text_col).cast("string"))
+    df = map_texts(df, lambda: lambda texts: [pa.array([clean(t) for t in texts], pa.string())], f"{new} string", drop=(text,), text=text)
+    return df.withColumn(text_col, F.coalesce(new, text_col)).select(*columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, map_texts, texts_of, written
+from tidemark.llm.common import LOWER, free_name, map_texts, texts_of, written
 
 TILE = 1024
 PIVOTS = 16
@@ -430,15 +430,16 @@ def deduplicate(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
     nameless = docs.filter(F.col("doc_id").isNull())
     if nameless.isEmpty():
         return kept
-    lone = classes.filter("component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    text, fp = free_name(docs, "as_text"), free_name(docs, "print")
+    lone = classes.filter("component_id is null").select(F.col("fp").alias(fp)).distinct()
     prints = map_texts(
-        nameless.withColumn("__text", F.col("text").cast("string")),
+        nameless.withColumn(text, F.col("text").cast("string")),
         lambda: lambda texts: [pa.array([node(t, rule) for t in texts], pa.int64())],
-        "__fp bigint",
-        drop=("__text",),
-        text="__text",
+        f"{fp} bigint",
+        drop=(text,),
+        text=text,
     )
-    once = prints.join(lone, "__fp", "left_semi").dropDuplicates(["__fp"])
+    once = prints.join(lone, fp, "left_semi").dropDuplicates([fp])
     return kept.unionByName(once.select(*docs.columns))
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, map_texts, texts_of
+from tidemark.llm.common import LOWER, free_name, map_texts, texts_of
 
 SAMPLE = 10_000
 LEXICON = 2_000
@@ -137,13 +137,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of the training rows: ``most`` for each class at most, the first by hash."""
+    """(doc_id, text, toxic) of the training rows: ``most`` for each class at most, the first by hash.
+
+    A document whose labels disagree teaches nothing; one whose rows hold different texts counts with the least of them."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter((crc % 3 != 1) & F.col("toxic").isin(0, 1)).distinct()
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter((crc % 3 != 1) & F.col("toxic").isin(0, 1))
+    rows = marked.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = [rows.filter(F.col("toxic") == y).orderBy(*order).limit(most) for y in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    return texts_of(docs, "doc_id", "text").join(chosen, "doc_id")
+    texts = texts_of(docs, "doc_id", "text").join(chosen, "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def _first_copies(rows: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def _first_copies(rows: DataFrame) -> DataFrame:
     keyed = map_texts(rows, make, "copies array<bigint>").select("doc_id", F.posexplode("copies").alias("seed", "copy"))
     least = keyed.groupBy("seed", "copy").agg(F.min("doc_id").alias("doc_id"))
     first = least.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 3")
-    return rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.join(first, "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
@@ -281,8 +285,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         one = scorer(shared.value)
         return lambda texts: [pa.array([one(t) >= THRESHOLD for t in texts])]
 
-    df = docs.withColumn("__text", F.col("text").cast("string"))
-    return map_texts(df, make, "__toxic boolean", drop=("__text",), text="__text").filter(~F.col("__toxic")).select(*docs.columns)
+    text, toxic = free_name(docs, "as_text"), free_name(docs, "toxic")
+    df = map_texts(docs.withColumn(text, F.col("text").cast("string")), make, f"{toxic} boolean", drop=(text,), text=text)
+    return df.filter(~F.col(toxic)).select(*docs.columns)
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
