@@ -645,3 +645,24 @@ def test_sums_over_unlabelled_rows_equal_one_matrix(spark):
         left = np.isnan(cotrain.pseudo_labels(x[v], history[v]))
         z = np.sort(x[v][left] @ views[v][:-1] + views[v][-1])
         assert at[v][0] == pytest.approx(z[int(0.1 * len(z))], abs=0.05) and at[v][1] == pytest.approx(z[int(0.95 * len(z))], abs=0.05)
+
+
+def test_labels_that_disagree_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "s", "en", 6) for i in range(40)] + [(1, "a text", "s", "en", 6)], "doc_id long, text string, source string, lang string, n_chars long")
+    both = [(i, i % 2, i % 2) for i in range(40)] + [(i, 1, 1) for i in range(0, 40, 4)] + [(1, 1, 1), (3, None, None)]
+    labels = spark.createDataFrame(both, "doc_id long, quality int, toxic int")
+    learnt = {i for i in range(40) if i % 4 and zlib.crc32(str(i).encode()) % 3 != 1}
+    got = toxicity.sample(docs, labels).collect()
+    assert {(r["doc_id"], r["toxic"]) for r in got} == {(i, i % 2) for i in learnt} and len(got) == len(learnt)
+    assert all(r["text"] == ("a text" if r["doc_id"] == 1 else f"text {r['doc_id']}") for r in got)
+
+
+def test_scoring_tasks_are_bounded_and_each_block_has_one(spark):
+    blocks = spark.createDataFrame([((i // 7 << 32) + i % 7,) for i in range(500)], "block long")
+    ids = sorted(r["block"] for r in blocks.collect())
+    assert ngramlm._task_bounds(blocks) == ids[1:]
+    few = ngramlm._task_bounds(blocks, 7)
+    assert len(few) == 6 and set(few) <= set(ids)
+    sizes = np.diff([0, *(ids.index(b) for b in few), len(ids)])
+    assert sizes.min() >= 71 and sizes.max() <= 72
+    assert ngramlm._task_bounds(blocks.limit(1)) == ngramlm._task_bounds(blocks.limit(0)) == []

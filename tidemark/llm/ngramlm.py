@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, byte_slices, remove, shard_of, shared_dir, texts_of
+from tidemark.llm.common import MOST_SHARDS, WORDS, byte_slices, remove, shard_of, shared_dir, texts_of
 
 ALPHA = 0.4
 ORDER = 3
@@ -219,15 +219,27 @@ def block_scores(texts: pa.Array, answers: list[dict], order: int, buckets: int,
         counts.append(full)
     most = np.minimum(np.arange(n) - np.repeat(ends[:-1], size) + 1, order)
     all_words = np.maximum(total - size * left_out, 1)
-    with np.errstate(divide="ignore"):
-        s = np.log(np.maximum(counts[0], 1)) - np.log(np.repeat(all_words, size)) + (most - 1) * np.log(alpha)
-        for k in range(2, order + 1):
-            before = np.concatenate(([0], counts[k - 2][:-1]))
-            s = np.where(counts[k - 1] > 0, np.log(counts[k - 1]) - np.log(before) + (most - k) * np.log(alpha), s)
+    s = np.log(np.maximum(counts[0], 1)) - np.log(np.repeat(all_words, size)) + (most - 1) * np.log(alpha)
+    for k in range(2, order + 1):
+        seen = np.flatnonzero(counts[k - 1])
+        s[seen] = np.log(counts[k - 1][seen]) - np.log(counts[k - 2][seen - 1]) + (most[seen] - k) * np.log(alpha)
     sums = np.concatenate(([0.0], np.cumsum(s)))
     return size, np.where(size > 0, np.add.reduceat(np.append(s, 0.0), np.minimum(ends[:-1], n)), 0.0) if len(size) else sums[:0]
 
 
+def _task_bounds(blocks: DataFrame, most: int = MOST_SHARDS) -> list[int]:
+    """The blocks at which a new scoring task begins: a task for each block, or ``most`` tasks of as many blocks each.
+
+    A task sorts its blocks and holds one at a time, so more blocks take it longer, not more memory.
+    """
+    n = blocks.count()
+    k = min(n, most)
+    if k < 2:
+        return []
+    first = [i / k + 0.5 / n for i in range(1, k)]
+    return sorted(set(blocks.agg(F.percentile_approx("block", first, max(10_000, 4 * k)).alias("at")).first()["at"]))
+
+
 def _scored(order: int, buckets: int, total: int, alpha: float, left_out: bool) -> Callable:
     """Rows sorted by block, the block's documents first, to scores."""
 
@@ -281,9 +293,8 @@ def score(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, a
                 got = tables.write(dealt.mapInArrow(_answered, "block bigint, k int, part int, at binary, x binary"))
                 answers = got if answers is None else answers.unionByName(got)
             both = blocks.drop("words").withColumn("k", F.lit(0)).unionByName(answers, allowMissingColumns=True)
-            # One task for a block: of each some megabytes of text, one id of 8 bytes reaches the driver.
-            ids = sorted(r["block"] for r in blocks.select("block").collect())
-            own = both.withColumn("task", shard_of(ids[1:])("block")).repartitionById(max(1, len(ids)), "task").drop("task")
+            bounds = _task_bounds(blocks)
+            own = both.withColumn("task", shard_of(bounds)("block")).repartitionById(len(bounds) + 1, "task").drop("task")
             sorted_rows = own.sortWithinPartitions("block", "k", "part")
             result = sorted_rows.mapInArrow(_scored(order, buckets, total, alpha, train is None), f"doc_id {kind}, n_words bigint, score double")
             path = shared_dir(spark)
