@@ -178,3 +178,36 @@ def test_split_adjustment_and_labels(spark):
     assert column(t.internally_adjusted(b, splits), "internal_close") == pytest.approx([50.0, 50.0, 50.0, 50.0])
     got = t.forward_labels(b, (1,))
     assert column(got, "fwd_return_1d") == [0.0, -0.5, 0.0, None] and column(got, "direction_1d") == [0, 0, 0, None]
+
+
+def test_frames_of_doubled_pieces_equal_pandas(spark):
+    k = np.arange(700)
+    values = np.where(k % 150 == 149, np.nan, 100 + 10 * np.sin(k)) + np.where(k == 20, 1e9, 0)
+    rows = [(1, int(i), None if np.isnan(v) else float(v)) for i, v in zip(k, values, strict=True)]
+    df = spark.createDataFrame(rows, "company_id long, trade_date long, __x double")
+    start = {"s_x": F.col("__x"), "lo_x": F.col("__x")} | rolling.moments_of("x")
+    df = rolling.over_last(rolling.pieces(df, start, rolling.united, dict.fromkeys(start, 6)), 100, start, rolling.united)
+    got = df.orderBy("trade_date").toPandas()
+    s = pd.Series(values).rolling(100)
+    direct = pd.Series([np.nan if i < 99 else values[i - 99 : i + 1].var(ddof=1) for i in k])
+    for name, want in (("__n100_s_x", s.sum()), ("__n100_lo_x", s.min()), ("__n100_m_x", s.mean())):
+        assert np.allclose(got[name].astype(float), want, equal_nan=True, rtol=1e-9), name
+    # What has left the frame leaves no trace: the 1e9 of row 20 is not felt from row 120 on.
+    assert np.allclose(got["__n100_q_x"].astype(float) / 99, direct, equal_nan=True, rtol=1e-9)
+    # One sort serves every level.
+    assert df._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def test_feature_partitions_are_not_united_by_the_size_of_bars(spark):
+    many = bars(spark, [100.0 + i % 7 for i in range(300)])
+    index = many.select("trade_date", F.col("close").alias("market"))
+    plan = t.technical_features(many, index)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_known_counts_equal_the_long_table(spark):
+    many = bars(spark, [100.0 + i % 7 for i in range(300)])
+    wide = t.technical_features(many, many.select("trade_date", F.col("close").alias("market"))).persist()
+    want = t.long_features(wide).groupBy("company_id", "feature_name", "version").agg(F.count("*").alias("n"), F.min("feature_date").alias("first_date"))
+    got = t.known_counts(wide)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
