@@ -62,3 +62,25 @@ def test_backlog_is_scored_in_article_order(spark):
     done = spark.createDataFrame([(1, 1, "v1"), (3, 1, "v0")], "article_id long, company_id long, model_version string")
     got = n.score_pairs(pairs, given, companies(spark), "v1", done, limit=2).collect()
     assert sorted(r["article_id"] for r in got) == [3, 5]
+
+
+def test_links_equal_their_sql_on_unusual_letters(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import news as plans
+
+    names = [(1, "Straße über Berge weit fort ganz"), (2, "Alpha beta gamma delta eß zeta"), (3, "Office finder works old naïve place"), (7, "Σigma kosmos vier fünf sechs sieben")]
+    texts = [
+        "STRASSE und STRAẞE stehen hier", "so strasse über‍ berge", "so straße über ❤️ berge weit", "Ess is no ticker, EẞS may be", "alpha‿beta gamma",
+        "ALPHA BETÁ GAMMA and BETA", "oﬃce ﬁnder works", "office finder works", "naı̈ve place old", "σigma kosmos vier", "Σigma ΚΟΣΜΟΣ kosmos", "OFFICE™ finder works", "Eß eins", "", None, "alpha beta gammá",
+    ]
+    spark.createDataFrame(names, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, x, "en", "web", 1) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("entity_links", "news_upkeep", "company_news"):
+        want = con.execute(plans.ORACLE_SQL[name])
+        columns = [d[0] for d in want.description]
+        rows = [tuple(map(str, r)) for r in want.fetchall()]
+        assert sorted(tuple(map(str, r)) for r in plans.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(rows) and rows

@@ -55,6 +55,10 @@ OPENS = {
 }
 NEGATION = r"\b(?:tidak|bukan|tanpa)\s+(?:pernah\s+)?"
 VERY = 0.75
+#: What stands between words: marks, joiners and connectors other than _ are no part of one.
+GAP = r"[^\p{L}\p{N}_]+"
+
+Fold = Callable[[Column | str], Column]
 
 
 @F.pandas_udf(StringType())
@@ -63,28 +67,49 @@ def folded(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC").str.casefold()
 
 
-def normalized(text: Column | str) -> Column:
+def lowered(text: Column | str) -> Column:
+    """Lower case letter by letter with ß as ss: a plainer folding than ``folded``, made without Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    for a, b in (("İ", "i"), ("Σ", "σ")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+#: Letters whose upper case is several letters, letters for private use that stand for them meanwhile, and their capital if there is one.
+SPREAD = "".join(c for c in map(chr, range(0x110000)) if len(c.upper()) > 1)
+_ASIDE = "".join(chr(0x10F000 + k) for k in range(len(SPREAD)))
+_CAPITALS = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in SPREAD)
+
+
+def raised(text: Column | str) -> Column:
+    """Upper case letter by letter, so ß never meets SS nor a ligature its letters."""
+    return F.translate(F.upper(F.translate(text, SPREAD, _ASIDE)), _ASIDE, _CAPITALS)
+
+
+def normalized(text: Column | str, fold: Fold = folded) -> Column:
     """Folded words with single spaces between."""
-    return F.trim(F.regexp_replace(folded(text), r"(?U)[^\w]+", " "))
+    return F.trim(F.regexp_replace(fold(text), GAP, " "))
 
 
-def name_variants(name: Column | str) -> Column:
+def name_variants(name: Column | str, fold: Fold = folded) -> Column:
     """The normalised name, whole and without legal words, if long enough to be evidence."""
-    full = normalized(name)
+    full = normalized(name, fold)
     bare = F.array_join(F.filter(F.split(full, " "), lambda w: ~w.isin(*LEGAL)), " ")
     fit = lambda v: (F.length(v) >= 8) & ((F.size(F.split(v, " ")) >= 2) | (F.length(v) >= 12))
     return F.filter(F.array_distinct(F.array(full, bare)), fit)
 
 
-def dictionary(companies: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(company_id, kind, method, needle, size): tickers as they are, names as normalised n-grams of ``size`` words."""
-    rows = companies.select("company_id", F.upper("ticker").alias("ticker"), "company_name", F.lit("ticker").alias("t"), F.lit("company_name").alias("n"))
+def dictionary(companies: DataFrame, aliases: DataFrame | None = None, fold: Fold = folded) -> DataFrame:
+    """(company_id, kind, method, needle, size): tickers as they are, names as normalised n-grams of ``size`` words.
+
+    Texts must be folded as their dictionary is."""
+    rows = companies.select("company_id", raised("ticker").alias("ticker"), "company_name", F.lit("ticker").alias("t"), F.lit("company_name").alias("n"))
     if aliases is not None:
         rows = rows.unionByName(
-            aliases.select("company_id", F.upper("previous_ticker").alias("ticker"), F.col("previous_name").alias("company_name"), F.lit("previous_ticker").alias("t"), F.lit("previous_name").alias("n"))
+            aliases.select("company_id", raised("previous_ticker").alias("ticker"), F.col("previous_name").alias("company_name"), F.lit("previous_ticker").alias("t"), F.lit("previous_name").alias("n"))
         )
     tickers = rows.filter("ticker <> ''").select("company_id", F.col("t").alias("method"), F.col("ticker").alias("needle"), F.lit(0).alias("size"))
-    names = rows.filter("company_name is not null").select("company_id", F.col("n").alias("method"), F.explode(name_variants("company_name")).alias("needle"))
+    names = rows.filter("company_name is not null").select("company_id", F.col("n").alias("method"), F.explode(name_variants("company_name", fold)).alias("needle"))
     return tickers.unionByName(names.withColumn("size", F.size(F.split("needle", " ")))).distinct()
 
 
@@ -122,7 +147,7 @@ def _may_be(needle: Column, size: Column, bits: Column, words: int) -> Column:
     return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
-def candidate_grams(articles: DataFrame, needles: DataFrame, text: str = "text", pruned: bool = True) -> DataFrame:
+def candidate_grams(articles: DataFrame, needles: DataFrame, text: str = "text", pruned: bool = True, fold: Fold = folded) -> DataFrame:
     """(article_id, needle, size): an article's distinct words (size 0) and n-grams of the sizes that names have.
 
     ``pruned``: only those on a bit of the needles' bitmap, which is tried before a row is made of them, so what is shuffled
@@ -130,7 +155,7 @@ def candidate_grams(articles: DataFrame, needles: DataFrame, text: str = "text",
     """
     # Distinct numbers of words in names: a handful.
     sizes = [r["size"] for r in needles.filter("size > 0").select("size").distinct().collect()]
-    own = articles.select("article_id", F.split(F.col(text), r"(?U)[^\w]+").alias("t"), F.split(normalized(text), " ").alias("w"))
+    own = articles.select("article_id", F.split(F.col(text), GAP).alias("t"), F.split(normalized(text, fold), " ").alias("w"))
     if pruned:
         bitmap = needle_bitmap(needles)
         one = articles.sparkSession.createDataFrame([(bitmap,)], "bits array<bigint>")
@@ -147,16 +172,16 @@ def candidate_grams(articles: DataFrame, needles: DataFrame, text: str = "text",
     return own.select("article_id", F.explode(F.concat(*kinds)).alias("g")).select("article_id", "g.needle", "g.size")
 
 
-def entity_links(articles: DataFrame, needles: DataFrame, text: str = "text", mentioned: str | None = None) -> DataFrame:
+def entity_links(articles: DataFrame, needles: DataFrame, text: str = "text", mentioned: str | None = None, fold: Fold = folded) -> DataFrame:
     """(article_id, company_id, relevance_score, match_method, matched_text): the best match of each pair.
 
     An article's distinct words (tickers are case-sensitive) and its distinct n-grams, of the sizes that
     names have, are joined to the dictionary by equality: no text is held against every name.
     """
-    found = candidate_grams(articles, needles, text)
+    found = candidate_grams(articles, needles, text, fold=fold)
     hits = found.join(needles, ["needle", "size"]).select("article_id", "company_id", "method", "needle")
     if mentioned:
-        said = articles.select("article_id", F.explode(F.transform(mentioned, lambda t: F.upper(t))).alias("needle"))
+        said = articles.select("article_id", F.explode(F.transform(mentioned, lambda t: raised(t))).alias("needle"))
         tickers = needles.filter("size = 0").select("needle", "company_id", F.when(F.col("method") == "ticker", "provider_ticker").otherwise(F.col("method")).alias("method"))
         hits = hits.unionByName(said.join(tickers, "needle").select("article_id", "company_id", "method", "needle"))
     score = F.create_map(*(F.lit(x) for kv in SCORES.items() for x in kv))[F.col("method")]
@@ -169,7 +194,7 @@ def active_equities(companies: DataFrame) -> DataFrame:
     return companies.filter("asset_type = 'equity' and status = 'active'")
 
 
-def upkeep(articles: DataFrame, needles: DataFrame, links: DataFrame, seen: DataFrame, known: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def upkeep(articles: DataFrame, needles: DataFrame, links: DataFrame, seen: DataFrame, known: DataFrame, text: str = "text", fold: Fold = folded) -> tuple[DataFrame, DataFrame]:
     """(links, seen) after new and changed articles or a changed dictionary.
 
     ``links`` are those so far, ``seen`` (article_id, content_hash) the articles they come from, ``known`` the needles they were
@@ -184,9 +209,9 @@ def upkeep(articles: DataFrame, needles: DataFrame, links: DataFrame, seen: Data
     touched = links.join(lost, "company_id", "left_semi").select("article_id").distinct()
     fresh = needles.exceptAll(known)
     still = articles.join(changed, "article_id", "left_anti")
-    said = candidate_grams(still, fresh, text).join(fresh, ["needle", "size"], "left_semi").select("article_id")
+    said = candidate_grams(still, fresh, text, fold=fold).join(fresh, ["needle", "size"], "left_semi").select("article_id")
     todo = changed.unionByName(touched).unionByName(said).distinct()
-    new = entity_links(articles.join(todo, "article_id", "left_semi"), needles, text)
+    new = entity_links(articles.join(todo, "article_id", "left_semi"), needles, text, fold=fold)
     # An article that is no longer given keeps its links: there is nothing to link it by.
     cleared = todo.join(articles.select("article_id"), "article_id", "left_semi")
     kept = links.join(cleared, "article_id", "left_anti").unionByName(new.select(*links.columns))
