@@ -84,3 +84,12 @@ def test_links_equal_their_sql_on_unusual_letters(spark, tmp_path):
         columns = [d[0] for d in want.description]
         rows = [tuple(map(str, r)) for r in want.fetchall()]
         assert sorted(tuple(map(str, r)) for r in plans.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(rows) and rows
+
+
+def test_sentiment_under_the_prior_runs_without_python(spark, capsys):
+    pairs = spark.createDataFrame([(1, 1, "AAA")], "article_id long, company_id long, matched_text string")
+    scored = n.score_pairs(pairs, articles(spark, TEXTS), companies(spark), "v1")
+    scored.explain()
+    assert "InPandas" not in capsys.readouterr().out
+    own = n.score_pairs(pairs, articles(spark, TEXTS), companies(spark), "v1", scorer=lambda t: __import__("pandas").DataFrame({"positive": 0.1, "neutral": 0.8, "negative": 0.1}, index=t.index))
+    assert scored.select(sorted(scored.columns)).collect() == own.select(sorted(own.columns)).collect()

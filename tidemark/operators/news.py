@@ -277,9 +277,8 @@ def financial_event(text: Column) -> Column:
     return out
 
 
-def prior_scorer(positive: float = 0.1, neutral: float = 0.8, negative: float = 0.1) -> Callable[[pd.Series], pd.DataFrame]:
-    """The default base classifier: the same class probabilities for every text."""
-    return lambda texts: pd.DataFrame({"positive": positive, "neutral": neutral, "negative": negative}, index=texts.index)
+#: The default base classifier: the same class probabilities for every text.
+PRIOR = {"positive": 0.1, "neutral": 0.8, "negative": 0.1}
 
 
 def base_probabilities(df: DataFrame, text: str, scorer: Callable[[pd.Series], pd.DataFrame]) -> DataFrame:
@@ -302,7 +301,8 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, companies: DataFrame, ver
         pairs = pairs.orderBy("article_id", "company_id").limit(limit)
     df = pairs.join(articles.select("article_id", "text"), "article_id").join(companies.select("company_id", "ticker", "company_name"), "company_id")
     df = df.select("article_id", "company_id", company_context(F.col("text"), F.col("ticker"), F.col("company_name"), F.coalesce("matched_text", "ticker")).alias("context"))
-    df = base_probabilities(df, "context", scorer or prior_scorer())
+    # The prior needs no text, so no context goes through Python for it.
+    df = df.withColumns({c: F.lit(x) for c, x in PRIOR.items()}) if scorer is None else base_probabilities(df, "context", scorer)
     signal = finance_signal(F.col("context"))
     out = calibrated(signal, F.col("positive"), F.col("neutral"), F.col("negative"))
     df = df.withColumns({"signal": signal, "event": financial_event(F.col("context")), **out})
