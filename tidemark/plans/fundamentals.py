@@ -26,7 +26,8 @@ def _as_of():
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.ratios(p.items(spark, sf_dir), p.bars(spark, sf_dir))
+    parts = p.parts_for(spark, sf_dir)
+    return f.ratios(p.items(spark, sf_dir, parts), p.bars(spark, sf_dir, parts))
 
 
 def statement_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ STATEMENT_RATIOS = f"WITH {_RATIOS} SELECT {_KEYS}, ratio_name, CASE WHEN abs(va
 
 def statement_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12."""
-    return f.completeness(p.items(spark, sf_dir)).withColumn("completeness", F.round("completeness", 6))
+    return f.completeness(p.items(spark, sf_dir, p.parts_for(spark, sf_dir))).withColumn("completeness", F.round("completeness", 6))
 
 
 _CORE = ", ".join(f"'{c}'" for c in f.CORE_CODES)
@@ -68,8 +69,9 @@ def thin_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     diluted = items.filter("account_code = 'eps_basic' and company_id % 2 = 0").withColumns({"account_code": F.lit("eps_diluted"), "value": F.col("value") * 0.9})
     few = (F.col("company_id") % 5 != 0) | (F.col("statement_type") == "annual") | F.col("account_code").isin("revenue", "net_income", "eps_diluted")
     items = stored(items.unionByName(diluted).filter(few), "items")
-    usable = stored(f.usable_items(items), "items")
-    ratios = f.ratios(usable, p.bars(spark, sf_dir)).filter("ratio_name like 'price_to_earnings%' or ratio_name like 'net_margin%'")
+    parts = p.parts_for(spark, sf_dir)
+    usable = stored(f.usable_items(items.repartition(parts, *STATEMENT)), "items")
+    ratios = f.ratios(usable.repartition(parts, "company_id"), p.bars(spark, sf_dir, parts)).filter("ratio_name like 'price_to_earnings%' or ratio_name like 'net_margin%'")
     eps = v.latest_eps(usable, _as_of())
     shown = ratios.select("company_id", "statement_type", "fiscal_period", "ratio_name", F.round("value", 6).alias("value"))
     none = F.lit(None).cast("string")
@@ -90,9 +92,12 @@ FROM wide WHERE eps_basic IS NOT NULL AND available_at <= DATE '{AS_OF}' GROUP B
 
 def asof_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bar with the whole newest quarterly net margin and current ratio known on its day."""
-    known = _ratios(spark, sf_dir).filter("statement_type = 'quarterly'")
-    wide = known.groupBy("company_id", "available_at").pivot("ratio_name", ["net_margin__quarterly", "current_ratio__quarterly"]).agg(F.max("value"))
-    bars = p.bars(spark, sf_dir).select("company_id", "trade_date")
+    parts = p.parts_for(spark, sf_dir)
+    bars = p.bars(spark, sf_dir, parts)
+    known = f.ratios(p.items(spark, sf_dir, parts), bars).filter("statement_type = 'quarterly'")
+    value = lambda name: F.max(F.when(F.col("ratio_name") == name, F.col("value"))).alias(name)
+    wide = known.groupBy("company_id", "available_at").agg(value("net_margin__quarterly"), value("current_ratio__quarterly"))
+    bars = bars.select("company_id", "trade_date")
     out = asof_join(bars, wide, "company_id", "trade_date", "available_at")
     return out.select("company_id", "trade_date", *(F.round(f"{c}__quarterly", 6).alias(f"fund_{c}") for c in ("net_margin", "current_ratio")))
 
@@ -130,8 +135,9 @@ def _valued(spark: SparkSession, sf_dir: str, companies: DataFrame | None = None
     """(valuations, ratios).  Items, bars, ratios and companies are stored once: a dozen branches read them, and the base table is
     read for them three times, not once for each branch."""
     companies = stored(p.companies(spark, sf_dir), "companies") if companies is None else companies
-    items, bars = stored(p.items(spark, sf_dir), "items"), stored(p.bars(spark, sf_dir).select("company_id", "trade_date", "close"), "bars")
-    ratios = stored(f.ratios(items, bars), "ratios")
+    parts = p.parts_for(spark, sf_dir)
+    items, bars = stored(p.items(spark, sf_dir, parts), "items"), stored(p.bars(spark, sf_dir, parts).select("company_id", "trade_date", "close"), "bars")
+    ratios = stored(f.ratios(items, bars, parts), "ratios")
     return v.valuations(companies, items, ratios, bars, _as_of(), ASSUMED), ratios
 
 
