@@ -192,10 +192,13 @@ def _facts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "ord", "name", "context", "period", "text", "scale", "nil"])
 
 
-def xbrl_listed(spark: SparkSession, path: str) -> DataFrame:
+def xbrl_listed(spark: SparkSession, path: str, archive: bool = False) -> DataFrame:
     """Every fact of the instance documents under a path, and a row without a name for each that cannot be read: one pass over
-    the files, stored, from which ``xbrl_facts`` and ``xbrl_rejects`` take theirs."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    the files, stored, from which ``xbrl_facts`` and ``xbrl_rejects`` take theirs.
+
+    A file is a document, or, of an archive, holds a line {path, content} for each of its documents.
+    """
+    files = spark.read.schema("path string, content string").json(path) if archive else spark.read.format("binaryFile").load(path).select("path", "content")
     shape = "path string, ord bigint, name string, context string, period string, text string, scale string, nil boolean"
     return stored(files.mapInPandas(_facts, shape), "facts")
 
