@@ -1,12 +1,16 @@
 """Tasks keep their size as tables grow: where rows are dealt out, and what an aggregation holds."""
 
 import datetime as dt
+import random
 import re
+from pathlib import Path
 
 import pytest
 
+from tidemark.operators import dataset as d
 from tidemark.operators import fundamentals as f
-from tidemark.plans import catalog, fundamentals
+from tidemark.plans import catalog, fundamentals, landed
+from tidemark.plans import dataset as plans
 from tidemark.sources import projections as p
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +43,37 @@ def test_items_become_columns_in_one_aggregation(spark):
     done = f.completeness(items)
     assert "count(distinct" not in plan(done).lower() and plan(done).count("HashAggregate") == 2
     assert done.first().completeness == 1 / 30  # one core code, twice; an unknown value and a foreign code count for none
+
+
+@pytest.mark.parametrize("whole", [0, 40])
+def test_groups_of_any_size_have_the_same_metrics(spark, monkeypatch, whole):
+    r = random.Random(1)
+    rows = [(g, float(r.randint(-9, 9)), r.choice([0.5, -2.0, 3.25, r.random()])) for g, n in ((1, 90), (2, 30), (None, 41), (3, 1), (4, 8)) for _ in range(n)]
+    rows += [(5, float(k), 1.0) for k in range(9)] + [(6, None, 1.0)]  # a constant forecast; nothing known
+    df = spark.createDataFrame(rows, "g long, y double, p double")
+    read = lambda: {x["g"]: x.asDict() for x in d.regression_metrics(df, "y", "p", "g").collect()}
+    small = read()
+    monkeypatch.setattr(d, "WHOLE", whole)  # 0: all by slices of their values; 40: two groups only
+    other = read()
+    assert set(small) == set(other) == {1, 2, 3, 4, 5, None}
+    for g, x in small.items():
+        assert x == pytest.approx(other[g], nan_ok=True, abs=1e-12), g
+    assert small[5]["spearman"] is None and small[5]["median_ae"] == 3.0
+
+
+def test_labels_of_features_with_prices_need_no_join(spark):
+    text = plan(plans._labelled(spark, SF))
+    assert "Join" not in text and text.count("FileScan") == 1
+    days = [dt.date(2024, 1, k) for k in range(1, 9)]
+    bars = spark.createDataFrame([(c, day, float(k * c + k * k)) for c in (1, 2) for k, day in enumerate(days, 1)], "company_id long, trade_date date, close double")
+    joined, own = (sorted(map(tuple, d.labelled(bars, b, (2, 3)).select("company_id", "trade_date", "close", "fwd_return_2d", "direction_2d", "fwd_return_3d", "direction_3d").collect())) for b in (bars, None))
+    assert joined == own and len(own) == 12
+
+
+def test_instance_documents_are_staged_in_few_files(spark, monkeypatch, tmp_path):
+    made = []
+    monkeypatch.setattr(landed, "shared_path", lambda spark, name: made.append(f"{tmp_path}/{name}-{len(made)}") or made[-1])
+    landed.landed_facts(spark, SF)
+    companies = p.table(spark, SF, "supplier").count()
+    files = [x for x in Path(made[0]).rglob("part-*")]
+    assert 0 < len(files) <= 5 < companies
