@@ -9,7 +9,7 @@ import pytest
 
 from tidemark.operators import dataset as d
 from tidemark.operators import fundamentals as f
-from tidemark.plans import catalog, fundamentals, landed
+from tidemark.plans import catalog, fundamentals, landed, technical
 from tidemark.plans import dataset as plans
 from tidemark.sources import projections as p
 
@@ -77,3 +77,13 @@ def test_instance_documents_are_staged_in_few_files(spark, monkeypatch, tmp_path
     companies = p.table(spark, SF, "supplier").count()
     files = [x for x in Path(made[0]).rglob("part-*")]
     assert 0 < len(files) <= 5 < companies
+
+
+def test_features_are_dealt_out_once_by_the_table(spark, monkeypatch):
+    monkeypatch.setattr(p, "ROWS", 500)
+    parts = -(-p.table(spark, SF, "lineitem").count() // 500)
+    text = plan(technical.ewm_features(spark, SF))
+    dealt = re.findall(r"hashpartitioning\(([^)]*), (\d+)\)", text)
+    # The bars and the index, each by company; the index is a mean for each day.
+    assert {n for k, n in dealt if "l_suppkey" in k} == {str(parts)}
+    assert all("l_suppkey" in k or "trade_date" in k or "_groupingexpression" in k for k, _ in dealt), dealt
