@@ -87,3 +87,14 @@ def test_features_are_dealt_out_once_by_the_table(spark, monkeypatch):
     # The bars and the index, each by company; the index is a mean for each day.
     assert {n for k, n in dealt if "l_suppkey" in k} == {str(parts)}
     assert all("l_suppkey" in k or "trade_date" in k or "_groupingexpression" in k for k, _ in dealt), dealt
+
+
+@pytest.mark.parametrize("make", [p.statements, p.items])
+def test_statements_are_summed_where_their_line_items_are_dealt(spark, monkeypatch, make):
+    monkeypatch.setattr(p, "ROWS", 500)
+    parts = -(-p.table(spark, SF, "lineitem").count() // 500)
+    text = plan(make(spark, SF))
+    # No shuffle but of plain line items, by the table's size: no task sums statements of the whole table before it.
+    assert set(re.findall(r"hashpartitioning\(l_suppkey#\d+L?, (\d+)\), (\w+)", text)) == {(str(parts), "REPARTITION_BY_NUM")}
+    below = re.findall(r"Exchange hashpartitioning.*?FileScan", text, re.S)
+    assert len(below) == text.count("hashpartitioning") and not any("Aggregate" in b for b in below)
