@@ -9,7 +9,8 @@ import pytest
 
 from tidemark.operators import dataset as d
 from tidemark.operators import fundamentals as f
-from tidemark.plans import catalog, fundamentals, landed, technical
+from tidemark.operators import news as n
+from tidemark.plans import catalog, fundamentals, landed, news, technical
 from tidemark.plans import dataset as plans
 from tidemark.sources import projections as p
 
@@ -98,3 +99,31 @@ def test_statements_are_summed_where_their_line_items_are_dealt(spark, monkeypat
     assert set(re.findall(r"hashpartitioning\(l_suppkey#\d+L?, (\d+)\), (\w+)", text)) == {(str(parts), "REPARTITION_BY_NUM")}
     below = re.findall(r"Exchange hashpartitioning.*?FileScan", text, re.S)
     assert len(below) == text.count("hashpartitioning") and not any("Aggregate" in b for b in below)
+
+
+def test_only_newest_links_are_scored(spark, monkeypatch):
+    scored = []
+    pairs = n.score_pairs
+    monkeypatch.setattr(n, "score_pairs", lambda links, *rest: scored.append(links.count()) or pairs(links, *rest))
+    df = news.sentiment_by_company(spark, SF)
+    assert scored == [df.count()] and scored[0] > 5
+    articles, companies = news._articles(spark, SF), news._companies(spark, SF)
+    links = n.entity_links(articles.withColumn("text", articles["summary"]), n.dictionary(companies, fold=n.lowered), fold=n.lowered)
+    assert links.count() > scored[0]  # a company has several
+    whole = n.latest_sentiment(pairs(links, articles, companies, "rules-v1"), articles)
+    read = lambda x: sorted((r.company_id, r.sentiment_label, round(r.sentiment_score, 6)) for r in x.collect())
+    assert read(df) == read(whole)
+
+
+def test_few_sequences_of_words_are_made(spark):
+    rows = [(1, "alpha", "Alpha Bravo Charlie"), (2, "x", "Alpha Bravo Charlie Delta"), (3, "y", "Internationalised")]
+    needles = n.dictionary(spark.createDataFrame(rows, "company_id long, ticker string, company_name string"), fold=n.lowered)
+    assert {(r.needle, r["size"]) for r in n.heads(needles).collect()} == {("alpha", n.HEAD)}
+    texts = [(1, "Of alpha, bravo; CHARLIE delta"), (2, "internationalised alpha bravo"), (3, "alpha bravo charlie"), (4, None), (5, "")]
+    articles = spark.createDataFrame(texts, "article_id long, text string")
+    said = n.candidate_grams(articles, needles, fold=n.lowered)
+    assert re.search(r"filter\(sequence\(.*?get\(|filter\(sequence\(.*?w#\d+\[", plan(said))  # the first word is looked up by its place
+    links = n.entity_links(articles, needles, fold=n.lowered).collect()
+    assert sorted((r.article_id, r.company_id) for r in links) == [(1, 1), (1, 2), (2, 3), (3, 1)]
+    every = n.candidate_grams(articles, needles, pruned=False, fold=n.lowered).join(needles, ["needle", "size"], "left_semi")
+    assert sorted(map(tuple, said.join(needles, ["needle", "size"], "left_semi").collect())) == sorted(map(tuple, every.collect()))

@@ -113,14 +113,27 @@ def dictionary(companies: DataFrame, aliases: DataFrame | None = None, fold: Fol
     return tickers.unionByName(names.withColumn("size", F.size(F.split("needle", " ")))).distinct()
 
 
-def _grams(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+def _grams(words: Column, n: int, starts: Callable[[Column], Column] | None = None) -> Column:
+    """The sequences of ``n`` words; with ``starts`` only those whose first word it accepts, which are the only ones joined to a text."""
+    places = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    if starts is not None:
+        places = F.filter(places, lambda i: starts(F.get(words, i - 1)))
+    return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
 #: Bits of the needles' bitmap for each needle, and its greatest size in words of 64 bits.
 BITS, MOST_WORDS = 32, 1 << 20
 
 
+#: Stands for the number of words of a needle where its first word is looked up.
+HEAD = -1
+
+
+def heads(needles: DataFrame) -> DataFrame:
+    """(needle, size): the first words of names of several words."""
+    return needles.filter("size > 1").select(F.substring_index("needle", " ", 1).alias("needle"), F.lit(HEAD).alias("size")).distinct()
+
+
 def _place(needle: Column, size: Column, words: int) -> Column:
     return F.pmod(F.xxhash64(needle, size), F.lit(64 * words))
 
@@ -143,21 +156,21 @@ def needle_bitmap(needles: DataFrame) -> list[int]:
 
 def _may_be(needle: Column, size: Column, bits: Column, words: int) -> Column:
     at = _place(needle, size, words)
-    word = F.get(bits, F.floor(at / 64).cast("int"))
-    return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    word = F.get(bits, F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
 def candidate_grams(articles: DataFrame, needles: DataFrame, text: str = "text", pruned: bool = True, fold: Fold = folded) -> DataFrame:
     """(article_id, needle, size): an article's distinct words (size 0) and n-grams of the sizes that names have.
 
     ``pruned``: only those on a bit of the needles' bitmap, which is tried before a row is made of them, so what is shuffled
-    are hits and few others.
+    are hits and few others.  Of n-grams the first word is tried before, so few are made at all.
     """
     # Distinct numbers of words in names: a handful.
     sizes = [r["size"] for r in needles.filter("size > 0").select("size").distinct().collect()]
     own = articles.select("article_id", F.split(F.col(text), GAP).alias("t"), F.split(normalized(text, fold), " ").alias("w"))
     if pruned:
-        bitmap = needle_bitmap(needles)
+        bitmap = needle_bitmap(needles.select("needle", "size").unionByName(heads(needles)))
         one = articles.sparkSession.createDataFrame([(bitmap,)], "bits array<bigint>")
         own = own.crossJoin(F.broadcast(one))  # with one row
 
@@ -167,8 +180,11 @@ def candidate_grams(articles: DataFrame, needles: DataFrame, text: str = "text",
             found = F.filter(found, lambda x: _may_be(x, F.lit(n), F.col("bits"), len(bitmap)))
         return F.transform(found, lambda x: F.struct(x.alias("needle"), F.lit(n).alias("size")))
 
+    def starts(word: Column) -> Column:
+        return _may_be(word, F.lit(HEAD), F.col("bits"), len(bitmap))
+
     none = F.array().cast("array<string>")
-    kinds = [sized(F.coalesce("t", none), 0), *(sized(F.when(F.size("w") >= n, _grams(F.col("w"), n)).otherwise(none), n) for n in sizes)]
+    kinds = [sized(F.coalesce("t", none), 0), *(sized(F.when(F.size("w") >= n, _grams(F.col("w"), n, starts if pruned and n > 1 else None)).otherwise(none), n) for n in sizes)]
     return own.select("article_id", F.explode(F.concat(*kinds)).alias("g")).select("article_id", "g.needle", "g.size")
 
 
@@ -315,6 +331,12 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, companies: DataFrame, ver
     )
 
 
+def newest_links(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """The link of each company to its last published article: the only one whose score ``latest_sentiment`` keeps."""
+    dated = links.join(articles.select("article_id", "published_at"), "article_id")
+    return latest_by(dated, ["company_id"], ["published_at", "article_id"]).select(*links.columns)
+
+
 def latest_sentiment(scored: DataFrame, articles: DataFrame) -> DataFrame:
     """(company_id, sentiment_label, sentiment_score) of each company's last published article."""
     df = scored.join(articles.select("article_id", "published_at"), "article_id").select("company_id", "published_at", "article_id", "sentiment_label", "sentiment_score")
