@@ -74,3 +74,13 @@ def test_features_keep_other_columns_and_odd_days(spark):
     got = t.technical_features(bars, index)
     assert got.columns == [*bars.columns, *t.FEATURES] and got.count() == 140
     assert got.filter("note = 'x' and volume_sma_20 is not null").count() == 102
+
+
+def test_known_bits_are_those_of_the_features(spark):
+    bars = p.bars(spark, SF, 6)
+    clean = t.scaled(t.clean_prices(bars, "provider_split_adjusted"))
+    df = t.technical_features(clean.select("company_id", "trade_date", *t.INPUTS), p.index_series(bars), True, known="bits")
+    assert df.filter(F.col("bits") != t.known_bits(t.FEATURES)).count() == 0 and df.agg(F.bit_or("bits")).first()[0] == (1 << 45) - 1
+    # One sum and one least day for all features at once.
+    plan = t.known_counts(df, "bits")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("min(") <= 6
