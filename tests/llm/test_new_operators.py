@@ -347,3 +347,50 @@ def test_alignment_of_odd_documents(spark, toks, libraries, odd_docs, no_docs):
     assert sorted((tuple(r) for r in got), key=key) == sorted(((i, *row(t)) for i, t in short), key=key)
     assert crosstok.op13(odd_docs, toks).count() == len(rows)
     assert crosstok.op13(no_docs, toks).collect() == []
+
+
+def test_sums_of_a_bucket_are_made_in_slices(monkeypatch):
+    from collections import Counter
+
+    import numpy as np
+
+    from tidemark.llm import ngramlm
+
+    rng = np.random.default_rng(5)
+    hashes = [np.unique(rng.integers(0, 900, n, dtype=np.uint64) + np.uint64((1 << 64) - 1000)) for n in (400, 1, 700, 0, 50)]
+    counts = [rng.integers(0, 4, len(h)).astype(np.uint32) for h in hashes]
+    total = Counter()
+    for h, c in zip(hashes, counts, strict=True):
+        total.update(dict(zip(h.tolist(), c.tolist(), strict=True)))
+    asks = [True, True, True, True, False]
+    seen, unique = [], np.unique
+    monkeypatch.setattr(ngramlm.np, "unique", lambda x, **k: seen.append(len(x)) or unique(x, **k))
+    for size in (64, 1 << 18):
+        monkeypatch.setattr(ngramlm, "SLICE_GRAMS", size)
+        seen.clear()
+        got = ngramlm.outside_counts(hashes, counts, asks)
+        assert max(seen) <= 3 * size
+        for h, c, asking, (at, x) in zip(hashes, counts, asks, got, strict=True):
+            want = [(k, total[v] - n) for k, (v, n) in enumerate(zip(h.tolist(), c.tolist(), strict=True)) if total[v] > n and asking]
+            assert list(zip(at.tolist(), x.tolist(), strict=True)) == want
+    assert [len(at) for at, _ in ngramlm.outside_counts([hashes[3]], [counts[3]], [True])] == [0]
+
+
+def test_rows_of_megabytes_are_written_in_groups_of_few(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import ngramlm
+
+    monkeypatch.setattr(ngramlm, "ROW_GROUP", 1 << 20)
+    tables = ngramlm._Tables(spark)
+    try:
+        df = spark.range(0, 12, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("s")).withColumn("s", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.sha2(F.concat("s", i.cast("string")), 512))))
+        assert tables.write(df).count() == 12
+        files = glob.glob(f"{tables.paths[0].removeprefix('file:')}/*.parquet")
+        # Half a megabyte a row: by default all twelve were held until the file was closed.
+        assert len(files) == 1 and pq.ParquetFile(files[0]).num_row_groups >= 3
+    finally:
+        tables.remove()

@@ -36,6 +36,10 @@ ORDER = 3
 BLOCK_BYTES = 8 << 20
 #: N-grams of one order of all blocks for one hash bucket.
 BUCKET_GRAMS = 1 << 22
+#: Bytes of the rows that a task holds while it writes them to a table of its own.
+ROW_GROUP = 4 * BLOCK_BYTES
+#: N-grams of a bucket that are added up at once.
+SLICE_GRAMS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,7 +125,9 @@ class _Tables:
 
     def write(self, df: DataFrame) -> DataFrame:
         self.paths.append(shared_dir(self.spark))
-        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        # Rows may be megabytes: the writer looks at each one whether a group of rows is full, by default only at every hundredth.
+        groups = {"parquet.block.size": str(ROW_GROUP), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+        df.write.options(compression="zstd", **groups).parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def remove(self) -> None:
@@ -173,29 +179,52 @@ def _asked(blocks: DataFrame, orders: tuple[int, ...], buckets: int, asks: bool,
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket: its count table from all blocks' parts, joined to the n-grams of each block that asks.
 
-    (block, k, part, at, x): which n-grams of the block's part occur outside of it, and how often."""
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    for bucket in sorted({r["bucket"] for r in rows}):
-        mine = [r for r in rows if r["bucket"] == bucket]
-        hashes = [np.cumsum(unplaned(r["h"], np.uint64), dtype=np.uint64) for r in mine]
-        own = [unplaned(r["c"], np.uint32).astype(np.int64) for r in mine]
-        _, number = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate(own)).astype(np.int64)
-        start = 0
-        for r, c in zip(mine, own, strict=True):
-            x = total[number[start : start + len(c)]] - c
-            start += len(c)
-            if r["asks"] and x.any():
-                at = np.flatnonzero(x)
-                gaps = np.diff(at, prepend=0).astype(np.uint32)
+    (block, k, part, at, x): which n-grams of the block's part occur outside of it, and how often.  The table is added up slice by
+    slice of the bucket's hashes, so beside the n-grams themselves a task holds the sums of ``SLICE_GRAMS`` of them."""
+    held: dict[int, list[tuple[dict, np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            h, c = np.cumsum(unplaned(r.pop("h"), np.uint64), dtype=np.uint64), unplaned(r.pop("c"), np.uint32)
+            held.setdefault(r["bucket"], []).append((r, h, c))
+    for bucket in sorted(held):
+        rows = held.pop(bucket)
+        for (r, _, _), (at, x) in zip(rows, outside_counts([h for _, h, _ in rows], [c for _, _, c in rows], [r["asks"] for r, _, _ in rows]), strict=True):
+            if len(at):
+                gaps = np.diff(at, prepend=np.uint32(0)).astype(np.uint32)
                 yield _batch(
                     {
                         "block": ([r["block"]], pa.int64()), "k": ([r["k"]], pa.int32()), "part": ([r["part"]], pa.int32()),
-                        "at": ([planes(gaps)], pa.binary()), "x": ([planes(x[at].astype(np.uint64))], pa.binary()),
+                        "at": ([planes(gaps)], pa.binary()), "x": ([planes(x.astype(np.uint64))], pa.binary()),
                     }
                 )
 
 
+def outside_counts(hashes: list[np.ndarray], counts: list[np.ndarray], asks: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each list of distinct sorted hashes that asks: the places of those that other lists count too, and their counts there.
+
+    Hashes are even over their range, so slices of equal width hold about as many."""
+    lists = [h for h in hashes if len(h)]
+    least, most = (int(min(h[0] for h in lists)), int(max(h[-1] for h in lists))) if lists else (0, 0)
+    n = max(1, -(-sum(map(len, hashes)) // SLICE_GRAMS))
+    bounds = np.array([least + (most - least + 1) * j // n for j in range(1, n)], dtype=np.uint64)
+    cuts = [np.concatenate(([0], np.searchsorted(h, bounds), [len(h)])) for h in hashes]
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in hashes]
+    for j in range(n):
+        parts = [slice(cut[j], cut[j + 1]) for cut in cuts]
+        own = np.concatenate([c[p] for c, p in zip(counts, parts, strict=True)])
+        _, number = np.unique(np.concatenate([h[p] for h, p in zip(hashes, parts, strict=True)]), return_inverse=True)
+        outside = np.bincount(number, weights=own).astype(np.int64)[number] - own
+        start = 0
+        for out, p, asking in zip(found, parts, asks, strict=True):
+            x = outside[start : start + p.stop - p.start]
+            start += len(x)
+            at = np.flatnonzero(x) if asking else []
+            if len(at):
+                out.append(((at + p.start).astype(np.uint32), x[at]))
+    none = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    return [tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else none for out in found]
+
+
 def block_scores(texts: pa.Array, answers: list[dict], order: int, buckets: int, total: int, alpha: float, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
     """(words, scores) of a block's texts.  ``left_out``: the texts are training text, and each one's own counts come off."""
     found, ends = grams(texts, order)
@@ -283,8 +312,8 @@ def score(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, a
         every = total if train is None else total + blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // BUCKET_GRAMS + 1)
         answers = None
-        # A block is a row of several megabytes.
-        with _session(spark, **cleanup, execution__arrow__maxRecordsPerBatch="4"):
+        # A block is a row of several megabytes: neither reader nor Python gets more than some at once.
+        with _session(spark, **cleanup, execution__arrow__maxRecordsPerBatch="4", parquet__columnarReaderBatchSize="4"):
             for orders in [(1, 2)[:order], *((k,) for k in range(3, order + 1))]:
                 asked = _asked(blocks, orders, buckets, True, train is None)
                 if train is not None:
