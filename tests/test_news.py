@@ -93,3 +93,22 @@ def test_sentiment_under_the_prior_runs_without_python(spark, capsys):
     assert "InPandas" not in capsys.readouterr().out
     own = n.score_pairs(pairs, articles(spark, TEXTS), companies(spark), "v1", scorer=lambda t: __import__("pandas").DataFrame({"positive": 0.1, "neutral": 0.8, "negative": 0.1}, index=t.index))
     assert scored.select(sorted(scored.columns)).collect() == own.select(sorted(own.columns)).collect()
+
+
+def test_a_page_reads_the_texts_of_its_links_alone(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import news as plans
+
+    links = spark.createDataFrame([(c, a, 0.5) for c in (1, 2) for a in range(20) if a % c == 0], "company_id long, article_id long, relevance_score double")
+    rows = [(a, "t", "u", "m", None if a in (4, 7) else f"2024-01-{a % 9 + 1:02d} 00:00:00") for a in range(20)] + [(6, "again", "u", "m", "2024-01-31 00:00:00")]
+    known = spark.createDataFrame(rows, "article_id long, title string, canonical_url string, media_name string, published_at string").withColumn("published_at", F.to_timestamp("published_at"))
+    scored = spark.createDataFrame([(a, f"label {k}") for a in range(20) for k in range(1 + (a % 5 == 0))], "article_id long, sentiment_label string")
+    whole = n.company_news(links, known, scored, limit=5)
+    some = n.first_links(links, known, 5)
+    assert some.count() <= 10 < links.count() and some.columns == links.columns
+    assert sorted(map(str, n.company_news(some, known, scored, limit=5).collect())) == sorted(map(str, whole.collect()))
+    read, judged = [], plans._judged
+    monkeypatch.setattr(plans, "_judged", lambda df: read.append(df.count()) or judged(df))
+    page = plans.company_news(spark, "/root/testdata/sf0.001")
+    assert read == [page.select("article_id").distinct().count()] and read[0] < 200

@@ -343,6 +343,18 @@ def latest_sentiment(scored: DataFrame, articles: DataFrame) -> DataFrame:
     return latest_by(df, ["company_id"], ["published_at", "article_id"]).select("company_id", "sentiment_label", "sentiment_score")
 
 
+def _newest() -> list[Column]:
+    """A company's news in order: undated ones, then the newest."""
+    return [F.col("published_at").desc_nulls_first(), F.desc("article_id")]
+
+
+def first_links(links: DataFrame, articles: DataFrame, most: int) -> DataFrame:
+    """The links of each company's first ``most`` articles, in the order of ``company_news``: all that its pages up to there can show."""
+    df = links.join(articles.select("article_id", "published_at"), "article_id")
+    place = F.row_number().over(Window.partitionBy("company_id").orderBy(*_newest()))
+    return df.withColumn("place", place).filter(F.col("place") <= most).select(links.columns).distinct()
+
+
 def company_news(links: DataFrame, articles: DataFrame, scored: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     """A page of each company's linked articles, newest first and undated ones before, with their sentiment where ``scored``
     (article_id, ..., or with company_id) has one; place counts from 1.
@@ -351,7 +363,7 @@ def company_news(links: DataFrame, articles: DataFrame, scored: DataFrame, offse
     """
     by = ["article_id", *(["company_id"] if "company_id" in scored.columns else [])]
     df = links.join(articles.select("article_id", "title", "canonical_url", "media_name", "published_at"), "article_id").join(scored, by, "left")
-    w = Window.partitionBy("company_id").orderBy(F.col("published_at").desc_nulls_first(), F.desc("article_id"))
+    w = Window.partitionBy("company_id").orderBy(*_newest())
     return df.withColumn("place", F.row_number().over(w)).filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
