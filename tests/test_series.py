@@ -84,3 +84,16 @@ def test_known_bits_are_those_of_the_features(spark):
     # One sum and one least day for all features at once.
     plan = t.known_counts(df, "bits")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("min(") <= 6
+
+
+def test_newest_rows_hold_the_last_value_of_every_feature(spark):
+    from tidemark.operators import valuation as v
+
+    gone = F.when((F.col("company_id") % 3 == 0) & (F.col("trade_date") > "1998-06-01"), F.lit(None).cast("double"))
+    bars = p.bars(spark, SF, 6).withColumn("volume", F.when(F.col("company_id") % 4 != 0, F.col("volume"))).withColumn("close", F.coalesce(gone, F.when((F.col("company_id") % 3 != 0) | (F.col("trade_date") <= "1998-06-01"), F.col("close"))))
+    wide = t.technical_features(bars.select("company_id", "trade_date", *t.INPUTS), p.index_series(bars), True, newest="last").persist()
+    some = wide.filter("last = 1")
+    read = lambda df: {r[0]: r[1] for r in v.latest_columns(df, t.FEATURES, "trade_date", "m").collect()}
+    assert 0 < some.count() < wide.count() / 5
+    want, got = read(wide), read(some)
+    assert len({len(m) for m in want.values()}) > 1 and {k: m for k, m in want.items() if m} == {k: m for k, m in got.items() if m}
